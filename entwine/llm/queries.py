@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entwine.llm import fingerprints, mixing, sql
+from entwine.llm import fingerprints, language_id, mixing, quality, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,5 +19,13 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_mixing": op8_mixing, "op10_fingerprints": op10_fingerprints}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_quality": op4_quality, "op2_language_id": op2_language_id, "op8_mixing": op8_mixing, "op10_fingerprints": op10_fingerprints}
 ORACLES = {"op8_mixing": sql.MIXING}
