@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entwine.llm import decontaminate, fingerprints, language_id, mixing, quality, sql
+from entwine.llm import decontaminate, fingerprints, language_id, lm_scoring, mixing, quality, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op9_decontaminate": op9_decontaminate, "op4_quality": op4_quality, "op2_language_id": op2_language_id, "op8_mixing": op8_mixing, "op10_fingerprints": op10_fingerprints}
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_lm_scoring": op5_lm_scoring, "op9_decontaminate": op9_decontaminate, "op4_quality": op4_quality, "op2_language_id": op2_language_id, "op8_mixing": op8_mixing, "op10_fingerprints": op10_fingerprints}
 ORACLES = {"op8_mixing": sql.MIXING}
