@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entwine.llm import decontaminate, fingerprints, language_id, lm_scoring, mixing, quality, sql
+from entwine.llm import decontaminate, fingerprints, language_id, lm_scoring, mixing, neardup, quality, sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,5 +35,9 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_lm_scoring": op5_lm_scoring, "op9_decontaminate": op9_decontaminate, "op4_quality": op4_quality, "op2_language_id": op2_language_id, "op8_mixing": op8_mixing, "op10_fingerprints": op10_fingerprints}
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_neardup": op3_neardup, "op5_lm_scoring": op5_lm_scoring, "op9_decontaminate": op9_decontaminate, "op4_quality": op4_quality, "op2_language_id": op2_language_id, "op8_mixing": op8_mixing, "op10_fingerprints": op10_fingerprints}
 ORACLES = {"op8_mixing": sql.MIXING}
