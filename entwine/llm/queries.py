@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from entwine.llm import decontaminate, fingerprints, language_id, lm_scoring, mixing, neardup, quality, sql
+from entwine.llm import chat, decontaminate, fingerprints, language_id, licenses, lm_scoring, mixing, neardup, quality, sql, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +39,31 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_neardup": op3_neardup, "op5_lm_scoring": op5_lm_scoring, "op9_decontaminate": op9_decontaminate, "op4_quality": op4_quality, "op2_language_id": op2_language_id, "op8_mixing": op8_mixing, "op10_fingerprints": op10_fingerprints}
-ORACLES = {"op8_mixing": sql.MIXING}
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_licenses,
+        op2_language_id,
+        op3_neardup,
+        op4_quality,
+        op5_lm_scoring,
+        op6_chat,
+        op7_urls,
+        op8_mixing,
+        op9_decontaminate,
+        op10_fingerprints,
+    )
+}
+ORACLES = {"op1_licenses": sql.LICENSES, "op6_chat": sql.CHAT, "op7_urls": sql.URLS, "op8_mixing": sql.MIXING}

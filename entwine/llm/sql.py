@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from entwine.llm import licenses, url_filter
+
 MIXING = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -42,3 +44,111 @@ SELECT c.doc_id, c.source, c.size, c.words AS source_size, c.target,
   (c.size * (c.whole + CASE WHEN c.chosen OR b.twin IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM chosen c LEFT JOIN best b ON c.source IS NOT DISTINCT FROM b.source AND c.doc_id IS NOT DISTINCT FROM b.doc_id AND c.size = b.size AND c.twin = b.twin
 """
+
+CHAT = r"""
+WITH turns AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) AS place FROM turns
+), hashed AS (
+  SELECT *, md5(concat_ws(chr(1), place::VARCHAR, role, text)) AS digest FROM placed
+), rolled AS (
+  SELECT conv_id, place, role, text, count(*) OVER (PARTITION BY conv_id) AS n_turns,
+    sum(('0x' || substr(digest, 1, 15))::BIGINT) OVER w AS h1, sum(('0x' || substr(digest, 16, 15))::BIGINT) OVER w AS h2
+  FROM hashed WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
+), whole AS (
+  SELECT n_turns, h1, h2, min(conv_id) AS conv_id, count(*) AS copies FROM rolled WHERE place = n_turns GROUP BY ALL
+), kept AS (
+  SELECT * FROM whole w WHERE NOT EXISTS (SELECT 1 FROM rolled r WHERE r.place = w.n_turns AND r.h1 = w.h1 AND r.h2 = w.h2 AND r.place < r.n_turns)
+), snapshots AS (
+  SELECT r.conv_id, sum(w.copies) AS snapshots FROM rolled r JOIN kept k ON r.conv_id IS NOT DISTINCT FROM k.conv_id
+  JOIN whole w ON w.n_turns = r.place AND w.h1 = r.h1 AND w.h2 = r.h2 WHERE r.place < r.n_turns GROUP BY 1
+), texts AS (
+  SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered FROM rolled GROUP BY 1
+)
+SELECT k.conv_id, k.n_turns::BIGINT AS n_turns, k.copies::BIGINT AS copies, coalesce(s.snapshots, 0)::BIGINT AS snapshots, t.rendered
+FROM kept k JOIN texts t ON k.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN snapshots s ON k.conv_id IS NOT DISTINCT FROM s.conv_id
+"""
+
+
+def _canonical(text: str) -> str:
+    """licenses.canonical() as SQL over the expression text."""
+    out = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT}', chr(10), 'g')"
+    out = f"trim(regexp_replace({out}, '{licenses.OTHER}', ' ', 'g'), ' ')"
+    for old, new in licenses.SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
+
+
+def _values(digests: dict[str, str]) -> str:
+    return ", ".join(f"('{d}', '{n}')" for d, n in digests.items())
+
+
+LICENSES = rf"""
+WITH texts(known, license) AS (VALUES {_values(licenses.known(licenses.TEXTS | licenses.NOTICES))}),
+notices(known, name) AS (VALUES {_values(licenses.known(licenses.NOTICES))}),
+rows AS (
+  SELECT doc_id, row_number() OVER () AS row, text, sha256({_canonical("coalesce(text, '')")}) AS digest FROM documents
+), lines AS (
+  SELECT row, unnest(string_split(text, chr(10))) AS line FROM rows
+), found AS (
+  SELECT row, name FROM lines JOIN notices ON sha256({_canonical("line")}) = known WHERE regexp_matches(lower(line), '{"|".join(licenses.HINTS)}')
+), listed AS (
+  SELECT row, string_agg(DISTINCT name, ';' ORDER BY name) AS notices, count(*) AS notice_lines FROM found GROUP BY row
+)
+SELECT doc_id, digest, license, notices, coalesce(notice_lines, 0)::BIGINT AS notice_lines
+FROM rows LEFT JOIN texts ON digest = known LEFT JOIN listed USING (row)
+"""
+
+
+def _rules() -> str:
+    rows = []
+    for rule in url_filter.RULES:
+        verdict, place = rule.split(" ", 1)
+        domain, _, start = place.partition("/")
+        rows.append(f"('{place}', '{domain}', '/{start}', '{verdict}')")
+    return ", ".join(rows)
+
+
+URLS = rf"""
+WITH RECURSIVE rules(rule, domain, start, decided) AS (VALUES {_rules()}),
+parsed AS (
+  SELECT row_number() OVER () AS row, page_id, html,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), fitting AS (
+  SELECT row, rule, decided FROM parsed JOIN rules ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, start)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule) DESC) = 1
+), judged AS (
+  SELECT p.*, f.rule, f.decided FROM parsed p LEFT JOIN fitting f USING (row)
+), links AS (
+  SELECT DISTINCT row, host AS src, unnest(regexp_extract_all(html, '{url_filter.LINK.replace("'", "''")}', 1)) AS link FROM judged
+), targets AS (
+  SELECT src, translate(regexp_extract(CASE WHEN starts_with(link, '//') THEN 'x:' || link ELSE link END, '://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}') AS dst FROM links
+), edges AS (
+  SELECT src, dst, count(*) AS pages FROM targets WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL
+), shares AS (
+  SELECT src, dst, pages / sum(pages) OVER (PARTITION BY src) AS share_src, pages / sum(pages) OVER (PARTITION BY dst) AS share_dst FROM edges
+), seeds AS (
+  SELECT host, sum(allowed)::DOUBLE AS allowed, sum(blocked)::DOUBLE AS blocked FROM (
+    SELECT host, (decided = 'allow')::INT AS allowed, (decided = 'block')::INT AS blocked FROM judged WHERE host <> ''
+    UNION ALL SELECT src, 0, 0 FROM edges UNION ALL SELECT dst, 0, 0 FROM edges) GROUP BY host
+), seeded AS (
+  SELECT host, {1 - url_filter.DAMPING}::DOUBLE * coalesce(allowed, 0) AS a, {1 - url_filter.DAMPING}::DOUBLE * coalesce(blocked, 0) AS b FROM seeds
+), ranks AS (
+  SELECT 0 AS i, host, a AS trust, b AS distrust, a, b FROM seeded
+  UNION ALL
+  SELECT any_value(i) + 1, host, any_value(a) + {url_filter.DAMPING}::DOUBLE * coalesce(sum(t), 0), any_value(b) + {url_filter.DAMPING}::DOUBLE * coalesce(sum(d), 0), any_value(a), any_value(b)
+  FROM (
+    SELECT r.i, r.host, r.a, r.b, 0::DOUBLE AS t, 0::DOUBLE AS d FROM ranks r WHERE r.i < {url_filter.ROUNDS}
+    UNION ALL SELECT r.i, e.dst, NULL, NULL, r.trust * e.share_src, 0 FROM ranks r JOIN shares e ON r.host = e.src WHERE r.i < {url_filter.ROUNDS}
+    UNION ALL SELECT r.i, e.src, NULL, NULL, 0, r.distrust * e.share_dst FROM ranks r JOIN shares e ON r.host = e.dst WHERE r.i < {url_filter.ROUNDS}
+  ) GROUP BY host
+), final AS (
+  SELECT host, trust, distrust FROM ranks WHERE i = {url_filter.ROUNDS}
+)
+SELECT page_id, j.host, path, rule,
+  coalesce(decided, CASE WHEN coalesce(distrust, 0) > {url_filter.RATIO}::DOUBLE * coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+  round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust
+FROM judged j LEFT JOIN final f ON j.host = f.host
+"""
