@@ -28,6 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_COPIES = 3
 SEED = "mix-1"
 BINS = 4096
+TOP_UPS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -81,6 +82,18 @@ def _crossing(rows: DataFrame, need: DataFrame) -> DataFrame:
     return at.select("source_", F.col("at.bin").alias("bin_"), F.col("at.left").alias("left"))
 
 
+def _top_up(chosen: DataFrame) -> DataFrame:
+    """chosen with one more document of each source, where one brings the source's words nearer to what it is to have."""
+    gaps = chosen.groupBy("source").agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
+    gaps = gaps.withColumnRenamed("source", "gap_source")
+    missed = chosen.where(~F.col("chosen") & (F.col("p") > 0)).join(gaps, chosen.source.eqNullSafe(F.col("gap_source")))
+    off = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "u", "doc_id", "size", "twin", "gap")
+    best = missed.groupBy("gap_source").agg(F.min(off).alias("b")).where("b.off < b.gap")
+    best = best.select(F.col("gap_source").alias("s_"), F.col("b.doc_id").alias("d_"), F.col("b.size").alias("z_"), F.col("b.twin").alias("t_"))
+    same = chosen.source.eqNullSafe(F.col("s_")) & chosen.doc_id.eqNullSafe(F.col("d_")) & (F.col("size") == F.col("z_")) & (F.col("twin") == F.col("t_"))
+    return chosen.join(best, same, "left").withColumn("chosen", F.col("chosen") | F.col("t_").isNotNull()).drop("s_", "d_", "z_", "t_")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, source, text)."""
     same = Window.partitionBy("source", "doc_id", "size").orderBy("size")
@@ -115,20 +128,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int =
         "source", "doc_id", "size", "twin", "u", (F.col("cut").isNull() | (F.col("fine") < F.col("cut"))).alias("chosen")
     )
     chosen = stored(edge.unionByName(rest), "mix-chosen")
-    chosen = chosen.join(goals.drop("left_in_cut", "cut"), chosen.source.eqNullSafe(goals.source_)).withColumn("chosen", F.col("chosen") & (F.col("p") > 0))
-    gaps = chosen.groupBy("source_").agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
-    gaps = gaps.withColumnRenamed("source_", "gap_source")
-    missed = chosen.where(~F.col("chosen") & (F.col("p") > 0)).join(gaps, chosen.source.eqNullSafe(F.col("gap_source")))
-    best = missed.groupBy("gap_source").agg(
-        F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "u", "doc_id", "size", "twin", "gap")).alias("b")
-    )
-    best = best.where("b.off < b.gap").select(
-        F.col("gap_source").alias("s_"), F.col("b.doc_id").alias("d_"), F.col("b.size").alias("z_"), F.col("b.twin").alias("t_")
-    )
-    one_more = chosen.source.eqNullSafe(F.col("s_")) & chosen.doc_id.eqNullSafe(F.col("d_")) & (F.col("size") == F.col("z_")) & (F.col("twin") == F.col("t_"))
-    copies = (F.col("whole") + F.when(F.col("chosen") | F.col("t_").isNotNull(), 1).otherwise(0)).cast("long")
+    chosen = chosen.join(goals.drop("left_in_cut", "cut"), chosen.source.eqNullSafe(goals.source_)).drop("source_").withColumn("chosen", F.col("chosen") & (F.col("p") > 0))
+    for _ in range(TOP_UPS):
+        chosen = stored(_top_up(chosen), "mix-chosen")
+    copies = (F.col("whole") + F.when(F.col("chosen"), 1).otherwise(0)).cast("long")
     return (
-        chosen.join(best, one_more, "left")
-        .withColumn("copies", copies)
+        chosen.withColumn("copies", copies)
         .select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from entwine.llm import chat, decontaminate, fingerprints, language_id, licenses, lm_scoring, mixing, neardup, quality, sql, url_filter
 
 
@@ -65,5 +66,5 @@ QUERIES = {
         op9_decontaminate,
         op10_fingerprints,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op1_licenses": sql.LICENSES, "op6_chat": sql.CHAT, "op7_urls": sql.URLS, "op8_mixing": sql.MIXING}

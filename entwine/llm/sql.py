@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from entwine.llm import licenses, url_filter
+from entwine.llm import licenses, mixing, url_filter
 
 MIXING = r"""
 WITH sized AS (
@@ -32,17 +32,24 @@ WITH sized AS (
   FROM drawn d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
 ), chosen AS (
   SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size, twin ROWS UNBOUNDED PRECEDING) <= remaining AS chosen FROM ranked
-), gaps AS (
-  SELECT source, any_value(remaining) - sum(CASE WHEN chosen THEN size ELSE 0 END)::BIGINT AS gap FROM chosen GROUP BY source
-), best AS (
-  SELECT c.source, c.doc_id, c.size, c.twin FROM chosen c JOIN gaps g ON c.source IS NOT DISTINCT FROM g.source
+)
+"""
+for _round in range(mixing.TOP_UPS):
+    _was, _now = ("chosen", f"more{_round}") if _round == 0 else (f"more{_round - 1}", f"more{_round}")
+    MIXING += f""", gaps{_round} AS (
+  SELECT source, any_value(remaining) - sum(CASE WHEN chosen THEN size ELSE 0 END)::BIGINT AS gap FROM {_was} GROUP BY source
+), best{_round} AS (
+  SELECT c.source, c.doc_id, c.size, c.twin FROM {_was} c JOIN gaps{_round} g ON c.source IS NOT DISTINCT FROM g.source
   WHERE NOT c.chosen AND c.p > 0 AND abs(c.size - g.gap) < g.gap
   QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(c.size - g.gap), c.u, c.doc_id, c.size, c.twin) = 1
+), {_now} AS (
+  SELECT c.* REPLACE (c.chosen OR b.twin IS NOT NULL AS chosen)
+  FROM {_was} c LEFT JOIN best{_round} b ON c.source IS NOT DISTINCT FROM b.source AND c.doc_id IS NOT DISTINCT FROM b.doc_id AND c.size = b.size AND c.twin = b.twin
 )
-SELECT c.doc_id, c.source, c.size, c.words AS source_size, c.target,
-  (c.whole + CASE WHEN c.chosen OR b.twin IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS copies,
-  (c.size * (c.whole + CASE WHEN c.chosen OR b.twin IS NOT NULL THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM chosen c LEFT JOIN best b ON c.source IS NOT DISTINCT FROM b.source AND c.doc_id IS NOT DISTINCT FROM b.doc_id AND c.size = b.size AND c.twin = b.twin
+"""
+MIXING += f"""
+SELECT doc_id, source, size, words AS source_size, target, (whole + chosen::INT)::BIGINT AS copies, (size * (whole + chosen::INT))::BIGINT AS taken
+FROM {_now}
 """
 
 CHAT = r"""
