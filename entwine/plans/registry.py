@@ -5,6 +5,566 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from entwine.functions import similarity, text
+from entwine.functions.session import ship, stored
+from entwine.operators import blocking, features, labels, metrics, model, profile
+from entwine.plans import adapter, pipeline
+from entwine.schema import MAX_BLOCK_FREQUENCY, MAX_CANDIDATES, STRATEGIES, STRATEGY_WEIGHTS
+from entwine.sources import tsv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (normalised sources) under its name; sql follows the common table expressions."""
+
+    def add(f: Callable[[adapter.Sources], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(adapter.normalised(spark, sf_dir))
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            ORACLES[f.__name__] = COMMON + sql
+        return f
+
+    return add
+
+
+_BLOCKS = f"""
+, j1 AS (
+  SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id
+  FROM (SELECT entity_id, unnest([business_name_normalized, business_name_core]) AS k FROM s1) a
+  JOIN (SELECT entity_id, unnest([business_name_normalized, business_name_core]) AS k FROM pool) b ON a.k = b.k WHERE a.k <> ''
+), j2_tokens AS (
+  SELECT entity_id, country_normalized AS c, unnest(business_name_tokens) AS t FROM pool WHERE country_normalized <> ''
+), j2_usual AS (
+  SELECT c, t FROM j2_tokens WHERE length(t) >= 3 GROUP BY ALL HAVING count(*) <= {MAX_BLOCK_FREQUENCY}
+), j2 AS (
+  SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id
+  FROM (SELECT entity_id, country_normalized AS c, unnest(business_name_tokens) AS t FROM s1) a JOIN j2_usual u ON a.c = u.c AND a.t = u.t JOIN j2_tokens b ON a.c = b.c AND a.t = b.t
+), j3 AS (
+  SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM s1 a JOIN pool b USING (business_address_postal) WHERE business_address_postal <> ''
+), j4_tokens AS (
+  SELECT DISTINCT entity_id, unnest(business_address_tokens) AS t FROM pool
+), j4_usual AS (
+  SELECT t FROM j4_tokens WHERE length(t) >= 3 GROUP BY ALL HAVING count(*) <= {MAX_BLOCK_FREQUENCY}
+), j4 AS (
+  SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM (SELECT entity_id, unnest(business_address_tokens) AS t FROM s1) a JOIN j4_usual u ON a.t = u.t JOIN j4_tokens b ON a.t = b.t
+), j5 AS (
+  SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id
+  FROM (SELECT entity_id, unnest(business_address_numeric_tokens) AS t FROM s1) a JOIN (SELECT entity_id, unnest(business_address_numeric_tokens) AS t FROM pool) b ON a.t = b.t
+), j6_positions AS (
+  SELECT entity_id, source, business_name_normalized AS n, unnest([2, 3, 4]) AS size FROM full_prep
+), j6_grams AS (
+  SELECT entity_id, source, substr(n, i, size) AS g FROM (SELECT *, unnest(range(1, length(n) - size + 2)) AS i FROM j6_positions WHERE length(n) >= size)
+), j6_tf AS (
+  SELECT entity_id, source, g, count(*) AS tf FROM j6_grams GROUP BY ALL
+), j6_idf AS (
+  SELECT g, ln((1 + (SELECT count(*) FROM pool)::DOUBLE) / (1 + count(*))) + 1 AS idf FROM j6_tf WHERE source > 1 GROUP BY g HAVING count(*) >= 2
+), j6_w AS (
+  SELECT entity_id, source, g, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY entity_id)) AS w FROM j6_tf JOIN j6_idf USING (g)
+), j6_sim AS (
+  SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, round(sum(a.w * b.w), 9) AS similarity FROM j6_w a JOIN j6_w b USING (g) WHERE a.source = 1 AND b.source > 1 GROUP BY ALL
+), j6 AS (
+  SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY similarity DESC, cand_id) AS rank FROM j6_sim WHERE similarity > 0 QUALIFY rank <= 20
+), found AS (
+  SELECT s1_id, cand_id, 'exact_name' AS strategy FROM j1 UNION ALL SELECT s1_id, cand_id, 'country_name_token' FROM j2 UNION ALL SELECT s1_id, cand_id, 'postal' FROM j3
+  UNION ALL SELECT s1_id, cand_id, 'address_token' FROM j4 UNION ALL SELECT s1_id, cand_id, 'numeric_address' FROM j5 UNION ALL SELECT s1_id, cand_id, 'char_ngram' FROM j6
+), weights(strategy, weight, place) AS (VALUES {", ".join(f"('{s}', {STRATEGY_WEIGHTS[s]}, {i})" for i, s in enumerate(STRATEGIES))}),
+merged AS (
+  SELECT s1_id, cand_id, sum(weight)::INTEGER AS score, list(strategy ORDER BY place) AS provenance FROM found JOIN weights USING (strategy) GROUP BY ALL
+), cands AS (
+  SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id)::INTEGER AS rank FROM merged QUALIFY rank <= {MAX_CANDIDATES}
+), pairs AS (
+  SELECT c.s1_id, c.cand_id, c.rank, c.provenance, a AS l, b AS r, b.candidate_source,
+    CASE WHEN t.s1_id IS NULL THEN 0 ELSE 1 END AS label,
+    CASE WHEN a.business_name_normalized = '' OR b.business_name_normalized = '' THEN 0.0::DOUBLE
+      ELSE 1 - levenshtein(a.business_name_normalized, b.business_name_normalized)::DOUBLE / greatest(length(a.business_name_normalized), length(b.business_name_normalized)) END AS p
+  FROM cands c JOIN s1 a ON c.s1_id = a.entity_id JOIN pool b ON c.cand_id = b.entity_id LEFT JOIN truth t ON c.s1_id = t.s1_id AND c.cand_id = t.cand_id
+)
+"""
+COMMON = "WITH " + adapter.PREP_SQL + _BLOCKS
+
+
+def every(d: adapter.Sources) -> DataFrame:
+    return d.s1.unionByName(d.s2).unionByName(d.s3)
+
+
+def prepared(d: adapter.Sources) -> pipeline.Prepared:
+    return pipeline.Prepared(*[stored(s, "prepared") for s in (d.s1, d.s2, d.s3)])
+
+
+def combined(d: adapter.Sources) -> tuple[pipeline.Prepared, DataFrame]:
+    ready = prepared(d)
+    return ready, stored(blocking.candidates(ready.s1, ready.s2, ready.s3), "candidates")
+
+
+def scored(d: adapter.Sources) -> tuple[pipeline.Prepared, DataFrame, DataFrame]:
+    """Candidates with label and, as match_probability, the Levenshtein similarity of the names."""
+    ready, found = combined(d)
+    truth = stored(labels.truth_pairs(d.truth), "truth")
+    pairs = features.with_records(labels.labelled(found, truth), ready.s1, ready.s2, ready.s3)
+    rule = similarity.levenshtein_similarity(F.col("l.business_name_normalized"), F.col("r.business_name_normalized"))
+    return ready, truth, stored(pairs.select("s1_id", "cand_id", "candidate_source", "label", "rank", "provenance", rule.alias("match_probability")), "scored")
+
+
+def rounded(df: DataFrame, places: int = 9) -> DataFrame:
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- projections
+
+for _name, _column, _make, _sql in (
+    ("b1_normalize_text", "business_name", text.normalize_text, "business_name_basic"),
+    ("b2_normalize_country", "country", text.normalize_country, "country_normalized"),
+    ("b3_name_basic", "business_name", text.normalize_business_name, "business_name_basic"),
+    ("b4_name_norm", "business_name", text.normalize_business_name_advanced, "business_name_normalized"),
+    ("b5_name_core", "business_name", lambda c: text.business_name_core(text.normalize_business_name_advanced(c)), "business_name_core"),
+    ("b6_address_norm", "business_address", text.normalize_business_address, "business_address_normalized"),
+    ("b7_postal", "business_address", text.postal_code, "business_address_postal"),
+    ("b8_numeric_tokens", "business_address", lambda c: F.array_join(text.numeric_tokens(c), ","), "array_to_string(business_address_numeric_tokens, ',')"),
+    ("b9_tokens", "business_name", lambda c: F.array_join(text.tokens(text.normalize_business_name_advanced(c)), "|"), "array_to_string(business_name_tokens, '|')"),
+):
+
+    def _run(spark: SparkSession, sf_dir: str, column=_column, make=_make) -> DataFrame:
+        return adapter.records(spark, sf_dir).select("entity_id", make(F.col(column)).alias("value"))
+
+    QUERIES[_name] = _run
+    ORACLES[_name] = f"{COMMON} SELECT entity_id, {_sql} AS value FROM full_prep"
+
+
+@query("""SELECT entity_id, business_name_normalized, business_name_core, array_to_string(business_name_tokens, '|') AS name_tokens, business_address_normalized,
+business_address_postal, array_to_string(business_address_numeric_tokens, '|') AS numbers, array_to_string(business_address_tokens, '|') AS address_tokens, country_normalized FROM full_prep""")
+def b10_preprocess(d):
+    joined = lambda c: F.array_join(f"business_{c}", "|")
+    return every(d).select(
+        "entity_id", "business_name_normalized", "business_name_core", joined("name_tokens").alias("name_tokens"), "business_address_normalized", "business_address_postal",
+        joined("address_numeric_tokens").alias("numbers"), joined("address_tokens").alias("address_tokens"), "country_normalized",
+    )
+
+
+@query("SELECT s1_id, cand_id FROM truth")
+def b13_split_truth(d):
+    return labels.truth_pairs(d.truth)
+
+
+# --- joins
+
+for _i, _strategy in enumerate(STRATEGIES[:5], 1):
+
+    def _block(d, strategy=_strategy):
+        return blocking.REGISTRY[strategy](d.s1, blocking.candidate_pool(d.s2, d.s3))
+
+    _block.__name__ = f"j{_i}_{_strategy}"
+    query(f"SELECT s1_id, cand_id FROM j{_i}")(_block)
+
+
+@query("SELECT s1_id, cand_id, round(similarity, 6) AS similarity FROM j6")
+def j6_char_ngram_topk(d):
+    ready = prepared(d)
+    return blocking.char_ngram_scores(ready.s1, ready.pool).select("s1_id", "cand_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT s1_id, cand_id, candidate_source, l.business_name AS s1_name, r.business_name AS cand_name FROM pairs")
+def j7_pair_records(d):
+    ready, found = combined(d)
+    names = lambda x, key: x.select(F.col("entity_id").alias(key), F.col("business_name").alias(key.replace("_id", "_name")))
+    pool = ready.pool
+    pairs = found.join(names(ready.s1, "s1_id"), "s1_id").join(names(pool, "cand_id").join(pool.select(F.col("entity_id").alias("cand_id"), "candidate_source"), "cand_id"), "cand_id")
+    return pairs.select("s1_id", "cand_id", "candidate_source", "s1_name", "cand_name")
+
+
+@query("SELECT s1_id, cand_id, label FROM pairs")
+def j8_labels(d):
+    _, found = combined(d)
+    return labels.labelled(found, labels.truth_pairs(d.truth)).select("s1_id", "cand_id", "label")
+
+
+@query("SELECT s1_id, cand_id FROM truth EXCEPT SELECT s1_id, cand_id FROM cands")
+def j9_missed_matches(d):
+    _, found = combined(d)
+    return labels.missed(found, labels.truth_pairs(d.truth)).select("s1_id", "cand_id")
+
+
+@query("SELECT s1_id, cand_id, 0 AS label FROM cands c WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = c.s1_id AND t.cand_id = c.cand_id)")
+def j10_negatives(d):
+    _, found = combined(d)
+    return labels.negatives(found, labels.truth_pairs(d.truth)).select("s1_id", "cand_id", "label")
+
+
+@query("SELECT s1_id, cand_id FROM pairs WHERE p >= 0.9 EXCEPT SELECT s1_id, cand_id FROM cands")
+def j11_subset_violations(d):
+    _, _, pairs = scored(d)
+    return labels.subset_violations(metrics.apply_threshold(pairs, 0.9), pairs)
+
+
+@query("SELECT s1_id, coalesce(string_agg(cand_id, ';' ORDER BY cand_id) FILTER (WHERE p >= 0.9), '') AS matches FROM pairs GROUP BY s1_id")
+def j12_match_sets(d):
+    _, _, pairs = scored(d)
+    return metrics.match_sets(pairs, 0.9).select("s1_id", F.array_join("matches", ";").alias("matches"))
+
+
+@query("""SELECT count(*) AS pairs, avg((a.business_name = b.business_name)::INT) AS same_business_name, avg((a.business_name_normalized = b.business_name_normalized)::INT) AS same_business_name_normalized,
+avg((a.business_name_core = b.business_name_core)::INT) AS same_business_name_core, avg((a.business_address = b.business_address)::INT) AS same_business_address,
+avg((a.business_address_normalized = b.business_address_normalized)::INT) AS same_business_address_normalized, avg((a.country = b.country)::INT) AS same_country,
+avg((a.country_normalized = b.country_normalized)::INT) AS same_country_normalized FROM truth t JOIN s1 a ON t.s1_id = a.entity_id JOIN s2 b ON t.cand_id = b.entity_id""")
+def j13_agreement(d):
+    return profile.agreement(labels.truth_pairs(d.truth), d.s1, d.s2)
+
+
+@query("""SELECT t.s1_id, t.cand_id, a.business_name AS s1_name, a.business_address AS s1_address, b.business_name AS cand_name, b.business_address AS cand_address
+FROM truth t JOIN s1 a ON t.s1_id = a.entity_id JOIN pool b ON t.cand_id = b.entity_id ORDER BY t.s1_id, t.cand_id LIMIT 5""")
+def j14_match_examples(d):
+    out = profile.match_examples(labels.truth_pairs(d.truth), d.s1, blocking.candidate_pool(d.s2, d.s3))
+    return out.select("s1_id", "cand_id", "s1_name", "s1_address", "cand_name", "cand_address")
+
+
+# --- combination
+
+@query("SELECT s1_id, cand_id, score, array_to_string(provenance, ';') AS provenance FROM merged")
+def k1_strategy_union(d):
+    ready = prepared(d)
+    out = blocking.combine(blocking.by_strategy(ready.s1, ready.pool, STRATEGIES), 1 << 30)
+    return out.select("s1_id", "cand_id", "score", F.array_join("provenance", ";").alias("provenance"))
+
+
+@query("SELECT s1_id, cand_id, score, rank, array_to_string(provenance, ';') AS provenance FROM cands")
+def k3_combined_candidates(d):
+    _, found = combined(d)
+    return found.withColumn("provenance", F.array_join("provenance", ";"))
+
+
+@query("""SELECT entity_id AS source1_entity_id, coalesce(ids, '') AS candidate_entity_ids FROM s1
+LEFT JOIN (SELECT s1_id, string_agg(cand_id, ';' ORDER BY cand_id) AS ids FROM cands GROUP BY 1) ON entity_id = s1_id""")
+def a7_match_lists(d):
+    ready, found = combined(d)
+    return tsv.match_lists(found, ready.s1)
+
+
+@query("""SELECT entity_id AS source1_entity_id, coalesce(ids, '') AS candidate_entity_ids FROM s1
+LEFT JOIN (SELECT s1_id, string_agg(cand_id, ',' ORDER BY rank) AS ids FROM cands GROUP BY 1) ON entity_id = s1_id""")
+def a10_ranked_lists(d):
+    ready, found = combined(d)
+    return tsv.ranked_lists(found, ready.s1)
+
+
+# --- features
+
+def _feature_sql() -> str:
+    flag = lambda c: f"({c})::INTEGER"
+    out: list[tuple[str, str]] = []
+    sets = lambda f: f"len(list_distinct({f}))"
+
+    def words(kind: str, f: str, tokens: str) -> None:
+        a, b, ta, tb = f"l.{f}", f"r.{f}", f"l.{tokens}", f"r.{tokens}"
+        both, union = f"len(list_intersect({ta}, {tb}))", f"len(list_distinct(list_concat({ta}, {tb})))"
+        none = f"({a} = '' OR {b} = '')"
+        out.extend([(f"{kind}_missing_s1", flag(f"{a} = ''")), (f"{kind}_missing_candidate", flag(f"{b} = ''")), (f"{kind}_exact", flag(f"{a} <> '' AND {a} = {b}"))])
+        if kind == "name":
+            out.append(("name_core_exact", flag("l.business_name_core <> '' AND l.business_name_core = r.business_name_core")))
+        out.extend(
+            [
+                (f"{kind}_levenshtein", f"round(CASE WHEN {none} THEN 0.0::DOUBLE ELSE 1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END, 9)"),
+                (f"{kind}_jaro_winkler", f"round(CASE WHEN {none} THEN 0.0::DOUBLE ELSE jaro_winkler_similarity({a}, {b}) END, 9)"),
+                (f"{kind}_token_intersection_count", f"{both}::INTEGER"),
+                (f"{kind}_token_union_count", f"{union}::INTEGER"),
+                (f"{kind}_token_jaccard", f"round(CASE WHEN {union} = 0 THEN 0.0::DOUBLE ELSE {both}::DOUBLE / {union} END, 9)"),
+                (f"{kind}_token_overlap", f"round(CASE WHEN least({sets(ta)}, {sets(tb)}) = 0 THEN 0.0::DOUBLE ELSE {both}::DOUBLE / least({sets(ta)}, {sets(tb)}) END, 9)"),
+                (f"{kind}_length_difference", f"abs(length({a}) - length({b}))::INTEGER"),
+                (f"{kind}_length_ratio", f"round(CASE WHEN greatest(length({a}), length({b})) = 0 THEN 0.0::DOUBLE ELSE least(length({a}), length({b}))::DOUBLE / greatest(length({a}), length({b})) END, 9)"),
+                (f"{kind}_token_count_difference", f"abs(len({ta}) - len({tb}))::INTEGER"),
+            ]
+        )
+
+    def code(kind: str, f: str) -> None:
+        a, b = f"l.{f}", f"r.{f}"
+        out.extend(
+            [
+                (f"{kind}_missing_s1", flag(f"{a} = ''")),
+                (f"{kind}_missing_candidate", flag(f"{b} = ''")),
+                (f"{kind}_both_present", flag(f"{a} <> '' AND {b} <> ''")),
+                (f"{kind}_exact_match", flag(f"{a} <> '' AND {a} = {b}")),
+                (f"{kind}_mismatch", flag(f"{a} <> '' AND {b} <> '' AND {a} <> {b}")),
+            ]
+        )
+
+    words("name", "business_name_normalized", "business_name_tokens")
+    words("address", "business_address_normalized", "business_address_tokens")
+    code("postal", "business_address_postal")
+    n = "business_address_numeric_tokens"
+    both, union = f"len(list_intersect(l.{n}, r.{n}))", f"len(list_distinct(list_concat(l.{n}, r.{n})))"
+    least = f"least({sets('l.' + n)}, {sets('r.' + n)})"
+    out.extend(
+        [
+            ("numeric_token_intersection_count", f"{both}::INTEGER"),
+            ("numeric_token_jaccard", f"round(CASE WHEN {union} = 0 THEN 0.0::DOUBLE ELSE {both}::DOUBLE / {union} END, 9)"),
+            ("numeric_token_overlap", f"round(CASE WHEN {least} = 0 THEN 0.0::DOUBLE ELSE {both}::DOUBLE / {least} END, 9)"),
+            ("has_common_numeric_token", flag(f"{both} > 0")),
+        ]
+    )
+    code("country", "country_normalized")
+    out.extend([(f"candidate_source_is_{s}", flag(f"candidate_source = '{s}'")) for s in ("s2", "s3")])
+    out.extend([(f"blocked_by_{s}", flag(f"list_contains(provenance, '{s}')")) for s in STRATEGIES])
+    return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in out) + ", s1_id, cand_id, candidate_source FROM pairs"
+
+
+@query(_feature_sql())
+def f_all_features(d):
+    ready, found = combined(d)
+    return rounded(features.features(found, ready.s1, ready.s2, ready.s3))
+
+
+for _name, _expression in (
+    ("f7_token_jaccard", "name_token_jaccard"),
+    ("f8_token_overlap", "name_token_overlap"),
+    ("f9_levenshtein", "name_levenshtein"),
+    ("f10_jaro_winkler", "name_jaro_winkler"),
+    ("f11_length_ratio", "name_length_ratio"),
+    ("f12_token_count_difference", "name_token_count_difference"),
+):
+
+    def _one(d, column=_expression):
+        ready, found = combined(d)
+        ship(found.sparkSession)
+        pairs = features.with_records(found, ready.s1, ready.s2, ready.s3)
+        return rounded(pairs.select("s1_id", "cand_id", features.feature_columns()[column].alias("value")))
+
+    _one.__name__ = _name
+    query(f"SELECT s1_id, cand_id, {_expression} AS value FROM ({_feature_sql()})")(_one)
+
+
+# --- aggregations
+
+@query("""SELECT business_name_normalized AS normalized, count(DISTINCT business_name) AS raw_values FROM full_prep
+WHERE business_name <> '' AND business_name_normalized <> '' GROUP BY 1 HAVING count(DISTINCT business_name) > 1""")
+def g2_collisions(d):
+    return profile.collisions(every(d), "business_name", "business_name_normalized")
+
+
+@query("SELECT country AS value, count(*) AS rows, 100 * count(*) / sum(count(*)) OVER () AS percent FROM full_prep GROUP BY country")
+def g3_country_counts(d):
+    return profile.value_counts(every(d), "country")
+
+
+@query("SELECT count(*) AS rows, count(*) - count(DISTINCT entity_id) AS duplicate_ids, count_if(entity_id = '')::BIGINT AS empty_entity_id, count_if(business_name = '')::BIGINT AS empty_business_name, count_if(business_address = '')::BIGINT AS empty_business_address, count_if(country = '')::BIGINT AS empty_country, count_if(NOT starts_with(entity_id, 'S1-'))::BIGINT AS wrong_prefix FROM s1")
+def g5_validation(d):
+    return profile.validate(d.s1, "S1-")
+
+
+@query("SELECT coalesce(min(length(business_name)), 0)::BIGINT AS min_length, coalesce(max(length(business_name)), 0)::BIGINT AS max_length, coalesce(avg(length(business_name)), 0)::DOUBLE AS mean_length, coalesce(median(length(business_name)), 0)::DOUBLE AS median_length FROM full_prep WHERE business_name <> ''")
+def g7_length_stats(d):
+    return profile.length_stats(every(d), "business_name")
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT entity_id) AS unique_ids, count(DISTINCT business_name) AS unique_names, count(DISTINCT business_address) AS unique_addresses, count(DISTINCT country) AS countries FROM s1")
+def g4_source_stats(d):
+    return profile.source_stats(d.s1)
+
+
+@query("SELECT label, median(name_levenshtein) AS name_levenshtein, median(name_token_jaccard) AS name_token_jaccard, median(address_levenshtein) AS address_levenshtein, median(name_length_difference) AS name_length_difference FROM (SELECT f.*, label FROM (" + _feature_sql() + ") f JOIN pairs USING (s1_id, cand_id)) GROUP BY label")
+def g8_label_medians(d):
+    ready, found = combined(d)
+    made = features.features(labels.labelled(found, labels.truth_pairs(d.truth)), ready.s1, ready.s2, ready.s3)
+    return profile.label_medians(rounded(made), ["name_levenshtein", "name_token_jaccard", "address_levenshtein", "name_length_difference"])
+
+
+@query("""SELECT sum(n)::BIGINT AS pairs, avg(n) AS avg_candidates, median(n) AS median_candidates, max(n)::BIGINT AS max_candidates, 1 - sum(n)::DOUBLE / (count(*) * (SELECT count(*) FROM pool)::DOUBLE) AS reduction_ratio
+FROM (SELECT entity_id, count(cand_id) AS n FROM s1 LEFT JOIN cands ON entity_id = s1_id GROUP BY 1)""")
+def g9_candidate_stats(d):
+    ready, found = combined(d)
+    return metrics.candidate_stats(found, ready.s1, ready.pool.count())
+
+
+@query("""SELECT count(c.s1_id) / greatest(count(*), 1) AS recall, count(c.s1_id) FILTER (WHERE starts_with(t.cand_id, 'S2-')) / greatest(count(*) FILTER (WHERE starts_with(t.cand_id, 'S2-')), 1) AS recall_s2,
+count(c.s1_id) FILTER (WHERE starts_with(t.cand_id, 'S3-')) / greatest(count(*) FILTER (WHERE starts_with(t.cand_id, 'S3-')), 1) AS recall_s3, count(*) AS true_pairs FROM truth t LEFT JOIN cands c USING (s1_id, cand_id)""")
+def g10_blocking_recall(d):
+    _, found = combined(d)
+    return metrics.blocking_recall(found, labels.truth_pairs(d.truth))
+
+
+@query("""SELECT strategy, count(*) AS pairs, count(t.s1_id) AS hits, count(t.s1_id) / (SELECT greatest(count(*), 1) FROM truth)::DOUBLE AS recall FROM found f LEFT JOIN truth t ON f.s1_id = t.s1_id AND f.cand_id = t.cand_id GROUP BY strategy""")
+def g11_strategy_recall(d):
+    ready = prepared(d)
+    return metrics.strategy_recall(blocking.by_strategy(ready.s1, ready.pool, STRATEGIES), labels.truth_pairs(d.truth))
+
+
+@query("""SELECT count(*) AS entities, count_if(n = 0)::BIGINT AS without_match, count_if(n > 0)::BIGINT AS with_match, min(n)::BIGINT AS min_matches, max(n)::BIGINT AS max_matches, avg(n) AS mean_matches, median(n) AS median_matches,
+count_if(n2 > 0 AND n3 = 0)::BIGINT AS only_s2, count_if(n2 = 0 AND n3 > 0)::BIGINT AS only_s3, count_if(n2 > 0 AND n3 > 0)::BIGINT AS both
+FROM (SELECT entity_id, count(cand_id) AS n, count_if(starts_with(cand_id, 'S2-')) AS n2, count_if(starts_with(cand_id, 'S3-')) AS n3 FROM s1 LEFT JOIN truth ON entity_id = s1_id GROUP BY 1)""")
+def g12_gt_distribution(d):
+    return profile.truth_distribution(d.truth)
+
+
+_ENTITY = """, preds AS (SELECT s1_id, cand_id FROM pairs WHERE p >= 0.9), each_entity AS (
+  SELECT entity_id AS s1_id, (SELECT count(*) FROM preds p JOIN truth t USING (s1_id, cand_id) WHERE p.s1_id = entity_id) AS tp,
+    (SELECT count(*) FROM preds p WHERE p.s1_id = entity_id) AS predicted, (SELECT count(*) FROM truth t WHERE t.s1_id = entity_id) AS actual FROM s1
+), entity_scores AS (
+  SELECT *, CASE WHEN predicted = 0 AND actual = 0 THEN 1.0::DOUBLE WHEN predicted = 0 OR actual = 0 THEN 0.0::DOUBLE ELSE tp / predicted END AS precision,
+    CASE WHEN predicted = 0 AND actual = 0 THEN 1.0::DOUBLE WHEN predicted = 0 OR actual = 0 THEN 0.0::DOUBLE ELSE tp / actual END AS recall FROM each_entity
+), entity_f AS (
+  SELECT *, CASE WHEN precision + recall = 0 THEN 0.0::DOUBLE ELSE 1.25::DOUBLE * precision * recall / (0.25::DOUBLE * precision + recall) END AS f0_5 FROM entity_scores
+)
+"""
+
+
+@query(_ENTITY + "SELECT s1_id, tp::BIGINT AS tp, predicted::BIGINT AS predicted, actual::BIGINT AS actual, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f0_5, 9) AS f0_5 FROM entity_f")
+def g13_entity_metrics(d):
+    _, truth, pairs = scored(d)
+    return rounded(metrics.entity_metrics(metrics.apply_threshold(pairs, 0.9), truth, labels.truth_entities(d.truth)))
+
+
+@query(_ENTITY + "SELECT round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall, round(avg(f0_5), 9) AS f0_5, count(*) AS entities FROM entity_f")
+def g14_macro_metrics(d):
+    _, truth, pairs = scored(d)
+    return rounded(metrics.macro_metrics(metrics.apply_threshold(pairs, 0.9), truth, labels.truth_entities(d.truth)))
+
+
+@query("""SELECT CASE WHEN count(*) = 0 THEN 1.0::DOUBLE ELSE count(c.s1_id) / count(*) END AS candidate_recall, count(*) AS true_pairs
+FROM truth t LEFT JOIN cands c USING (s1_id, cand_id) WHERE t.s1_id IN (SELECT s1_id FROM cands)""")
+def g15_candidate_recall(d):
+    _, truth, pairs = scored(d)
+    return metrics.candidate_recall(pairs, truth)
+
+
+@query("""SELECT tp::BIGINT AS tp, predicted::BIGINT AS predicted, actual::BIGINT AS actual, round(pr, 9) AS precision, round(re, 9) AS recall,
+round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 9) AS f1, round(CASE WHEN pr + re = 0 THEN 0 ELSE 1.25::DOUBLE * pr * re / (0.25::DOUBLE * pr + re) END, 9) AS f0_5
+FROM (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS pr, CASE WHEN actual > 0 THEN tp / actual ELSE 0 END AS re
+FROM (SELECT count_if(p >= 0.9 AND label = 1) AS tp, count_if(p >= 0.9) AS predicted, count_if(label = 1) AS actual FROM pairs))""")
+def g16_pair_metrics(d):
+    _, _, pairs = scored(d)
+    return rounded(metrics.pair_metrics(pairs, 0.9))
+
+
+@query(""", steps AS (SELECT p, sum(label) AS pos, sum(1 - label) AS neg FROM pairs GROUP BY p), run AS (
+  SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS all_pos, sum(neg) OVER () AS all_neg, greatest(least(p, 1 - 2.220446049250313e-16::DOUBLE), 2.220446049250313e-16::DOUBLE) AS q
+  FROM steps WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
+SELECT round(sum(neg * (tp - pos / 2)) / (max(all_pos) * max(all_neg)), 9) AS roc_auc, round(sum(pos / all_pos * tp / (tp + fp)), 9) AS pr_auc, round(sum(-(pos * ln(q) + neg * ln(1 - q))) / sum(pos + neg), 6) AS log_loss FROM run""")
+def g17_average_precision(d):
+    _, _, pairs = scored(d)
+    return metrics.ranking_metrics(pairs).select(F.round("roc_auc", 9).alias("roc_auc"), F.round("pr_auc", 9).alias("pr_auc"), F.round("log_loss", 6).alias("log_loss"))
+
+
+@query("SELECT sum(n)::BIGINT AS total_matches, count_if(n > 0)::BIGINT AS matched_source1, avg(n) AS avg_matches FROM (SELECT entity_id, count(cand_id) AS n FROM s1 LEFT JOIN (SELECT * FROM pairs WHERE p >= 0.9) ON entity_id = s1_id GROUP BY 1)")
+def g18_match_stats(d):
+    ready, _, pairs = scored(d)
+    return metrics.match_stats(metrics.apply_threshold(pairs, 0.9), ready.s1)
+
+
+@query("SELECT avg((business_address_postal <> '')::INT) AS with_postal, avg((len(business_address_numeric_tokens) > 0)::INT) AS with_numbers, avg((business_name_core <> business_name_normalized)::INT) AS core_differs FROM full_prep")
+def g19_extraction_rates(d):
+    return profile.extraction_rates(every(d))
+
+
+@query("SELECT count_if(label = 1)::BIGINT AS positives, count_if(label = 0)::BIGINT AS negatives, avg(label) AS positive_ratio, count_if(label = 0) / greatest(count_if(label = 1), 1) AS scale_pos_weight FROM pairs")
+def g20_class_balance(d):
+    _, _, pairs = scored(d)
+    return model.class_balance(pairs)
+
+
+@query("""SELECT count_if(business_name <> '' AND length(business_name) <= 5)::BIGINT AS short_names, count_if(length(business_name) > 50)::BIGINT AS long_names, count_if(regexp_matches(business_name, '[^\\p{L}\\p{M}\\p{N}_\\s]'))::BIGINT AS with_punctuation,
+count_if(regexp_matches(business_name, '\\p{Nd}'))::BIGINT AS with_digits, """ + ", ".join(f"count_if(regexp_matches(lower(business_name), '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){t}(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])'))::BIGINT AS term_{t}" for t in profile.LEGAL_TERMS) + " FROM full_prep")
+def g6_name_profile(d):
+    return profile.name_profile(every(d))
+
+
+@query("""SELECT count_if(business_address <> '' AND length(business_address) <= 10)::BIGINT AS short_addresses, count_if(length(business_address) > 100)::BIGINT AS long_addresses, count_if(regexp_matches(business_address, '[0-9]'))::BIGINT AS with_digits,
+count_if(regexp_matches(business_address, '\\b[0-9]{5,6}\\b'))::BIGINT AS with_postal_code FROM full_prep""")
+def g6_address_profile(d):
+    return profile.address_profile(every(d))
+
+
+# --- sets, windows, splits
+
+@query("SELECT business_name AS value FROM s1 WHERE business_name <> '' INTERSECT SELECT business_name FROM s2 WHERE business_name <> ''")
+def u4_name_overlap(d):
+    return profile.shared_values(d.s1, d.s2, "business_name")
+
+
+@query("SELECT DISTINCT country AS value FROM s2 EXCEPT SELECT country FROM s1")
+def u5_unseen_countries(d):
+    return profile.unseen_values(d.s2, d.s1, "country")
+
+
+@query("SELECT entity_id, candidate_source FROM pool")
+def u1_candidate_pool(d):
+    return blocking.candidate_pool(d.s2, d.s3).select("entity_id", "candidate_source")
+
+
+@query("SELECT normalized, raw_values FROM (SELECT business_name_normalized AS normalized, count(DISTINCT business_name) AS raw_values FROM full_prep WHERE business_name <> '' AND business_name_normalized <> '' GROUP BY 1 HAVING count(DISTINCT business_name) > 1) ORDER BY raw_values DESC, normalized LIMIT 5")
+def w6_top_collisions(d):
+    return profile.top_collisions(every(d), "business_name", "business_name_normalized")
+
+
+@query("SELECT s1_id, cand_id, label, round(p, 9) AS match_probability FROM pairs WHERE p >= 0.9 AND label = 0 ORDER BY p DESC, s1_id, cand_id LIMIT 10")
+def c7_false_positives(d):
+    _, _, pairs = scored(d)
+    return rounded(metrics.errors(pairs, 0.9, 10)[0].select("s1_id", "cand_id", "label", "match_probability"))
+
+
+@query("SELECT entity_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', entity_id)), entity_id) <= ceil(round(0.2::DOUBLE * count(*) OVER (), 9)) AS is_validation FROM s1")
+def m1_entity_split(d):
+    return labels.entity_split(d.s1)
+
+
+@query("SELECT count(*) AS ground_truth_positives, count(c.s1_id) AS positive_pairs, count_if(c.s1_id IS NULL)::BIGINT AS missing_positives FROM truth t LEFT JOIN cands c USING (s1_id, cand_id)")
+def m3_label_counts(d):
+    ready, found = combined(d)
+    return labels.label_counts(found, labels.truth_pairs(d.truth), ready.s1)
+
+
+@query(""", drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY md5(concat_ws(':', '42', s1_id, cand_id)), cand_id) <= 3 AS is_random,
+    len(list_intersect(l.business_name_tokens, r.business_name_tokens))::DOUBLE / greatest(len(list_distinct(list_concat(l.business_name_tokens, r.business_name_tokens))), 1) AS alike FROM pairs WHERE label = 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY s1_id, is_random ORDER BY alike DESC, rank) AS place FROM drawn
+)
+SELECT s1_id, cand_id, 0 AS label, CASE WHEN is_random THEN 'random' ELSE 'hard' END AS kind FROM placed WHERE is_random OR (place <= 2 AND l.business_name_normalized <> '')""")
+def m4_negatives(d):
+    ready, found = combined(d)
+    out = labels.sample_negatives(found, labels.truth_pairs(d.truth), ready.s1, ready.pool, 3, 2)
+    return out.select("s1_id", "cand_id", "label", "kind")
+
+
+_GRID = """, grid AS (SELECT i, i * 0.01::DOUBLE AS t FROM range(101) x(i)), seen AS (SELECT DISTINCT s1_id FROM pairs), per AS (
+  SELECT g.i, g.t, s.s1_id, count(p.cand_id) AS predicted, count(p.cand_id) FILTER (WHERE p.label = 1) AS tp, (SELECT count(*) FROM truth WHERE truth.s1_id = s.s1_id) AS actual
+  FROM grid g CROSS JOIN seen s LEFT JOIN pairs p ON p.s1_id = s.s1_id AND p.p >= g.t GROUP BY ALL
+), graded AS (
+  SELECT *, CASE WHEN predicted = 0 AND actual = 0 THEN 1.0::DOUBLE WHEN predicted = 0 OR actual = 0 THEN 0.0::DOUBLE ELSE tp / predicted END AS pr,
+    CASE WHEN predicted = 0 AND actual = 0 THEN 1.0::DOUBLE WHEN predicted = 0 OR actual = 0 THEN 0.0::DOUBLE ELSE tp / actual END AS re FROM per
+), graph AS (
+  SELECT round(t, 2) AS threshold, round(avg(pr), 9) AS precision, round(avg(re), 9) AS recall, round(avg(CASE WHEN pr + re = 0 THEN 0 ELSE 1.25::DOUBLE * pr * re / (0.25::DOUBLE * pr + re) END), 9) AS f0_5,
+    sum(predicted)::BIGINT AS predicted_match_count, count_if(predicted > 0)::BIGINT AS matched_source1_count, round(sum(predicted)::DOUBLE / greatest(count(*), 1), 9) AS average_matches_per_source1 FROM graded GROUP BY t
+)
+"""
+
+
+@query(_GRID + "SELECT * FROM graph")
+def m13_threshold_grid(d):
+    _, truth, pairs = scored(d)
+    return rounded(metrics.search_thresholds(pairs, truth, labels.truth_entities(d.truth)))
+
+
+@query(_GRID + "SELECT threshold FROM graph ORDER BY f0_5 DESC, threshold LIMIT 1")
+def m14_best_threshold(d):
+    _, truth, pairs = scored(d)
+    grid = metrics.search_thresholds(pairs, truth, labels.truth_entities(d.truth))
+    return grid.orderBy(F.desc(F.round("f0_5", 9)), "threshold").select("threshold").limit(1)
+
+
+@query()
+def m7_gbt_scores(d):
+    """Validation pairs scored by the trained model."""
+    return pipeline.train(prepared(d), d.truth, rounds=10).scored
+
+
+@query()
+def m15_match_lists(d):
+    """Train, choose the threshold, match all of s1, and list the matches."""
+    ready = prepared(d)
+    trained = pipeline.train(ready, d.truth, rounds=10)
+    best, _ = pipeline.choose_threshold(trained.scored, d.truth)
+    _, matches = pipeline.infer(ready, trained.model, best, trained.metadata["features"])
+    return tsv.match_lists(matches, ready.s1)
