@@ -52,8 +52,11 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
+
+    Zstandard, whose buffers Parquet pools; those of the default codec wait outside the heap for a collection.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
