@@ -162,10 +162,10 @@ for _i, _strategy in enumerate(STRATEGIES[:5], 1):
     query(f"SELECT s1_id, cand_id FROM j{_i}")(_block)
 
 
-@query("SELECT s1_id, cand_id, round(similarity, 6) AS similarity FROM j6")
+@query("SELECT s1_id, cand_id, similarity FROM j6")
 def j6_char_ngram_topk(d):
     ready = prepared(d)
-    return blocking.char_ngram_scores(ready.s1, ready.pool).select("s1_id", "cand_id", F.round("similarity", 6).alias("similarity"))
+    return blocking.char_ngram_scores(ready.s1, ready.pool).select("s1_id", "cand_id", "similarity")
 
 
 @query("SELECT s1_id, cand_id, candidate_source, l.business_name AS s1_name, r.business_name AS cand_name FROM pairs")
