@@ -69,13 +69,18 @@ def digest_of(text: str) -> str:
 
 
 def known(texts: dict[str, str]) -> dict[str, str]:
-    """Digest -> name; of texts that are alike the least name."""
+    """Digest -> name without what stands in brackets; of texts that are alike the least name."""
     out: dict[str, str] = {}
     for name in sorted(texts):
-        out.setdefault(digest_of(texts[name]), name)
+        out.setdefault(digest_of(texts[name]), name.split(" (")[0])
     return out
 
 
+def known_whole() -> dict[str, str]:
+    """Digests that a whole text is looked up among: licences and notices."""
+    return known(NOTICES) | known(TEXTS)
+
+
 def catalogue(spark: SparkSession, digests: dict[str, str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(d).alias("known"), F.lit(n).alias("license")) for d, n in digests.items()])
     return spark.range(1).select(F.explode(pairs).alias("p")).select("p.known", "p.license")
@@ -88,7 +93,7 @@ def scan(docs: DataFrame, texts: DataFrame | None = None, notices: dict[str, str
     known notices among the lines, in order, joined by `;`, else null. texts: (known, license),
     distinct digests with names.
     """
-    texts = catalogue(docs.sparkSession, known(TEXTS | NOTICES)) if texts is None else texts
+    texts = catalogue(docs.sparkSession, known_whole()) if texts is None else texts
     names = known(NOTICES if notices is None else notices)
     if len(names) > MAX_NOTICES:
         raise ValueError(f"more than {MAX_NOTICES} notices")

@@ -12,15 +12,13 @@ still free), and each keeps its earliest dart. Equal coordinates have the probab
 the weighted Jaccard similarity. BANDS bands of ROWS coordinates are the join keys.
 
 Links. Texts with equal elements are one text from the start (a class representative with
-members). In each bucket, of texts with a band and a size range in common, all texts are compared
+members). In each bucket, of texts with a band in common, all texts are compared
 with the LEADERS texts of least hash: LEADERS pairs per text, not all pairs. Where the
 links so found leave a bucket in several groups, every text outside the bucket's largest group
-is compared with the texts of other groups, apart from pairs that distances to a
-leader rule out (the distance 1 - similarity is a metric). So each pair in a bucket
-is compared, in one group already, or proven to be less similar. Comparisons are exact, on whole element sets.
-
-Sizes. Similar texts have element counts within a factor of SIMILARITY, so a text is put in the bucket of
-its own size range and in the next one's.
+is compared with the texts of other groups, apart from pairs that are proven to be less
+similar: by their numbers of elements, without those that no other of these texts has, or by their
+distances to a leader (1 - similarity is a metric). So each pair in a bucket is compared,
+in one group already, or ruled out. Comparisons are exact, on whole element sets.
 
 Defined results. Null and empty texts are all equal, one class. Null ids are allowed; a
 class is named by its least id, null if it has no other. Repeated rows get a row each. An
@@ -151,30 +149,25 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", similarity.alias("similarity"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key) and (a, b) -> (key, root): the least key of each connected group.
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) -> (node, root): the least node of the connected group, for every node that is not itself the least.
 
-    Each round every root takes the least root among its neighbours, roots of roots are followed,
-    and edges are renamed to roots and made distinct, so that their number falls fast.
+    Each round every node takes the least of its neighbours, and the least of that one's; edges
+    are renamed so and made distinct, so that their number falls fast.
     """
-    labels = nodes.select("key", F.col("key").alias("root"))
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
-    if edges.isEmpty():
-        return labels
-    touched = stored(edges.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "cc-touched")
-    moved = touched.select("key", F.col("key").alias("root"))
-    while not edges.isEmpty():
-        least = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
-        for _ in range(3):  # roots of roots
-            next_ = least.select(F.col("node").alias("n2"), F.col("to").alias("t2"))
-            least = least.join(next_, F.col("to") == F.col("n2"), "left").select("node", F.coalesce("t2", "to").alias("to"))
-        least = stored(least, "cc-least")
-        moved = stored(moved.join(least, F.col("root") == F.col("node"), "left").select("key", F.coalesce("to", "root").alias("root")), "cc-moved")
-        ends = edges.join(least.select(F.col("node").alias("na"), F.col("to").alias("ta")), F.col("a") == F.col("na"), "left")
-        ends = ends.join(least.select(F.col("node").alias("nb"), F.col("to").alias("tb")), F.col("b") == F.col("nb"), "left")
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    while True:
+        least = edges.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
+        further = least.select(F.col("from").alias("f2"), F.col("to").alias("t2"))
+        least = stored(least.join(further, F.col("to") == F.col("f2"), "left").select("from", F.coalesce("t2", "to").alias("to")), "cc-least")
+        roots = roots.join(least, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        ends = edges.join(least.select(F.col("from").alias("fa"), F.col("to").alias("ta")), F.col("a") == F.col("fa"), "left")
+        ends = ends.join(least.select(F.col("from").alias("fb"), F.col("to").alias("tb")), F.col("b") == F.col("fb"), "left")
         ends = ends.select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y")).where("x <> y")
         edges = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
-    return labels.join(moved.withColumnRenamed("key", "k2").withColumnRenamed("root", "r2"), F.col("key") == F.col("k2"), "left").select("key", F.coalesce("r2", "root").alias("root"))
+        if edges.isEmpty():
+            return stored(roots.where("node <> root"), "cc-roots")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -190,10 +183,7 @@ def _groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(g1, g2, root, links): the connected group of each content (c1, c2) of rows."""
     distinct = rows.groupBy("c1", "c2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     texts = stored(distinct.withColumn("key", F.xxhash64("c1", "c2")), "nd-texts")
-    sized = F.floor(F.log(F.col("size").cast("double")) / F.lit(-float(np.log(SIMILARITY))))
-    banded = texts.select("key", "size", F.posexplode("bands").alias("band", "value"))
-    entries = banded.select("key", "size", F.explode(F.array(sized, sized + 1)).alias("range"), "band", "value")
-    entries = entries.select("key", "size", F.xxhash64("band", "value", "range").alias("bucket"))
+    entries = texts.select("key", "size", F.posexplode("bands").alias("band", "value")).select("key", "size", "band", F.xxhash64("band", "value").alias("bucket"))
     many = stored(entries.groupBy("bucket").count().where("count > 1").select("bucket"), "nd-many")
     entries = stored(entries.join(bounded(many), "bucket", "left_semi"), "nd-entries")
     turn = [F.min(F.struct(F.xxhash64(F.lit(i), "key").alias("turn"), F.col("key").alias("leader"), F.col("size").alias("leader_size"))).alias(f"l{i}") for i in range(LEADERS)]
@@ -201,19 +191,18 @@ def _groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
     led = stored(entries.groupBy("bucket").agg(*turn).select("bucket", leaders.alias("leaders")), "nd-leaders")
     pairs = entries.join(led, "bucket").select("key", "size", F.explode("leaders").alias("l")).where("key <> l.leader")
     pairs = pairs.where(F.least("size", "l.leader_size") >= SIMILARITY * F.greatest("size", "l.leader_size"))
-    pairs = stored(pairs.select(F.least("key", "l.leader").alias("a"), F.greatest("key", "l.leader").alias("b")).distinct(), "nd-pairs")
+    pairs = pairs.select(F.least("key", "l.leader").alias("a"), F.greatest("key", "l.leader").alias("b")).distinct()
     sets = stored(_needed_sets(docs, rows, texts, entries.select("key").distinct()), "nd-sets")
     compared = stored(_compare(pairs, sets), "nd-compared")
     links = compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")
-    roots = stored(components(texts.select("key"), links), "nd-roots")
-    more = stored(_remaining(entries, led, roots, compared), "nd-more")
+    roots = components(links)
+    more = stored(_remaining(texts, entries, led, roots, compared, sets), "nd-more")
     if not more.isEmpty():
-        found = stored(_compare(more, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "nd-found")
-        links = links.unionByName(found).distinct()
-        roots = stored(components(texts.select("key"), links), "nd-roots")
+        links = stored(links.unionByName(_compare(more, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b")).distinct(), "nd-links")
+        roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("k_")).groupBy("k_").agg(F.count(F.lit(1)).alias("links"))
-    out = texts.select(F.col("c1").alias("g1"), F.col("c2").alias("g2"), "key").join(roots, "key").join(degree, F.col("key") == F.col("k_"), "left")
-    return stored(out.select("g1", "g2", "root", F.coalesce("links", F.lit(0)).alias("links")), "nd-groups")
+    out = texts.select(F.col("c1").alias("g1"), F.col("c2").alias("g2"), "key").join(roots, F.col("key") == F.col("node"), "left").join(degree, F.col("key") == F.col("k_"), "left")
+    return stored(out.select("g1", "g2", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "nd-groups")
 
 
 def _needed_sets(docs: DataFrame, rows: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -226,24 +215,34 @@ def _needed_sets(docs: DataFrame, rows: DataFrame, texts: DataFrame, keys: DataF
     return there.select("key", "text").mapInArrow(_sets, "key long, units array<long>").dropDuplicates(["key"])
 
 
-def _remaining(entries: DataFrame, led: DataFrame, roots: DataFrame, compared: DataFrame) -> DataFrame:
+def _remaining(texts: DataFrame, entries: DataFrame, led: DataFrame, roots: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of a bucket that are in different groups, not compared yet and not ruled out."""
-    mine = entries.join(roots, "key")
+    mine = entries.join(roots, F.col("key") == F.col("node"), "left").select("key", "size", "band", "bucket", F.coalesce("root", "key").alias("root"))
     counts = mine.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("groups"))
-    open_ = largest.where("groups > 1").join(led, "bucket")
-    open_ = stored(open_.select("bucket", F.col("most.root").alias("largest"), F.element_at("leaders", 1)["leader"].alias("first")), "nd-open")
-    mine = mine.join(open_, "bucket").withColumn("x", F.least("key", "first")).withColumn("y", F.greatest("key", "first"))
+    open_ = stored(largest.where("groups > 1").select("bucket", F.col("most.root").alias("largest")), "nd-open")
+    mine = stored(mine.join(open_, "bucket"), "nd-mine")
+    # an element that only one of these texts has cannot be shared: the rest bounds what any pair has in common
+    keys = mine.select("key").distinct()
+    units = sets.join(keys, "key", "left_semi").select("key", F.explode("units").alias("unit"))
+    alone = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy(F.col("key").alias("k_")).agg(F.count(F.lit(1)).alias("alone"))
+    mine = mine.join(alone, F.col("key") == F.col("k_"), "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).where(F.col("common") >= SIMILARITY * F.col("size"))
     # the distance to the bucket's first leader, 0 for itself; unknown where sizes alone told them apart
+    mine = mine.join(led.select("bucket", F.element_at("leaders", 1)["leader"].alias("first")), "bucket")
+    mine = mine.withColumn("x", F.least("key", "first")).withColumn("y", F.greatest("key", "first"))
     known = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("similarity")).alias("far"))
     mine = mine.join(known, ["x", "y"], "left").withColumn("far", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("far")))
-    mine = stored(mine.select("bucket", "key", "size", "root", "largest", "far"), "nd-mine")
-    out = mine.where("root <> largest").select("bucket", F.col("key").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"), F.col("far").alias("fa"))
-    other = mine.select("bucket", F.col("key").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"), F.col("far").alias("fb"))
-    near = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
-    sizes = F.least("sa", "sb") >= SIMILARITY * F.greatest("sa", "sb")
-    pairs = out.join(other, "bucket").where((F.col("ra") != F.col("rb")) & sizes & near)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mine = mine.join(texts.select("key", "bands"), "key")
+    mine = stored(mine.select("bucket", "band", "key", "size", "common", "root", "largest", "far", "bands"), "nd-mine")
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("key", "size", "common", "root", "far", "bands")]
+    joined = mine.where("root <> largest").select("bucket", "band", *side("a")).join(mine.select("bucket", *side("b")), "bucket")
+    near = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
+    shared = F.least("common_a", "common_b")
+    enough = shared >= SIMILARITY * (F.col("size_a") + F.col("size_b") - shared)
+    # of several buckets that a pair shares, the one of the first band
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
+    pairs = joined.where((F.col("root_a") != F.col("root_b")) & enough & near & first)
+    pairs = pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
     return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
 
 

@@ -92,7 +92,7 @@ def _values(digests: dict[str, str]) -> str:
 
 
 LICENSES = rf"""
-WITH texts(known, license) AS (VALUES {_values(licenses.known(licenses.TEXTS | licenses.NOTICES))}),
+WITH texts(known, license) AS (VALUES {_values(licenses.known_whole())}),
 notices(known, name) AS (VALUES {_values(licenses.known(licenses.NOTICES))}),
 rows AS (
   SELECT doc_id, row_number() OVER () AS row, text, sha256({_canonical("coalesce(text, '')")}) AS digest FROM documents
