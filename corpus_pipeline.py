@@ -5,8 +5,9 @@ All but the last return the columns of documents. The models are learnt from the
 own input and from the labels of sf_dir.
 
 Defined results. A text without a letter or without any known trigram is rejected by language ID, as is one whose
-languages are too even (score under LEAST_LANGUAGE). Nulls and repeated rows are as in each operator. An
-empty input gives an empty result.
+languages are too even (score under LEAST_LANGUAGE). Without labels of both classes the quality stage keeps all. Nulls
+and repeated rows are as in each operator. An empty input gives an empty result. Extra columns come along
+under any name, but those beginning with two underscores.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is known."""
     filters = language_id.learn(docs.where(language_id.remainder(3) != 1))
-    found = language_id.predict(docs, filters, *docs.columns)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    found = language_id.predict(docs, filters, *docs.columns, into=("__lang", "__score"))
+    return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.learn(docs.where(language_id.remainder(4) != 2), _table(spark, sf_dir, "labels"))
     if isinstance(model, float):  # nothing to tell classes apart by
         return docs
-    return quality.predict(docs, model, *docs.columns).where(F.col("score") >= quality.ACCEPT).select(*docs.columns)
+    return quality.predict(docs, model, *docs.columns, into="__score").where(F.col("__score") >= quality.ACCEPT).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ Defined results. Null text, and text without a letter: lang_pred `und`, score 0.
 learnt (no row with both text and lang): `und`, score 0. A text none of whose trigrams is
 known: the language with most training trigrams, score 0. Equal counts: the lesser name. An empty table gives an empty
 result; repeated rows get a row each; very long texts are read whole, one at a time.
-Extra columns of the input are not read and can have any name.
+Extra columns of the input are not read and can have any name, but `__text`, which is reserved.
 """
 
 from __future__ import annotations
@@ -155,13 +155,13 @@ def learn(docs: DataFrame) -> Filters | None:
     return Filters(langs, langs.index(max(langs, key=lambda x: (totals[x], x))), masks)
 
 
-def predict(docs: DataFrame, filters: Filters | None, *keep: Column | str) -> DataFrame:
-    """The columns keep of docs with lang_pred and score of the column text."""
+def predict(docs: DataFrame, filters: Filters | None, *keep: Column | str, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns keep of docs with the language and the score of the column text, under the names into."""
     spark = docs.sparkSession
     ship(spark)
     kept = docs.select(*keep)
     names = kept.columns
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*kept.schema.fields, StructField(into[0], StringType()), StructField(into[1], DoubleType())])
     sent = spark.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, filters: Filters | None, *keep: Column | str) -> Da
                 pred = [langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
                 part = batch.slice(i, j - i)
                 columns = [part.column(c) for c in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0))], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0))], [*names, *into])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ Rows without a label, or whose label is neither 0 nor 1, are not learnt from; of
 labels of one id the mean is taken, 0.5 and more being 1. With no labelled row every
 score is 0.5; with one class only, 1 or 0. An empty table gives an empty result; repeated
 rows get a row each; very long texts are read whole. Extra columns are not read and can
-have any name.
+have any name, but `__text`, which is reserved.
 """
 
 from __future__ import annotations
@@ -191,13 +191,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | float:
     return Model(ratio, *descend(sets, sign, ratio), *curve(margins, label))
 
 
-def predict(docs: DataFrame, model: Model | float, *keep: Column | str) -> DataFrame:
-    """The columns keep of docs with the score of the column text."""
+def predict(docs: DataFrame, model: Model | float, *keep: Column | str, into: str = "score") -> DataFrame:
+    """The columns keep of docs with the score of the column text, under the name into."""
     spark = docs.sparkSession
     ship(spark)
     kept = docs.select(*keep)
     names = kept.columns
-    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*kept.schema.fields, StructField(into, DoubleType())])
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model | float, *keep: Column | str) -> DataF
             if not isinstance(model, float):
                 for i, data in _texts(batch, len(names)):
                     score[i] = model.score(reader.features(data))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(names))], pa.array(score)], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(names))], pa.array(score)], [*names, into])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
 

@@ -283,3 +283,16 @@ def test_links_as_sql_has_them(spark, oracle, tmp_path):
     mine = url_filter.judge(h.frame(spark, rows, PAGES))
     have = sorted(tuple(r[c] for c in sorted(names)) for r in mine.collect())
     assert [tuple(str(x) for x in r[:5]) for r in have] == [tuple(str(x) for x in r[:5]) for r in want] or have == pytest.approx(want)
+
+
+@pytest.mark.parametrize("rows", [h.ODD, []], ids=["odd", "empty"])
+def test_stages_bear_odd_rows(rows, spark, data):
+    import corpus_pipeline
+
+    docs = h.frame(spark, rows)
+    columns, seen = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, data)
+        seen.append(docs.count())
+        assert name == "mixing" or docs.columns == columns
+    assert seen == sorted(seen, reverse=True) and seen[0] <= len(rows)
