@@ -50,7 +50,7 @@ def unigram_scores(rows):
     count = collections.Counter(w for i, ws in tokens if not held(i, 7, 2) for w in ws)
     n, v = sum(count.values()), len(count)
     base = lambda ws: sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)
-    return sorted(((i or -1, held(i, 7, 2), len(ws), sum(w in count for w in ws), n, round(base(ws), 6)) for i, ws in tokens))
+    return sorted(((-1 if i is None else i, held(i, 7, 2), len(ws), sum(w in count for w in ws), n, round(base(ws), 6)) for i, ws in tokens))
 
 
 def near_classes(rows, similarity=0.8):
