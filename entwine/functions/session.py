@@ -11,13 +11,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parents[1]
+#: Rows and bytes of the batches that go to Python workers, where the session doesn't say: texts can be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 _SHIPPED: set[str] = set()
 _FOLDERS: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application."""
+    """Send this package to the Python workers once per application, and bound the batches that they get."""
     app = spark.sparkContext.applicationId
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, "7") == "7":
+            spark.conf.set(key, value)
     if app in _SHIPPED:
         return
     folder = tempfile.mkdtemp(prefix="entwine-code-")

@@ -108,7 +108,7 @@ def pair_metrics(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def ranking_metrics(scored: DataFrame) -> DataFrame:
-    """One row: roc_auc, pr_auc (average precision, in steps) and log_loss of (label, match_probability).
+    """One row: roc_auc, pr_auc (average precision, in steps) and log_loss of (label, match_probability); null where a class is missing.
 
     Pairs of one score are one step, so what is sorted are distinct scores.
     """
@@ -116,10 +116,10 @@ def ranking_metrics(scored: DataFrame) -> DataFrame:
     down = Window.orderBy(F.desc("match_probability")).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(F.lit(1))
     run = steps.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(everything), "all_neg": F.sum("neg").over(everything)})
-    area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / (F.max("all_pos") * F.max("all_neg"))
-    precision = F.sum(F.col("pos") / F.col("all_pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    area = F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.max("all_pos") * F.max("all_neg"))
+    precision = F.sum(F.try_divide(F.col("pos"), F.col("all_pos")) * F.col("tp") / (F.col("tp") + F.col("fp")))
     p = F.least(F.greatest("match_probability", F.lit(2.220446049250313e-16)), F.lit(1 - 2.220446049250313e-16))
-    loss = F.sum(-(F.col("pos") * F.log(p) + F.col("neg") * F.log(1 - p))) / F.sum(F.col("pos") + F.col("neg"))
+    loss = F.try_divide(F.sum(-(F.col("pos") * F.log(p) + F.col("neg") * F.log(1 - p))), F.sum(F.col("pos") + F.col("neg")))
     return run.agg(area.alias("roc_auc"), precision.alias("pr_auc"), loss.alias("log_loss"))
 
 
@@ -142,7 +142,7 @@ def candidate_stats(candidates: DataFrame, s1: DataFrame, pool_size: int) -> Dat
     """One row: candidates per entity of s1 (zeros too) and the reduction against all pairs."""
     counts = candidates.groupBy("s1_id").count()
     each = s1.select(F.col("entity_id").alias("s1_id")).join(counts, "s1_id", "left").select(F.coalesce("count", F.lit(0)).alias("n"))
-    reduction = 1 - F.sum("n") / (F.count(F.lit(1)) * F.lit(float(pool_size)))
+    reduction = 1 - F.try_divide(F.sum("n"), F.count(F.lit(1)) * F.lit(float(pool_size)))
     return each.agg(F.sum("n").alias("pairs"), F.avg("n").alias("avg_candidates"), F.median("n").alias("median_candidates"), F.max("n").alias("max_candidates"), reduction.alias("reduction_ratio"))
 
 

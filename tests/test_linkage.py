@@ -164,5 +164,7 @@ def test_pair_and_ranking_metrics(spark):
     assert got["roc_auc"] == pytest.approx(0.875) and got["pr_auc"] == pytest.approx(0.5 * 1 + 0.5 * 2 / 3)
     at = metrics.pair_metrics(scored, 0.5).first()
     assert (at["precision"], at["recall"]) == pytest.approx((2 / 3, 1))
+    assert metrics.ranking_metrics(scored.where("label = 0")).first()["roc_auc"] is None
+    assert metrics.ranking_metrics(scored.limit(0)).first()["log_loss"] is None
     none = metrics.pair_metrics(scored.limit(0), 0.5).first()
     assert (none["precision"], none["recall"], none["f0_5"]) == (0, 0, 0)

@@ -3,6 +3,17 @@ import pytest
 from entwine.plans import registry
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_steps():
+    """The steps that many queries begin with are made once for all of them."""
+    patch, made = pytest.MonkeyPatch(), {}
+    for name in ("prepared", "combined", "scored"):
+        step = getattr(registry, name)
+        patch.setattr(registry, name, lambda d, name=name, step=step: made[name] if name in made else made.setdefault(name, step(d)))
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_against_sql(name, same):
     same(registry.QUERIES[name], registry.ORACLES[name])
