@@ -13,12 +13,13 @@ the weighted Jaccard similarity. BANDS bands of ROWS coordinates are the join ke
 
 Links. Texts with equal elements are one text from the start (a class representative with
 members). In each bucket, of texts with a band in common, all texts are compared
-with the LEADERS texts of least hash: LEADERS pairs per text, not all pairs. Where the
+with LEADERS texts that meet many others: LEADERS pairs per text, not all pairs. Where the
 links so found leave a bucket in several groups, every text outside the bucket's largest group
-is compared with the texts of other groups, apart from pairs that are proven to be less
-similar: by their numbers of elements, without those that no other of these texts has, or by their
-distances to a leader (1 - similarity is a metric). So each pair in a bucket is compared,
-in one group already, or ruled out. Comparisons are exact, on whole element sets.
+is held against the texts of other groups: bounds from the numbers of elements, without those that no
+other of these texts has, rule most out, and the rest is compared within the join. So each pair
+in a bucket is compared, in one group already, or ruled out. Comparisons are exact, on
+whole element sets. This last step is quadratic in the texts of a bucket that are alike
+but not alike enough; it is spread over tasks, and gives out links alone.
 
 Defined results. Null and empty texts are all equal, one class. Null ids are allowed; a
 class is named by its least id, null if it has no other. Repeated rows get a row each. An
@@ -184,21 +185,24 @@ def _groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
     distinct = rows.groupBy("c1", "c2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     texts = stored(distinct.withColumn("key", F.xxhash64("c1", "c2")), "nd-texts")
     entries = texts.select("key", "size", F.posexplode("bands").alias("band", "value")).select("key", "size", "band", F.xxhash64("band", "value").alias("bucket"))
-    many = stored(entries.groupBy("bucket").count().where("count > 1").select("bucket"), "nd-many")
-    entries = stored(entries.join(bounded(many), "bucket", "left_semi"), "nd-entries")
-    turn = [F.min(F.struct(F.xxhash64(F.lit(i), "key").alias("turn"), F.col("key").alias("leader"), F.col("size").alias("leader_size"))).alias(f"l{i}") for i in range(LEADERS)]
+    many = stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "nd-many")
+    entries = stored(entries.join(bounded(many), "bucket"), "nd-entries")
+    # texts that meet many others lie in the middle of their groups: they lead
+    met = entries.groupBy(F.col("key").alias("k_")).agg(F.sum("n").alias("met"))
+    ranked = entries.join(met, F.col("key") == F.col("k_"))
+    central = [F.col("met"), *[F.floor(F.log2("met"))] * (LEADERS - 1)]
+    turn = [F.max(F.struct(c.alias("met"), F.xxhash64(F.lit(i), "key").alias("turn"), F.col("key").alias("leader"), F.col("size").alias("leader_size"))).alias(f"l{i}") for i, c in enumerate(central)]
     leaders = F.array_distinct(F.array(*[F.struct(f"l{i}.leader", f"l{i}.leader_size") for i in range(LEADERS)]))
-    led = stored(entries.groupBy("bucket").agg(*turn).select("bucket", leaders.alias("leaders")), "nd-leaders")
+    led = stored(ranked.groupBy("bucket").agg(*turn).select("bucket", leaders.alias("leaders")), "nd-leaders")
     pairs = entries.join(led, "bucket").select("key", "size", F.explode("leaders").alias("l")).where("key <> l.leader")
     pairs = pairs.where(F.least("size", "l.leader_size") >= SIMILARITY * F.greatest("size", "l.leader_size"))
     pairs = pairs.select(F.least("key", "l.leader").alias("a"), F.greatest("key", "l.leader").alias("b")).distinct()
     sets = stored(_needed_sets(docs, rows, texts, entries.select("key").distinct()), "nd-sets")
-    compared = stored(_compare(pairs, sets), "nd-compared")
-    links = compared.where(F.col("similarity") >= SIMILARITY).select("a", "b")
+    links = stored(_compare(pairs, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "nd-links")
     roots = components(links)
-    more = stored(_remaining(texts, entries, led, roots, compared, sets), "nd-more")
+    more = stored(_remaining(texts, entries, roots, sets), "nd-more")
     if not more.isEmpty():
-        links = stored(links.unionByName(_compare(more, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b")).distinct(), "nd-links")
+        links = stored(links.unionByName(more).distinct(), "nd-links")
         roots = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("k_")).groupBy("k_").agg(F.count(F.lit(1)).alias("links"))
     out = texts.select(F.col("c1").alias("g1"), F.col("c2").alias("g2"), "key").join(roots, F.col("key") == F.col("node"), "left").join(degree, F.col("key") == F.col("k_"), "left")
@@ -215,35 +219,32 @@ def _needed_sets(docs: DataFrame, rows: DataFrame, texts: DataFrame, keys: DataF
     return there.select("key", "text").mapInArrow(_sets, "key long, units array<long>").dropDuplicates(["key"])
 
 
-def _remaining(texts: DataFrame, entries: DataFrame, led: DataFrame, roots: DataFrame, compared: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket that are in different groups, not compared yet and not ruled out."""
+def _remaining(texts: DataFrame, entries: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different groups of a bucket.
+
+    Every text outside its bucket's largest group meets the texts of other groups. Cheap
+    bounds come first; what they leave is compared inside the join, which so gives out links only.
+    """
     mine = entries.join(roots, F.col("key") == F.col("node"), "left").select("key", "size", "band", "bucket", F.coalesce("root", "key").alias("root"))
     counts = mine.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("groups"))
     open_ = stored(largest.where("groups > 1").select("bucket", F.col("most.root").alias("largest")), "nd-open")
     mine = stored(mine.join(open_, "bucket"), "nd-mine")
     # an element that only one of these texts has cannot be shared: the rest bounds what any pair has in common
-    keys = mine.select("key").distinct()
-    units = sets.join(keys, "key", "left_semi").select("key", F.explode("units").alias("unit"))
+    units = sets.join(mine.select("key").distinct(), "key", "left_semi").select("key", F.explode("units").alias("unit"))
     alone = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy(F.col("key").alias("k_")).agg(F.count(F.lit(1)).alias("alone"))
     mine = mine.join(alone, F.col("key") == F.col("k_"), "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).where(F.col("common") >= SIMILARITY * F.col("size"))
-    # the distance to the bucket's first leader, 0 for itself; unknown where sizes alone told them apart
-    mine = mine.join(led.select("bucket", F.element_at("leaders", 1)["leader"].alias("first")), "bucket")
-    mine = mine.withColumn("x", F.least("key", "first")).withColumn("y", F.greatest("key", "first"))
-    known = compared.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("similarity")).alias("far"))
-    mine = mine.join(known, ["x", "y"], "left").withColumn("far", F.when(F.col("x") == F.col("y"), 0.0).otherwise(F.col("far")))
-    mine = mine.join(texts.select("key", "bands"), "key")
-    mine = stored(mine.select("bucket", "band", "key", "size", "common", "root", "largest", "far", "bands"), "nd-mine")
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("key", "size", "common", "root", "far", "bands")]
+    mine = mine.join(texts.select("key", "bands"), "key").join(sets, "key")
+    mine = stored(mine.select("bucket", "band", "key", "size", "common", "root", "largest", "bands", "units"), "nd-mine")
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("key", "size", "common", "root", "bands", "units")]
     joined = mine.where("root <> largest").select("bucket", "band", *side("a")).join(mine.select("bucket", *side("b")), "bucket")
-    near = F.coalesce(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
-    shared = F.least("common_a", "common_b")
-    enough = shared >= SIMILARITY * (F.col("size_a") + F.col("size_b") - shared)
+    both = F.col("size_a") + F.col("size_b")
+    alike = lambda shared: shared >= SIMILARITY * (both - shared)
     # of several buckets that a pair shares, the one of the first band
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
-    pairs = joined.where((F.col("root_a") != F.col("root_b")) & enough & near & first)
-    pairs = pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
-    return pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    possible = (F.col("root_a") != F.col("root_b")) & alike(F.least("common_a", "common_b")) & first
+    links = joined.where(F.when(possible, alike(F.size(F.array_intersect("units_a", "units_b")))).otherwise(F.lit(False)))
+    return links.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
 def _members(docs: DataFrame) -> DataFrame:
