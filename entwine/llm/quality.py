@@ -116,20 +116,18 @@ class Model:
 def descend(rows: list[np.ndarray], sign: np.ndarray, ratio: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise |w|**2 / 2 + COST * sum of hinge losses, by dual coordinate descent."""
     weights, bias = np.zeros(FEATURES), 0.0
-    values = []
-    for f in rows:
-        v = ratio[f]
-        length = np.sqrt((v * v).sum())
-        values.append(v / length if length > 0 else v)
-    norm = [float((v * v).sum()) + 1.0 for v in values]
+    # vectors are made when they are needed: what is held of a row is its features
+    scale = [1 / max(1e-12, float(np.sqrt((ratio[f] ** 2).sum()))) for f in rows]
+    norm = [float(((ratio[f] * s) ** 2).sum()) + 1.0 for f, s in zip(rows, scale, strict=True)]
     dual, draw = np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in draw.permutation(len(rows)):
-            slope = sign[i] * (float(weights[rows[i]] @ values[i]) + bias) - 1
+            value = ratio[rows[i]] * scale[i]
+            slope = sign[i] * (float(weights[rows[i]] @ value) + bias) - 1
             new = min(max(dual[i] - slope / norm[i], 0.0), COST)
             if new != dual[i]:
                 step = (new - dual[i]) * sign[i]
-                weights[rows[i]] += step * values[i]
+                weights[rows[i]] += step * value
                 bias += step
                 dual[i] = new
     return weights, bias
@@ -176,9 +174,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | float:
     last = int(fit.max()) if len(fit) else int(sizes["turn"].min())
     sample = vectors.where(F.col("turn") <= last).select("label", "turn", "features").toArrow()
     order = np.argsort(sample["turn"].to_numpy(), kind="stable")
-    flat, ends = sample["features"].combine_chunks().values.to_numpy(), np.concatenate([[0], np.cumsum([len(x) for x in sample["features"].combine_chunks()])])
     label = sample["label"].to_numpy()[order]
-    sets = [flat[ends[i] : ends[i + 1]] for i in order]
+    # views of the collected batches, without a copy
+    ends = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in sample["features"].chunks]
+    found = [flat[at[i] : at[i + 1]] for flat, at in ends for i in range(len(at) - 1)]
+    sets = [found[i] for i in order]
     sign = np.where(label == 1, 1.0, -1.0)
     margins = np.zeros(len(sets))
     halves = np.arange(len(sets)) % 2
