@@ -7,19 +7,21 @@ tokens in all, V distinct. base(w) = (c(w) + 1) / (N + V + 1). The common tokens
 with c(w) * COMMON >= N, are at most COMMON and go to every worker; all other tokens meet
 their counts in a join by hash, after a sum per text.
 
-The n-gram levels (orders 2 and 3) are over the words with c(w) * WORDS >= N, at most WORDS,
-and the start of a text as context. An n-gram is kept if it occurs at least twice and
-at least N / GRAMS times; trigrams are counted where both their bigrams are kept, which
-loses none. With discount D:
+N-grams of orders 2 and 3 are over all tokens, with the start of a text as a context, and
+are kept if they occur LEAST times, however large the input; trigrams are counted where both
+their bigrams are kept, which loses none. With discount D:
     p(w | context) = (c(context w) - D) / c(context) + back(context) * p(w | shorter context)
 for kept n-grams, and the second part alone for others; back is the weight left over, so each
-context's probabilities sum to 1. Logarithms of p of kept n-grams and of back are
-quantised to 4096 values a level. Words outside the n-gram levels have base(w) weighted by
-the back-offs of their context.
+context's probabilities sum to 1.
 
-The trie (see elias_fano) and the common tokens are one file of bounded size, written to
-the shared folder, fetched by each executor through SparkContext.addFile and mapped by
-its workers.
+A text's score is a sum over its tokens, bigrams and trigrams: base and back of each token,
+and of each kept n-gram what it changes against its back-off. So each is looked up on its own.
+The common n-grams, those over words with c(w) * WORDS >= N that occur N / GRAMS times, lie in
+the trie (see elias_fano), where logarithms are quantised to 4096 values a level; trie and
+common tokens are one file of bounded size, written to the shared folder, fetched by each
+executor through SparkContext.addFile and mapped by its workers. All other kept n-grams meet
+their values in the join of the other tokens. Bit filters of at most 2^FILTER_BITS bits keep
+n-grams that are surely not kept from being shuffled; they change no result.
 
 Tokens are known by 64-bit hashes. Defined results. Null is the empty text, which is its
 end token. Nothing learnt: base(w) = 1 for every token, both scores 0, all tokens unknown.
@@ -29,6 +31,7 @@ read whole. Extra columns are not read and can have any name.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +39,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entwine.functions.session import shared_folder, ship, stored
@@ -45,9 +48,10 @@ from entwine.llm.elias_fano import HashIndex, Level, mapped, packed
 from entwine.llm.language_id import remainder
 
 COMMON, WORDS, GRAMS = 1 << 20, 1 << 15, 1 << 20
+LEAST, FILTER_BITS = 2, 28
 DISCOUNT = 0.75
-END = np.uint64(0x5EED5EED5EED5EED)
-HELD = 1_500_000
+END, START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x57A257A257A257A2)
+HELD = 1_000_000
 
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -62,36 +66,50 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 class Counter:
-    """Sums per key, given out whenever more than HELD keys are held."""
+    """Sums per key, with what goes with it, given out whenever more than HELD keys are held."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, *names: str) -> None:
+        self.names = names
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        self.parts.append(k.group_sums(keys, np.ones(len(keys), np.int64)))
+    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        self.parts.append(_summed(keys, np.ones(len(keys), np.int64), *values))
         self.size += len(self.parts[-1][0])
         if self.size > HELD and len(self.parts) > 1:
             self.merge()
 
     def merge(self) -> None:
         if self.parts:
-            self.parts = [k.group_sums(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
+            self.parts = [_summed(*[np.concatenate(c) for c in zip(*self.parts, strict=True)])]
             self.size = len(self.parts[0][0])
 
     def full(self) -> bool:
         return self.size > HELD
 
     def take(self) -> Iterator[pa.RecordBatch]:
+        """The values of each key (the key itself if it has none), and its sum."""
         self.merge()
-        for keys, n in self.parts:
+        for keys, n, *values in self.parts:
             for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], ["key", "n"])
+                columns = [pa.array(v[a : a + 100_000].view(np.int64)) for v in values or [keys]]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[a : a + 100_000])], [*self.names, "n"])
         self.parts, self.size = [], 0
 
 
+def _summed(keys: np.ndarray, n: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, the sum of n of each, and the values that go with it."""
+    if not len(keys):
+        return keys, n, *values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    first = order[at]
+    return keys[at], np.add.reduceat(n[order], at), *[v[first] for v in values]
+
+
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = Counter()
+    counter = Counter("key")
     for batch in batches:
         for _, _, h, _ in tokens(batch.column(0)):
             counter.add(h)
@@ -100,15 +118,109 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counter.take()
 
 
+def gram(first: np.ndarray, second: np.ndarray, order: int) -> np.ndarray:
+    """The key of an n-gram: of two tokens, or of the two bigrams of a trigram."""
+    return k.mix(first * k.M1 + second * k.M2, 3 + order)
+
+
+def before_each(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The token before each token; START before the first of a text."""
+    out = np.concatenate([[START], h[:-1]])
+    out[bounds[:-1]] = START
+    return out
+
+
+def triples(pair: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The places of the tokens that end a trigram: all but the first of a text."""
+    ok = np.ones(len(pair), bool)
+    ok[bounds[:-1]] = False
+    return np.flatnonzero(ok)
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counter = Counter("a", "b")
+    for batch in batches:
+        for _, _, h, bounds in tokens(batch.column(0)):
+            before = before_each(h, bounds)
+            counter.add(gram(before, h, 2), before, h)
+            if counter.full():
+                yield from counter.take()
+    yield from counter.take()
+
+
+def _triples(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, counter = _mapped(name)["bits"], Counter("a", "b")
+        for batch in batches:
+            for _, _, h, bounds in tokens(batch.column(0)):
+                pair = gram(before_each(h, bounds), h, 2)
+                maybe = among(bits, pair)
+                at = triples(pair, bounds)
+                at = at[maybe[at] & maybe[at - 1]]
+                counter.add(gram(pair[at - 1], pair[at], 3), pair[at - 1], pair[at])
+                if counter.full():
+                    yield from counter.take()
+        yield from counter.take()
+
+    return run
+
+
+def _keyed(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(gram(a, b, order).view(np.int64)), *batch.columns], ["key", *batch.schema.names])
+
+    return run
+
+
+def _kept(texts: DataFrame, run, order: int) -> DataFrame:
+    """(key, a, b, n) of all n-grams of an order that occur LEAST times; a, b: as in gram()."""
+    found = texts.mapInArrow(run, "a long, b long, n long").repartition("a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return stored(found.where(F.col("n") >= LEAST).mapInArrow(_keyed(order), "key long, a long, b long, n long"), f"lm-grams{order}")
+
+
+def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key can be among those that bits was made of."""
+    at = keys >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _part_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts: dict[int, np.ndarray] = {}
+    for batch in batches:
+        part, at = (batch.column(c).to_numpy() for c in (0, 1))
+        for p in np.unique(part):
+            here = at[part == p]
+            np.bitwise_or.at(parts.setdefault(int(p), np.zeros(PART // 8, np.uint8)), here >> 3, (1 << (here & 7)).astype(np.uint8))
+    for p, bits in parts.items():
+        yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([bits.tobytes()])], ["part", "bits"])
+
+
+PART = 1 << 20
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
+    """A filter of the column key, of 16 bits a key but 2^FILTER_BITS at most, put together by ranges of PART bits."""
+    size = min(FILTER_BITS, max(20, (16 * keys.count()).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - size)
+    parts = keys.select(F.shiftright(slot, 20).alias("part"), slot.bitwiseAND(PART - 1).alias("at")).repartition("part").mapInArrow(_part_bits, "part long, bits binary").toArrow()
+    out = np.zeros((1 << size) // 8, np.uint8)
+    for p, bits in zip(parts["part"].to_pylist(), parts["bits"], strict=True):
+        out[p * (PART // 8) : (p + 1) * (PART // 8)] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out
+
+
 class Model:
-    """The mapped file: common tokens with counts, word numbers, and the levels; views of level 2 alone while level 3 is counted."""
+    """The mapped file: common tokens with counts and back-offs, word numbers, the levels, and the filters of other kept n-grams."""
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.total, self.distinct, self.start = (int(x) for x in arrays["sizes"])
         self.index = HashIndex(arrays["hashes"], arrays["starts"], int(arrays["shift"][0]), int(arrays["shift"][1]))
         self.count, self.word = arrays["count"], arrays["word"]
         self.levels = [Level.read({x.split("/")[1]: a for x, a in arrays.items() if x.startswith(f"level{o}/")}) for o in (2, 3) if f"level{o}/prob" in arrays]
-        self.context_back = arrays["context_back"]
+        self.context_back, self.back = arrays["context_back"], arrays["back"]
+        self.bits = [arrays[f"bits{o}"] for o in range(2, 2 + len(self.levels))]
         self.filters = [arrays[f"filter{o}"] for o in range(2, 2 + len(self.levels))]
 
     def base(self, count: np.ndarray) -> np.ndarray:
@@ -137,9 +249,14 @@ def slot(context: np.ndarray, word: np.ndarray, start: int) -> np.ndarray:
     return (k.mix((context * (start + 1) + word).astype(np.uint64), 3) >> np.uint64(42)).astype(np.int64)
 
 
+@lru_cache(2)
+def _mapped(name: str) -> dict[str, np.ndarray]:
+    return mapped(SparkFiles.get(name))
+
+
 @lru_cache(2)
 def _model(name: str) -> Model:
-    return Model(mapped(SparkFiles.get(name)))
+    return Model(_mapped(name))
 
 
 def publish(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
@@ -155,61 +272,75 @@ def publish(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
     return name
 
 
-def _bigrams(name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counter = _model(name), Counter()
-        for batch in batches:
-            for _, _, h, bounds in tokens(batch.column(0)):
-                words = model.words(model.index.find(h))
-                before = model.contexts(words, bounds)
-                ok = (words >= 0) & (before >= 0)
-                counter.add((before[ok] * (model.start + 1) + words[ok]).astype(np.uint64))
-                if counter.full():
-                    yield from counter.take()
-        yield from counter.take()
-
-    return run
-
+def _weighed(grams: DataFrame, context: str) -> DataFrame:
+    """(of, seen, kinds): occurrences and number of the kept n-grams of each context."""
+    return grams.groupBy(F.col(context).alias("of")).agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
 
-def _trigrams(name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, counter = _model(name), Counter()
-        for batch in batches:
-            for _, _, h, bounds in tokens(batch.column(0)):
-                words = model.words(model.index.find(h))
-                pair = model.find(2, model.contexts(words, bounds), words)
-                context = np.concatenate([[-1], pair[:-1]])
-                context[bounds[:-1]] = -1
-                ok = (pair >= 0) & (context >= 0)
-                counter.add((context[ok] * (model.start + 1) + words[ok]).astype(np.uint64))
-                if counter.full():
-                    yield from counter.take()
-        yield from counter.take()
 
-    return run
+def _back(n: str) -> Column:
+    """The weight that a context of n occurrences leaves to its back-off; 1 if no n-gram of it is kept."""
+    return F.coalesce(1 - (F.col("seen") - F.lit(DISCOUNT) * F.col("kinds")) / F.col(n), F.lit(1.0))
 
 
-def _kept(rows: DataFrame, run, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, count) in order of the key of the n-grams that are kept; at most GRAMS of them."""
-    least = max(2, -(-total // GRAMS))
-    table = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    keys, n = table["key"].to_numpy(), table["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def _log(weight: str) -> Column:
+    return F.log10(F.greatest(F.col(weight), F.lit(1e-9)))
 
 
 def learn(docs: DataFrame) -> tuple[str, DataFrame, int, int]:
-    """From every text of docs: the file of the model, the counts (key, n) of tokens that are not common, N and V."""
+    """From every text of docs: the file of the model, (key, known, base, value) of tokens and kept n-grams that are not in it, N and V.
+
+    base, value: what a token adds to a text's base score and score beyond an unknown one, an n-gram beyond its back-off.
+    """
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = stored(texts.mapInArrow(_unigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least = -(-total // COMMON)
-    common = counts.where(F.col("n") >= least).toArrow()  # at most COMMON rows
-    hashes, n = common["key"].to_numpy().view(np.uint64), common["n"].to_numpy()
+    least, first = -(-total // COMMON), F.lit(int(START.view(np.int64)))
+    if not total:
+        arrays = {"sizes": np.zeros(3, np.int64), "hashes": np.zeros(0, np.uint64), "count": np.zeros(0, np.int64), "word": np.zeros(0, np.int32)}
+        index = HashIndex.of(arrays["hashes"])
+        arrays |= {"starts": index.starts, "shift": np.array([index.shift, index.longest]), "context_back": np.zeros(0), "back": np.zeros(0)}
+        return publish(spark, arrays), counts.select("key", F.lit(1).alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("value")), 0, 0
+    pairs = _kept(texts, _pairs, 2)
+    bits2 = _bits(pairs)
+    kept3 = _kept(texts, _triples(publish(spark, {"bits": bits2})), 3)
+    bits3 = _bits(kept3)
+    # tokens, and the start of a text as a context
+    contexts = counts.unionByName(spark.range(1).select(first.alias("key"), F.lit(texts.count()).cast("long").alias("n")))
+    words = stored(contexts.join(_weighed(pairs, "a"), F.col("key") == F.col("of"), "left").select("key", "n", _back("n").alias("back")), "lm-words")
+    chosen = (F.col("n") * WORDS >= total) | (F.col("key") == first)
+    side = lambda s: words.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("back").alias(f"back_{s}"), chosen.alias(f"chosen_{s}"))
+    often = F.col("n") >= max(LEAST, -(-total // GRAMS))
+    base = (F.col("n_b") + 1.0) / F.lit(float(total + distinct + 1))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").join(_weighed(kept3, "a"), F.col("key") == F.col("of"), "left")
+    pairs = stored(
+        pairs.select(
+            "key", "a", "b", "n", ((F.col("n") - DISCOUNT) / F.col("n_a") + F.col("back_a") * base).alias("p"), _back("n").alias("back"),
+            (F.log10(base) + _log("back_a")).alias("shorter"), (F.col("chosen_a") & F.col("chosen_b") & often).alias("common"),
+        ),
+        "lm-pairs",
+    )
+    ends = lambda s: pairs.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("p").alias(f"p_{s}"), F.col("back").alias(f"back_{s}"), F.col("common").alias(f"common_{s}"))
+    threes = kept3.join(ends("a"), "a").join(ends("b"), "b").select(
+        "key", "a", "b", ((F.col("n") - DISCOUNT) / F.col("n_a") + F.col("back_a") * F.col("p_b")).alias("p"),
+        (F.log10("p_b") + _log("back_a")).alias("shorter"), (F.col("common_a") & F.col("common_b") & often).alias("common"),
+    )
+    threes = stored(threes, "lm-triples")
+    arrays = _common(words.where((F.col("n") >= least) & (F.col("key") != first)), words.where(F.col("key") == first).first()["back"], pairs, threes, total, distinct)
+    tokens_ = words.where((F.col("n") < least) & (F.col("key") != first)).select("key", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("base"), (F.log10(F.col("n") + 1.0) + _log("back")).alias("value"))
+    more = lambda grams, value: grams.where(~F.col("common")).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), value.alias("value"))
+    gain = F.log10("p") - F.col("shorter")
+    others = tokens_.unionByName(more(pairs, gain + _log("back"))).unionByName(more(threes, gain))
+    return publish(spark, arrays | {"bits2": bits2, "bits3": bits3}), others, total, distinct
+
+
+def _common(words: DataFrame, start_back: float, pairs: DataFrame, threes: DataFrame, total: int, distinct: int) -> dict[str, np.ndarray]:
+    """The arrays of the model's file: of at most COMMON tokens, and GRAMS n-grams of each order."""
+    common = words.toArrow()
+    hashes, n, back = common["key"].to_numpy().view(np.uint64), common["n"].to_numpy(), common["back"].to_numpy()
     order = np.argsort(hashes)
-    hashes, n = hashes[order], n[order]
+    hashes, n, back = hashes[order], n[order], np.log10(np.maximum(back[order], 1e-9))
     index = HashIndex.of(hashes)
     chosen = n * WORDS >= total
     word = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
@@ -221,30 +352,25 @@ def learn(docs: DataFrame) -> tuple[str, DataFrame, int, int]:
         "shift": np.array([index.shift, index.longest]),
         "count": n,
         "word": word,
-        "context_back": np.zeros(0),
+        "context_back": np.append(back[chosen], np.log10(max(start_back, 1e-9))),
+        "back": np.where(chosen, 0.0, back),  # of tokens outside the levels
     }
-    if total:
-        base = np.log10((n[chosen] + 1.0) / (total + distinct + 1.0))
-        n_texts = texts.count()
-        keys, c = _kept(texts, _bigrams(publish(spark, arrays)), total)
-        context, of = keys // (start + 1), keys % (start + 1)
-        of_context = np.concatenate([n[chosen], [n_texts]])
-        share = (c - DISCOUNT) / of_context[context]
-        back = 1 - np.bincount(context, weights=share, minlength=start + 1)
-        p2 = share + back[context] * 10.0 ** base[of]
-        arrays |= {"context_back": np.log10(np.maximum(back, 1e-9)), "filter2": _filter(context, of, start)}
-        level2 = {f"level2/{x}": a for x, a in Level.of(context, of, start + 1, np.log10(p2), np.zeros(len(c))).arrays().items()}
-        keys3, c3 = _kept(texts, _trigrams(publish(spark, arrays | level2)), total)
-        pair, of3 = keys3 // (start + 1), keys3 % (start + 1)
-        share3 = (c3 - DISCOUNT) / c[pair]
-        back3 = 1 - np.bincount(pair, weights=share3, minlength=len(c))
-        # p of the shorter context: kept, as both bigrams of a kept trigram are
-        shorter = np.searchsorted(keys, of[pair] * (start + 1) + of3)
-        p3 = share3 + back3[pair] * p2[shorter]
-        arrays |= {f"level2/{x}": a for x, a in Level.of(context, of, start + 1, np.log10(p2), np.log10(np.maximum(back3, 1e-9))).arrays().items()}
-        arrays |= {f"level3/{x}": a for x, a in Level.of(pair, of3, len(c), np.log10(p3), np.zeros(len(c3))).arrays().items()}
-        arrays["filter3"] = _filter(pair, of3, start)
-    return publish(spark, arrays), counts.where(F.col("n") < least), total, distinct
+    two = pairs.where("common").select("key", "a", "b", "p", "back").toArrow()
+    key, a, b = (two[c].to_numpy().view(np.uint64) for c in ("key", "a", "b"))
+    at = index.find(a)
+    context, of = np.where(a == START, start, word[at] if len(word) else at), word[index.find(b)].astype(np.int64) if len(word) else index.find(b)
+    order = np.lexsort((of, context))
+    key, context, of = key[order], context[order].astype(np.int64), of[order]
+    p2, back3 = two["p"].to_numpy()[order], two["back"].to_numpy()[order]
+    three = threes.where("common").select("a", "b", "p").toArrow()
+    by_key = np.argsort(key)
+    place = lambda c: by_key[np.searchsorted(key[by_key], three[c].to_numpy().view(np.uint64))] if len(three) else np.zeros(0, np.int64)
+    pair, of3 = place("a"), of[place("b")]
+    order = np.lexsort((of3, pair))
+    pair, of3, p3 = pair[order], of3[order], three["p"].to_numpy()[order]
+    arrays |= {f"level2/{x}": v for x, v in Level.of(context, of, start + 1, np.log10(p2), np.log10(np.maximum(back3, 1e-9))).arrays().items()}
+    arrays |= {f"level3/{x}": v for x, v in Level.of(pair, of3, len(key), np.log10(p3), np.zeros(len(p3))).arrays().items()}
+    return arrays | {"filter2": _filter(context, of, start), "filter3": _filter(pair, of3, start)}
 
 
 def _filter(context: np.ndarray, word: np.ndarray, start: int) -> np.ndarray:
@@ -254,10 +380,15 @@ def _filter(context: np.ndarray, word: np.ndarray, start: int) -> np.ndarray:
 
 
 def log_probs(model: Model, words: np.ndarray, base: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """log10 of the model's probability of each token; base: log10 of its unigram probability, 0 where it is added later."""
+    """log10 of each token's probability by the n-grams of the file; base: log10 of its unigram probability, 0 where it is added later."""
+    return _log_probs(model, words, base, bounds)[0]
+
+
+def _log_probs(model: Model, words: np.ndarray, base: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log_probs(), and the place in level 2 and in level 3 of the n-gram that each token ends, -1 where there is none."""
     before = model.contexts(words, bounds)
     if not model.levels:
-        return base
+        return base, np.full(len(base), -1, np.int64), np.full(len(base), -1, np.int64)
     two, three = model.levels
     pair = model.find(2, before, words)
     context = np.concatenate([[-1], pair[:-1]])
@@ -269,7 +400,7 @@ def log_probs(model: Model, words: np.ndarray, base: np.ndarray, bounds: np.ndar
         out = out + np.where(context >= 0, two.back_book[two.back[np.maximum(context, 0)]], 0.0)
     if three.words.n:
         out = np.where(triple >= 0, three.prob_book[three.prob[np.maximum(triple, 0)]], out)
-    return out
+    return out, pair, triple
 
 
 def _score(name: str):
@@ -280,12 +411,24 @@ def _score(name: str):
                 common = model.index.find(h)
                 known = common >= 0
                 base = np.where(known, model.base(model.count[np.maximum(common, 0)]) if len(model.count) else 0.0, 0.0)
-                logs = log_probs(model, model.words(common), base, bounds)
-                # the other tokens, summed per text
-                rest = np.flatnonzero(~known)
-                doc = np.repeat(np.arange(j - i), np.diff(bounds))[rest]
-                order = np.lexsort((h[rest], doc))
-                rare, of = h[rest][order], doc[order]
+                logs, in2, in3 = _log_probs(model, model.words(common), base, bounds)
+                if len(model.back):
+                    logs = logs + np.where(known, model.back[np.maximum(common, 0)], 0.0)
+                # the other tokens and n-grams, summed per text
+                other = [(np.flatnonzero(~known), h)]
+                if model.levels:
+                    pair = gram(before_each(h, bounds), h, 2)
+                    at = triples(pair, bounds)
+                    triple = np.zeros(len(pair), np.uint64)
+                    triple[at] = gram(pair[at - 1], pair[at], 3)
+                    maybe = among(model.bits[0], pair)
+                    other.append((np.flatnonzero((in2 < 0) & maybe), pair))
+                    at = at[(in3[at] < 0) & maybe[at] & maybe[at - 1]]
+                    other.append((at[among(model.bits[1], triple[at])], triple))
+                keys = np.concatenate([x[at] for at, x in other])
+                doc = np.repeat(np.arange(j - i), np.diff(bounds))[np.concatenate([at for at, _ in other])]
+                order = np.lexsort((keys, doc))
+                rare, of = keys[order], doc[order]
                 new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])])) if len(rare) else np.zeros(0, np.int64)
                 times = np.diff(np.concatenate([new, [len(rare)]])).astype(np.int32)
                 ends = np.searchsorted(of[new], np.arange(j - i + 1)).astype(np.int32)
@@ -311,26 +454,25 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     sent = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", "held_out", mark.alias("mark"))
     rows = stored(sent.mapInArrow(_score(name), schema), "lm-rows")
     pairs = rows.select("doc_id", "mark", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("doc_id", "mark", F.col("t.rare").alias("key"), "t.times")
-    joined = pairs.join(others, "key", "left")
-    log = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 1.0) / F.lit(float(total + distinct + 1)))
-    sums = joined.groupBy("doc_id", "mark").agg(
-        F.sum(log * F.col("times")).alias("rare_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known")
-    )
+    added = lambda c: F.sum(F.col(c) * F.col("times")).alias(f"rare_{c}")
+    sums = pairs.join(others, "key").groupBy("doc_id", "mark").agg(added("known"), added("base"), added("value"))
     # rows with the same id and text have summed alike
     twins = rows.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("twins"))
     sums = sums.join(twins, sums.doc_id.eqNullSafe(twins.doc_id) & (sums.mark == twins.mark)).select(
-        sums.doc_id.alias("id_"), sums.mark.alias("mark_"), (F.col("rare_base") / F.col("twins")).alias("rare_base"), (F.col("rare_known") / F.col("twins")).cast("long").alias("rare_known")
-    )
+        sums.doc_id.alias("id_"), sums.mark.alias("mark_"), (F.col("rare_known") / F.col("twins")).cast("long").alias("rare_known"),
+        (F.col("rare_base") / F.col("twins")).alias("rare_base"), (F.col("rare_value") / F.col("twins")).alias("rare_value"),
+    )
     out = rows.drop("rare", "times").join(sums, rows.doc_id.eqNullSafe(F.col("id_")) & (F.col("mark") == F.col("mark_")), "left")
-    rare = F.coalesce("rare_base", F.lit(0.0))
+    unknown = (F.col("n_tokens") - F.col("n_common")) * F.lit(-math.log10(total + distinct + 1))
+    rare = lambda c: F.coalesce(c, F.lit(0.0)) + unknown
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_common") + rare).alias("base_score"),
-        (F.col("score_common") + rare).alias("score"),
+        (F.col("base_common") + rare("rare_base")).alias("base_score"),
+        (F.col("score_common") + rare("rare_value")).alias("score"),
     )
 
 

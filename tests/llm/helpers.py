@@ -53,6 +53,32 @@ def unigram_scores(rows):
     return sorted(((-1 if i is None else i, held(i, 7, 2), len(ws), sum(w in count for w in ws), n, round(base(ws), 6)) for i, ws in tokens))
 
 
+def ngram_scores(rows, discount=0.75):
+    """doc_id -> log10 probability by interpolated trigrams of all n-grams seen twice, for each (doc_id, text)."""
+    texts = {i: ["<s>", *WORD.findall(lower(t)), "</s>"] for i, t in rows}
+    count = collections.Counter()
+    for i, ws in texts.items():
+        if not held(i, 7, 2):
+            count.update(tuple(ws[a : a + k]) for k in (1, 2, 3) for a in range(len(ws) - k + 1))
+    kept = {g: c for g, c in count.items() if len(g) == 1 or c >= 2}
+    children = collections.defaultdict(list)
+    for g, c in kept.items():
+        children[g[:-1]].append(c)
+    n = sum(c for g, c in count.items() if len(g) == 1 and g != ("<s>",))
+    v = sum(len(g) == 1 and g != ("<s>",) for g in count)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (count[gram] + 1) / (n + v + 1)
+        context = gram[:-1]
+        if context not in kept:
+            return p(gram[1:])
+        back = 1 - sum(c - discount for c in children[context]) / count[context]
+        return (max(kept[gram] - discount, 0) / count[context] if gram in kept else 0) + back * p(gram[1:])
+
+    return {i: sum(math.log10(p(tuple(ws[max(0, a - 2) : a + 1]))) for a in range(1, len(ws))) for i, ws in texts.items()}
+
+
 def near_classes(rows, similarity=0.8):
     """doc_id -> least doc_id of its class, by all pairs that share a shingle."""
     sets = {}

@@ -87,6 +87,21 @@ def test_lm_probabilities_sum_to_one(spark):
             assert (10**logs).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_scores_count_every_repeated_ngram(spark, monkeypatch):
+    """Bounds of what each worker maps don't change the model: scores are those of all n-grams seen twice."""
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, " ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(40)))) for i in range(80)]
+    want = h.ngram_scores(rows)
+    table = h.frame(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    for bounds in ((1 << 20, 1 << 15, 1 << 20), (16, 16, 64), (1, 1, 1)):
+        for name, bound in zip(("COMMON", "WORDS", "GRAMS"), bounds, strict=True):
+            monkeypatch.setattr(lm_scoring, name, bound)
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(table).collect()}
+        assert got == pytest.approx(want, abs=1e-5), bounds
+
+
 def test_near_duplicates_of_one_large_group(spark):
     """Many near copies of a text, of which few are alike enough to each other, are one class."""
     import random
