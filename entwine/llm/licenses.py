@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entwine.llm.fingerprints import bounded
+from entwine.llm.license_digests import DIGESTS
 from entwine.llm.license_texts import NOTICES, TEXTS
 
 MAX_NOTICES = 1000
@@ -78,7 +79,7 @@ def known(texts: dict[str, str]) -> dict[str, str]:
 
 def known_whole() -> dict[str, str]:
     """Digests that a whole text is looked up among: licences and notices."""
-    return known(NOTICES) | known(TEXTS)
+    return {d: name.split(" (")[0] for d, name in DIGESTS.items()} | known(NOTICES) | known(TEXTS)
 
 
 def catalogue(spark: SparkSession, digests: dict[str, str]) -> DataFrame:

@@ -1,11 +1,15 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables, extra columns."""
 
+from pathlib import Path
+
 import pytest
 
 from entwine.llm import chat, decontaminate, fingerprints, language_id, licenses, license_texts, lm_scoring, mixing, neardup, quality, url_filter
 
 import tests.llm.helpers as h
 
+COMMON_LICENSES = Path("/usr/share/common-licenses")
+
 LABELS = "doc_id long, quality int, toxic int"
 ITEMS = "item_id long, text string"
 
@@ -226,6 +230,15 @@ def test_licenses(spark):
     assert [got[i]["digest"] for i in range(6)] == [licenses.digest_of(t or "") for t in texts]
 
 
+@pytest.mark.skipif(not COMMON_LICENSES.is_dir(), reason="no licences on this system")
+def test_whole_licenses(spark):
+    names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0-Perl"}
+    texts = {f: (COMMON_LICENSES / f).read_text() for f in names}
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts.values())] + [(100, "\n".join(x.strip() for x in texts["GPL-3"].partition("How to Apply")[0].split("\n")), "en", "a", 1)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(h.frame(spark, rows)).collect()}
+    assert got == {i: n for i, n in enumerate(names.values())} | {100: "GPL-3.0"}
+
+
 TURNS = "conv_id long, turn long, role string, text string"
 
 
