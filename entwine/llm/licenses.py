@@ -44,7 +44,7 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     ("http ", "https "),
 )
-#: A line can be a notice only if it has one of these.
+#: A line can be one of NOTICES only if it has one of these; any other notice is looked for in all lines.
 HINTS = ("licen", "public domain", "cc0")
 
 
@@ -99,7 +99,9 @@ def scan(docs: DataFrame, texts: DataFrame | None = None, notices: dict[str, str
     if len(names) > MAX_NOTICES:
         raise ValueError(f"more than {MAX_NOTICES} notices")
     text = F.coalesce("text", F.lit(""))
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.lower(x).rlike("|".join(HINTS)))
+    lines = F.split(F.col("text"), "\n")
+    if notices is None:
+        lines = F.filter(lines, lambda x: F.lower(x).rlike("|".join(HINTS)))
     lookup = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
     found = F.array_compact(F.transform(lines, lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256))))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), found.alias("found"))

@@ -230,6 +230,14 @@ def test_licenses(spark):
     assert [got[i]["digest"] for i in range(6)] == [licenses.digest_of(t or "") for t in texts]
 
 
+def test_notices_of_the_caller(spark):
+    """Whatever words they have; a line in public-domain's other spelling is found too."""
+    notices = {"CC-BY-4.0": "CC BY 4.0", "GPL-3.0": "GPL v3 or later", "PD": "In the public domain"}
+    rows = [(1, "Prose.\nCC-BY 4.0\n\ngpl v3, or later", "en", "a", 1), (2, "In the public-domain.", "en", "a", 1), (3, "", "en", "a", 1)]
+    got = {r["doc_id"]: (r["notices"], r["notice_lines"]) for r in licenses.scan(h.frame(spark, rows), notices=notices).collect()}
+    assert got == {1: ("CC-BY-4.0;GPL-3.0", 2), 2: ("PD", 1), 3: (None, 0)}
+
+
 @pytest.mark.skipif(not COMMON_LICENSES.is_dir(), reason="no licences on this system")
 def test_whole_licenses(spark):
     names = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0-Perl"}
