@@ -7,14 +7,15 @@ joined. The three masks hit whenever some eight aligned tokens have at most two
 substitutions. Each hit names an item, a document and their alignment; there the tokens
 are compared, and those item tokens count that agree with at least SUPPORT of five
 aligned neighbours. A document leaks an item if the counted tokens, over all its
-alignments with the item, are at least SIMILARITY of the item, or if RUN consecutive
-tokens are equal.
+alignments with the item, are at least SIMILARITY of the item, or if in a stretch of RUN
+consecutive item tokens, on one alignment, each window of five has SUPPORT that agree, and
+the first and the last agree. Items of fewer than MIN_TOKENS tokens are leaked where all their tokens are equal, in a row.
 
 The benchmark is the stated query set: its hashes are broadcast, in blocks of about
 BLOCK_TOKENS tokens, and every block meets all documents.
 
-Defined results. Null or empty text leaks nothing. Items of fewer than MIN_TOKENS tokens
-are not looked for. Items with the same tokens are one, by their least item_id (null is
+Defined results. Null or empty text leaks nothing. Items without
+tokens are not looked for. Items with the same tokens are one, by their least item_id (null is
 the greatest). An empty benchmark finds nothing; an empty table gives an empty result;
 repeated rows get their own rows; very long texts are read whole. Extra columns can have
 any name; those starting with `__leak` are reserved.
@@ -36,6 +37,8 @@ from entwine.llm import kernels as k
 
 MASKS = ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7))
 MIN_TOKENS = 5
+#: The masks of items of fewer tokens: all their tokens.
+SHORT = tuple(tuple(range(n)) for n in range(1, MIN_TOKENS))
 SIMILARITY = 0.8
 SUPPORT = 4
 RUN = 20
@@ -56,10 +59,13 @@ class Seeds:
     item: list[np.ndarray]
     place: list[np.ndarray]
 
-    def table(self) -> list[np.ndarray]:
-        """For each mask, which values of the lowest bits occur."""
-        out = []
+    def table(self) -> list[np.ndarray | None]:
+        """For each mask, which values of the lowest bits occur; None if it has no seeds."""
+        out: list[np.ndarray | None] = []
         for h in self.hashes:
+            if not len(h):
+                out.append(None)
+                continue
             t = np.zeros(1 << TABLE_BITS, bool)
             t[(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
             out.append(t)
@@ -79,7 +85,7 @@ def seeds_of(ids: list[int | None], texts: pa.Array) -> Seeds:
         hashes = k.span_hashes(data, words.start, words.end)
         for d in range(j - i):
             tokens = hashes[words.bounds[d] : words.bounds[d + 1]]
-            if len(tokens) >= MIN_TOKENS:
+            if len(tokens):
                 one = ((ids[i + d] is None, ids[i + d] or 0), ids[i + d], tokens)
                 kept[tokens.tobytes()] = min(kept.get(tokens.tobytes(), one), one, key=lambda x: x[0])
     items = sorted(kept.values(), key=lambda x: x[0])
@@ -88,8 +94,9 @@ def seeds_of(ids: list[int | None], texts: pa.Array) -> Seeds:
     bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     of = np.repeat(np.arange(len(items)), counts)
     out = Seeds([x[1] for x in items], tokens, bounds, [], [], [])
-    for m, mask in enumerate(MASKS):
+    for m, mask in enumerate(MASKS + SHORT):
         at = _starts(counts, bounds, mask[-1] + 1)
+        at = at[counts[of[at]] == len(mask) if m >= len(MASKS) else counts[of[at]] >= MIN_TOKENS]
         h = k.combine(tokens, at, mask, m)
         order = np.argsort(h, kind="stable")
         out.hashes.append(h[order])
@@ -98,10 +105,12 @@ def seeds_of(ids: list[int | None], texts: pa.Array) -> Seeds:
     return out
 
 
-def _pairs(seeds: Seeds, table: list[np.ndarray], hashes: np.ndarray, words: k.Words) -> np.ndarray:
+def _pairs(seeds: Seeds, table: list[np.ndarray | None], hashes: np.ndarray, words: k.Words) -> np.ndarray:
     """Distinct (document, item, alignment) of a piece's hits; alignment is document place minus item place."""
     found = []
-    for m, mask in enumerate(MASKS):
+    for m, mask in enumerate(MASKS + SHORT):
+        if table[m] is None:
+            continue
         at = k.runs(words, mask[-1] + 1)
         h = k.combine(hashes, at, mask, m)
         maybe = table[m][(h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)]
@@ -111,13 +120,20 @@ def _pairs(seeds: Seeds, table: list[np.ndarray], hashes: np.ndarray, words: k.W
         which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         at = np.repeat(at, n)
         doc = words.doc[at]
-        found.append(np.stack([doc, seeds.item[m][which], at - words.bounds[doc] - seeds.place[m][which]], 1))
+        hits = np.stack([doc, seeds.item[m][which], at - words.bounds[doc] - seeds.place[m][which]], 1)
+        # of a short item the first place is enough
+        found.append(hits[np.unique(hits[:, :2], axis=0, return_index=True)[1]] if m >= len(MASKS) and len(hits) else hits)
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
-def _longest(equal: np.ndarray) -> int:
-    gaps = np.flatnonzero(~np.concatenate([[False], equal, [False]]))
-    return int(np.diff(gaps).max()) - 1
+def _stretch(equal: np.ndarray, full: np.ndarray) -> int:
+    """The tokens of the longest stretch of full windows of five, from an equal token to an equal token; full: by first token."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], full.astype(np.int8), [0]])))
+    if not len(edges):
+        return 0
+    first, last = edges[::2], edges[1::2] + 3
+    # at most one token of a full window is unequal
+    return int((last - (~equal[last]) * 1 - first - (~equal[first]) * 1).max()) + 1
 
 
 def _leaks(seeds: Seeds, hashes: np.ndarray, words: k.Words, pairs: np.ndarray) -> dict[int, list[dict]]:
@@ -137,9 +153,11 @@ def _leaks(seeds: Seeds, hashes: np.ndarray, words: k.Words, pairs: np.ndarray)
             # a token counts if one of the windows of five around it has SUPPORT equal tokens
             full = near >= SUPPORT
             good = equal & np.logical_or.reduce([full[i : i + len(tokens)] for i in range(5)])
+            if len(tokens) < MIN_TOKENS:
+                good = equal & equal.all()
             counted |= good
             best = max(best, (int(good.sum()), -int(low + shift)))
-            longest = max(longest, _longest(equal))
+            longest = max(longest, _stretch(equal, full[4 : len(tokens)]))
         share = float(counted.sum()) / len(tokens)
         if share >= SIMILARITY or longest >= RUN:
             out.setdefault(doc, []).append({"item_id": seeds.ids[item], "similarity": share, "start": -best[1]})

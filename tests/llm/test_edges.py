@@ -197,6 +197,17 @@ def test_next_document_over_uneven_ids(spark):
     assert got == {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def test_parts_with_substitutions_and_short_items_leak(spark):
+    item = [f"q{i}" for i in range(59)]
+    part = [f"z{i}" if i % 15 == 14 else w for i, w in enumerate(item[:40])]
+    few = [f"z{i}" if i % 3 == 2 else w for i, w in enumerate(item[:40])]
+    rows = [(1, "a b " + " ".join(part) + " c d"), (2, " ".join(few)), (3, "x Short, ITEM. y"), (4, "short y item"), (5, "short item short item"), (6, " ".join(item[:19]))]
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "short item"), (3, ""), (4, "solo"), (5, "..."), (6, "one two three four")], ITEMS)
+    table = h.frame(spark, [(i, t, "en", "a", 1) for i, t in [*rows, (7, "Solo"), (8, "one two three four"), (9, "one two three for")]])
+    got = sorted((r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.leaks(table, items).collect())
+    assert got == [(1, 1, 2), (3, 2, 1), (5, 2, 0), (7, 4, 0), (8, 6, 0)]
+
+
 def test_mixing_targets(spark):
     """Weights 1, 2, 3 over unequal sources; what passes three times a source is reshared."""
     rows = [("a", 1000), ("b", 10), ("c", 90), (None, 0)]
