@@ -255,14 +255,15 @@ def _members(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, links, class_size for every row of docs (doc_id, text).
+    """doc_id, class_id, checked_links, class_size for every row of docs (doc_id, text).
 
-    class_id: the least doc_id of the row's class; links: texts of other content that the
-    row's text was found to be linked with directly; class_size: rows of the class.
+    class_id: the least doc_id of the row's class; checked_links: texts of other content that the
+    row's text was found to be linked with directly, of the pairs that had to be compared to tell the classes: not
+    the number of its near duplicates; class_size: rows of the class.
     """
     members = _members(docs)
     named = stored(members.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "nd-named")
-    return members.join(named, "root").select("doc_id", "class_id", "links", "class_size")
+    return members.join(named, "root").select("doc_id", "class_id", F.col("links").alias("checked_links"), "class_size")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

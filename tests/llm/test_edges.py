@@ -123,6 +123,11 @@ def test_near_duplicates_of_one_large_group(spark):
     assert got == h.near_classes([r[:2] for r in rows])
 
 
+def test_near_duplicates_name_what_was_checked(spark):
+    """Not all pairs of a class are compared, so the column isn't named as if they were."""
+    assert neardup.classes(h.frame(spark)).columns == ["doc_id", "class_id", "checked_links", "class_size"]
+
+
 def test_deduplicate_keeps_one_of_each(spark):
     kept = neardup.deduplicate(h.frame(spark)).collect()
     assert sorted(r["doc_id"] or -1 for r in kept) == [-1, 1, 3, 5, 7, 9, 10]
