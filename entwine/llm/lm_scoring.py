@@ -20,8 +20,9 @@ The common n-grams, those over words with c(w) * WORDS >= N that occur N / GRAMS
 the trie (see elias_fano), where logarithms are quantised to 4096 values a level; trie and
 common tokens are one file of bounded size, written to the shared folder, fetched by each
 executor through SparkContext.addFile and mapped by its workers. All other kept n-grams meet
-their values in the join of the other tokens. Bit filters of at most 2^FILTER_BITS bits keep
-n-grams that are surely not kept from being shuffled; they change no result.
+their values in the join of the other tokens. Bit filters of at most 2^FILTER_BITS bits, made
+of fingerprints of all n-grams, spare n-grams that surely occur once the exact count and the
+join; they change no result.
 
 Tokens are known by 64-bit hashes. Defined results. Null is the empty text, which is its
 end token. Nothing learnt: base(w) = 1 for every token, both scores 0, all tokens unknown.
@@ -31,6 +32,7 @@ read whole. Extra columns are not read and can have any name.
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -51,7 +53,9 @@ COMMON, WORDS, GRAMS = 1 << 20, 1 << 15, 1 << 20
 LEAST, FILTER_BITS = 2, 28
 DISCOUNT = 0.75
 END, START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x57A257A257A257A2)
-HELD = 1_000_000
+HELD = 300_000
+#: Bits of the fingerprints by which n-grams that may repeat are told; each part of their range is less than 2^32.
+FINE = 40
 
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -137,29 +141,108 @@ def triples(pair: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = Counter("a", "b")
+def _grams(batches: Iterator[pa.RecordBatch], order: int, bits2: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, a, b) of the n-grams of an order, piece by piece, without those that bits2 (of bigrams) rules out."""
     for batch in batches:
         for _, _, h, bounds in tokens(batch.column(0)):
             before = before_each(h, bounds)
-            counter.add(gram(before, h, 2), before, h)
-            if counter.full():
-                yield from counter.take()
-    yield from counter.take()
+            pair = gram(before, h, 2)
+            maybe = np.ones(len(pair), bool) if bits2 is None else among(bits2, pair)
+            if order == 2:
+                yield pair[maybe], before[maybe], h[maybe]
+            else:
+                at = triples(pair, bounds)
+                at = at[maybe[at] & maybe[at - 1]]
+                yield gram(pair[at - 1], pair[at], 3), pair[at - 1], pair[at]
+
+
+def _fingerprints(order: int, name: str | None, part_bits: int):
+    """(part, prints, often): the sorted fingerprints of a part as gaps, compressed, and which of them occur twice already."""
+
+    def flush(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        prints, n = np.unique(np.concatenate(keys) >> np.uint64(64 - FINE), return_counts=True)
+        prints, often = prints.astype(np.int64), n > 1
+        part = prints >> (FINE - part_bits)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else [0]
+        rows: tuple[list, list, list] = ([], [], [])
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            gaps = np.diff(prints[x:y], prepend=part[x] << (FINE - part_bits)).astype(np.uint32)
+            planes = gaps.view(np.uint8).reshape(-1, 4).T.tobytes()  # the high bytes are alike
+            rows[0].append(int(part[x]))
+            rows[1].append(pa.compress(planes, codec="zstd", asbytes=True))
+            rows[2].append(len(gaps).to_bytes(4, "little") + np.packbits(often[x:y]).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["part", "prints", "often"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits2 = _mapped(name)["bits"] if name else None
+        keys, held = [], 0
+        for key, _, _ in _grams(batches, order, bits2):
+            keys.append(key)
+            held += len(key)
+            if held > 3 * HELD:
+                yield from flush(keys)
+                keys, held = [], 0
+        if held:
+            yield from flush(keys)
+
+    return run
+
 
+def _repeated(part_bits: int, size: int):
+    """(part, bits) of rows of _fingerprints in order of part: the fingerprints that occur twice, by their first size bits."""
+
+    def bits_of(part: int, prints: list[np.ndarray], often: list[np.ndarray]) -> pa.RecordBatch:
+        all_, twice = np.concatenate(prints), np.concatenate(often)
+        order = np.argsort(all_)
+        all_, twice = all_[order], twice[order]
+        same = all_[1:] == all_[:-1]
+        twice[1:] |= same
+        slot = (all_[twice] - (part << (FINE - part_bits))) >> (FINE - size)
+        out = np.zeros(1 << (size - part_bits), bool)
+        out[slot] = True
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
-def _triples(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, counter = _mapped(name)["bits"], Counter("a", "b")
+        now, prints, often = -1, [], []
         for batch in batches:
-            for _, _, h, bounds in tokens(batch.column(0)):
-                pair = gram(before_each(h, bounds), h, 2)
-                maybe = among(bits, pair)
-                at = triples(pair, bounds)
-                at = at[maybe[at] & maybe[at - 1]]
-                counter.add(gram(pair[at - 1], pair[at], 3), pair[at - 1], pair[at])
-                if counter.full():
-                    yield from counter.take()
+            for part, gaps, flags in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                if part != now and prints:
+                    yield bits_of(now, prints, often)
+                    prints, often = [], []
+                now, n = part, int.from_bytes(flags[:4], "little")
+                planes = np.frombuffer(pa.decompress(gaps, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+                values = np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32)[:, 0].astype(np.int64)
+                prints.append(np.cumsum(values) + (part << (FINE - part_bits)))
+                often.append(np.unpackbits(np.frombuffer(flags, np.uint8)[4:], count=n).astype(bool))
+        if prints:
+            yield bits_of(now, prints, often)
+
+    return run
+
+
+def _maybe(texts: DataFrame, order: int, name: str | None, total: int) -> np.ndarray:
+    """A filter of the n-grams that occur twice; it lets all of these through, and others whose first bits are like one of theirs."""
+    part_bits = max(8, (total >> 21).bit_length())
+    size = max(part_bits + 3, min(FILTER_BITS, (2 * total).bit_length()))
+    prints = texts.mapInArrow(_fingerprints(order, name, part_bits), "part long, prints binary, often binary").repartition("part").sortWithinPartitions("part")
+    parts = prints.mapInArrow(_repeated(part_bits, size), "part long, bits binary").toArrow()
+    width = (1 << (size - part_bits)) // 8
+    out = np.zeros((1 << size) // 8, np.uint8)
+    for p, bits in zip(parts["part"].to_pylist(), parts["bits"], strict=True):
+        out[p * width : (p + 1) * width] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out
+
+
+def _counted(order: int, names: tuple[str, str]):
+    """(a, b, n) of the n-grams that the filters let through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits2, counter = _mapped(names[0])["bits"], Counter("a", "b")
+        for key, a, b in _grams(batches, order, bits2):
+            ok = among(_mapped(names[1])["bits"], key) if order == 3 else np.ones(len(key), bool)
+            counter.add(key[ok], a[ok], b[ok])
+            if counter.full():
+                yield from counter.take()
         yield from counter.take()
 
     return run
@@ -174,9 +257,9 @@ def _keyed(order: int):
     return run
 
 
-def _kept(texts: DataFrame, run, order: int) -> DataFrame:
+def _kept(texts: DataFrame, order: int, names: tuple[str, str]) -> DataFrame:
     """(key, a, b, n) of all n-grams of an order that occur LEAST times; a, b: as in gram()."""
-    found = texts.mapInArrow(run, "a long, b long, n long").repartition("a", "b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(_counted(order, names), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     return stored(found.where(F.col("n") >= LEAST).mapInArrow(_keyed(order), "key long, a long, b long, n long"), f"lm-grams{order}")
 
 
@@ -186,31 +269,6 @@ def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _part_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        part, at = (batch.column(c).to_numpy() for c in (0, 1))
-        for p in np.unique(part):
-            here = at[part == p]
-            np.bitwise_or.at(parts.setdefault(int(p), np.zeros(PART // 8, np.uint8)), here >> 3, (1 << (here & 7)).astype(np.uint8))
-    for p, bits in parts.items():
-        yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([bits.tobytes()])], ["part", "bits"])
-
-
-PART = 1 << 20
-
-
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A filter of the column key, of 16 bits a key but 2^FILTER_BITS at most, put together by ranges of PART bits."""
-    size = min(FILTER_BITS, max(20, (16 * keys.count()).bit_length()))
-    slot = F.shiftrightunsigned("key", 64 - size)
-    parts = keys.select(F.shiftright(slot, 20).alias("part"), slot.bitwiseAND(PART - 1).alias("at")).repartition("part").mapInArrow(_part_bits, "part long, bits binary").toArrow()
-    out = np.zeros((1 << size) // 8, np.uint8)
-    for p, bits in zip(parts["part"].to_pylist(), parts["bits"], strict=True):
-        out[p * (PART // 8) : (p + 1) * (PART // 8)] = np.frombuffer(bits.as_buffer(), np.uint8)
-    return out
-
-
 class Model:
     """The mapped file: common tokens with counts and back-offs, word numbers, the levels, and the filters of other kept n-grams."""
 
@@ -220,7 +278,8 @@ class Model:
         self.count, self.word = arrays["count"], arrays["word"]
         self.levels = [Level.read({x.split("/")[1]: a for x, a in arrays.items() if x.startswith(f"level{o}/")}) for o in (2, 3) if f"level{o}/prob" in arrays]
         self.context_back, self.back = arrays["context_back"], arrays["back"]
-        self.bits = [arrays[f"bits{o}"] for o in range(2, 2 + len(self.levels))]
+        # the filters of other kept n-grams are files of their own
+        self.bits = [_mapped(name)["bits"] for name in arrays["filters"].tobytes().decode().split()] if "filters" in arrays else []
         self.filters = [arrays[f"filter{o}"] for o in range(2, 2 + len(self.levels))]
 
     def base(self, count: np.ndarray) -> np.ndarray:
@@ -249,7 +308,7 @@ def slot(context: np.ndarray, word: np.ndarray, start: int) -> np.ndarray:
     return (k.mix((context * (start + 1) + word).astype(np.uint64), 3) >> np.uint64(42)).astype(np.int64)
 
 
-@lru_cache(2)
+@lru_cache(6)
 def _mapped(name: str) -> dict[str, np.ndarray]:
     return mapped(SparkFiles.get(name))
 
@@ -272,6 +331,12 @@ def publish(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
     return name
 
 
+def _release(spark: SparkSession) -> None:
+    """Let the driver drop tables that nothing refers to, so that their shuffle files are deleted."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _weighed(grams: DataFrame, context: str) -> DataFrame:
     """(of, seen, kinds): occurrences and number of the kept n-grams of each context."""
     return grams.groupBy(F.col(context).alias("of")).agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
@@ -302,10 +367,10 @@ def learn(docs: DataFrame) -> tuple[str, DataFrame, int, int]:
         index = HashIndex.of(arrays["hashes"])
         arrays |= {"starts": index.starts, "shift": np.array([index.shift, index.longest]), "context_back": np.zeros(0), "back": np.zeros(0)}
         return publish(spark, arrays), counts.select("key", F.lit(1).alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("value")), 0, 0
-    pairs = _kept(texts, _pairs, 2)
-    bits2 = _bits(pairs)
-    kept3 = _kept(texts, _triples(publish(spark, {"bits": bits2})), 3)
-    bits3 = _bits(kept3)
+    bits2 = publish(spark, {"bits": _maybe(texts, 2, None, total)})
+    names = bits2, publish(spark, {"bits": _maybe(texts, 3, bits2, total)})
+    pairs, kept3 = _kept(texts, 2, names), _kept(texts, 3, names)
+    _release(spark)
     # tokens, and the start of a text as a context
     contexts = counts.unionByName(spark.range(1).select(first.alias("key"), F.lit(texts.count()).cast("long").alias("n")))
     words = stored(contexts.join(_weighed(pairs, "a"), F.col("key") == F.col("of"), "left").select("key", "n", _back("n").alias("back")), "lm-words")
@@ -327,12 +392,13 @@ def learn(docs: DataFrame) -> tuple[str, DataFrame, int, int]:
         (F.log10("p_b") + _log("back_a")).alias("shorter"), (F.col("common_a") & F.col("common_b") & often).alias("common"),
     )
     threes = stored(threes, "lm-triples")
+    _release(spark)
     arrays = _common(words.where((F.col("n") >= least) & (F.col("key") != first)), words.where(F.col("key") == first).first()["back"], pairs, threes, total, distinct)
     tokens_ = words.where((F.col("n") < least) & (F.col("key") != first)).select("key", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("base"), (F.log10(F.col("n") + 1.0) + _log("back")).alias("value"))
     more = lambda grams, value: grams.where(~F.col("common")).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), value.alias("value"))
     gain = F.log10("p") - F.col("shorter")
     others = tokens_.unionByName(more(pairs, gain + _log("back"))).unionByName(more(threes, gain))
-    return publish(spark, arrays | {"bits2": bits2, "bits3": bits3}), others, total, distinct
+    return publish(spark, arrays | {"filters": np.frombuffer(" ".join(names).encode(), np.uint8)}), others, total, distinct
 
 
 def _common(words: DataFrame, start_back: float, pairs: DataFrame, threes: DataFrame, total: int, distinct: int) -> dict[str, np.ndarray]:
