@@ -6,6 +6,9 @@ from the hosts with allowed pages, distrust the same over the reversed edges fro
 with blocked pages (whoever links to a blocked host is distrusted). Seeds weigh as many
 pages as a rule decided on the host; each round a host has (1 - DAMPING) of its seed and
 DAMPING of what its neighbours pass on, each neighbour dividing its rank by the pages that link.
+The registered query, as its SQL, does
+ROUNDS rounds; with a tolerance, rounds go on until three of them change trust and distrust, summed over
+all hosts, by no more than that share of the seeds.
 What a host without links would pass on is lost. A host is blocked if its distrust is
 more than RATIO times its trust, else allowed; so is a host without any.
 
@@ -16,6 +19,8 @@ each get a row and each count. Extra columns are not read and can have any name.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,8 +67,11 @@ def _spread(ranks: DataFrame, edges: DataFrame, by: str, to: str, rank: str, out
     return moved.groupBy(to).agg(F.sum(F.col(rank) * F.col(f"share_{by}")).alias(out)).withColumnRenamed(to, "host")
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, allowed, blocked) and (src, dst, pages) -> (host, trust, distrust) of every host of either table."""
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
+    """(host, allowed, blocked) and (src, dst, pages) -> (host, trust, distrust) of every host of either table.
+
+    tolerance: if given, as many rounds as it takes (see above) instead of rounds.
+    """
     edges = stored(edges, "uf-edges")
     none = edges.isEmpty()
     nodes = seeds if none else seeds.unionByName(edges.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0).alias("allowed"), F.lit(0).alias("blocked")))
@@ -76,23 +84,29 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
         edges = edges.join(sums, by).withColumn(f"share_{by}", F.col("pages") / F.col("all")).drop("all")
     edges = stored(edges, "uf-shares")
     ranks = nodes.select("host", start("allowed").alias("trust"), start("blocked").alias("distrust"))
-    for i in range(rounds):
+    last, seeded = ranks, nodes.agg(F.sum(F.col("allowed") + F.col("blocked"))).first()[0] if tolerance is not None else 0
+    for i in range(rounds) if tolerance is None else count():
         passed = nodes.join(_spread(ranks, edges, "src", "dst", "trust", "t"), "host", "left").join(_spread(ranks, edges, "dst", "src", "distrust", "d"), "host", "left")
         more = lambda c: F.lit(damping) * F.coalesce(c, F.lit(0.0))
         ranks = passed.select("host", (start("allowed") + more("t")).alias("trust"), (start("blocked") + more("d")).alias("distrust"))
         if i % 3 == 2:
             ranks = stored(ranks, "uf-ranks")
+            if tolerance is not None:
+                was = last.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+                if ranks.join(was, "host").agg(F.sum(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d")))).first()[0] <= tolerance * seeded:
+                    break
+                last = ranks
     return ranks
 
 
-def judge(pages: DataFrame, rules: tuple[str, ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust, distrust for every row of pages (page_id, url, html)."""
+def judge(pages: DataFrame, rules: tuple[str, ...] = RULES, tolerance: float | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, trust, distrust for every row of pages (page_id, url, html); tolerance: as in propagate()."""
     read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     read = read.withColumn("rule", rule).withColumn("decided", verdict)
     one = lambda v: F.count_if(F.col("decided") == v)
     seeds = read.where("host <> ''").groupBy("host").agg(one("allow").alias("allowed"), one("block").alias("blocked"))
-    ranks = stored(propagate(seeds, host_edges(read)), "uf-ranks").withColumnRenamed("host", "host_")
+    ranks = stored(propagate(seeds, host_edges(read), tolerance=tolerance), "uf-ranks").withColumnRenamed("host", "host_")
     out = read.drop("html").join(ranks, F.col("host") == F.col("host_"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_host = F.when(distrust > F.lit(RATIO) * trust, "block").otherwise("allow")

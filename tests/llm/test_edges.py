@@ -317,6 +317,18 @@ def test_trust_and_distrust_follow_links(spark):
     assert got[2]["trust"] > got[3]["trust"] > 0 and got[5]["distrust"] > got[6]["distrust"] > 0 and got[7]["distrust"] == 0
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    """With a tolerance: h0 -> h1 -> ... -> h13 -> a blocked host, and a cycle."""
+    hosts = [*(f"h{i}.net" for i in range(14)), "bad.com"]
+    rows = [(i, f"http://{a}/p", f"<a href='//{b}/x'>") for i, (a, b) in enumerate(zip(hosts, hosts[1:], strict=False))]
+    rows += [(50, "http://bad.com/de/1", None), (60, "http://x.net/", "<a href='//y.net/'>"), (61, "http://y.net/", "<a href='//x.net/'><a href='//bad.com/'>")]
+    got = {r["page_id"]: r for r in url_filter.judge(h.frame(spark, rows, PAGES), tolerance=1e-9).collect()}
+    assert all(got[i]["verdict"] == "block" and got[i]["distrust"] > 0 for i in range(14))
+    # bad.com is linked to by h13 and y; of what y passes on, x gets all, and the other way round
+    y = 0.85 * 0.15 / 2 / (1 - 0.85**2)
+    assert got[61]["distrust"] == pytest.approx(y, abs=1e-6) and got[60]["distrust"] == pytest.approx(0.85 * y, abs=1e-6)
+
+
 def test_links_as_sql_has_them(spark, oracle, tmp_path):
     """The graph part of the URL query's SQL, on pages that link to each other."""
     import duckdb
