@@ -1,13 +1,13 @@
-"""Elias-Fano sequences and the n-gram trie laid over them, as arrays in one mapped file."""
+"""Elias-Fano sequences and the levels of an n-gram trie laid over them, as arrays in one mapped file."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
-BLOCK = 8  # words of 64 bits that share a count
+STEP = 5  # every 2**STEP-th bit's place is kept
 
 
 def _byte_select() -> np.ndarray:
@@ -22,98 +22,108 @@ def _byte_select() -> np.ndarray:
 BYTE_SELECT = _byte_select()
 
 
-def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-    """Places of the k-th set bits (of the k-th clear bits, if flip); before: set bits before each block."""
-    counts = np.arange(len(before), dtype=np.int64) * (64 * BLOCK) - before if flip else before
-    block = np.searchsorted(counts, k, "right") - 1
-    left = (k - counts[block]).astype(np.int64)
-    word = block * BLOCK
-    last = len(words) - 1
-    for _ in range(BLOCK - 1):
-        n = np.bitwise_count(words[np.minimum(word, last)]).astype(np.int64)
-        n = 64 - n if flip else n
-        go = left >= n
-        left -= np.where(go, n, 0)
-        word = np.where(go & (word < (block + 1) * BLOCK - 1), word + 1, word)
-        if not go.any():
-            break
-    bits = words[np.minimum(word, last)]
-    bits = ~bits if flip else bits
+def _in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th set bit of each word."""
     place = np.zeros(len(k), np.int64)
-    for _ in range(7):
-        low = bits & np.uint64(255)
-        n = np.bitwise_count(low).astype(np.int64)
-        go = left >= n
-        left -= np.where(go, n, 0)
-        bits = np.where(go, bits >> np.uint64(8), bits)
-        place += np.where(go, 8, 0)
-        if not go.any():
-            break
-    return word * 64 + place + BYTE_SELECT[(bits & np.uint64(255)).astype(np.int64), np.minimum(left, 7)]
+    for half in (32, 16, 8):
+        n = np.bitwise_count(words & np.uint64((1 << half) - 1)).astype(np.int64)
+        go = k >= n
+        k = np.where(go, k - n, k)
+        words = np.where(go, words >> np.uint64(half), words)
+        place += half * go
+    return place + BYTE_SELECT[(words & np.uint64(255)).astype(np.int64), np.minimum(k, 7)]
 
 
 @dataclass
 class EliasFano:
-    """A non-decreasing sequence of n integers below universe, in about 2 + log2(universe / n) bits each."""
+    """A non-decreasing sequence of n integers below universe, in about 3 + log2(universe / n) bits each.
+
+    before: set bits before each word of high; ones, zeros: the word of every 2**STEP-th set and clear bit.
+    """
 
     n: int
     bits: int
     low: np.ndarray
     high: np.ndarray
     before: np.ndarray
+    ones: np.ndarray
+    zeros: np.ndarray
 
     @classmethod
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
         bits = max(0, int(universe // max(1, n)).bit_length() - 1)
         values = values.astype(np.uint64)
-        low = np.zeros((n * bits + 63) // 64 + 1, np.uint64)
+        low = np.zeros((n * bits + 63) // 64 + 2, np.uint64)
         if bits:
             part = values & np.uint64((1 << bits) - 1)
             at = np.arange(n) * bits
-            np.bitwise_or.at(low, at // 64, part << (at % 64).astype(np.uint64))
+            _or_into(low, at // 64, part << (at % 64).astype(np.uint64))
             over = at % 64 + bits > 64
-            np.bitwise_or.at(low, at[over] // 64 + 1, part[over] >> (64 - at[over] % 64).astype(np.uint64))
+            _or_into(low, at[over] // 64 + 1, part[over] >> (64 - at[over] % 64).astype(np.uint64))
         places = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        size = n + (universe >> bits) + 2
-        high = np.zeros((size + 64 * BLOCK - 1) // (64 * BLOCK) * BLOCK, np.uint64)
-        np.bitwise_or.at(high, places // 64, np.uint64(1) << (places % 64).astype(np.uint64))
-        ones = np.bitwise_count(high).astype(np.int64).reshape(-1, BLOCK).sum(1)
-        return cls(n, bits, low, high, np.concatenate([[0], np.cumsum(ones)[:-1]]).astype(np.int64))
+        high = np.zeros((n + (int(universe) >> bits) + 2 + 63) // 64, np.uint64)
+        _or_into(high, places // 64, np.uint64(1) << (places % 64).astype(np.uint64))
+        before = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
+        clear = np.arange(len(before), dtype=np.int64) * 64 - before
+        mark = lambda c: np.append(np.searchsorted(c, np.arange(0, c[-1], 1 << STEP), "right") - 1, len(high) - 1)
+        small = lambda a: a.astype(np.uint32) if high.size < 1 << 25 else a.astype(np.int64)
+        return cls(n, bits, low, high, small(before), small(mark(before)), small(mark(clear)))
+
+    def _select(self, k: np.ndarray, flip: bool) -> np.ndarray:
+        """Places of the k-th set bits of high (of the k-th clear bits, if flip)."""
+        marks = self.zeros if flip else self.ones
+        j = k >> STEP
+        lo, hi = marks[j].astype(np.int64), marks[j + 1].astype(np.int64)
+        count = (lambda w: 64 * w - self.before[w]) if flip else (lambda w: self.before[w].astype(np.int64))
+        # the last word with no more than k before it
+        while (open_ := np.flatnonzero(lo < hi)).size:
+            middle = (lo[open_] + hi[open_] + 1) // 2
+            fits = count(middle) <= k[open_]
+            lo[open_] = np.where(fits, middle, lo[open_])
+            hi[open_] = np.where(fits, hi[open_], middle - 1)
+        words = self.high[lo]
+        return 64 * lo + _in_word(~words if flip else words, k - count(lo))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.int64)
         at = i * self.bits
         word, shift = at // 64, (at % 64).astype(np.uint64)
-        out = self.low[word] >> shift
         over = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-        return ((out | over) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+        return (((self.low[word] >> shift) | over) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at the places i."""
-        return ((_select(self.high, self.before, i, False) - i) << self.bits) | self._low(i)
+        return ((self._select(i, False) - i) << self.bits) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The first place whose value is x or more (n if none)."""
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the first place whose value is x or more, n if none; whether it is x)."""
         top = x >> self.bits
-        # the values with a high part below top lie before the zero bit that ends it
-        start = np.where(top > 0, _select(self.high, self.before, np.maximum(top - 1, 0), True) - (top - 1), 0)
-        end = _select(self.high, self.before, top, True) - top
-        low = x & ((1 << self.bits) - 1)
-        while (open_ := start < end).any():
-            middle = (start + end) // 2
-            less = open_ & (self._low(np.minimum(middle, max(0, self.n - 1))) < low)
-            start = np.where(less, middle + 1, start)
-            end = np.where(open_ & ~less, middle, end)
-        return start
+        # the values with a high part below top lie before the clear bit that ends it
+        start = np.where(top > 0, self._select(np.maximum(top - 1, 0), True) - (top - 1), 0)
+        end = self._select(top, True) - top
+        last, low = end.copy(), x & ((1 << self.bits) - 1)
+        while (open_ := np.flatnonzero(start < end)).size:
+            middle = (start[open_] + end[open_]) // 2
+            less = self._low(middle) < low[open_]
+            start[open_] = np.where(less, middle + 1, start[open_])
+            end[open_] = np.where(less, end[open_], middle)
+        return start, (start < last) & (self._low(np.minimum(start, max(0, self.n - 1))) == low)
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"meta": np.array([self.n, self.bits], np.int64), "low": self.low, "high": self.high, "before": self.before}
+        return {"meta": np.array([self.n, self.bits], np.int64), "low": self.low, "high": self.high, "before": self.before, "ones": self.ones, "zeros": self.zeros}
 
     @classmethod
     def read(cls, a: dict[str, np.ndarray]) -> EliasFano:
-        return cls(int(a["meta"][0]), int(a["meta"][1]), a["low"], a["high"], a["before"])
+        return cls(int(a["meta"][0]), int(a["meta"][1]), a["low"], a["high"], a["before"], a["ones"], a["zeros"])
+
+
+def _or_into(out: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
+    """out[at] |= bits; at does not decrease."""
+    if len(at):
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[first]] |= np.bitwise_or.reduceat(bits, first)
 
 
 @dataclass
@@ -135,29 +145,25 @@ class Level:
     @classmethod
     def of(cls, context: np.ndarray, word: np.ndarray, contexts: int, prob: np.ndarray, back: np.ndarray) -> Level:
         """From (context, word) in order; back: of the n-grams of this level as contexts of the next."""
-        pointers = np.searchsorted(context, np.arange(contexts + 1))
+        pointers = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=contexts))])
         ends = np.flatnonzero(np.concatenate([context[1:] != context[:-1], [True]])) if len(context) else np.zeros(0, np.int64)
-        lasts = word[ends] + 1
-        base = np.concatenate([[0], np.cumsum(lasts)])
+        base = np.concatenate([[0], np.cumsum(word[ends] + 1)])
         group = np.cumsum(np.concatenate([[0], (context[1:] != context[:-1]).astype(np.int64)])) if len(context) else np.zeros(0, np.int64)
-        values = word + 1 + base[group]
-        return cls(EliasFano.of(pointers, len(word) + 1), EliasFano.of(values, int(base[-1]) + 1), *quantised(prob), *quantised(back))
+        return cls(EliasFano.of(pointers, len(word) + 1), EliasFano.of(word + 1 + base[group], int(base[-1]) + 1), *quantised(prob), *quantised(back))
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The place of each word under its context, -1 where there is none."""
         out = np.full(len(context), -1, np.int64)
-        if not self.words.n:
+        if not self.words.n or not len(context):
             return out
         first, end = self.pointers.access(context), self.pointers.access(context + 1)
         some = np.flatnonzero(end > first)
         first, end, word = first[some], end[some], word[some]
-        base = np.where(first > 0, self.words.access(np.maximum(first - 1, 0)), 0)
-        target = base + word + 1
-        ok = target <= self.words.access(end - 1)
-        some, target, end = some[ok], target[ok], end[ok]
-        at = self.words.successor(target)
-        hit = (at < end) & (self.words.access(np.minimum(at, self.words.n - 1)) == target)
-        out[some[hit]] = at[hit]
+        target = np.where(first > 0, self.words.access(np.maximum(first - 1, 0)), 0) + word + 1
+        ok = np.flatnonzero(target <= self.words.access(end - 1))
+        at, equal = self.words.successor(target[ok])
+        hit = equal & (at < end[ok])
+        out[some[ok[hit]]] = at[hit]
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
@@ -219,13 +225,12 @@ class HashIndex:
     hashes: np.ndarray
     starts: np.ndarray
     shift: int
-    longest: int = field(default=0)
 
     @classmethod
     def of(cls, hashes: np.ndarray) -> HashIndex:
         bits = max(1, len(hashes).bit_length())
         starts = np.searchsorted((hashes >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1)).astype(np.int32)
-        return cls(hashes, starts, 64 - bits, int(np.diff(starts).max()) if len(hashes) else 0)
+        return cls(hashes, starts, 64 - bits)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 where there is none."""
@@ -233,10 +238,14 @@ class HashIndex:
         if not len(self.hashes):
             return out
         top = (h >> np.uint64(self.shift)).astype(np.int64)
-        at, end = self.starts[top].astype(np.int64), self.starts[top + 1]
-        for step in range(self.longest):
-            here = at + step
-            ok = here < end
-            here = np.minimum(here, len(self.hashes) - 1)
-            out = np.where(ok & (self.hashes[here] == h), here, out)
+        at, end = self.starts[top].astype(np.int64), self.starts[top + 1].astype(np.int64)
+        open_ = np.flatnonzero(at < end)
+        at, end, h = at[open_], end[open_], h[open_]
+        while len(open_):
+            found = self.hashes[at]
+            hit = found == h
+            out[open_[hit]] = at[hit]
+            at = at + 1
+            more = np.flatnonzero((found < h) & (at < end))
+            open_, at, end, h = open_[more], at[more], end[more], h[more]
         return out

@@ -3,28 +3,30 @@
 Tokens are runs of non-white bytes with A-Z in lower case, then one end token per text.
 
 Unigrams are counted whole: c(w) for every distinct token of the texts learnt from, N
-tokens in all, V distinct. base(w) = (c(w) + 1) / (N + V + 1). The common tokens, those
-with c(w) * COMMON >= N, are at most COMMON and go to every worker; all other tokens meet
-their counts in a join by hash, after a sum per text.
+tokens in all, V distinct. base(w) = (c(w) + 1) / (N + V + 1).
 
 N-grams of orders 2 and 3 are over all tokens, with the start of a text as a context, and
-are kept if they occur LEAST times, however large the input; trigrams are counted where both
-their bigrams are kept, which loses none. With discount D:
+are kept if they occur LEAST times, however large the input. With discount D:
     p(w | context) = (c(context w) - D) / c(context) + back(context) * p(w | shorter context)
 for kept n-grams, and the second part alone for others; back is the weight left over, so each
 context's probabilities sum to 1.
 
-A text's score is a sum over its tokens, bigrams and trigrams: base and back of each token,
-and of each kept n-gram what it changes against its back-off. So each is looked up on its own.
-The common n-grams, those over words with c(w) * WORDS >= N that occur N / GRAMS times, lie in
-the trie (see elias_fano), where logarithms are quantised to 4096 values a level; trie and
-common tokens are one file of bounded size, written to the shared folder, fetched by each
-executor through SparkContext.addFile and mapped by its workers. All other kept n-grams meet
-their values in the join of the other tokens. Bit filters of at most 2^FILTER_BITS bits, made
-of fingerprints of all n-grams, spare n-grams that surely occur once the exact count and the
-join; they change no result.
-
-Tokens are known by 64-bit hashes. Defined results. Null is the empty text, which is its
+Counting. Every text position gives a token with the one before and the one after; these
+triples are summed in each task, dealt by a hash of their first two tokens, and summed again: a
+part has all of the n-grams that begin with its pairs, so both orders come from one pass and one
+shuffle. Common tokens are numbered by rank, so that what is shuffled is small.
+
+The trie. Discounted probabilities and back-off weights, with logarithms quantised to 4096 values a level, lie
+in levels of Elias-Fano sequences (see elias_fano), sharded by the same hash. Executors build a
+shard each, write it into the shared folder, and all workers map it from there; a query finds a
+word among its context's children by its successor, and adds the back-off's share. Mapped are
+at most WORDS tokens and GRAMS n-grams of each order, the most usual ones: that is a bound on
+what workers map, not on what is kept. Tokens and kept n-grams beyond it meet
+their values in a join by hash, after a sum per text, as what they add to the score of a text:
+a token its base and back-off, a kept n-gram what it changes against its back-off. A filter of at most
+2**FILTER_BITS bits spares n-grams that surely are none of these the join.
+
+Defined results. Null text is the empty text: one end token. A text without known tokens has the
 end token. Nothing learnt: base(w) = 1 for every token, both scores 0, all tokens unknown.
 An empty table gives an empty result; repeated rows get a row each; very long texts are
 read whole. Extra columns are not read and can have any name.
@@ -35,37 +37,41 @@ from __future__ import annotations
 import gc
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entwine.functions.session import shared_folder, ship, stored
 from entwine.llm import kernels as k
-from entwine.llm.elias_fano import HashIndex, Level, mapped, packed
+from entwine.llm.elias_fano import HashIndex, Level, quantised
 from entwine.llm.language_id import remainder
+from entwine.llm.shared_files import arrays_of, put
 
-COMMON, WORDS, GRAMS = 1 << 20, 1 << 15, 1 << 20
+#: What workers map at most: tokens, n-grams of each order; and how many pairs a shard aims at.
+WORDS, GRAMS, SHARD = 1 << 22, 1 << 26, 1 << 20
 LEAST, FILTER_BITS = 2, 28
 DISCOUNT = 0.75
 END, START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x57A257A257A257A2)
-HELD = 300_000
-#: Bits of the fingerprints by which n-grams that may repeat are told; each part of their range is less than 2^32.
-FINE = 40
+#: Hashes of tokens are not below LOW, which leaves lesser codes for the numbers of common tokens.
+LOW = 1 << 24
+HELD, TRIPLES, PART = 300_000, 1_000_000, 1 << 21
+PIECE = 1 << 21
 
 
-def tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def tokens(texts: pa.Array, limit: int = k.PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, end text, token hashes with the end tokens, bounds of each text)."""
-    for i, j, data, offsets in k.pieces(texts, False):
+    for i, j, data, offsets in k.pieces(texts, False, limit):
         data = k.LOWER[data]
         words = k.Words(data, offsets, k.WHITE)
         bounds = words.bounds + np.arange(j - i + 1)
         out = np.full(int(bounds[-1]), END, np.uint64)
-        out[np.arange(len(words)) + words.doc] = k.span_hashes(data, words.start, words.end)
+        hashes = k.span_hashes(data, words.start, words.end)
+        out[np.arange(len(words)) + words.doc] = np.where(hashes < LOW, hashes + np.uint64(LOW), hashes)
         yield i, j, out, bounds
 
 
@@ -77,8 +83,8 @@ class Counter:
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
-        self.parts.append(_summed(keys, np.ones(len(keys), np.int64), *values))
+    def add(self, keys: np.ndarray, *sums: np.ndarray) -> None:
+        self.parts.append(_summed(keys, *sums))
         self.size += len(self.parts[-1][0])
         if self.size > HELD and len(self.parts) > 1:
             self.merge()
@@ -92,243 +98,365 @@ class Counter:
         return self.size > HELD
 
     def take(self) -> Iterator[pa.RecordBatch]:
-        """The values of each key (the key itself if it has none), and its sum."""
         self.merge()
-        for keys, n, *values in self.parts:
+        for keys, *sums in self.parts:
             for a in range(0, len(keys), 100_000):
-                columns = [pa.array(v[a : a + 100_000].view(np.int64)) for v in values or [keys]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n[a : a + 100_000])], [*self.names, "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), *[pa.array(s[a : a + 100_000]) for s in sums]], list(self.names))
         self.parts, self.size = [], 0
 
 
-def _summed(keys: np.ndarray, n: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, the sum of n of each, and the values that go with it."""
+def _summed(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, and the sums of each."""
     if not len(keys):
-        return keys, n, *values
-    order = np.argsort(keys, kind="stable")
+        return keys, *sums
+    order = np.argsort(keys)
     keys = keys[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    first = order[at]
-    return keys[at], np.add.reduceat(n[order], at), *[v[first] for v in values]
+    return keys[at], *[np.add.reduceat(s[order], at) for s in sums]
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = Counter("key")
+    counter = Counter("key", "n")
     for batch in batches:
         for _, _, h, _ in tokens(batch.column(0)):
-            counter.add(h)
+            counter.add(h, np.ones(len(h), np.int64))
             if counter.full():
                 yield from counter.take()
     yield from counter.take()
 
 
 def gram(first: np.ndarray, second: np.ndarray, order: int) -> np.ndarray:
-    """The key of an n-gram: of two tokens, or of the two bigrams of a trigram."""
+    """The key of an n-gram: of the codes of two tokens, or of a pair's key and a code."""
     return k.mix(first * k.M1 + second * k.M2, 3 + order)
 
 
-def before_each(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The token before each token; START before the first of a text."""
-    out = np.concatenate([[START], h[:-1]])
-    out[bounds[:-1]] = START
-    return out
+@dataclass
+class Vocabulary:
+    """The common tokens: their number is their place in falling order of counts; other tokens have their hash as code.
 
+    start: the code of the start of a text, none: of what comes after its end.
+    """
 
-def triples(pair: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The places of the tokens that end a trigram: all but the first of a text."""
-    ok = np.ones(len(pair), bool)
-    ok[bounds[:-1]] = False
-    return np.flatnonzero(ok)
+    index: HashIndex
+    number: np.ndarray
+    count: np.ndarray
+    sizes: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.total, self.distinct, self.texts, self.least = (int(x) for x in self.sizes)
+        self.start, self.none = len(self.number), len(self.number) + 1
 
-def _grams(batches: Iterator[pa.RecordBatch], order: int, bits2: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, a, b) of the n-grams of an order, piece by piece, without those that bits2 (of bigrams) rules out."""
-    for batch in batches:
-        for _, _, h, bounds in tokens(batch.column(0)):
-            before = before_each(h, bounds)
-            pair = gram(before, h, 2)
-            maybe = np.ones(len(pair), bool) if bits2 is None else among(bits2, pair)
-            if order == 2:
-                yield pair[maybe], before[maybe], h[maybe]
-            else:
-                at = triples(pair, bounds)
-                at = at[maybe[at] & maybe[at - 1]]
-                yield gram(pair[at - 1], pair[at], 3), pair[at - 1], pair[at]
-
-
-def _fingerprints(order: int, name: str | None, part_bits: int):
-    """(part, prints, often): the sorted fingerprints of a part as gaps, compressed, and which of them occur twice already."""
-
-    def flush(keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        prints, n = np.unique(np.concatenate(keys) >> np.uint64(64 - FINE), return_counts=True)
-        prints, often = prints.astype(np.int64), n > 1
-        part = prints >> (FINE - part_bits)
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else [0]
-        rows: tuple[list, list, list] = ([], [], [])
-        for x, y in zip(edges[:-1], edges[1:], strict=True):
-            gaps = np.diff(prints[x:y], prepend=part[x] << (FINE - part_bits)).astype(np.uint32)
-            planes = gaps.view(np.uint8).reshape(-1, 4).T.tobytes()  # the high bytes are alike
-            rows[0].append(int(part[x]))
-            rows[1].append(pa.compress(planes, codec="zstd", asbytes=True))
-            rows[2].append(len(gaps).to_bytes(4, "little") + np.packbits(often[x:y]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], ["part", "prints", "often"])
+    @classmethod
+    def read(cls, uri: str) -> Vocabulary:
+        a = arrays_of(uri)
+        return cls(HashIndex(a["hashes"], a["starts"], int(a["shift"][0])), a["number"], a["count"], a["sizes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits2 = _mapped(name)["bits"] if name else None
-        keys, held = [], 0
-        for key, _, _ in _grams(batches, order, bits2):
-            keys.append(key)
-            held += len(key)
-            if held > 3 * HELD:
-                yield from flush(keys)
-                keys, held = [], 0
-        if held:
-            yield from flush(keys)
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The number of each token, -1 for others than common ones."""
+        at = self.index.find(h)
+        return np.where(at >= 0, self.number[np.maximum(at, 0)], -1).astype(np.int64) if len(self.number) else at
 
-    return run
+    def codes(self, h: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        return np.where(numbers >= 0, numbers.astype(np.uint64), h)
 
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
+        """The token hash of each code (START for the start)."""
+        by_number = np.empty(self.start + 1, np.uint64)
+        by_number[self.number] = self.index.hashes
+        by_number[self.start] = START
+        return np.where(codes < LOW, by_number[np.minimum(codes, np.uint64(self.start)).astype(np.int64)], codes)
 
-def _repeated(part_bits: int, size: int):
-    """(part, bits) of rows of _fingerprints in order of part: the fingerprints that occur twice, by their first size bits."""
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return (count + 1.0) / (self.total + self.distinct + 1.0)
 
-    def bits_of(part: int, prints: list[np.ndarray], often: list[np.ndarray]) -> pa.RecordBatch:
-        all_, twice = np.concatenate(prints), np.concatenate(often)
-        order = np.argsort(all_)
-        all_, twice = all_[order], twice[order]
-        same = all_[1:] == all_[:-1]
-        twice[1:] |= same
-        slot = (all_[twice] - (part << (FINE - part_bits))) >> (FINE - size)
-        out = np.zeros(1 << (size - part_bits), bool)
-        out[slot] = True
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, prints, often = -1, [], []
-        for batch in batches:
-            for part, gaps, flags in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
-                if part != now and prints:
-                    yield bits_of(now, prints, often)
-                    prints, often = [], []
-                now, n = part, int.from_bytes(flags[:4], "little")
-                planes = np.frombuffer(pa.decompress(gaps, decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
-                values = np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32)[:, 0].astype(np.int64)
-                prints.append(np.cumsum(values) + (part << (FINE - part_bits)))
-                often.append(np.unpackbits(np.frombuffer(flags, np.uint8)[4:], count=n).astype(bool))
-        if prints:
-            yield bits_of(now, prints, often)
+def shifted(codes: np.ndarray, bounds: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """The code before and after each token of a text, first and last at its ends."""
+    before, after = np.empty_like(codes), np.empty_like(codes)
+    before[1:], after[:-1] = codes[:-1], codes[1:]
+    before[bounds[:-1]], after[bounds[1:] - 1] = first, last
+    return before, after
 
-    return run
+
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of a, the lowest of all elements first: the high bytes are alike."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def _bundle(*arrays: np.ndarray) -> bytes:
+    sizes = np.array([len(a) for a in arrays], np.int64).tobytes()
+    return sizes + pa.compress(b"".join(_planes(a) for a in arrays), codec="zstd", asbytes=True)
 
 
-def _maybe(texts: DataFrame, order: int, name: str | None, total: int) -> np.ndarray:
-    """A filter of the n-grams that occur twice; it lets all of these through, and others whose first bits are like one of theirs."""
-    part_bits = max(8, (total >> 21).bit_length())
-    size = max(part_bits + 3, min(FILTER_BITS, (2 * total).bit_length()))
-    prints = texts.mapInArrow(_fingerprints(order, name, part_bits), "part long, prints binary, often binary").repartition("part").sortWithinPartitions("part")
-    parts = prints.mapInArrow(_repeated(part_bits, size), "part long, bits binary").toArrow()
-    width = (1 << (size - part_bits)) // 8
-    out = np.zeros((1 << size) // 8, np.uint8)
-    for p, bits in zip(parts["part"].to_pylist(), parts["bits"], strict=True):
-        out[p * width : (p + 1) * width] = np.frombuffer(bits.as_buffer(), np.uint8)
+def _unbundle(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(blob[: 8 * len(kinds)], np.int64)
+    dtypes = [np.dtype(x) for x in kinds]
+    data = pa.decompress(blob[8 * len(kinds) :], decompressed_size=int(sum(n * d.itemsize for n, d in zip(sizes, dtypes, strict=True))), codec="zstd", asbytes=True)
+    out, at = [], 0
+    for n, d in zip(sizes, dtypes, strict=True):
+        planes = np.frombuffer(data, np.uint8, n * d.itemsize, at).reshape(d.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(d))
+        at += int(n) * d.itemsize
     return out
 
 
-def _counted(order: int, names: tuple[str, str]):
-    """(a, b, n) of the n-grams that the filters let through."""
+TRIPLE_KINDS = ("u8", "u8", "u4", "u8", "u8")
+
+
+def _sum_triples(pair: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(pair, a, b, number of its triples) of distinct pairs in order of their keys; (c, n) of their distinct triples."""
+    order = np.lexsort((c, pair))
+    pair, c, n = pair[order], c[order], n[order]
+    new_pair = np.concatenate([[True], pair[1:] != pair[:-1]])
+    at = np.flatnonzero(new_pair | np.concatenate([[True], c[1:] != c[:-1]]))
+    first = np.flatnonzero(new_pair[at])
+    of = order[at[first]]
+    many = np.diff(np.append(first, len(at))).astype(np.uint32)
+    return pair[at[first]], a[of], b[of], many, c[at], np.add.reduceat(n, at)
+
+
+def _triples(vocabulary: str, bits: int):
+    """(part, blob) of the summed triples of about TRIPLES positions at a time; a part is the first bits of a pair's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits2, counter = _mapped(names[0])["bits"], Counter("a", "b")
-        for key, a, b in _grams(batches, order, bits2):
-            ok = among(_mapped(names[1])["bits"], key) if order == 3 else np.ones(len(key), bool)
-            counter.add(key[ok], a[ok], b[ok])
-            if counter.full():
-                yield from counter.take()
-        yield from counter.take()
+        words, held, size = Vocabulary.read(vocabulary), [], 0
+        for batch in batches:
+            for _, _, h, bounds in tokens(batch.column(0)):
+                codes = words.codes(h, words.numbers(h))
+                before, after = shifted(codes, bounds, words.start, words.none)
+                held.append((gram(before, codes, 2), before, codes, after))
+                size += len(h)
+                if size > TRIPLES:
+                    yield flush(held)
+                    held, size = [], 0
+        if size:
+            yield flush(held)
+
+    def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        pair, a, b, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        pair, a, b, many, c, n = _sum_triples(pair, a, b, c, np.ones(len(pair), np.uint64))
+        part = _part(pair, bits)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        ends = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+        blobs = [_bundle(a[x:y], b[x:y], many[x:y], c[ends[x] : ends[y]], n[ends[x] : ends[y]]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
 
 
-def _keyed(order: int):
+def _part(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], group: str, column: str) -> Iterator[tuple[int, list[bytes]]]:
+    """The binaries of each run of equal values of group."""
+    now, held = None, []
+    for batch in batches:
+        for g, blob in zip(batch.column(group).to_pylist(), batch.column(column), strict=True):
+            if g != now and held:
+                yield now, held
+                held = []
+            now = g
+            held.append(blob.as_py())
+    if held:
+        yield now, held
+
+
+#: Of kept n-grams: a, b, n of pairs, and how many triples follow; c, n of triples.
+KEPT_KINDS = ("u8", "u8", "u8", "u4", "u8", "u8")
+
+
+def _keep(none: int):
+    """(part, blob, pairs, triples): the kept n-grams of a part; pairs, triples: their numbers by the whole logarithm of their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(gram(a, b, order).view(np.int64)), *batch.columns], ["key", *batch.schema.names])
+        for part, blobs in _rows(batches, "part", "blob"):
+            columns = [np.concatenate(x) for x in zip(*[_unbundle(x, *TRIPLE_KINDS) for x in blobs], strict=True)]
+            a, b, many, c, n = columns
+            of = np.repeat(np.arange(len(a)), many)
+            pair, a, b, many, c, n = _sum_triples(gram(a, b, 2)[of], a[of], b[of], c, n)
+            ends = np.cumsum(many, dtype=np.int64)
+            n2 = np.add.reduceat(n, ends - many.astype(np.int64))
+            good = n2 >= LEAST
+            of = np.repeat(np.arange(len(pair)), many)
+            good3 = (n >= LEAST) & (c != none)
+            many = np.bincount(of[good3], minlength=len(pair))[good].astype(np.uint32)
+            a, b, n2, c, n = a[good], b[good], n2[good], c[good3], n[good3]
+            sizes = [pa.array([np.bincount(np.log2(x).astype(int), minlength=48).tolist()], pa.list_(pa.int64())) for x in (n2, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([_bundle(a, b, n2, many, c, n)], pa.binary()), *sizes], ["part", "blob", "pairs", "triples"])
 
     return run
 
 
-def _kept(texts: DataFrame, order: int, names: tuple[str, str]) -> DataFrame:
-    """(key, a, b, n) of all n-grams of an order that occur LEAST times; a, b: as in gram()."""
-    found = texts.mapInArrow(_counted(order, names), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return stored(found.where(F.col("n") >= LEAST).mapInArrow(_keyed(order), "key long, a long, b long, n long"), f"lm-grams{order}")
+def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, seen, kinds): occurrences and number of the kept pairs of a first token."""
+    counter = Counter("a", "seen", "kinds")
+    for batch in batches:
+        for blob in batch.column(0):
+            a, _, n, *_ = _unbundle(blob.as_py(), *KEPT_KINDS)
+            counter.add(a, n.astype(np.int64), np.ones(len(a), np.int64))
+            if counter.full():
+                yield from counter.take()
+    yield from counter.take()
+
+
+def slots(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two of 2**size places for each key."""
+    mask = np.uint64((1 << size) - 1)
+    return ((keys >> np.uint64(7)) & mask).astype(np.int64), ((keys * k.GOLD) >> np.uint64(64 - size)).astype(np.int64)
+
+
+def bits_of(keys: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(1 << size, bool)
+    for at in slots(keys, size):
+        out[at] = True
+    return np.packbits(out, bitorder="little")
 
 
 def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key can be among those that bits was made of."""
-    at = keys >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    one, two = slots(keys, (len(bits) * 8).bit_length() - 1)
+    read = lambda at: (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return read(one) & read(two)
+
+
+@dataclass
+class Shard:
+    """Two levels of the trie, for the pairs whose keys begin alike, and filters of the keys in them."""
+
+    two: Level
+    three: Level
+    bits2: np.ndarray
+    bits3: np.ndarray
+
+    @classmethod
+    def read(cls, uri: str) -> Shard:
+        arrays = arrays_of(uri)
+        level = lambda name: Level.read({x.split("/")[1]: a for x, a in arrays.items() if x.startswith(name + "/")})
+        return cls(level("two"), level("three"), arrays["bits2"], arrays["bits3"])
+
+
+def _build(vocabulary: str, folder: str, bits: int, shard_bits: int, least: int):
+    """Write the shards of the kept n-grams that are mapped: of common tokens, and at least least occurrences."""
+
+    def build(shard: int, blobs: list[bytes]) -> None:
+        words = Vocabulary.read(vocabulary)
+        counts = np.append(np.zeros(words.start), words.texts)
+        counts[words.number] = words.count
+        a, b, n2, many, c, n3 = (np.concatenate(x) for x in zip(*[_unbundle(x, *KEPT_KINDS) for x in blobs], strict=True))
+        seen, of = np.zeros(len(a)), np.repeat(np.arange(len(a)), many)
+        np.add.at(seen, of, n3 - DISCOUNT)
+        common = (a <= words.start) & (b < words.start) & (n2 >= least)
+        order = np.flatnonzero(common)
+        order = order[np.lexsort((b[order], a[order]))]
+        place = np.full(len(a), -1, np.int64)
+        place[order] = np.arange(len(order))
+        back = np.log10(np.maximum(1 - seen / n2, 1e-9))[order]
+        two = Level.of(a[order].astype(np.int64), b[order].astype(np.int64), words.start + 1, np.log10((n2[order] - DISCOUNT) / counts[a[order].astype(np.int64)]), back)
+        good = np.flatnonzero(common[of] & (c < words.start) & (n3 >= least))
+        context = place[of[good]]
+        order3 = np.lexsort((c[good], context))
+        good, context = good[order3], context[order3]
+        three = Level.of(context, c[good].astype(np.int64), len(order), np.log10((n3[good] - DISCOUNT) / n2[of[good]]), np.zeros(len(good)))
+        keys = gram(a, b, 2)
+        arrays = {"bits2": bits_of(keys[order], _filter_size(len(order))), "bits3": bits_of(gram(keys[of[good]], c[good], 3), _filter_size(len(good)))}
+        for name, level in (("two", two), ("three", three)):
+            arrays |= {f"{name}/{x}": v for x, v in level.arrays().items()}
+        put(f"{folder}/shard-{shard}.bin", arrays)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, blobs in _rows(batches, "shard", "blob"):
+            build(shard, blobs)
+            yield pa.RecordBatch.from_arrays([pa.array([shard])], ["shard"])
 
-class Model:
-    """The mapped file: common tokens with counts and back-offs, word numbers, the levels, and the filters of other kept n-grams."""
-
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.total, self.distinct, self.start = (int(x) for x in arrays["sizes"])
-        self.index = HashIndex(arrays["hashes"], arrays["starts"], int(arrays["shift"][0]), int(arrays["shift"][1]))
-        self.count, self.word = arrays["count"], arrays["word"]
-        self.levels = [Level.read({x.split("/")[1]: a for x, a in arrays.items() if x.startswith(f"level{o}/")}) for o in (2, 3) if f"level{o}/prob" in arrays]
-        self.context_back, self.back = arrays["context_back"], arrays["back"]
-        # the filters of other kept n-grams are files of their own
-        self.bits = [_mapped(name)["bits"] for name in arrays["filters"].tobytes().decode().split()] if "filters" in arrays else []
-        self.filters = [arrays[f"filter{o}"] for o in range(2, 2 + len(self.levels))]
-
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 1.0) / (self.total + self.distinct + 1.0))
+    return run
 
-    def words(self, common: np.ndarray) -> np.ndarray:
-        """Word numbers of common token places; -1 outside the n-gram levels."""
-        return np.where(common >= 0, self.word[np.maximum(common, 0)], -1) if len(self.word) else np.full(len(common), -1, np.int64)
 
-    def find(self, order: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The places of (context, word) in a level, -1 where there is none; context or word may be -1."""
-        out = np.full(len(context), -1, np.int64)
-        maybe = np.flatnonzero((context >= 0) & (word >= 0))
-        maybe = maybe[self.filters[order - 2][slot(context[maybe], word[maybe], self.start)]] if len(maybe) else maybe
-        out[maybe] = self.levels[order - 2].find(context[maybe], word[maybe])
-        return out
+def _filter_size(n: int) -> int:
+    return max(8, (8 * n).bit_length())
 
-    def contexts(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The number of the token before each token; the start of the text before its first."""
-        before = np.concatenate([[-1], words[:-1]])
-        before[bounds[:-1]] = self.start
-        return before
 
+@dataclass
+class Mapped:
+    """What workers map: common tokens with counts and back-offs, the shards of the trie, the filter of n-grams outside it."""
 
-def slot(context: np.ndarray, word: np.ndarray, start: int) -> np.ndarray:
-    return (k.mix((context * (start + 1) + word).astype(np.uint64), 3) >> np.uint64(42)).astype(np.int64)
+    vocabulary: str
+    backs: str
+    folder: str
+    shards: frozenset[int]
+    shard_bits: int
+    rest: str | None
 
 
-@lru_cache(6)
-def _mapped(name: str) -> dict[str, np.ndarray]:
-    return mapped(SparkFiles.get(name))
+class Model:
+    def __init__(self, of: Mapped):
+        self.words, backs = Vocabulary.read(of.vocabulary), arrays_of(of.backs)
+        # by number, the start last
+        self.back = backs["book"][backs["code"]] if len(backs["book"]) else np.zeros(self.words.start + 1)
+        self.count = np.zeros(self.words.start, np.float64)
+        self.count[self.words.number] = self.words.count
+        self.shards = {s: Shard.read(f"{of.folder}/shard-{s}.bin") for s in of.shards}
+        self.shard_bits = of.shard_bits
+        self.rest = arrays_of(of.rest)["bits"] if of.rest else None
+
+    def _each_shard(self, keys: np.ndarray, at: np.ndarray) -> Iterator[tuple[Shard, np.ndarray]]:
+        """The shards, with the places of at whose keys they can have."""
+        shard = _part(keys[at], self.shard_bits)
+        order = np.argsort(shard.astype(np.uint16 if self.shard_bits <= 16 else np.int64), kind="stable")
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]]) if len(order) else [0]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            if (s := self.shards.get(int(shard[order[x]]))) is not None:
+                yield s, at[order[x:y]]
+
+    def log_probs(self, h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of each token: its number, log10 of its unigram probability, and of its probability, both without what is joined later;
+        then the places and the keys of the n-grams that may have to be joined, of both orders."""
+        words = self.words
+        number = words.numbers(h)
+        known = number >= 0
+        codes = words.codes(h, number)
+        before, _ = shifted(codes, bounds, words.start, words.none)
+        context = shifted(number, bounds, words.start, 0)[0]
+        base = np.where(known, words.base(self.count[np.maximum(number, 0)]) if words.start else 1.0, 1.0)
+        low = base * np.where(context >= 0, 10.0 ** self.back[np.maximum(context, 0)], 1.0)
+        pair = gram(before, codes, 2)
+        place, q, back = np.full(len(h), -1, np.int64), np.zeros(len(h)), np.ones(len(h))
+        for shard, at in self._each_shard(pair, np.flatnonzero(known & (context >= 0))):
+            at = at[among(shard.bits2, pair[at])]
+            found = shard.two.find(context[at], number[at])
+            at, found = at[found >= 0], found[found >= 0]
+            place[at], q[at] = found, 10.0 ** shard.two.prob_book[shard.two.prob[found]]
+            back[at] = 10.0 ** shard.two.back_book[shard.two.back[found]]
+        inner = np.ones(len(h), bool)
+        inner[bounds[:-1]] = False
+        third = np.flatnonzero(inner)
+        triple = np.zeros(len(h), np.uint64)
+        triple[third] = gram(pair[third - 1], codes[third], 3)
+        p = low + q
+        low3 = np.ones(len(h))
+        low3[third] = np.where(place[third - 1] >= 0, back[third - 1], 1.0)
+        q3 = np.zeros(len(h))
+        both = third[(place[third] >= 0) & (place[third - 1] >= 0)]
+        for shard, at in self._each_shard(pair, both - 1):
+            at = at[among(shard.bits3, triple[at + 1])]
+            found = shard.three.find(place[at], number[at + 1])
+            at, found = at[found >= 0], found[found >= 0]
+            q3[at + 1] = 10.0 ** shard.three.prob_book[shard.three.prob[found]]
+        logs = np.log10(low3 * p + q3)
+        if self.rest is None:
+            none = np.zeros(0, np.int64)
+            return number, np.log10(base), logs, [none, none], [pair, triple]
+        rest3 = third[q3[third] == 0]
+        return number, np.log10(base), logs, [np.flatnonzero((place < 0) & among(self.rest, pair)), rest3[among(self.rest, triple[rest3])]], [pair, triple]
 
 
 @lru_cache(2)
-def _model(name: str) -> Model:
-    return Model(_mapped(name))
+def _model(vocabulary: str, backs: str, folder: str, shards: frozenset[int], shard_bits: int, rest: str | None) -> Model:
+    return Model(Mapped(vocabulary, backs, folder, shards, shard_bits, rest))
 
 
-def publish(spark: SparkSession, arrays: dict[str, np.ndarray]) -> str:
-    """Write arrays as one file in the shared folder and hand it to the executors; its name there."""
-    name = f"ngrams-{uuid.uuid4().hex[:12]}.bin"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
-    data = packed(arrays)
-    for a in range(0, len(data), 1 << 20):
-        out.write(data[a : a + (1 << 20)])
-    out.close()
-    spark.sparkContext.addFile(path.toString())
-    return name
+def model_of(of: Mapped) -> Model:
+    return _model(of.vocabulary, of.backs, of.folder, of.shards, of.shard_bits, of.rest)
 
 
 def _release(spark: SparkSession) -> None:
@@ -337,167 +465,196 @@ def _release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _weighed(grams: DataFrame, context: str) -> DataFrame:
-    """(of, seen, kinds): occurrences and number of the kept n-grams of each context."""
-    return grams.groupBy(F.col(context).alias("of")).agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
+def _least(sizes: list[int], bound: int, from_: int) -> int:
+    """The least power of two, at least from_, such that no more than bound of what sizes counts by whole logarithms reach it."""
+    out = from_
+    while sum(sizes[out.bit_length() - 1 :]) > bound:
+        out *= 2
+    return out
 
 
-def _back(n: str) -> Column:
-    """The weight that a context of n occurrences leaves to its back-off; 1 if no n-gram of it is kept."""
-    return F.coalesce(1 - (F.col("seen") - F.lit(DISCOUNT) * F.col("kinds")) / F.col(n), F.lit(1.0))
+def _vocabulary(counts: DataFrame, texts: int, folder: str) -> tuple[str, Vocabulary]:
+    sizes = [0] * 48
+    for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).agg(F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("n")).collect():
+        sizes[r["size"]], sizes[-1] = r["tokens"], sizes[-1] + r["n"]
+    total, distinct, sizes[-1] = sizes[-1], sum(sizes[:-1]), 0
+    least = _least(sizes, WORDS, 1)
+    common = counts.where(F.col("n") >= least).toArrow()
+    hashes, n = common["key"].to_numpy().view(np.uint64), common["n"].to_numpy()
+    order = np.argsort(hashes)
+    hashes, n = hashes[order], n[order]
+    number = np.empty(len(n), np.int32)
+    number[np.lexsort((hashes, -n))] = np.arange(len(n), dtype=np.int32)
+    index = HashIndex.of(hashes)
+    sizes = np.array([total, distinct, texts, least])
+    uri = put(f"{folder}/vocabulary.bin", {"hashes": hashes, "starts": index.starts, "shift": np.array([index.shift]), "number": number, "count": n, "sizes": sizes})
+    return uri, Vocabulary(index, number, n, sizes)
 
 
-def _log(weight: str) -> Column:
-    return F.log10(F.greatest(F.col(weight), F.lit(1e-9)))
+def _backs(words: Vocabulary, followers: DataFrame, folder: str) -> str:
+    """The logarithms of what common tokens, and the start of a text, leave to their back-off."""
+    common = followers.where(F.col("a").between(0, words.start)).toArrow()
+    counts = np.append(np.zeros(words.start), max(1, words.texts))
+    counts[words.number] = words.count
+    left = np.ones(words.start + 1)
+    a = common["a"].to_numpy()
+    left[a] = 1 - (common["seen"].to_numpy() - DISCOUNT * common["kinds"].to_numpy()) / counts[a]
+    code, book = quantised(np.log10(np.maximum(left, 1e-9)))
+    return put(f"{folder}/backs.bin", {"code": code, "book": book})
 
 
-def learn(docs: DataFrame) -> tuple[str, DataFrame, int, int]:
-    """From every text of docs: the file of the model, (key, known, base, value) of tokens and kept n-grams that are not in it, N and V.
+def learn(docs: DataFrame) -> tuple[Mapped, DataFrame, int, int]:
+    """From every text of docs: what workers map, (key, known, base, value) of other tokens and kept n-grams, N and V.
 
     base, value: what a token adds to a text's base score and score beyond an unknown one, an n-gram beyond its back-off.
     """
     spark = docs.sparkSession
     ship(spark)
+    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex[:12]}"
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = stored(texts.mapInArrow(_unigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-unigrams")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    least, first = -(-total // COMMON), F.lit(int(START.view(np.int64)))
-    if not total:
-        arrays = {"sizes": np.zeros(3, np.int64), "hashes": np.zeros(0, np.uint64), "count": np.zeros(0, np.int64), "word": np.zeros(0, np.int32)}
-        index = HashIndex.of(arrays["hashes"])
-        arrays |= {"starts": index.starts, "shift": np.array([index.shift, index.longest]), "context_back": np.zeros(0), "back": np.zeros(0)}
-        return publish(spark, arrays), counts.select("key", F.lit(1).alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("value")), 0, 0
-    bits2 = publish(spark, {"bits": _maybe(texts, 2, None, total)})
-    names = bits2, publish(spark, {"bits": _maybe(texts, 3, bits2, total)})
-    pairs, kept3 = _kept(texts, 2, names), _kept(texts, 3, names)
     _release(spark)
-    # tokens, and the start of a text as a context
-    contexts = counts.unionByName(spark.range(1).select(first.alias("key"), F.lit(texts.count()).cast("long").alias("n")))
-    words = stored(contexts.join(_weighed(pairs, "a"), F.col("key") == F.col("of"), "left").select("key", "n", _back("n").alias("back")), "lm-words")
-    chosen = (F.col("n") * WORDS >= total) | (F.col("key") == first)
-    side = lambda s: words.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("back").alias(f"back_{s}"), chosen.alias(f"chosen_{s}"))
-    often = F.col("n") >= max(LEAST, -(-total // GRAMS))
-    base = (F.col("n_b") + 1.0) / F.lit(float(total + distinct + 1))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").join(_weighed(kept3, "a"), F.col("key") == F.col("of"), "left")
-    pairs = stored(
-        pairs.select(
-            "key", "a", "b", "n", ((F.col("n") - DISCOUNT) / F.col("n_a") + F.col("back_a") * base).alias("p"), _back("n").alias("back"),
-            (F.log10(base) + _log("back_a")).alias("shorter"), (F.col("chosen_a") & F.col("chosen_b") & often).alias("common"),
-        ),
-        "lm-pairs",
-    )
-    ends = lambda s: pairs.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("p").alias(f"p_{s}"), F.col("back").alias(f"back_{s}"), F.col("common").alias(f"common_{s}"))
-    threes = kept3.join(ends("a"), "a").join(ends("b"), "b").select(
-        "key", "a", "b", ((F.col("n") - DISCOUNT) / F.col("n_a") + F.col("back_a") * F.col("p_b")).alias("p"),
-        (F.log10("p_b") + _log("back_a")).alias("shorter"), (F.col("common_a") & F.col("common_b") & often).alias("common"),
-    )
-    threes = stored(threes, "lm-triples")
+    uri, words = _vocabulary(counts, texts.count(), folder)
+    rare = counts.where(F.col("n") < words.least)
+    if not words.total:
+        followers = spark.createDataFrame([], "a long, seen long, kinds long")
+        return Mapped(uri, _backs(words, followers, folder), folder, frozenset(), 0, None), _tokens(rare), 0, 0
+    bits = max(0, (words.total // PART).bit_length())
+    parts = texts.mapInArrow(_triples(uri, bits), "part long, blob binary").repartition(1 << bits, "part").sortWithinPartitions("part")
+    kept = stored(parts.mapInArrow(_keep(words.none), "part long, blob binary, pairs array<long>, triples array<long>"), "lm-kept")
+    del parts
     _release(spark)
-    arrays = _common(words.where((F.col("n") >= least) & (F.col("key") != first)), words.where(F.col("key") == first).first()["back"], pairs, threes, total, distinct)
-    tokens_ = words.where((F.col("n") < least) & (F.col("key") != first)).select("key", F.lit(1).alias("known"), F.log10(F.col("n") + 1.0).alias("base"), (F.log10(F.col("n") + 1.0) + _log("back")).alias("value"))
-    more = lambda grams, value: grams.where(~F.col("common")).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), value.alias("value"))
-    gain = F.log10("p") - F.col("shorter")
-    others = tokens_.unionByName(more(pairs, gain + _log("back"))).unionByName(more(threes, gain))
-    return publish(spark, arrays | {"filters": np.frombuffer(" ".join(names).encode(), np.uint8)}), others, total, distinct
-
-
-def _common(words: DataFrame, start_back: float, pairs: DataFrame, threes: DataFrame, total: int, distinct: int) -> dict[str, np.ndarray]:
-    """The arrays of the model's file: of at most COMMON tokens, and GRAMS n-grams of each order."""
-    common = words.toArrow()
-    hashes, n, back = common["key"].to_numpy().view(np.uint64), common["n"].to_numpy(), common["back"].to_numpy()
-    order = np.argsort(hashes)
-    hashes, n, back = hashes[order], n[order], np.log10(np.maximum(back[order], 1e-9))
-    index = HashIndex.of(hashes)
-    chosen = n * WORDS >= total
-    word = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
-    start = int(chosen.sum())  # the number of the start of a text, as a context
-    arrays = {
-        "sizes": np.array([total, distinct, start]),
-        "hashes": hashes,
-        "starts": index.starts,
-        "shift": np.array([index.shift, index.longest]),
-        "count": n,
-        "word": word,
-        "context_back": np.append(back[chosen], np.log10(max(start_back, 1e-9))),
-        "back": np.where(chosen, 0.0, back),  # of tokens outside the levels
-    }
-    two = pairs.where("common").select("key", "a", "b", "p", "back").toArrow()
-    key, a, b = (two[c].to_numpy().view(np.uint64) for c in ("key", "a", "b"))
-    at = index.find(a)
-    context, of = np.where(a == START, start, word[at] if len(word) else at), word[index.find(b)].astype(np.int64) if len(word) else index.find(b)
-    order = np.lexsort((of, context))
-    key, context, of = key[order], context[order].astype(np.int64), of[order]
-    p2, back3 = two["p"].to_numpy()[order], two["back"].to_numpy()[order]
-    three = threes.where("common").select("a", "b", "p").toArrow()
-    by_key = np.argsort(key)
-    place = lambda c: by_key[np.searchsorted(key[by_key], three[c].to_numpy().view(np.uint64))] if len(three) else np.zeros(0, np.int64)
-    pair, of3 = place("a"), of[place("b")]
-    order = np.lexsort((of3, pair))
-    pair, of3, p3 = pair[order], of3[order], three["p"].to_numpy()[order]
-    arrays |= {f"level2/{x}": v for x, v in Level.of(context, of, start + 1, np.log10(p2), np.log10(np.maximum(back3, 1e-9))).arrays().items()}
-    arrays |= {f"level3/{x}": v for x, v in Level.of(pair, of3, len(key), np.log10(p3), np.zeros(len(p3))).arrays().items()}
-    return arrays | {"filter2": _filter(context, of, start), "filter3": _filter(pair, of3, start)}
-
-
-def _filter(context: np.ndarray, word: np.ndarray, start: int) -> np.ndarray:
-    out = np.zeros(1 << 22, bool)
-    out[slot(context, word, start)] = True
-    return out
+    sizes = {c: [0] * 48 for c in ("pairs", "triples")}
+    for c in sizes:
+        for r in kept.select(F.posexplode(c).alias("size", "n")).groupBy("size").agg(F.sum("n").alias("n")).collect():
+            sizes[c][r["size"]] = r["n"]
+    least = max(_least(s, GRAMS, LEAST) for s in sizes.values())
+    followers = stored(kept.select("blob").mapInArrow(_followers, "a long, seen long, kinds long").groupBy("a").agg(F.sum("seen").alias("seen"), F.sum("kinds").alias("kinds")), "lm-followers")
+    backs = _backs(words, followers, folder)
+    mapped_pairs = sum(sizes["pairs"][least.bit_length() - 1 :])
+    shard_bits = min(bits, (mapped_pairs // SHARD).bit_length())
+    dealt = kept.select(F.shiftright("part", bits - shard_bits).alias("shard"), "blob").repartition(1 << shard_bits, "shard").sortWithinPartitions("shard")
+    shards = frozenset(r["shard"] for r in dealt.mapInArrow(_build(uri, folder, bits, shard_bits, least), "shard long").collect())
+    if words.least <= LEAST and least == LEAST:  # every kept n-gram is mapped; tokens that are not occur once
+        return Mapped(uri, backs, folder, shards, shard_bits, None), _tokens(rare), words.total, words.distinct
+    rest, more = _rest(kept, counts, followers, words, uri, least)
+    filter_ = _rest_filter(rest, folder, words.total)
+    return Mapped(uri, backs, folder, shards, shard_bits, filter_), _tokens(rare.join(more, "key", "left")).unionByName(rest), words.total, words.distinct
+
+
+def _tokens(rare: DataFrame) -> DataFrame:
+    """Of tokens (key, n, and log_back if they can have one)."""
+    base = F.log10(F.col("n") + 1.0)
+    back = F.coalesce("log_back", F.lit(0.0)) if "log_back" in rare.columns else F.lit(0.0)
+    return rare.select("key", F.lit(1).alias("known"), base.alias("base"), (base + back).alias("value"))
+
+
+def _decoded(vocabulary: str, least: int):
+    """(key, a, b, bc, n, context_n, log_back, mapped, order) of kept n-grams; a and b: token hashes of a pair; bc: the key of a triple's last pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Vocabulary.read(vocabulary)
+        for batch in batches:
+            for blob in batch.column(0):
+                a, b, n2, many, c, n3 = _unbundle(blob.as_py(), *KEPT_KINDS)
+                seen, of = np.zeros(len(a)), np.repeat(np.arange(len(a)), many)
+                np.add.at(seen, of, n3 - DISCOUNT)
+                pair, back = gram(a, b, 2), np.log10(np.maximum(1 - seen / n2, 1e-9))
+                common = (a <= words.start) & (b < words.start) & (n2 >= least)
+                common3 = common[of] & (c < words.start) & (n3 >= least)
+                zero, one = np.zeros(len(a), np.uint64), np.zeros(len(c), np.uint64)
+                for columns in (
+                    (pair, words.hashes(a), words.hashes(b), zero, n2, zero, back, common, np.full(len(a), 2)),
+                    (gram(pair[of], c, 3), one, one, gram(b[of], c, 2), n3, n2[of], back[of], common3, np.full(len(c), 3)),
+                ):
+                    arrays = [pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns]
+                    yield pa.RecordBatch.from_arrays(arrays, ["key", "a", "b", "bc", "n", "context_n", "log_back", "mapped", "order"])
+
+    return run
+
+
+def _rest(kept: DataFrame, counts: DataFrame, followers: DataFrame, words: Vocabulary, vocabulary: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(key, known, base, value) of the kept n-grams that are not mapped; (key, log_back) of the tokens that are not."""
+    spark = kept.sparkSession
+    schema = "key long, a long, b long, bc long, n long, context_n long, log_back double, mapped boolean, order long"
+    grams = kept.select("blob").mapInArrow(_decoded(vocabulary, least), schema)
+    log = lambda c: F.log10(F.greatest(c, F.lit(1e-9)))
+    start = spark.range(1).select(F.lit(int(START.view(np.int64))).alias("key"), F.lit(words.texts).cast("long").alias("n"))
+    # followers have codes; those of common tokens are in the mapped file, and come from there
+    rare_backs = followers.where(~F.col("a").between(0, words.start)).select(F.col("a").alias("key"), "seen", "kinds")
+    common = spark.range(1).mapInArrow(_common_backs(vocabulary), "code long, key long")
+    common_backs = followers.where(F.col("a").between(0, words.start)).join(common, F.col("a") == F.col("code")).select("key", "seen", "kinds")
+    left = log(1 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("n"))
+    each = counts.unionByName(start).join(rare_backs.unionByName(common_backs), "key", "left")
+    each = stored(each.select("key", "n", F.coalesce(left, F.lit(0.0)).alias("log_back")), "lm-words")
+    base = (F.col("n_b") + 1.0) / F.lit(float(words.total + words.distinct + 1))
+    side = lambda s: each.select(F.col("key").alias(s), F.col("n").alias(f"n_{s}"), F.col("log_back").alias(f"back_{s}"))
+    pairs = grams.where("order = 2").join(side("a"), "a").join(side("b"), "b")
+    lower = F.pow(F.lit(10.0), F.col("back_a")) * base
+    pairs = pairs.select("key", "log_back", "mapped", lower.alias("lower"), ((F.col("n") - DISCOUNT) / F.col("n_a") + lower).alias("p"))
+    pairs = stored(pairs, "lm-pairs")
+    triples = grams.where("order = 3 AND NOT mapped").join(pairs.select(F.col("key").alias("bc"), F.col("p").alias("p_bc")), "bc")
+    lower3 = F.pow(F.lit(10.0), F.col("log_back")) * F.col("p_bc")
+    out = lambda df, value: df.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), value.alias("value"))
+    rest = out(pairs.where("NOT mapped"), F.log10("p") - F.log10("lower") + F.col("log_back"))
+    rest = rest.unionByName(out(triples, F.log10((F.col("n") - DISCOUNT) / F.col("context_n") + lower3) - F.log10(lower3)))
+    return stored(rest, "lm-rest"), each.select("key", "log_back")
+
+
+def _common_backs(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Vocabulary.read(vocabulary)
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                codes = np.arange(words.start + 1, dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(words.hashes(codes).view(np.int64))], ["code", "key"])
+
+    return run
 
 
-def log_probs(model: Model, words: np.ndarray, base: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """log10 of each token's probability by the n-grams of the file; base: log10 of its unigram probability, 0 where it is added later."""
-    return _log_probs(model, words, base, bounds)[0]
+def _rest_filter(rest: DataFrame, folder: str, total: int) -> str:
+    """A file with the filter of the keys of rest, made in slices of its places."""
+    size = max(12, min(FILTER_BITS, (8 * total).bit_length()))
+    cut = max(0, size - 20)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(slots(batch.column(0).to_numpy().view(np.uint64), size)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 20), pa.array(at)], ["slice", "at"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            s, at = (batch.column(c).to_numpy() for c in (0, 1))
+            for one in np.unique(s):
+                slices.setdefault(int(one), np.zeros(1 << min(size, 20), bool))[at[s == one] & ((1 << 20) - 1)] = True
+        for one, bits in slices.items():
+            yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
 
-def _log_probs(model: Model, words: np.ndarray, base: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log_probs(), and the place in level 2 and in level 3 of the n-gram that each token ends, -1 where there is none."""
-    before = model.contexts(words, bounds)
-    if not model.levels:
-        return base, np.full(len(base), -1, np.int64), np.full(len(base), -1, np.int64)
-    two, three = model.levels
-    pair = model.find(2, before, words)
-    context = np.concatenate([[-1], pair[:-1]])
-    context[bounds[:-1]] = -1
-    triple = model.find(3, context, words)
-    out = base + np.where(before >= 0, model.context_back[np.maximum(before, 0)], 0.0)
-    if two.words.n:
-        out = np.where(pair >= 0, two.prob_book[two.prob[np.maximum(pair, 0)]], out)
-        out = out + np.where(context >= 0, two.back_book[two.back[np.maximum(context, 0)]], 0.0)
-    if three.words.n:
-        out = np.where(triple >= 0, three.prob_book[three.prob[np.maximum(triple, 0)]], out)
-    return out, pair, triple
+    dealt = rest.select("key").mapInArrow(place, "slice long, at long").repartition(1 << min(cut, 6), "slice")
+    out, width = np.zeros((1 << size) // 8, np.uint8), (1 << min(size, 20)) // 8
+    table = dealt.mapInArrow(fill, "slice long, bits binary").toArrow()  # at most 2**(FILTER_BITS - 3) bytes
+    for s, bits in zip(table["slice"].to_pylist(), table["bits"], strict=True):
+        out[s * width : (s + 1) * width] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return put(f"{folder}/rest.bin", {"bits": out})
 
 
-def _score(name: str):
+def _score(of: Mapped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(name)
+        model = model_of(of)
         for batch in batches:
-            for i, j, h, bounds in tokens(batch.column(0)):
-                common = model.index.find(h)
-                known = common >= 0
-                base = np.where(known, model.base(model.count[np.maximum(common, 0)]) if len(model.count) else 0.0, 0.0)
-                logs, in2, in3 = _log_probs(model, model.words(common), base, bounds)
-                if len(model.back):
-                    logs = logs + np.where(known, model.back[np.maximum(common, 0)], 0.0)
+            for i, j, h, bounds in tokens(batch.column(0), PIECE):
+                number, base, logs, places, keys = model.log_probs(h, bounds)
+                known = number >= 0
                 # the other tokens and n-grams, summed per text
-                other = [(np.flatnonzero(~known), h)]
-                if model.levels:
-                    pair = gram(before_each(h, bounds), h, 2)
-                    at = triples(pair, bounds)
-                    triple = np.zeros(len(pair), np.uint64)
-                    triple[at] = gram(pair[at - 1], pair[at], 3)
-                    maybe = among(model.bits[0], pair)
-                    other.append((np.flatnonzero((in2 < 0) & maybe), pair))
-                    at = at[(in3[at] < 0) & maybe[at] & maybe[at - 1]]
-                    other.append((at[among(model.bits[1], triple[at])], triple))
-                keys = np.concatenate([x[at] for at, x in other])
-                doc = np.repeat(np.arange(j - i), np.diff(bounds))[np.concatenate([at for at, _ in other])]
-                order = np.lexsort((keys, doc))
-                rare, of = keys[order], doc[order]
-                new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])])) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate([new, [len(rare)]])).astype(np.int32)
-                ends = np.searchsorted(of[new], np.arange(j - i + 1)).astype(np.int32)
+                places, keys = [np.flatnonzero(~known), *places], [h, *keys]
+                rare = np.concatenate([x[at] for x, at in zip(keys, places, strict=True)])
+                doc = np.repeat(np.arange(j - i), np.diff(bounds))[np.concatenate(places)]
+                order = np.lexsort((rare, doc))
+                rare, doc = rare[order], doc[order]
+                new = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (doc[1:] != doc[:-1])])) if len(rare) else np.zeros(0, np.int64)
+                times = np.diff(np.append(new, len(rare))).astype(np.int32)
+                ends = np.searchsorted(doc[new], np.arange(j - i + 1)).astype(np.int32)
                 part = batch.slice(i, j - i)
                 sums = [np.diff(bounds).astype(np.int64), k.per_doc(known.astype(np.int64), bounds), k.per_doc(base, bounds), k.per_doc(logs, bounds)]
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare[new].view(np.int64), times)]
@@ -512,13 +669,12 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
 
     train: the texts to learn from.
     """
-    spark = docs.sparkSession
-    name, others, total, distinct = learn(train)
+    of, others, total, distinct = learn(train)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     schema = f"doc_id {id_type}, held_out boolean, mark long, n_tokens long, n_common long, base_common double, score_common double, rare array<long>, times array<int>"
     sent = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", "held_out", mark.alias("mark"))
-    rows = stored(sent.mapInArrow(_score(name), schema), "lm-rows")
+    rows = stored(sent.mapInArrow(_score(of), schema), "lm-rows")
     pairs = rows.select("doc_id", "mark", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("doc_id", "mark", F.col("t.rare").alias("key"), "t.times")
     added = lambda c: F.sum(F.col(c) * F.col("times")).alias(f"rare_{c}")
     sums = pairs.join(others, "key").groupBy("doc_id", "mark").agg(added("known"), added("base"), added("value"))

@@ -43,6 +43,7 @@ def test_lm_scores(spark, data, oracle):
     want = h.unigram_scores(documents(oracle))
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[5] for g in got] == pytest.approx([w[5] for w in want], rel=1e-9, abs=1e-5)
+    assert {r["doc_id"]: r["score"] for r in rows} == pytest.approx(h.ngram_scores(documents(oracle)), rel=1e-4, abs=1e-3)
     unseen = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
 

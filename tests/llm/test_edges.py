@@ -73,21 +73,40 @@ def test_lm_scores_of_odd_texts(spark):
     assert sorted(r["base_score"] for r in got) == pytest.approx(want, abs=1e-5)
 
 
+def test_elias_fano():
+    """Access, successors and children against plain arrays."""
+    import numpy as np
+
+    from entwine.llm.elias_fano import EliasFano, Level
+
+    draw = np.random.default_rng(0)
+    for n, universe in ((1000, 5000), (5, 10**6), (10_000, 20_000), (300, 300), (1, 1), (4000, 1 << 40)):
+        values = np.sort(draw.integers(0, universe, n))
+        made = EliasFano.of(values, universe)
+        assert (made.access(np.arange(n)) == values).all()
+        asked = draw.integers(0, universe, 2000)
+        at, equal = made.successor(asked)
+        assert (at == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
+    keys = np.unique(draw.integers(0, 500_000, 3000))
+    level = Level.of(keys // 1000, keys % 1000, 501, draw.random(len(keys)), draw.random(len(keys)))
+    assert (level.find(keys // 1000, keys % 1000) == np.arange(len(keys))).all()
+    asked = draw.integers(0, 500_000, 5000)
+    assert ((level.find(asked // 1000, asked % 1000) >= 0) == np.isin(asked, keys)).all()
+
+
 def test_lm_probabilities_sum_to_one(spark):
     """Over all known words and one unknown, after each context."""
     import numpy as np
 
     rows = [(i, "a b a b c a b " * (1 + i % 3) + f"w{i % 5}", "en", "a", 1) for i in range(60)]
-    name, _, _, _ = lm_scoring.learn(h.frame(spark, rows))
-    model = lm_scoring._model(name)
-    hashes = np.array(model.index.hashes)
+    of, _, _, _ = lm_scoring.learn(h.frame(spark, rows))
+    model = lm_scoring.model_of(of)
+    hashes = np.array(model.words.index.hashes)
     for first in range(len(hashes)):
         for second in range(len(hashes)):
-            texts = np.stack([np.full(len(hashes) + 1, hashes[first]), np.full(len(hashes) + 1, hashes[second]), np.append(hashes, np.uint64(1))], 1)
-            flat, bounds = texts.reshape(-1), np.arange(0, texts.size + 1, 3)
-            common = model.index.find(flat)
-            base = model.base(np.where(common >= 0, model.count[np.maximum(common, 0)], 0))
-            logs = lm_scoring.log_probs(model, model.words(common), base, bounds).reshape(-1, 3)[:, 2]
+            texts = np.stack([np.full(len(hashes) + 1, hashes[first]), np.full(len(hashes) + 1, hashes[second]), np.append(hashes, np.uint64(1 << 40))], 1)
+            _, _, logs, _, _ = model.log_probs(texts.reshape(-1), np.arange(0, texts.size + 1, 3))
+            logs = logs.reshape(-1, 3)[:, 2] - np.append(np.zeros(len(hashes)), np.log10(model.words.total + model.words.distinct + 1))
             assert (10**logs).sum() == pytest.approx(1, abs=1e-3)
 
 
@@ -99,8 +118,8 @@ def test_lm_scores_count_every_repeated_ngram(spark, monkeypatch):
     rows = [(i, " ".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(40)))) for i in range(80)]
     want = h.ngram_scores(rows)
     table = h.frame(spark, [(i, t, "en", "a", 1) for i, t in rows])
-    for bounds in ((1 << 20, 1 << 15, 1 << 20), (16, 16, 64), (1, 1, 1)):
-        for name, bound in zip(("COMMON", "WORDS", "GRAMS"), bounds, strict=True):
+    for bounds in ((1 << 22, 1 << 26, 1 << 20, 1 << 21), (1 << 22, 1 << 26, 16, 64), (16, 64, 1 << 20, 64), (1 << 22, 64, 8, 64), (1, 1, 1, 64)):
+        for name, bound in zip(("WORDS", "GRAMS", "SHARD", "PART"), bounds, strict=True):
             monkeypatch.setattr(lm_scoring, name, bound)
         got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(table).collect()}
         assert got == pytest.approx(want, abs=1e-5), bounds
