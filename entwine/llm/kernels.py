@@ -7,7 +7,9 @@ longest text, not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,39 @@ MARKS[:128] = [not chr(i).isalnum() for i in range(128)]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """name, with as many underscores after it as it takes to be none of columns in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+@lru_cache(1)
+def wordy() -> np.ndarray:
+    """Whether each code point is a letter, a digit or a mark that combines with one."""
+    out = np.zeros(0x110000, bool)
+    out[[i for i in range(0x110000) if unicodedata.category(chr(i))[0] in "LNM"]] = True
+    return out
+
+
+def in_words(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 is of a code point that is wordy()."""
+    out = ~MARKS[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        b = [np.append(data, np.zeros(3, np.uint8))[lead + i].astype(np.int32) for i in range(4)]
+        tail = [x & 63 for x in b]
+        two, three = (b[0] & 31) << 6 | tail[1], (b[0] & 15) << 12 | tail[1] << 6 | tail[2]
+        four = (b[0] & 7) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]
+        point = np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four))
+        size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+        other = ~wordy()[np.minimum(point, 0x10FFFF)]
+        for i in range(4):
+            out[lead[other & (size > i)] + i] = False
+    return out
+
+
 _powers: list[np.ndarray] = []
 
 
@@ -77,8 +112,9 @@ def pieces(texts: pa.Array, lower: bool, limit: int = PIECE) -> Iterator[tuple[i
 class Words:
     """The words of a piece: start, end (bytes), doc (index in the piece), first and last word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray):
-        inside = ~gaps[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray | None = None):
+        """gaps: the bytes that part words; without it, runs of letters, digits and combining marks are words."""
+        inside = in_words(data) if gaps is None else ~gaps[data]
         edge = np.zeros(len(data) + 1, bool)
         edge[offsets] = True
         before = np.empty(len(data), bool)

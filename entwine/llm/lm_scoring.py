@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 
 from entwine.functions.session import shared_folder, ship, stored
 from entwine.llm import kernels as k
+from entwine.llm.bit_filters import among, bits_of, publish, size_for
 from entwine.llm.elias_fano import HashIndex, Level, quantised
 from entwine.llm.language_id import remainder
 from entwine.llm.shared_files import arrays_of, put
@@ -300,26 +301,6 @@ def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from counter.take()
 
 
-def slots(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two of 2**size places for each key."""
-    mask = np.uint64((1 << size) - 1)
-    return ((keys >> np.uint64(7)) & mask).astype(np.int64), ((keys * k.GOLD) >> np.uint64(64 - size)).astype(np.int64)
-
-
-def bits_of(keys: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(1 << size, bool)
-    for at in slots(keys, size):
-        out[at] = True
-    return np.packbits(out, bitorder="little")
-
-
-def among(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key can be among those that bits was made of."""
-    one, two = slots(keys, (len(bits) * 8).bit_length() - 1)
-    read = lambda at: (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    return read(one) & read(two)
-
-
 @dataclass
 class Shard:
     """Two levels of the trie, for the pairs whose keys begin alike, and filters of the keys in them."""
@@ -359,7 +340,7 @@ def _build(vocabulary: str, folder: str, bits: int, shard_bits: int, least: int)
         good, context = good[order3], context[order3]
         three = Level.of(context, c[good].astype(np.int64), len(order), np.log10((n3[good] - DISCOUNT) / n2[of[good]]), np.zeros(len(good)))
         keys = gram(a, b, 2)
-        arrays = {"bits2": bits_of(keys[order], _filter_size(len(order))), "bits3": bits_of(gram(keys[of[good]], c[good], 3), _filter_size(len(good)))}
+        arrays = {"bits2": bits_of(keys[order], size_for(len(order))), "bits3": bits_of(gram(keys[of[good]], c[good], 3), size_for(len(good)))}
         for name, level in (("two", two), ("three", three)):
             arrays |= {f"{name}/{x}": v for x, v in level.arrays().items()}
         put(f"{folder}/shard-{shard}.bin", arrays)
@@ -372,10 +353,6 @@ def _build(vocabulary: str, folder: str, bits: int, shard_bits: int, least: int)
     return run
 
 
-def _filter_size(n: int) -> int:
-    return max(8, (8 * n).bit_length())
-
-
 @dataclass
 class Mapped:
     """What workers map: common tokens with counts and back-offs, the shards of the trie, the filter of n-grams outside it."""
@@ -538,7 +515,7 @@ def learn(docs: DataFrame) -> tuple[Mapped, DataFrame, int, int]:
     if words.least <= LEAST and least == LEAST:  # every kept n-gram is mapped; tokens that are not occur once
         return Mapped(uri, backs, folder, shards, shard_bits, None), _tokens(rare), words.total, words.distinct
     rest, more = _rest(kept, counts, followers, words, uri, least)
-    filter_ = _rest_filter(rest, folder, words.total)
+    filter_ = publish(rest.select("key"), f"{folder}/rest.bin", min(FILTER_BITS, size_for(words.total)))
     return Mapped(uri, backs, folder, shards, shard_bits, filter_), _tokens(rare.join(more, "key", "left")).unionByName(rest), words.total, words.distinct
 
 
@@ -612,33 +589,6 @@ def _common_backs(vocabulary: str):
     return run
 
 
-def _rest_filter(rest: DataFrame, folder: str, total: int) -> str:
-    """A file with the filter of the keys of rest, made in slices of its places."""
-    size = max(12, min(FILTER_BITS, (8 * total).bit_length()))
-    cut = max(0, size - 20)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = np.unique(np.concatenate(slots(batch.column(0).to_numpy().view(np.uint64), size)))
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 20), pa.array(at)], ["slice", "at"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, np.ndarray] = {}
-        for batch in batches:
-            s, at = (batch.column(c).to_numpy() for c in (0, 1))
-            for one in np.unique(s):
-                slices.setdefault(int(one), np.zeros(1 << min(size, 20), bool))[at[s == one] & ((1 << 20) - 1)] = True
-        for one, bits in slices.items():
-            yield pa.RecordBatch.from_arrays([pa.array([one]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
-
-    dealt = rest.select("key").mapInArrow(place, "slice long, at long").repartition(1 << min(cut, 6), "slice")
-    out, width = np.zeros((1 << size) // 8, np.uint8), (1 << min(size, 20)) // 8
-    table = dealt.mapInArrow(fill, "slice long, bits binary").toArrow()  # at most 2**(FILTER_BITS - 3) bytes
-    for s, bits in zip(table["slice"].to_pylist(), table["bits"], strict=True):
-        out[s * width : (s + 1) * width] = np.frombuffer(bits.as_buffer(), np.uint8)
-    return put(f"{folder}/rest.bin", {"bits": out})
-
-
 def _score(of: Mapped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(of)

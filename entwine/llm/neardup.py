@@ -49,7 +49,7 @@ LEADERS = 3
 
 def elements(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text index) of the elements of a piece, one for each unit of weight: the n-th occurrence has a hash of its own."""
-    words = k.Words(data, offsets, k.MARKS)
+    words = k.Words(data, offsets)
     tokens = k.span_hashes(data, words.start, words.end)
     at = k.runs(words, SHINGLE)
     h, of = k.combine(tokens, at, tuple(range(SHINGLE))), words.doc[at]

@@ -5,9 +5,11 @@ import math
 import re
 import zlib
 
+import regex
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ALNUM = re.compile(r"[^\W_]+")
+ALNUM = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 #: Null in any column, empty and odd texts, ties and repeated rows.
 ODD = [

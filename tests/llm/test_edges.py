@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from entwine.llm import chat, decontaminate, fingerprints, language_id, licenses, license_texts, lm_scoring, mixing, neardup, quality, url_filter
 
@@ -192,11 +193,41 @@ def test_decontamination_bears_substitutions(spark):
     assert {r["doc_id"] for r in decontaminate.leaks(docs, items(spark, [(1, " ".join(item))])).collect()} == {1, 2, 4, 6}
 
 
-def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 20)
-    many = [(i, " ".join(f"b{i}_{j}" for j in range(12))) for i in range(30)]
-    docs = h.frame(spark, [(i, f"start {t} end", "en", "a", 1) for i, t in many])
-    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items(spark, many)).collect()} == {(i, i) for i, _ in many}
+@pytest.mark.parametrize("broadcast_chars", [decontaminate.BROADCAST_CHARS, 20], ids=["broadcast", "joined"])
+def test_decontamination_finds_every_item_with_a_fifth_substituted(broadcast_chars, spark, monkeypatch):
+    """Items of 1 to 50 tokens, substitutions at random places; quotes and dashes of Unicode part words."""
+    import random
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", broadcast_chars)
+    draw = random.Random(5)
+    word = lambda: f"w{draw.randrange(4000)}"
+    many = [(i, [word() for _ in range(size)]) for i, size in enumerate(list(range(1, 51)) * 6)]
+    rows = []
+    for i, tokens in many:
+        mine = list(tokens)
+        for at in draw.sample(range(len(mine)), draw.choice([0, len(mine) // 5, len(mine) // 5])):
+            mine[at] = f"sub{at}"
+        rows.append((i, " ".join([word() for _ in range(30)]) + " \u201c" + "\u2014".join(mine) + "\u201d " + " ".join(word() for _ in range(30)), "en", "a", 1))
+    bench = [(i, " ".join(t)) for i, t in many]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(h.frame(spark, rows), items(spark, bench)).collect()}
+    assert {(i, i) for i, t in many} <= got
+    long = {i for i, t in bench if t.count(" ") >= 4}
+    assert {x for x in got if x[1] in long} == h.leaked([r[:2] for r in rows], bench)
+
+
+def test_decontamination_joined_as_broadcast(spark, monkeypatch):
+    docs = h.frame(spark).withColumn("w1", F.lit(1))
+    some = items(spark, [*((i, t) for i, t, *_ in h.ODD if i), (None, "the cat sat on the mat and saw a dog"), (20, "the cat sat on the mat and saw the dog")])
+    want = sorted(map(str, decontaminate.annotate(docs, some).selectExpr("doc_id", "text", "array_sort(__leaks)").collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", 0)
+    assert sorted(map(str, decontaminate.annotate(docs, some).selectExpr("doc_id", "text", "array_sort(__leaks)").collect())) == want
+    assert decontaminate.clean(docs, some).columns == docs.columns
+
+
+def test_decontamination_with_ids_as_text(spark):
+    docs = spark.createDataFrame([("a", "one two three four five six"), (None, "nothing")], "doc_id string, text string")
+    bench = spark.createDataFrame([("x", "One two, three four five six!"), (None, "one two three four five six")], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.leaks(docs, bench).collect()] == [("a", "x", 1.0, 0)]
 
 
 def test_fingerprints_compare_bytes_in_equal_buckets(spark):
