@@ -2,24 +2,25 @@
 
 Training counts the character trigrams of each language (letters in lower case, every
 other character a space, a space before and after the text; trigrams with a space in the
-middle left out). A trigram belongs to a language if it makes up at least MIN_SHARE of
-the language's trigrams, so that a language has at most 1 / MIN_SHARE of them, and at
-least NEAR of its share in the language where it is most usual.
+middle left out). A trigram belongs to a language if it makes up at least NEAR of the share
+there that it has in the language where it is most usual; none is left out for being rare.
 
 The filter is a Bloom filter per language, bit-sliced: slot s holds a word with one bit
 for each language, and the AND of the words at a trigram's HASHES slots has the bits of
-all languages that contain it. For a text, each language's bits are counted over all its
+all languages that contain it. There are at least FILL slots for each trigram, up to MAX_WORDS words in
+all (128 MB); with more trigrams than that the filter is fuller, and the correction takes it into account.
+For a text, each language's bits are counted over all its
 trigrams and corrected by the rate of false positives that the language's filled slots
 imply: (hits - n * f) / (1 - f) with f = filled ** HASHES. The greatest count decides;
-score is its share of all languages' counts.
+score is its share of all languages' counts, coverage its share of the text's trigrams.
 
 Only text and lang of the rows of learn are learnt from; prediction reads text alone.
 
 Defined results. Null text, and text without a letter: lang_pred `und`, score 0. Nothing
 learnt (no row with both text and lang): `und`, score 0. A text none of whose trigrams is
 known: the language with most training trigrams, score 0. Equal counts: the lesser name. An empty table gives an empty
-result; repeated rows get a row each; very long texts are read whole, one at a time.
-Extra columns of the input are not read and can have any name, but `__text`, which is reserved.
+result; repeated rows get a row each; very long texts are read whole, one at a time. More than MAX_LANGUAGES
+values of lang are an error. Extra columns of the input are not read and can have any name.
 """
 
 from __future__ import annotations
@@ -34,14 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from entwine.functions.session import ship
+from entwine.functions.session import ship, stored
 from entwine.llm import kernels as k
 
 N = 3
-SLOTS = 1 << 20
-HASHES = 3
-MIN_SHARE = 2.0**-15
+HASHES, FILL, LEAST_SLOTS, MAX_WORDS, MAX_LANGUAGES = 3, 8, 1 << 16, 1 << 24, 4096
 NEAR = 0.25
+#: Trigrams of languages that a task holds before it gives them out.
+HELD = 300_000
 UNKNOWN = "und"
 
 
@@ -72,28 +73,49 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys[keep], of[:-2][keep], has
 
 
-def slots(keys: np.ndarray) -> list[np.ndarray]:
-    h = k.mix(keys, 7)
-    return [((h >> np.uint64(20 * i)) & np.uint64(SLOTS - 1)).astype(np.int64) for i in range(HASHES)]
+def slots(keys: np.ndarray, size: int) -> list[np.ndarray]:
+    """HASHES of size places (a power of two, at most 2**24) for each key."""
+    h = [k.mix(keys, 7), k.mix(keys, 8)]
+    return [((h[i // 2] >> np.uint64(32 * (i % 2))) & np.uint64(size - 1)).astype(np.int64) for i in range(HASHES)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def add(lang: str, keys: np.ndarray) -> None:
-        old = held.get(lang, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-        held[lang] = k.group_sums(np.concatenate([old[0], keys]), np.concatenate([old[1], np.ones(len(keys), np.int64)]))
-
+    """(lang, gram, n), summed over HELD trigrams of languages or more at a time."""
+    names: dict[str, int] = {}
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of, keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((keys, of))
+        of, keys, n = of[order], keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]))
+        return of[first], keys[first], np.add.reduceat(n, first)
+
+    def out() -> pa.RecordBatch:
+        of, keys, n = parts[0]
+        langs = pa.DictionaryArray.from_arrays(pa.array(of.astype(np.int32)), pa.array(list(names), pa.string())).cast(pa.string())
+        return pa.RecordBatch.from_arrays([langs, pa.array(keys.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+
+    held = 0
     for batch in batches:
-        names = batch.column("lang").dictionary_encode()
-        codes = names.indices.to_numpy(zero_copy_only=False)
+        langs = batch.column("lang").dictionary_encode()
+        number = np.array([names.setdefault(x, len(names)) for x in langs.dictionary.to_pylist()], np.int64)
+        codes = number[langs.indices.to_numpy(zero_copy_only=False)] if len(number) else np.zeros(0, np.int64)
         for i, j, data, offsets in k.pieces(batch.column("text"), True):
             keys, doc, _ = trigrams(data, offsets)
-            of = codes[i:j][doc]
-            for c in np.unique(of):
-                add(names.dictionary[int(c)].as_py(), keys[of == c])
-    for lang, (keys, counts) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
+            if len(keys):
+                parts.append((codes[i:j][doc], keys, np.ones(len(keys), np.int64)))
+                held += len(keys)
+            if held > 4 * HELD:
+                parts[:] = [merged()]
+                held = len(parts[0][0])
+                if held > HELD:
+                    yield out()
+                    parts.clear()
+                    held = 0
+    if parts:
+        parts[:] = [merged()]
+        yield out()
 
 
 @dataclass
@@ -110,7 +132,7 @@ class Filters:
 
     def containing(self, keys: np.ndarray) -> np.ndarray:
         """For each key the words of bits of the languages that contain it."""
-        first, *rest = slots(keys)
+        first, *rest = slots(keys, self.masks.shape[1])
         out = self.masks[:, first]
         for s in rest:
             out = out & self.masks[:, s]
@@ -133,55 +155,64 @@ def learn(docs: DataFrame) -> Filters | None:
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        counts.unpersist()
+    counts = stored(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
+    found = counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if not found:
         return None
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = {r["lang"]: r["n"] for r in found}
     langs = sorted(totals)
     number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
     total = F.create_map(*[F.lit(x) for lang in langs for x in (lang, float(totals[lang]))])
-    share = F.col("n") / F.try_element_at(total, F.col("lang"))
-    usual = counts.select(F.try_element_at(number, F.col("lang")).alias("lang"), "gram", share.alias("share")).where(F.col("share") >= MIN_SHARE)
-    most = usual.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("each"))
-    member = most.select("gram", F.explode("each").alias("e"), "most").where(F.col("e.share") >= NEAR * F.col("most"))
-    found = member.select("gram", F.col("e.lang").alias("lang")).toPandas()  # at most 1 / MIN_SHARE rows for a language
-    counts.unpersist()
-    masks = np.zeros(((len(langs) + 63) // 64, SLOTS), np.uint64)
-    grams, of = found["gram"].to_numpy(np.int64).view(np.uint64), found["lang"].to_numpy(np.int64)
-    for s in slots(grams):
-        np.bitwise_or.at(masks, (of // 64, s), np.uint64(1) << (of % 64).astype(np.uint64))
+    shares = counts.select(F.try_element_at(number, F.col("lang")).alias("lang"), "gram", (F.col("n") / F.try_element_at(total, F.col("lang"))).alias("share"))
+    most = shares.groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("each"))  # a struct a language
+    member = stored(most.select("gram", F.explode("each").alias("e"), "most").where(F.col("e.share") >= NEAR * F.col("most")).select("gram", "e.lang"), "lang-members")
+    words = (len(langs) + 63) // 64
+    size = LEAST_SLOTS
+    while size < FILL * member.select("gram").distinct().count() and size * 2 * words <= MAX_WORDS:
+        size *= 2
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, bit = batch.column(1).to_numpy().astype(np.int64), np.int64(1)
+            for s in slots(batch.column(0).to_numpy().view(np.uint64), size):
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(of // 64), pa.array(bit << (of % 64))], ["slot", "word", "bits"])
+
+    filled = member.mapInArrow(place, "slot long, word long, bits long").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits"))
+    masks = np.zeros((words, size), np.uint64)
+    table = filled.toArrow()  # at most MAX_WORDS rows
+    masks[table["word"].to_numpy(), table["slot"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
     return Filters(langs, langs.index(max(langs, key=lambda x: (totals[x], x))), masks)
 
 
-def predict(docs: DataFrame, filters: Filters | None, *keep: Column | str, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns keep of docs with the language and the score of the column text, under the names into."""
+def predict(docs: DataFrame, filters: Filters | None, *keep: Column | str, into: tuple[str, str, str] = ("lang_pred", "score", "coverage")) -> DataFrame:
+    """The columns keep of docs with the language, the score and the coverage of the column text, under the names into."""
     spark = docs.sparkSession
     ship(spark)
     kept = docs.select(*keep)
     names = kept.columns
-    schema = StructType([*kept.schema.fields, StructField(into[0], StringType()), StructField(into[1], DoubleType())])
-    sent = spark.sparkContext.broadcast(filters)
+    schema = StructType([*kept.schema.fields, StructField(into[0], StringType()), StructField(into[1], DoubleType()), StructField(into[2], DoubleType())])
+    sent, text = spark.sparkContext.broadcast(filters), k.unused(names, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             for i, j, data, offsets in k.pieces(batch.column(len(names)), True):
                 keys, doc, has = trigrams(data, offsets)
-                if model is None:
-                    best, score, langs = np.zeros(j - i, int), np.zeros(j - i), [UNKNOWN]
-                else:
+                best, score, coverage, langs = np.zeros(j - i, int), np.zeros(j - i), np.zeros(j - i), [UNKNOWN]
+                if model is not None:
                     counts, langs = model.counts(keys, doc, j - i), model.langs
-                    sums = counts.sum(1)
+                    sums, n = counts.sum(1), np.bincount(doc, minlength=j - i)
                     best = np.where(sums > 0, counts.argmax(1), model.usual)
-                    score = np.where(sums > 0, counts.max(1) / np.maximum(sums, 1e-12), 0.0)
+                    score = np.where(has & (sums > 0), counts.max(1) / np.maximum(sums, 1e-12), 0.0)
+                    coverage = np.where(has, np.minimum(1.0, counts.max(1) / np.maximum(n, 1)), 0.0)
                 pred = [langs[b] if h else UNKNOWN for b, h in zip(best, has, strict=True)]
                 part = batch.slice(i, j - i)
                 columns = [part.column(c) for c in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(np.where(has, score, 0.0))], [*names, *into])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score), pa.array(coverage)], [*names, *into])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(run, schema)
 
 
 def remainder(modulus: int) -> Column:
@@ -190,7 +221,7 @@ def remainder(modulus: int) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of docs (doc_id, text, lang); learns where held_out is false."""
+    """doc_id, held_out, lang_pred, score, coverage for every row of docs (doc_id, text, lang); learns where held_out is false."""
     held = (remainder(3) == 1).alias("held_out")
     filters = learn(docs.where(remainder(3) != 1))
     return predict(docs, filters, "doc_id", held)

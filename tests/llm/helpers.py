@@ -124,3 +124,27 @@ def leaked(docs, items):
             if len(v) >= 5 and hits and max(hits.values()) >= 0.8 * len(v):
                 found.add((d, i))
     return found
+
+
+def language_counts(rows, near=0.25):
+    """Learnt from rows (doc_id, text, lang): a function of a text that gives its trigrams in each language's set, and their number."""
+    def trigrams(text):
+        points = [" ", *(c if c.isalpha() else " " for c in text.lower()), " "]
+        return [tuple(points[i : i + 3]) for i in range(len(points) - 2) if points[i + 1] != " "]
+
+    counts = collections.defaultdict(collections.Counter)
+    for _, text, lang in rows:
+        if text is not None and lang is not None:
+            counts[lang].update(trigrams(text))
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    most = collections.Counter()
+    for lang, c in counts.items():
+        for g, n in c.items():
+            most[g] = max(most[g], n / total[lang])
+    sets = {lang: {g for g, n in c.items() if n / total[lang] >= near * most[g]} for lang, c in counts.items()}
+
+    def of(text):
+        grams = trigrams(text or "")
+        return {lang: sum(g in s for g in grams) for lang, s in sets.items()}, len(grams)
+
+    return of

@@ -28,6 +28,20 @@ def test_language_id(spark, data, oracle):
     assert sum(rows[i]["lang_pred"] == true[i] for i in unseen) >= 0.95 * len(unseen)
 
 
+def test_language_counts_as_brute_force_has_them(spark, data, oracle):
+    """The corrected counts of the filters against exact sets of trigrams."""
+    rows = oracle.execute("SELECT doc_id, text, lang FROM documents").fetchall()
+    of = h.language_counts([r for r in rows if not h.held(r[0], 3, 1)])
+    got = {r["doc_id"]: r for r in queries.op2_language_id(spark, data).collect()}
+    for i, text, _ in rows:
+        exact, n = of(text)
+        if n < 20:
+            continue
+        best = max(exact.values())
+        assert exact[got[i]["lang_pred"]] >= best - 0.02 * n
+        assert got[i]["coverage"] == pytest.approx(best / n, abs=0.03) and got[i]["score"] == pytest.approx(best / sum(exact.values()), abs=0.03)
+
+
 def test_quality(spark, data, oracle):
     rows = {r["doc_id"]: r for r in queries.op4_quality(spark, data).collect()}
     true = dict(oracle.execute("SELECT doc_id, quality FROM labels").fetchall())
