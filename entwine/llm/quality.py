@@ -6,7 +6,7 @@ at least once, twice, 4 or 8 times. r, the log-count ratio of a feature between
 rows learnt from, counted in Spark: (1 + rows of label 1 that have it) against the same of label 0,
 each over its sum. A text's vector has r at its features, scaled to length 1. A linear
 hinge-loss model is fitted to these vectors by dual coordinate descent, on a bounded
-sample of the rows learnt from: the SAMPLE_ROWS with the least hash of doc_id, cut where their features
+sample of the distinct rows (doc_id, text) learnt from: the SAMPLE_ROWS with the least hash, cut where their features
 pass SAMPLE_FEATURES. Margins become scores by a logistic curve fitted to margins that
 two half-sample models gave to the other half.
 
@@ -16,8 +16,8 @@ Defined results. Null text is the empty text; it has no features and gets the cu
 Rows without a label, or whose label is neither 0 nor 1, are not learnt from; of several
 labels of one id the mean is taken, 0.5 and more being 1. With no labelled row every
 score is 0.5; with one class only, 1 or 0. An empty table gives an empty result; repeated
-rows get a row each; very long texts are read whole. Extra columns are not read and can
-have any name, but `__text`, which is reserved.
+rows get a row each, and count as often as they are there, but are drawn once; very long texts are read whole. Extra columns are not read and can
+have any name.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ STARTS = np.cumsum([0, 256, 1 << 16, 1 << PLACES, 1 << PLACES])
 FEATURES = int(STARTS[-1]) + len(BACK) * len(REPEATS)
 SAMPLE_ROWS, SAMPLE_FEATURES = 8192, 16_000_000
 ACCEPT = 0.7
-COST, EPOCHS = 1.0, 10
+COST = 1.0
+#: The descent ends when no dual variable can improve by more than TOLERANCE, or after so many epochs or steps, whichever are more.
+TOLERANCE, EPOCHS, STEPS = 1e-3, 10, 80_000
 
 
 class Reader:
@@ -120,16 +122,20 @@ def descend(rows: list[np.ndarray], sign: np.ndarray, ratio: np.ndarray, seed: i
     scale = [1 / max(1e-12, float(np.sqrt((ratio[f] ** 2).sum()))) for f in rows]
     norm = [float(((ratio[f] * s) ** 2).sum()) + 1.0 for f, s in zip(rows, scale, strict=True)]
     dual, draw = np.zeros(len(rows)), np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS // max(1, len(rows)))):
+        most = 0.0
         for i in draw.permutation(len(rows)):
             value = ratio[rows[i]] * scale[i]
             slope = sign[i] * (float(weights[rows[i]] @ value) + bias) - 1
             new = min(max(dual[i] - slope / norm[i], 0.0), COST)
             if new != dual[i]:
+                most = max(most, abs(new - dual[i]))
                 step = (new - dual[i]) * sign[i]
                 weights[rows[i]] += step * value
                 bias += step
                 dual[i] = new
+        if most <= TOLERANCE:
+            break
     return weights, bias
 
 
@@ -148,6 +154,12 @@ def curve(margins: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
+def log_count_ratio(both: np.ndarray) -> np.ndarray:
+    """Of the rows of either class that have each feature, one row for each class."""
+    share = (both + 1) / (both + 1).sum(1, keepdims=True)
+    return np.log(share[1]) - np.log(share[0])
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model | float:
     """A model from the labelled rows of docs; a number if every text is to have that score."""
     spark = docs.sparkSession
@@ -163,12 +175,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | float:
         return 0.5
     if not both.any(1).all():
         return float(both[1].any())
-    ratio = np.log((both[1] + 1) / (both[1] + 1).sum()) - np.log((both[0] + 1) / (both[0] + 1).sum())
-    # only ids that docs has, in the order of a hash
-    there = rows.select("doc_id").join(bounded(known), F.col("doc_id") == F.col("id")).select("id", "label", F.xxhash64(F.lit("sample"), "id").alias("turn"))
+    ratio = log_count_ratio(both)
+    # rows that docs has, repeated ones once, in the order of a hash
+    turn = F.xxhash64(F.lit("sample"), "doc_id", "text").alias("turn")
+    there = rows.join(bounded(known), F.col("doc_id") == F.col("id")).select(turn, F.col("doc_id").alias("id"), "label").distinct()
     chosen = stored(there.orderBy("turn", "id").limit(SAMPLE_ROWS), "quality-chosen")
-    vectors = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "label", "turn")
-    vectors = stored(vectors.mapInArrow(_vectors, "label int, turn long, features array<int>, n long"), "quality-vectors")
+    drawn = rows.withColumn("row_turn", turn).join(F.broadcast(chosen), (F.col("doc_id") == F.col("id")) & (F.col("row_turn") == F.col("turn")))
+    drawn = drawn.groupBy("turn", "id").agg(F.first("text").alias("text"), F.first("label").alias("label")).select("text", "label", "turn")
+    vectors = stored(drawn.mapInArrow(_vectors, "label int, turn long, features array<int>, n long"), "quality-vectors")
     sizes = vectors.select("turn", "n").toPandas().sort_values("turn")
     fit = sizes["turn"][sizes["n"].cumsum() <= SAMPLE_FEATURES]
     last = int(fit.max()) if len(fit) else int(sizes["turn"].min())
@@ -198,7 +212,7 @@ def predict(docs: DataFrame, model: Model | float, *keep: Column | str, into: st
     kept = docs.select(*keep)
     names = kept.columns
     schema = StructType([*kept.schema.fields, StructField(into, DoubleType())])
-    sent = spark.sparkContext.broadcast(model)
+    sent, text = spark.sparkContext.broadcast(model), k.unused(names, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, reader = sent.value, Reader()
@@ -209,7 +223,7 @@ def predict(docs: DataFrame, model: Model | float, *keep: Column | str, into: st
                     score[i] = model.score(reader.features(data))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in range(len(names))], pa.array(score)], [*names, into])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(text)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -66,6 +66,74 @@ def test_quality_without_labels_or_with_one_class(spark):
     assert {r["score"] for r in quality.classify(docs, labels(spark, [(i, 1, 0) for i in range(20)])).collect()} == {1.0}
 
 
+def test_language_filters_leave_no_rare_trigram_out(spark):
+    """A language of very many trigrams keeps those that occur once; a tie goes to the lesser name."""
+    many = " ".join(chr(0x4E00 + i % 20000) + chr(0x4E00 + (i * 7) % 20000) + chr(0x4E00 + (i * 13) % 20000) for i in range(60_000))
+    rows = [(1, many, "zh", "a", 1), (2, "plain words here", "en", "a", 1), (3, "both alike", "b", "a", 1), (4, "both alike", "a", "a", 1)]
+    filters = language_id.learn(h.frame(spark, rows))
+    assert filters.masks.shape[1] >= 8 * 60_000 and filters.false_rate.max() < 0.05
+    asked = [(10 + i, many[40 * i : 40 * i + 7], None, "a", 1) for i in range(50)] + [(99, "both alike", None, "a", 1)]
+    got = {r["doc_id"]: r for r in language_id.predict(h.frame(spark, asked), filters, "doc_id").collect()}
+    assert all(got[10 + i]["lang_pred"] == "zh" and got[10 + i]["coverage"] > 0.5 for i in range(50)) and got[99]["lang_pred"] == "a"
+
+
+def test_counts_of_trigrams_are_given_out_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(language_id, "HELD", 5)
+    batch = pa.RecordBatch.from_pydict({"text": ["abc def ghi jkl", "abc xyz", None, "uvw"] * 3, "lang": ["a", "b", "a", "a"] * 3})
+    rows = [r for b in language_id._count(iter([batch.filter(pa.compute.is_valid(batch["text"]))] * 2)) for r in b.to_pylist()]
+    assert sum(r["n"] for r in rows if r["lang"] == "a") == 6 * (4 * 3 + 3) and sum(r["n"] for r in rows if r["lang"] == "b") == 6 * 6
+
+
+def test_quality_draws_repeated_rows_once(spark):
+    from entwine.functions.session import stored
+
+    rows = [(1, "one and the same text", "en", "a", 1)] * 10_000 + [(i, f"text of number {i} {'good words' if i % 2 else 'bad words'}", "en", "a", 1) for i in range(2, 60)]
+    drawn = []
+    original = quality.stored
+    try:
+        quality.stored = lambda df, name="table": drawn.append((name, original(df, name))) or drawn[-1][1]
+        quality.learn(h.frame(spark, rows), labels(spark, [(i, i % 2, 0) for i in range(1, 60)]))
+    finally:
+        quality.stored = original
+    assert dict(drawn)["quality-vectors"].count() == 59
+
+
+def test_quality_model_as_brute_force_has_it():
+    """Log-count ratios by sets of features, and the descent's solution against a projected gradient on the dual."""
+    import numpy as np
+    import pyarrow as pa
+
+    from entwine.llm import kernels as k
+
+    draw = np.random.default_rng(2)
+    texts = [" ".join(draw.choice(["good", "fine", "bad", "poor", "so", "so"], 6)) + (" yes" if i % 2 else " no") for i in range(40)]
+    label = np.array([i % 2 for i in range(40)])
+    reader = quality.Reader()
+    sets = [reader.features(data[offsets[d] : offsets[d + 1]].copy()) for _, j, data, offsets in k.pieces(pa.array(texts), False) for d in range(j)]
+    assert all(len(set(s.tolist())) == len(s) for s in sets)
+    assert sum(x < 256 for x in sets[0]) == len(set(texts[0])) and sum(256 <= x < 256 + 65536 for x in sets[0]) == len({texts[0][i : i + 2] for i in range(len(texts[0]) - 1)})
+    both = np.zeros((2, quality.FEATURES))
+    for s, y in zip(sets, label, strict=True):
+        both[y, s] += 1
+    ratio = quality.log_count_ratio(both)
+    one = sets[0][0]
+    want = np.log((both[1][one] + 1) / (both[1] + 1).sum() / ((both[0][one] + 1) / (both[0] + 1).sum()))
+    assert ratio[one] == pytest.approx(want)
+    sign = np.where(label == 1, 1.0, -1.0)
+    x = np.zeros((40, quality.FEATURES))
+    for row, s in zip(x, sets, strict=True):
+        row[s] = ratio[s] / np.sqrt((ratio[s] ** 2).sum())
+    gram = (x @ x.T + 1) * np.outer(sign, sign)
+    dual = np.zeros(40)
+    for _ in range(20_000):
+        dual = np.clip(dual - 0.02 * (gram @ dual - 1), 0, quality.COST)
+    goal = lambda w, b: (w @ w + b * b) / 2 + quality.COST * np.maximum(0, 1 - sign * (x @ w + b)).sum()
+    best = goal((dual * sign) @ x, float(dual @ sign))
+    assert goal(*quality.descend(sets, sign, ratio)) <= 1.01 * best
+
+
 def test_lm_scores_of_odd_texts(spark):
     rows = [(i, t) for i, t, *_ in h.ODD]
     got = lm_scoring.score_documents(h.frame(spark)).collect()
