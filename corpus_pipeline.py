@@ -4,10 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 All but the last return the columns of documents. The models are learnt from the stage's
 own input and from the labels of sf_dir.
 
-Defined results. A text without a letter or without any known trigram is rejected by language ID, as is one whose
-languages are too even (score under LEAST_LANGUAGE). Without labels of both classes the quality stage keeps all. Nulls
+Defined results. A text without a letter is rejected by language ID, as is one of whose trigrams the language
+found has too few (coverage under LEAST_COVERAGE, which doesn't depend on the number of languages). Without labels of both classes the quality stage keeps all. Nulls
 and repeated rows are as in each operator. An empty input gives an empty result. Extra columns come along
-under any name, but those beginning with two underscores.
+under any name.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from entwine.functions.session import stored
 from entwine.llm import decontaminate, language_id, mixing, neardup, quality
+from entwine.llm.kernels import unused
 
-#: Share of all languages' counts that the predicted one must have.
-LEAST_LANGUAGE = 0.3
+#: Share of a text's trigrams that the predicted language must have.
+LEAST_COVERAGE = 0.3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +30,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is known."""
     filters = language_id.learn(docs.where(language_id.remainder(3) != 1))
-    found = language_id.predict(docs, filters, *docs.columns, into=("__lang", "__score"))
-    return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    lang, score, coverage = (unused(docs.columns, x) for x in ("__lang", "__score", "__coverage"))
+    found = language_id.predict(docs, filters, *docs.columns, into=(lang, score, coverage))
+    return found.where((F.col(lang) != language_id.UNKNOWN) & (F.col(coverage) >= LEAST_COVERAGE)).select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.learn(docs.where(language_id.remainder(4) != 2), _table(spark, sf_dir, "labels"))
     if isinstance(model, float):  # nothing to tell classes apart by
         return docs
-    return quality.predict(docs, model, *docs.columns, into="__score").where(F.col("__score") >= quality.ACCEPT).select(*docs.columns)
+    score = unused(docs.columns, "__score")
+    return quality.predict(docs, model, *docs.columns, into=score).where(F.col(score) >= quality.ACCEPT).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
