@@ -1,15 +1,21 @@
 """Mixing sources to target weights: certain whole copies, then Pareto order sampling.
 
-Every source's target is a number of words. With r = target / words of the source, each
-of its documents is taken floor(r) times for certain; the rest of r is the inclusion
-probability p of one more copy. Documents are ranked by q = (u / (1 - u)) / (p / (1 - p))
-with u uniform by a hash of the document, and the sample is the start of that order, up
-to the words that are left. One more document, the one whose size best fits the words
-still missing, closes the gap if it makes it smaller.
-
-Where the order crosses the target is found by counting words in bins of u (4096 bins,
+Every source's target is a number of words. Each of its documents is taken
+floor(target / words of the source) times for certain; the words that are left are one more copy
+of some documents. A document of size s has the inclusion probability pi = min(1, c * s), with c such that
+the expected words are those left: those with pi = 1 get their copy for certain, and of the others, whose pi sum
+to n, exactly round(n) are taken, those of the least
+q = (u / (1 - u)) / (pi / (1 - pi)), with u uniform by a hash of the document.
+
+A sample of fixed size has its number of words by chance. What it lacks is made good by the
+documents that are next in the order, of each size at most one, the greatest size not larger than the gap first; what
+it has too much goes back likewise, last in the order first. At the end one more document may pass
+the target if that brings the source nearer.
+
+Where the order passes n is found by counting documents in bins of q / (1 + q) (4096 bins,
 then 4096 within the crossing bin), so only the few rows of one small bin are ever
-sorted; no source, however large, meets in one task.
+sorted; no source, however large, meets in one task. Sources are numbered within ranges of their names, and
+the level of their targets is found in rounds of sums, so that neither do all sources.
 
 Defined results. Null text has size 0. A null source is a source of its own, last in
 order. An empty table gives an empty result. Repeated rows are separate documents. A
@@ -23,12 +29,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from entwine.functions.session import stored
+from entwine.llm.fingerprints import bounded
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_COPIES = 3
 SEED = "mix-1"
 BINS = 4096
-TOP_UPS = 4
+#: Equal rows that are numbered in one go.
+TWINS = 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -41,98 +49,125 @@ def uniform(*parts: Column) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right's rows of the same source, which right calls source_."""
+    return left.join(right, left.source.eqNullSafe(right.source_), how).drop("source_")
+
+
+def _numbered(sources: DataFrame) -> DataFrame:
+    """sources with place: 1, 2, ... in the order of their names, null last; ranges of names are numbered each on its own."""
+    ranged = stored(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(F.col("part").alias("part_")).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    inside = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
+    numbered = ranged.join(F.broadcast(parts), F.col("part") == F.col("part_"))  # a row for each shuffle partition
+    return numbered.withColumn("place", F.col("before") + F.row_number().over(inside)).drop("part", "part_", "n", "before")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
     """(source, words) -> (source, words, target): shares by weight, cut at max_copies times a source's words.
 
-    The excess is reshared by weight until no source is above its cut. In the order of
-    words per weight the cut sources come first, so the level of the rest is found at the
-    first source which that level does not lift above its cut. One row per source.
+    The excess is reshared by weight among the others, in rounds, until no source is above its cut.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_need = Window.orderBy(F.col("words") / F.col("weight"), F.col("place"))
-    before, after = by_need.rowsBetween(Window.unboundedPreceding, -1), by_need.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
-    level = (F.col("total") - max_copies * F.coalesce(F.sum("words").over(before), F.lit(0))).cast("double") / F.sum("weight").over(after)
-    return (
-        sources.withColumn("place", F.row_number().over(by_name))
-        .withColumn("weight", weight)
-        .withColumn("total", F.sum("words").over(everything))
-        .withColumn("level", level)
-        .withColumn("fits", F.col("level") * F.col("weight") <= max_copies * F.col("words"))
-        .withColumn("turn", -F.row_number().over(by_need))
-        .withColumn("level", F.max(F.when(F.col("fits"), F.struct("turn", "level"))).over(everything)["level"])
-        .select(
-            "source",
-            "words",
-            F.least(F.coalesce(F.col("level") * F.col("weight"), F.lit(float("inf"))), (max_copies * F.col("words")).cast("double")).alias("target"),
-        )
-    )
+    weighed = stored(_numbered(sources).withColumn("weight", weight).select("source", "words", "weight"), "mix-weights")
+    most = max_copies * F.col("words")
+    level, cut = None, -1
+    while True:
+        above = F.lit(False) if level is None else F.lit(level) * F.col("weight") > most
+        sums = weighed.agg(F.sum("words").alias("all"), F.sum(F.when(above, most)).alias("cut"), F.count_if(above).alias("n"), F.sum(F.when(~above, F.col("weight"))).alias("weights")).first()
+        if sums["n"] == cut or not sums["weights"]:
+            break
+        level, cut = (sums["all"] - (sums["cut"] or 0)) / sums["weights"], sums["n"]
+    return weighed.select("source", "words", F.least(F.lit(level or 0.0) * F.col("weight"), most.cast("double")).alias("target"))
+
+
+def _scales(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """(source_, top, c, n): pi = c * size for documents up to size top, 1 for larger ones; n of the former are taken."""
+    hist = _by_source(rows.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), goals.select("source_", "left"))
+    exact = lambda c: F.sum(c.cast("decimal(38,0)"))
+    larger = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    words, squares = F.col("n") * F.col("size"), F.col("n").cast("decimal(12,0)") * F.col("size").cast("decimal(12,0)") * F.col("size").cast("decimal(12,0)")
+    each = hist.withColumns({"big": F.coalesce(F.sum(words).over(larger), F.lit(0)), "rest": F.sum(words).over(upto), "squares": exact(squares).over(upto).cast("double")})
+    each = each.withColumn("c", (F.col("left") - F.col("big")) / F.col("squares")).where((F.col("left") >= F.col("big")) & (F.col("c") * F.col("size") < 1))
+    found = each.groupBy("source").agg(F.max(F.struct("size", "c", "rest")).alias("f"))
+    return found.select(F.col("source").alias("source_"), F.col("f.size").alias("top"), "f.c", F.round(F.col("f.c") * F.col("f.rest")).cast("long").alias("n"))
 
 
 def _crossing(rows: DataFrame, need: DataFrame) -> DataFrame:
-    """(source, bin, size) and (source_, left) -> (source_, bin_, left): the bin in which a source's words pass left, and what is left there.
+    """(source, bin) and (source_, n) -> (source_, bin_, n): the bin in which a source's rows pass n, and how many are left there.
 
-    A source whose words do not pass left has no row.
+    A source whose rows do not pass n has no row.
     """
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("in_bin"))
+    bins = rows.groupBy("source", "bin").agg(F.count(F.lit(1)).alias("in_bin"))
     upto = Window.partitionBy("source").orderBy("bin")
-    passed = bins.withColumn("upto", F.sum("in_bin").over(upto)).join(need, bins.source.eqNullSafe(need.source_)).where(F.col("upto") > F.col("left"))
-    at = passed.groupBy("source_").agg(F.min(F.struct("bin", (F.col("left") - (F.col("upto") - F.col("in_bin"))).alias("left"))).alias("at"))
-    return at.select("source_", F.col("at.bin").alias("bin_"), F.col("at.left").alias("left"))
-
-
-def _top_up(chosen: DataFrame) -> DataFrame:
-    """chosen with one more document of each source, where one brings the source's words nearer to what it is to have."""
-    gaps = chosen.groupBy("source").agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap"))
-    gaps = gaps.withColumnRenamed("source", "gap_source")
-    missed = chosen.where(~F.col("chosen") & (F.col("p") > 0)).join(gaps, chosen.source.eqNullSafe(F.col("gap_source")))
-    off = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "u", "doc_id", "size", "twin", "gap")
-    best = missed.groupBy("gap_source").agg(F.min(off).alias("b")).where("b.off < b.gap")
-    best = best.select(F.col("gap_source").alias("s_"), F.col("b.doc_id").alias("d_"), F.col("b.size").alias("z_"), F.col("b.twin").alias("t_"))
-    same = chosen.source.eqNullSafe(F.col("s_")) & chosen.doc_id.eqNullSafe(F.col("d_")) & (F.col("size") == F.col("z_")) & (F.col("twin") == F.col("t_"))
-    return chosen.join(best, same, "left").withColumn("chosen", F.col("chosen") | F.col("t_").isNotNull()).drop("s_", "d_", "z_", "t_")
+    passed = _by_source(bins.withColumn("upto", F.sum("in_bin").over(upto)), need).where(F.col("upto") > F.col("n"))
+    at = passed.groupBy(F.col("source").alias("source_")).agg(F.min(F.struct("bin", (F.col("n") - (F.col("upto") - F.col("in_bin"))).alias("n"))).alias("at"))
+    return at.select("source_", F.col("at.bin").alias("bin_"), "at.n")
+
+
+def _corrections(chosen: DataFrame) -> DataFrame:
+    """(s_, d_, z_, t_): the documents to be taken besides, or not after all. chosen: (source, doc_id, size, twin, q, left, sure, chosen)."""
+    gaps = stored(chosen.groupBy(F.col("source").alias("source_")).agg((F.first("left") - F.sum(F.when(F.col("chosen"), F.col("size")).otherwise(0))).alias("gap")), "mix-gaps")
+    open_ = _by_source(chosen, bounded(gaps.where("gap <> 0"))).where("size > 0 AND left > 0")
+    one = F.struct("q", "doc_id", "twin")
+    more = open_.where("gap > 0 AND NOT chosen").groupBy("source", "size").agg(F.min(one).alias("one"), F.first("gap").alias("gap"))
+    less = open_.where("gap < 0 AND chosen AND NOT sure").groupBy("source", "size").agg(F.max(one).alias("one"), (-F.first("gap")).alias("gap"))
+    # of each source one row for each size
+    each = more.unionByName(less).groupBy("source").agg(F.first("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("size", "one")), asc=False).alias("each"))
+    start = F.struct(F.col("gap").alias("gap"), F.array().cast("array<bigint>").alias("taken"))
+    step = lambda a, x: F.when(x["size"] <= a["gap"], F.struct((a["gap"] - x["size"]).alias("gap"), F.concat(a["taken"], F.array(x["size"])).alias("taken"))).otherwise(a)
+    each = each.withColumn("a", F.aggregate("each", start, step))
+    over = F.array_min(F.filter(F.transform("each", lambda x: x["size"]), lambda z: (z > F.col("a.gap")) & (z < 2 * F.col("a.gap")) & ~F.array_contains("a.taken", z)))
+    each = each.withColumn("taken", F.when(over.isNotNull(), F.concat("a.taken", F.array(over))).otherwise(F.col("a.taken")))
+    picked = each.select("source", F.explode(F.filter("each", lambda x: F.array_contains("taken", x["size"]))).alias("e"))
+    return picked.select(F.col("source").alias("s_"), F.col("e.one.doc_id").alias("d_"), F.col("e.size").alias("z_"), F.col("e.one.twin").alias("t_"))
+
+
+def _twins(rows: DataFrame) -> DataFrame:
+    """(doc_id, source, size), with twin: 1, 2, ... for equal rows."""
+    groups = rows.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
+    blocks = groups.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / TWINS))).alias("block"))
+    first = F.col("block") * TWINS + 1
+    return blocks.select("doc_id", "source", "size", F.explode(F.sequence(first, F.least("rows", first + TWINS - 1))).alias("twin"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, source, text)."""
-    same = Window.partitionBy("source", "doc_id", "size").orderBy("size")
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("twin", F.row_number().over(same))
+    rows = _twins(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     u = uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"), F.col("twin").cast("string"))
-    rows = stored(rows.withColumn("u", u).withColumn("bin", F.floor(F.col("u") * BINS)).withColumn("fine", F.floor(F.col("u") * (BINS * BINS))), "mix-sizes")
+    rows = stored(rows.withColumn("u", u), "mix-sizes")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("words")), weights, max_copies)
-    ratio = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(0.0))
-    goals = stored(
-        goals.withColumn("whole", F.floor(ratio))
-        .withColumn("p", ratio - F.floor(ratio))
-        .withColumn("left", F.col("target") - F.col("whole") * F.col("words"))
-        .withColumnRenamed("source", "source_"),
-        "mix-goals",
-    )
-    # where the order of u, which is the order of q within a source, passes the words that are left
-    first = _crossing(rows, goals.select("source_", "left"))
-    passed = rows.join(first, rows.source.eqNullSafe(first.source_) & (rows.bin == first.bin_))
-    second = _crossing(passed.select("source", F.col("fine").alias("bin"), "size"), first.drop("bin_"))
-    cut = stored(second.select("source_", F.col("bin_").alias("cut"), F.col("left").alias("left_in_cut")), "mix-cut")
-    goals = goals.join(cut.withColumnRenamed("source_", "s"), goals.source_.eqNullSafe(F.col("s")), "left").drop("s")
-    q = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = rows.join(goals, rows.source.eqNullSafe(goals.source_)).withColumn("q", F.when(F.col("p") > 0, q))
-    in_cut = Window.partitionBy("source", "in_cut").orderBy("q", "doc_id", "size", "twin")
-    ranked = ranked.withColumn("in_cut", F.col("fine") == F.col("cut"))
-    edge = (
-        ranked.where("in_cut")
-        .withColumn("chosen", F.sum("size").over(in_cut) <= F.col("left_in_cut"))
-        .select("source", "doc_id", "size", "twin", "u", "chosen")
-    )
-    rest = ranked.where(~F.coalesce(F.col("in_cut"), F.lit(False))).select(
-        "source", "doc_id", "size", "twin", "u", (F.col("cut").isNull() | (F.col("fine") < F.col("cut"))).alias("chosen")
-    )
-    chosen = stored(edge.unionByName(rest), "mix-chosen")
-    chosen = chosen.join(goals.drop("left_in_cut", "cut"), chosen.source.eqNullSafe(goals.source_)).drop("source_").withColumn("chosen", F.col("chosen") & (F.col("p") > 0))
-    for _ in range(TOP_UPS):
-        chosen = stored(_top_up(chosen), "mix-chosen")
+    whole = F.when(F.col("words") > 0, F.floor(F.col("target") / F.when(F.col("words") > 0, F.col("words")))).otherwise(F.lit(0))
+    goals = goals.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("words")).withColumnRenamed("source", "source_")
+    goals = stored(goals, "mix-goals")
+    scales = stored(_scales(rows, goals), "mix-scales")
+    goals = goals.join(scales.withColumnRenamed("source_", "s"), goals.source_.eqNullSafe(F.col("s")), "left").drop("s")
+    pi = F.when((F.col("size") > 0) & (F.col("size") <= F.col("top")) & (F.col("c") > 0), F.col("c") * F.col("size"))
+    ranked = _by_source(rows, bounded(goals)).withColumn("q", (F.col("u") / (1 - F.col("u"))) / (pi / (1 - pi))).withColumn("sure", F.coalesce(F.col("size") > F.col("top"), F.lit(False)))
+    # where the order of q passes the number that is to be taken
+    place = F.col("q") / (1 + F.col("q"))
+    binned = ranked.where("q IS NOT NULL").withColumns({"bin": F.floor(place * BINS), "fine": F.floor(place * (BINS * BINS))})
+    first = stored(_crossing(binned, scales.select("source_", "n")), "mix-bins")
+    inside = binned.select("source", "bin", "fine", "q", "doc_id", "size", "twin")
+    inside = _by_source(inside, bounded(first.withColumnRenamed("n", "need"))).where("bin = bin_")
+    second = stored(_crossing(inside.select("source", F.col("fine").alias("bin")), first.select("source_", "n")), "mix-fine")
+    edge = _by_source(inside.drop("bin_", "need"), bounded(second.select("source_", F.col("bin_").alias("fine_"), "n"))).where("fine = fine_")
+    order = Window.partitionBy("source").orderBy("q", "doc_id", "size", "twin")
+    key = F.struct("q", "doc_id", "size", "twin")
+    last = edge.withColumn("turn", F.row_number().over(order)).where("turn <= n").groupBy(F.col("source").alias("e_")).agg(F.max(key).alias("last"))
+    ends = second.join(last, second.source_.eqNullSafe(F.col("e_")), "left").select("source_", F.col("bin_").alias("cut"), "last")
+    ends = stored(ends, "mix-ends")
+    # all rows of a source whose order doesn't pass n are taken
+    marked = _by_source(ranked, bounded(ends), "left")
+    at = F.floor(place * (BINS * BINS))
+    sampled = F.col("q").isNotNull() & (F.col("cut").isNull() | (at < F.col("cut")) | ((at == F.col("cut")) & F.coalesce(key <= F.col("last"), F.lit(False))))
+    chosen = marked.withColumn("chosen", F.col("sure") | F.coalesce(sampled, F.lit(False)))
+    flips = bounded(stored(_corrections(chosen.select("source", "doc_id", "size", "twin", "q", "left", "sure", "chosen")), "mix-corrections"))
+    same = chosen.source.eqNullSafe(F.col("s_")) & chosen.doc_id.eqNullSafe(F.col("d_")) & (F.col("size") == F.col("z_")) & (F.col("twin") == F.col("t_"))
+    final = chosen.join(flips, same, "left").withColumn("chosen", F.col("chosen") != F.col("t_").isNotNull())
     copies = (F.col("whole") + F.when(F.col("chosen"), 1).otherwise(0)).cast("long")
-    return (
-        chosen.withColumn("copies", copies)
-        .select("doc_id", "source", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return final.withColumn("copies", copies).select(
+        "doc_id", "source", "size", F.col("words").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )

@@ -1,9 +1,9 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from entwine.llm import licenses, mixing, url_filter
+from entwine.llm import licenses, url_filter
 
 MIXING = r"""
-WITH sized AS (
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), twins AS (
   SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) AS twin FROM sized
@@ -26,30 +26,47 @@ WITH sized AS (
 ), split AS (
   SELECT *, CASE WHEN words > 0 THEN target / words ELSE 0.0::DOUBLE END AS ratio FROM goals
 ), parts AS (
-  SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * words AS remaining FROM split
+  SELECT *, floor(ratio) AS whole, target - floor(ratio) * words AS remaining FROM split
+), hist AS (
+  SELECT source, size, count(*) AS n FROM drawn WHERE size > 0 GROUP BY ALL
+), each_size AS (
+  SELECT h.source, size, remaining, coalesce(sum(n * size) OVER (PARTITION BY h.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS big,
+    (sum(n * size) OVER upto)::BIGINT AS rest, (sum(n::HUGEINT * size * size) OVER upto)::DOUBLE AS squares
+  FROM hist h JOIN parts p ON h.source IS NOT DISTINCT FROM p.source WINDOW upto AS (PARTITION BY h.source ORDER BY size ROWS UNBOUNDED PRECEDING)
+), scales AS (
+  SELECT source, max(size) AS top, arg_max(c, size) AS c, arg_max(rest, size) AS rest
+  FROM (SELECT *, (remaining - big) / squares AS c FROM each_size) WHERE remaining >= big AND c * size < 1 GROUP BY source
 ), ranked AS (
-  SELECT d.*, p.words, p.target, p.whole, p.p, p.remaining, CASE WHEN p.p > 0 THEN (u / (1 - u)) / (p.p / (1 - p.p)) END AS q
-  FROM drawn d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT d.*, p.words, p.target, p.whole, p.remaining, s.top, coalesce(size > s.top, false) AS sure, round(s.c * s.rest) AS n,
+    CASE WHEN size > 0 AND size <= s.top AND s.c > 0 THEN (u / (1 - u)) / ((s.c * size) / (1 - s.c * size)) END AS q
+  FROM drawn d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN scales s ON d.source IS NOT DISTINCT FROM s.source
 ), chosen AS (
-  SELECT *, p > 0 AND sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size, twin ROWS UNBOUNDED PRECEDING) <= remaining AS chosen FROM ranked
-)
-"""
-for _round in range(mixing.TOP_UPS):
-    _was, _now = ("chosen", f"more{_round}") if _round == 0 else (f"more{_round - 1}", f"more{_round}")
-    MIXING += f""", gaps{_round} AS (
-  SELECT source, any_value(remaining) - sum(CASE WHEN chosen THEN size ELSE 0 END)::BIGINT AS gap FROM {_was} GROUP BY source
-), best{_round} AS (
-  SELECT c.source, c.doc_id, c.size, c.twin FROM {_was} c JOIN gaps{_round} g ON c.source IS NOT DISTINCT FROM g.source
-  WHERE NOT c.chosen AND c.p > 0 AND abs(c.size - g.gap) < g.gap
-  QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY abs(c.size - g.gap), c.u, c.doc_id, c.size, c.twin) = 1
-), {_now} AS (
-  SELECT c.* REPLACE (c.chosen OR b.twin IS NOT NULL AS chosen)
-  FROM {_was} c LEFT JOIN best{_round} b ON c.source IS NOT DISTINCT FROM b.source AND c.doc_id IS NOT DISTINCT FROM b.doc_id AND c.size = b.size AND c.twin = b.twin
+  SELECT *, sure OR (q IS NOT NULL AND row_number() OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS FIRST, size, twin) <= n) AS chosen FROM ranked
+), gaps AS (
+  SELECT source, any_value(remaining) - sum(CASE WHEN chosen THEN size ELSE 0 END)::BIGINT AS gap FROM chosen GROUP BY source
+), candidates AS (
+  SELECT c.source, c.size, c.doc_id, c.twin, abs(gap) AS gap FROM chosen c JOIN gaps g ON c.source IS NOT DISTINCT FROM g.source
+  WHERE size > 0 AND remaining > 0 AND ((gap > 0 AND NOT chosen) OR (gap < 0 AND chosen AND NOT sure))
+  QUALIFY row_number() OVER (PARTITION BY c.source, c.size ORDER BY CASE WHEN g.gap > 0 THEN q ELSE -q END, doc_id, twin) = 1
+), picks AS (
+  SELECT source, any_value(gap) AS gap, NULL::BIGINT AS size, 0 AS step FROM candidates GROUP BY source
+  UNION ALL
+  SELECT p.source, any_value(p.gap) - max(c.size), max(c.size), any_value(p.step) + 1 FROM picks p JOIN candidates c ON p.source IS NOT DISTINCT FROM c.source
+  WHERE c.size <= p.gap AND (p.size IS NULL OR c.size < p.size) GROUP BY p.source
+), ends AS (
+  SELECT source, arg_max(gap, step) AS gap FROM picks GROUP BY source
+), over AS (
+  SELECT c.source, min(c.size) AS size FROM candidates c JOIN ends e ON c.source IS NOT DISTINCT FROM e.source
+  WHERE c.size > e.gap AND c.size < 2 * e.gap AND NOT EXISTS (SELECT 1 FROM picks p WHERE p.source IS NOT DISTINCT FROM c.source AND p.size = c.size) GROUP BY c.source
+), flips AS (
+  SELECT c.source, c.size, c.doc_id, c.twin FROM candidates c JOIN (SELECT source, size FROM picks WHERE size IS NOT NULL UNION ALL SELECT source, size FROM over) p
+  ON c.source IS NOT DISTINCT FROM p.source AND c.size = p.size
+), final AS (
+  SELECT c.* REPLACE (c.chosen <> (f.twin IS NOT NULL) AS chosen) FROM chosen c
+  LEFT JOIN flips f ON c.source IS NOT DISTINCT FROM f.source AND c.doc_id IS NOT DISTINCT FROM f.doc_id AND c.size = f.size AND c.twin = f.twin
 )
-"""
-MIXING += f"""
 SELECT doc_id, source, size, words AS source_size, target, (whole + chosen::INT)::BIGINT AS copies, (size * (whole + chosen::INT))::BIGINT AS taken
-FROM {_now}
+FROM final
 """
 
 CHAT = r"""

@@ -348,6 +348,22 @@ def test_mixing_with_one_hot_source(spark):
     assert all(abs(taken[s] - goal[s]) <= 0.005 * goal[s] for s in goal)
 
 
+def test_mixing_takes_larger_documents_with_more_probability(spark):
+    """Over many sources that are alike, shares taken by size are as the inclusion probabilities c * size."""
+    rows = [(i * 100 + j, "w " * (1 + 3 * (j % 10)), "en", f"s{i:03}", 1) for i in range(60) for j in range(60)]
+    got = mixing.mix(h.frame(spark, rows)).collect()
+    part = [r for r in got if r["target"] < r["source_size"]]
+    share = {z: sum(r["copies"] for r in part if r["size"] == z) / sum(r["size"] == z for r in part) for z in (4, 13, 28)}
+    assert share[4] < share[13] < share[28]
+
+
+def test_mixing_numbers_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TWINS", 7)
+    rows = [(None, "same text", "en", "a", 1)] * 50 + [(1, "other words here", "en", "b", 1)] * 3
+    got = mixing.mix(h.frame(spark, rows)).collect()
+    assert sum(r["doc_id"] is None for r in got) == 50 and len(got) == 53
+
+
 def test_licenses(spark):
     mit = license_texts.TEXTS["MIT"]
     texts = [
