@@ -2,8 +2,8 @@
 without appendix: up to the line "END OF TERMS AND CONDITIONS"."""
 
 DIGESTS = {
-    "84d3349e651a19710ff5663d85fa8909a755f8fd41df0ba718da14a02975dda0": "Apache-2.0",
-    "0bd92ecab6c9ae6d797ceea4eaf189857999b290b26b0da8e9dc0ff3c30a34e8": "Apache-2.0 (without appendix)",
+    "4db164cc277b72e3d03f4161513c53b32de1cf3a402162a025e00d038383a74f": "Apache-2.0",
+    "b93faad605f4e5d56d92cb01789c993887913c893e441b2305b4f880a9cead93": "Apache-2.0 (without appendix)",
     "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause",
     "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e": "CC0-1.0",
     "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f": "GFDL-1.2",
@@ -19,7 +19,7 @@ DIGESTS = {
     "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
     "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1 (without appendix)",
     "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
-    "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1": "MPL-1.1",
-    "8f0473f9c917c507827dca355168119bb065ca1a9dab0e366988bcdba5fa039b": "MPL-2.0",
+    "26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986": "MPL-1.1",
+    "4019e4c8fe9ede57c538b37b3332dc097a88c163e273bb6905d38316e63c2eb6": "MPL-2.0",
     "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2": "Artistic-1.0-Perl",
 }

@@ -24,8 +24,8 @@ from entwine.llm.license_digests import DIGESTS
 from entwine.llm.license_texts import NOTICES, TEXTS
 
 MAX_NOTICES = 1000
-#: Lines that state a copyright: the sign, or the word with the sign or a year; and "all rights reserved".
-COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(?:(?:copyright[ \t]*)?(?:\(c\)|©)[^\n]*|copyright[^\p{L}\n]*[0-9]{4}[^\n]*|all rights reserved)"
+#: Lines that state a copyright: the sign, or the word with its abbreviation, or either of these with a year; and "all rights reserved". A lettered clause "(c)" stays.
+COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©)[^\n]*|©[^\n]*|(?:\(c\)|copyright)[^\p{L}\n]*[0-9]{4}[^\n]*|all rights reserved)"
 OTHER = r"[^\p{L}\p{N}]+"
 #: Spellings that licence matching treats alike, the second being kept.
 SPELLINGS = (
