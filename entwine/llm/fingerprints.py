@@ -13,13 +13,14 @@ called by Spark's own SQL function reflect(); no Python runs on the executors.
 
 Defined results. Null text is the empty text, which has a fingerprint of its own. Equal
 texts have equal fingerprints. An empty table gives an empty result. Repeated rows each
-get a row. Extra columns of the input are not read and can have any name.
+get a row. Ids can have any type that has an order. Extra columns of the input are not read and can have any name.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, NumericType
 
 from entwine.functions.session import stored
 
@@ -96,54 +97,95 @@ def fingerprint(docs: DataFrame, bits: int = 64) -> DataFrame:
     return marked.join(sizes, "fingerprint").select("doc_id", "n_chars", "fingerprint", "group_size")
 
 
-FIRST = -(1 << 63)
+#: Copies of a row that are made in one go.
+COPIES = 65_536
 
 
-def _ranges(docs: DataFrame) -> list[int]:
-    """Ascending keys, at most MAX_RANGES of them, that end ranges of about equally many rows; the greatest is the last."""
-    n, chars = docs.agg(F.count(F.lit(1)), F.sum(F.length("text"))).first()
+def _order_key(id_: Column, kind: DataType) -> Column:
+    """A value of one type that is never null, in the order of the ids, null least."""
+    if isinstance(kind, IntegralType):
+        return F.coalesce(id_.cast("long"), F.lit(-(1 << 63)))
+    return F.coalesce(id_.cast("double"), F.lit(float("-inf"))) if isinstance(kind, NumericType) else F.coalesce(F.concat(F.lit("1"), id_.cast("string")), F.lit("0"))
+
+
+def _ranges(order: DataFrame) -> list:
+    """Ascending keys, at most about MAX_RANGES of them, that end ranges of about equally many rows; a key that fills several ranges is there as often."""
+    n, chars = order.agg(F.count(F.lit(1)), F.sum("chars")).first()
     if not n:
-        return [FIRST]
-    least = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return []
+    least = 4 * int(order.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = min(MAX_RANGES, max(least, (chars or 0) // RANGE_CHARS), n)
-    at = F.percentile_approx("key", [(i + 1) / k for i in range(k)], F.lit(min(1_000_000, 8 * k)))
-    return sorted(set(docs.agg(at).first()[0]))
+    if order.schema["key"].dataType.simpleString() != "string":
+        at = F.percentile_approx("key", [(i + 1) / k for i in range(k)], F.lit(min(1_000_000, 8 * k)))
+        return sorted(order.agg(at).first()[0])
+    parts = order.select("key").repartitionByRange(k, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count(F.lit(1)).alias("n"))
+    return sorted(e for r in parts.collect() for e in [r["most"]] * (-(-r["n"] * k // n) if r["least"] == r["most"] else 1))
 
 
-def _range_of(value: Column, ends: list[int]) -> Column:
-    """How many of ends are less than value, by binary search."""
+def _upto(value: Column, ends: list, kind: str, equal: bool) -> Column:
+    """How many of ends are less than value (or equal to it), by binary search."""
     steps = [1 << i for i in reversed(range(len(ends).bit_length()))]
-    all_ends = F.lit(ends).cast("array<long>")
-    further = lambda at, step: at + F.when(F.coalesce(F.get(all_ends, at + step - 1) < value, F.lit(False)), step).otherwise(0)
+    all_ends = F.lit(ends).cast(f"array<{kind}>")
+    before = (lambda e: e <= value) if equal else (lambda e: e < value)
+    further = lambda at, step: at + F.when(F.coalesce(before(F.get(all_ends, at + step - 1)), F.lit(False)), step).otherwise(0)
     return F.aggregate(F.lit(steps).cast("array<int>"), F.lit(0), further)
 
 
+def _repeated(row: Column, times: Column) -> Column:
+    """row, times times, as an array to explode twice: blocks of COPIES."""
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / COPIES))
+    return F.transform(blocks, lambda b: F.struct(row.alias("row"), F.least(F.lit(COPIES).cast("long"), times - b * COPIES).alias("n")))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """Every row of docs (doc_id, text and others), and as struct column next the row that follows by descending doc_id.
+    """Every row of docs (doc_id, text and others), as struct columns own and next the row that follows by descending doc_id, and times: rows that this row stands for.
 
-    The first row follows the last. Null ids come last; rows of one id are in the order of
-    their text. Rows are dealt by ranges of ids, and the row that begins a range is handed to
+    The first row follows the last. Null ids come last; rows of one id are in the order of two hashes of
+    their text, and equal rows follow each other: they are grouped before anything is dealt out, as one row that its
+    other copies follow, and one that the next text follows. Rows are dealt by ranges of ids, or within an id of their
+    hashes, and the row that begins a range is handed to
     the range before it too, so that no window holds more than a range.
     """
-    docs = docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
-    ends = _ranges(docs.select("key", "text"))
-    here = _range_of(F.col("key"), ends)
-    ahead = F.when(F.col("key") == ends[-1], 0).when(F.array_contains(F.lit(ends).cast("array<long>"), F.col("key")), here + 1)
+    names, kind = docs.columns, docs.schema["doc_id"].dataType
+    text = F.coalesce("text", F.lit(""))
+    marks = wide_hash(text)
+    keyed = docs.select(F.struct(*names).alias("own"), _order_key(F.col("doc_id"), kind).alias("key"), marks[0].alias("m1"), marks[1].alias("m2"))
+    of = ["key", "m1", "m2"]
+    order = stored(keyed.groupBy(*of).agg(F.count(F.lit(1)).alias("copies"), F.max(F.length("own.text")).alias("chars")), "fp-order")
+    ends = _ranges(order)
+    key_type = order.schema["key"].dataType.simpleString()
+    low, high = (_upto(F.col("key"), ends, key_type, equal) for equal in (False, True))
+    # an id that ends several ranges is dealt among them by its texts' hash
+    share = F.least(high - low - 1, F.floor((F.col("m1").cast("double") / 2.0**64 + 0.5) * (high - low)).cast("int"))
+    here = F.when(high - low > 1, high - 1 - share).otherwise(low)
+    ranges = order.select(*of, "copies", here.alias("range"))
+    flip = lambda c: F.bitwise_not(F.col(c)).alias(c)
+    first = ranges.groupBy("range").agg(F.max(F.struct("key", flip("m1"), flip("m2"))).alias("f"))
+    by_range = Window.orderBy("range")  # a row for each range
+    ahead = F.coalesce(F.lead("range").over(by_range), F.first("range").over(by_range))
+    first = stored(first.select(F.col("f.key").alias("f_key"), flip("f.m1").alias("f_m1"), flip("f.m2").alias("f_m2"), ahead.alias("ahead")), "fp-firsts")
+    many = bounded(stored(order.where("copies > 1").select(*[F.col(c).alias(f"c_{c}") for c in of], "copies"), "fp-copies"))
+    same = lambda p: (F.col("key") == F.col(f"{p}_key")) & (F.col("m1") == F.col(f"{p}_m1")) & (F.col("m2") == F.col(f"{p}_m2"))
+    single = keyed.join(many, same("c"), "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    grouped = keyed.join(many, same("c")).groupBy(*of).agg(F.first("own").alias("own"), F.first("copies").alias("copies"))
+    rows = single.unionByName(grouped).withColumn("range", here).join(F.broadcast(first), same("f"), "left")
     place = lambda at, visitor: F.struct(at.alias("range"), F.lit(visitor).alias("visitor"))
-    places = F.array_compact(F.array(place(here, 0), F.when(ahead.isNotNull(), place(ahead, 1))))
-    names = docs.drop("key").columns
-    inside = Window.partitionBy("range").orderBy("visitor", F.col("key").desc(), "text")
-    dealt = docs.withColumn("place", F.explode(places)).select(*names, "key", "place.range", "place.visitor")
-    return dealt.withColumn("next", F.lead(F.struct(*names)).over(inside)).where("visitor = 0").select(*names, "next")
+    places = F.array_compact(F.array(place(F.col("range"), 0), F.when(F.col("ahead").isNotNull(), place(F.col("ahead"), 1))))
+    inside = Window.partitionBy("range").orderBy("visitor", F.col("key").desc(), "m1", "m2")
+    dealt = rows.withColumn("place", F.explode(places)).select("own", *of, "copies", "place.range", "place.visitor")
+    found = dealt.withColumn("next", F.lead("own").over(inside)).where("visitor = 0")
+    last = F.struct(F.col("next"), F.lit(1).cast("long").alias("times"))
+    others = F.struct(F.col("own").alias("next"), (F.col("copies") - 1).alias("times"))
+    return found.select("own", F.explode(F.array_compact(F.array(last, F.when(F.col("copies") > 1, others)))).alias("n")).select("own", "n.next", "n.times")
 
 
 def _edited(docs: DataFrame, bits: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", text.alias("text")).withColumn("own", _key(canonical(F.col("text")), bits))
-    n = F.length("text")
+    digested = docs.select("doc_id", text.alias("text")).withColumn("key", _key(canonical(F.col("text")), bits))
+    n = F.length("own.text")
     third = F.floor(n / 3).cast("int")
-    new = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next.text"), F.lit(1), third))
-    rows = with_next(own).select("doc_id", "own", n.cast("long").alias("n_chars"), new.alias("edited"), F.col("next.doc_id").alias("next_id"), F.col("next.own").alias("next_own"))
+    new = F.concat(F.substring(F.col("own.text"), F.lit(1), n - third), F.substring(F.col("next.text"), F.lit(1), third))
+    rows = with_next(digested).select("own.doc_id", F.col("own.key").alias("own"), n.cast("long").alias("n_chars"), new.alias("edited"), F.col("next.doc_id").alias("next_id"), F.col("next.key").alias("next_own"), "times")
     return rows.withColumn("canon", canonical(F.col("edited"))).withColumn("changed", _key(F.col("canon"), bits))
 
 
@@ -154,7 +196,7 @@ def fingerprint_with_edits(docs: DataFrame, bits: int = 64) -> DataFrame:
     of the next document's, by descending doc_id. An exact digest is like another fully or not
     at all: near_edited and near_next are 1.0 for equal fingerprints, else 0.0.
     """
-    keys = stored(_edited(docs, bits).select("doc_id", "n_chars", "own", "next_id", "next_own", "changed", F.sha2("edited", 256).alias("edited_sha256")), "fp-keys")
+    keys = stored(_edited(docs, bits).select("doc_id", "n_chars", "own", "next_id", "next_own", "changed", "times", F.sha2("edited", 256).alias("edited_sha256")), "fp-keys")
     both = keys.select("own.h1", "own.h2").unionByName(keys.select("changed.h1", "changed.h2"))
     many = bounded(stored(contested(both), "fp-many"))
     text = docs.select(canonical(F.coalesce(F.col("text"), F.lit(""))).alias("canon"))
@@ -168,12 +210,6 @@ def fingerprint_with_edits(docs: DataFrame, bits: int = 64) -> DataFrame:
     for key, name in (("own", "fingerprint"), ("changed", "edited_fingerprint"), ("next_own", "next_fingerprint")):
         keys = _mark(keys, numbers, key, name)
     like = lambda other: F.when(F.col("fingerprint") == F.col(other), 1.0).otherwise(0.0)
-    return keys.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        like("edited_fingerprint").alias("near_edited"),
-        like("next_fingerprint").alias("near_next"),
-    )
+    row = F.struct("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"))
+    blocks = keys.select(F.explode(_repeated(row, F.col("times"))).alias("b"))
+    return blocks.select("b.row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("b.n"))).alias("i")).select("row.*")

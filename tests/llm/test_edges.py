@@ -312,14 +312,30 @@ def test_canonical_fingerprint(spark):
     assert got[0] == got[1] == got[2] != got[3]
 
 
-def test_next_document_over_uneven_ids(spark):
-    ids = [-5, 0, 1, 2, 3, 10**15, 10**15 + 1, 2**62, None]
-    rows = [(i, f"t{i}", "en", "a", 1) for i in ids]
-    got = {r["doc_id"]: r["next"]["doc_id"] for r in fingerprints.with_next(h.frame(spark, rows).select("doc_id", "text")).collect()}
-    order = sorted((i for i in ids if i is not None), reverse=True) + [None]
+@pytest.mark.parametrize("ids,kind", [([-5, 0, 1, 2, 3, 10**15, 10**15 + 1, 2**62, None], "long"), (["a", "doc-1", "doc-10", "doc-2", "doc-20", "\u00e9", "z", None], "string"), ([1.5, -2.0, 0.1, None], "double")])
+def test_next_document_over_uneven_ids(ids, kind, spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], f"doc_id {kind}, text string")
+    got = {r["own"]["doc_id"]: r["next"]["doc_id"] for r in fingerprints.with_next(docs).collect()}
+    order = sorted((i for i in ids if i is not None), key=lambda i: i.encode() if kind == "string" else i, reverse=True) + [None]
     assert got == {a: b for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def test_next_document_among_many_rows_of_one_id(spark, monkeypatch):
+    """Rows without an id, or of one id, are dealt among ranges by their texts; equal rows follow each other."""
+    monkeypatch.setattr(fingerprints, "COPIES", 3)
+    rows = [(None, f"t{i}") for i in range(300)] + [(5, f"u{i % 100}") for i in range(300)] + [(i, "v") for i in range(10, 20)] + [(7, None)]
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["times"] for r in got) == len(rows)
+    pairs = [(r["own"], r["next"]) for r in got for _ in range(r["times"])]
+    # every row is followed once, ids don't rise but where the first follows the last, and equal rows stand together
+    key = lambda x: str((x["doc_id"], x["text"]))
+    assert sorted(key(a) for a, _ in pairs) == sorted(key(b) for _, b in pairs)
+    rises = [(a["doc_id"], b["doc_id"]) for a, b in pairs if (a["doc_id"] is None and b["doc_id"] is not None) or (a["doc_id"] is not None and b["doc_id"] is not None and b["doc_id"] > a["doc_id"])]
+    assert rises == [(None, 19)]
+    assert sum(key(a) == key(b) for a, b in pairs) == 200
+    assert len(fingerprints.fingerprint_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == len(rows)
+
+
 def test_parts_with_substitutions_and_short_items_leak(spark):
     item = [f"q{i}" for i in range(59)]
     part = [f"z{i}" if i % 15 == 14 else w for i, w in enumerate(item[:40])]
@@ -380,6 +396,19 @@ def test_licenses(spark):
     assert [got[i]["digest"] for i in range(6)] == [licenses.digest_of(t or "") for t in texts]
 
 
+def test_terms_that_begin_with_c_in_brackets_stay(spark):
+    """A line is a copyright line by its word, sign or year, not by a letter in brackets."""
+    mit = license_texts.TEXTS["MIT"]
+    texts = [mit + "\n(c) You may not use this Software for any commercial purpose whatsoever.", "(c) 2001-2020 Someone\n" + mit, "\u00a9 Someone\n" + mit, "Copyright \u00a9 Someone\n" + mit, "* Copyright 1999, Someone\n" + mit]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(h.frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: None, 1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT"}
+
+
+@pytest.mark.parametrize("name", sorted(license_texts.TEXTS))
+def test_every_text_is_its_own_license(name, spark):
+    assert licenses.known_whole()[licenses.digest_of(license_texts.TEXTS[name])] == name.split(" (")[0]
+
+
 def test_notices_of_the_caller(spark):
     """Whatever words they have; a line in public-domain's other spelling is found too."""
     notices = {"CC-BY-4.0": "CC BY 4.0", "GPL-3.0": "GPL v3 or later", "PD": "In the public domain"}
