@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -15,6 +16,7 @@ PACKAGE = Path(__file__).resolve().parents[1]
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 _SHIPPED: set[str] = set()
 _FOLDERS: dict[str, str] = {}
+_STORED: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,11 +37,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The run's folder under spark.checkpoint.dir, or under a folder of our own where that is unset."""
+    """The run's folder under spark.checkpoint.dir; where that is unset, under a folder of our own, on a local master only."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not top:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for intermediate tables")
             top = "file://" + tempfile.mkdtemp(prefix="entwine-shared-")
             spark.sparkContext.setCheckpointDir(top)
         folder = _FOLDERS[app] = f"{top.rstrip('/')}/entwine-{uuid.uuid4().hex[:12]}"
@@ -64,4 +69,14 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(out)] = (weakref.ref(out, lambda _, i=id(out): _STORED.pop(i, None)), path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored() tables that nothing will read any more; others are left alone."""
+    for df in tables:
+        kept = _STORED.pop(id(df), None)
+        if kept and kept[0]() is df:
+            remove(df.sparkSession, kept[1])
