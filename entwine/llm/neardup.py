@@ -14,31 +14,34 @@ the weighted Jaccard similarity. BANDS bands of ROWS coordinates are the join ke
 Links. Texts with equal elements are one text from the start (a class representative with
 members). In each bucket, of texts with a band in common, all texts are compared
 with LEADERS texts that meet many others: LEADERS pairs per text, not all pairs. Where the
-links so found leave a bucket in several groups, every text outside the bucket's largest group
-is held against the texts of other groups: bounds from the numbers of elements, without those that no
-other of these texts has, rule most out, and the rest is compared within the join. So each pair
+links so found leave a bucket in several groups, its texts are searched for links between groups: two sets that are
+alike enough share one of their rarest elements (as many as the lesser similarity allows to differ, and one), so texts
+meet by these, within the sizes that the elements which no other of these texts has leave possible, and never within one
+group. What shares a bucket is compared. So each pair
 in a bucket is compared, in one group already, or ruled out. Comparisons are exact, on
-whole element sets. This last step is quadratic in the texts of a bucket that are alike
-but not alike enough; it is spread over tasks, and gives out links alone.
+whole element sets. Texts that are alike, but not alike enough, and have hardly an element of their own still meet; their
+pairs are spread over tasks, and give out links alone.
 
 Defined results. Null and empty texts are all equal, one class. Null ids are allowed; a
 class is named by its least id, null if it has no other. Repeated rows get a row each. An
 empty table gives an empty result. Very long texts are read whole. Extra columns of the input are
-not read and can have any name, but in `deduplicate`, which keeps them; there `__class` and `__turn` are reserved.
+not read and can have any name.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.functions.session import ship, stored
+from entwine.functions.session import forget, ship, stored
 from entwine.llm import kernels as k
 from entwine.llm.fingerprints import bounded
+from entwine.llm.kernels import unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -158,17 +161,22 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     roots = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+    rounds = []
     while True:
         least = edges.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
         further = least.select(F.col("from").alias("f2"), F.col("to").alias("t2"))
         least = stored(least.join(further, F.col("to") == F.col("f2"), "left").select("from", F.coalesce("t2", "to").alias("to")), "cc-least")
+        rounds.append(least)
         roots = roots.join(least, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
         ends = edges.join(least.select(F.col("from").alias("fa"), F.col("to").alias("ta")), F.col("a") == F.col("fa"), "left")
         ends = ends.join(least.select(F.col("from").alias("fb"), F.col("to").alias("tb")), F.col("b") == F.col("fb"), "left")
         ends = ends.select(F.coalesce("ta", "a").alias("x"), F.coalesce("tb", "b").alias("y")).where("x <> y")
-        edges = stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+        was, edges = edges, stored(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
+        forget(was)
         if edges.isEmpty():
-            return stored(roots.where("node <> root"), "cc-roots")
+            out = stored(roots.where("node <> root"), "cc-roots")
+            forget(edges, *rounds)
+            return out
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -199,14 +207,19 @@ def _groups(docs: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = pairs.select(F.least("key", "l.leader").alias("a"), F.greatest("key", "l.leader").alias("b")).distinct()
     sets = stored(_needed_sets(docs, rows, texts, entries.select("key").distinct()), "nd-sets")
     links = stored(_compare(pairs, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "nd-links")
-    roots = components(links)
-    more = stored(_remaining(texts, entries, roots, sets), "nd-more")
+    roots, spent = components(links), [many, led]
+    forget(*spent)
+    more = _remaining(texts, entries, roots, sets)
+    spent = [texts, entries, sets, links, more, roots]
     if not more.isEmpty():
         links = stored(links.unionByName(more).distinct(), "nd-links")
         roots = components(links)
+        spent += [links, roots]
     degree = links.select(F.explode(F.array("a", "b")).alias("k_")).groupBy("k_").agg(F.count(F.lit(1)).alias("links"))
     out = texts.select(F.col("c1").alias("g1"), F.col("c2").alias("g2"), "key").join(roots, F.col("key") == F.col("node"), "left").join(degree, F.col("key") == F.col("k_"), "left")
-    return stored(out.select("g1", "g2", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "nd-groups")
+    out = stored(out.select("g1", "g2", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "nd-groups")
+    forget(*spent)
+    return out
 
 
 def _needed_sets(docs: DataFrame, rows: DataFrame, texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -219,39 +232,61 @@ def _needed_sets(docs: DataFrame, rows: DataFrame, texts: DataFrame, keys: DataF
     return there.select("key", "text").mapInArrow(_sets, "key long, units array<long>").dropDuplicates(["key"])
 
 
-def _remaining(texts: DataFrame, entries: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between different groups of a bucket.
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size) / F.lit(math.log(1.05)))
 
-    Every text outside its bucket's largest group meets the texts of other groups. Cheap
-    bounds come first; what they leave is compared inside the join, which so gives out links only.
-    """
-    mine = entries.join(roots, F.col("key") == F.col("node"), "left").select("key", "size", "band", "bucket", F.coalesce("root", "key").alias("root"))
-    counts = mine.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("groups"))
-    open_ = stored(largest.where("groups > 1").select("bucket", F.col("most.root").alias("largest")), "nd-open")
-    mine = stored(mine.join(open_, "bucket"), "nd-mine")
-    # an element that only one of these texts has cannot be shared: the rest bounds what any pair has in common
-    units = sets.join(mine.select("key").distinct(), "key", "left_semi").select("key", F.explode("units").alias("unit"))
-    alone = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n = 1").groupBy(F.col("key").alias("k_")).agg(F.count(F.lit(1)).alias("alone"))
-    mine = mine.join(alone, F.col("key") == F.col("k_"), "left").withColumn("common", F.col("size") - F.coalesce("alone", F.lit(0))).where(F.col("common") >= SIMILARITY * F.col("size"))
-    mine = mine.join(texts.select("key", "bands"), "key").join(sets, "key")
-    mine = stored(mine.select("bucket", "band", "key", "size", "common", "root", "largest", "bands", "units"), "nd-mine")
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("key", "size", "common", "root", "bands", "units")]
-    joined = mine.where("root <> largest").select("bucket", "band", *side("a")).join(mine.select("bucket", *side("b")), "bucket")
-    both = F.col("size_a") + F.col("size_b")
-    alike = lambda shared: shared >= SIMILARITY * (both - shared)
-    # of several buckets that a pair shares, the one of the first band
-    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
-    possible = (F.col("root_a") != F.col("root_b")) & alike(F.least("common_a", "common_b")) & first
-    links = joined.where(F.when(possible, alike(F.size(F.array_intersect("units_a", "units_b")))).otherwise(F.lit(False)))
-    return links.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+
+def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, size, root, common, index) of the texts that can be alike with one of another group: index has the rarest elements
+    that texts of several groups have, of which any such text must share one; common: elements that others have too."""
+    units = open_.join(sets, "key").select("key", "size", "root", F.explode("units").alias("unit"))
+    use = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), (F.min("root") != F.max("root")).alias("mixed"))
+    shared = F.collect_list(F.when(F.col("n") > 1, F.struct("n", "unit", "mixed")))
+    each = units.join(use, "unit").groupBy("key", "size", "root").agg(F.count_if(F.col("n") > 1).alias("common"), F.array_sort(shared).alias("shared"))
+    least = F.ceil(SIMILARITY * F.col("size") - 1e-9)
+    # of size - least + 1 elements those that others have
+    prefix = F.slice("shared", 1, F.greatest(F.lit(0), (F.col("common") - least + 1).cast("int")))
+    index = F.transform(F.filter(prefix, lambda x: x["mixed"]), lambda x: x["unit"])
+    return each.where(F.col("common") >= least).select("key", "size", "root", "common", index.alias("index")).where(F.size("index") > 0)
+
+
+def _remaining(texts: DataFrame, entries: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different groups of a bucket."""
+    mine = entries.join(roots, F.col("key") == F.col("node"), "left").select("key", "size", "bucket", F.coalesce("root", "key").alias("root"))
+    several = mine.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    open_ = stored(mine.join(several, "bucket").select("key", "size", "root").distinct(), "nd-open")
+    found = stored(_rarest(open_, sets), "nd-rarest")
+    entry = found.select("key", "size", "root", "common", F.explode("index").alias("unit"))
+    # a pair is enumerated where one text at least is outside the group that most of an element's texts are in
+    main = entry.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("unit").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    entry = stored(entry.join(main, "unit").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "nd-entries")
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("key", "size", "root", "common")]
+    # the larger of two texts looks for sizes that it can be alike with
+    share = SIMILARITY / (1 + SIMILARITY)
+    most = F.least(F.col("size").cast("double"), F.col("common") / share - F.col("size") + 1e-6)
+    classes = F.sequence(_size_class(SIMILARITY * F.col("size") - 1e-6), _size_class(most))
+    seek = entry.where(most >= SIMILARITY * F.col("size") - 1e-6).select("unit", "is_main", *side("a"), F.explode(classes).alias("class"))
+    offer = entry.select("unit", F.col("is_main").alias("main_b"), *side("b"), _size_class(F.col("size").cast("double")).alias("class"))
+    alike = (F.least("common_a", "common_b") >= share * (F.col("size_a") + F.col("size_b")) - 1e-9) & (F.col("size_b") >= SIMILARITY * F.col("size_a") - 1e-9)
+    smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("key_b") < F.col("key_a")))
+    meet = lambda s, o: s.join(o, ["unit", "class"]).where(smaller & alike & (F.col("root_a") != F.col("root_b"))).select("key_a", "key_b")
+    pairs = meet(seek.where("NOT is_main"), offer).unionByName(meet(seek.where("is_main"), offer.where("NOT main_b")))
+    pairs = pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+    bands = lambda n: texts.select(F.col("key").alias(n), F.col("bands").alias(f"bands_{n}"))
+    in_bucket = F.exists(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), lambda z: z)
+    pairs = pairs.join(bands("a"), "a").join(bands("b"), "b").where(in_bucket).select("a", "b")
+    out = stored(_compare(pairs, sets).where(F.col("similarity") >= SIMILARITY).select("a", "b"), "nd-more")
+    forget(open_, found, entry)
+    return out
 
 
 def _members(docs: DataFrame) -> DataFrame:
     """doc_id, mark, root and links of every row."""
     rows = stored(_signed(docs), "nd-rows")
     groups = _groups(docs, rows)
-    return stored(rows.join(groups, (rows.c1 == groups.g1) & (rows.c2 == groups.g2)).select("doc_id", "mark", "root", "links"), "nd-members")
+    out = stored(rows.join(groups, (rows.c1 == groups.g1) & (rows.c2 == groups.g2)).select("doc_id", "mark", "root", "links"), "nd-members")
+    forget(rows, groups)
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -273,14 +308,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     kept = stored(members.groupBy("root").agg(F.min(one).alias("k")).select("root", "k.doc_id", "k.mark"), "nd-kept")
     same = ["root", "doc_id", "mark"]
     gone = members.alias("m").join(kept.alias("k"), [F.col(f"m.{c}").eqNullSafe(F.col(f"k.{c}")) for c in same], "left_anti")
-    gone = bounded(stored(gone.select(F.col("doc_id").alias("__class"), F.col("mark").alias("__turn")).distinct(), "nd-gone"))
+    id_, mark_, turn = (unused(docs.columns, x) for x in ("__id", "__mark", "__turn"))
+    named = [F.col("doc_id").alias(id_), F.col("mark").alias(mark_)]
+    gone = bounded(stored(gone.select(*named).distinct(), "nd-gone"))
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    here = lambda other: F.col("doc_id").eqNullSafe(other["__class"]) & (mark == other["__turn"])
-    out = docs.join(gone, here(gone), "left_anti")
+    here = F.col("doc_id").eqNullSafe(F.col(id_)) & (mark == F.col(mark_))
+    out = docs.join(gone, here, "left_anti")
     # rows of one id and one text are one document: the first by their columns' hash stays
-    twice = stored(members.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("__class"), F.col("mark").alias("__turn")), "nd-twice")
+    twice = stored(members.groupBy("doc_id", "mark").count().where("count > 1").select(*named), "nd-twice")
     if twice.isEmpty():
         return out
-    first = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*docs.columns))
-    again = out.join(bounded(twice), here(twice), "left_semi").withColumn("__turn", F.row_number().over(first)).where("__turn = 1").drop("__turn")
-    return out.join(bounded(twice), here(twice), "left_anti").unionByName(again)
+    first = out.join(bounded(twice), here, "left_semi").groupBy("doc_id", mark.alias(mark_)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(turn))
+    return out.join(bounded(twice), here, "left_anti").unionByName(first.select(f"{turn}.*"))

@@ -211,6 +211,37 @@ def test_near_duplicates_of_one_large_group(spark):
     assert got == h.near_classes([r[:2] for r in rows])
 
 
+def test_near_duplicates_without_a_middle(spark):
+    """Texts around the threshold of each other, of unequal lengths, without one that is like all: classes as brute force has them."""
+    import random
+
+    draw = random.Random(9)
+    rows = []
+    for g in range(6):
+        base = [f"b{g}_{i}" for i in range(draw.choice([30, 80, 150]))]
+        for i in range(25):
+            mine = base[draw.randrange(0, 4) : len(base) - draw.randrange(0, 12)]
+            for at in draw.sample(range(len(mine)), draw.randrange(1, 2 + len(mine) // 25)):
+                mine[at] = f"own{g}_{i}_{at}"
+            rows.append((g * 100 + i, " ".join(mine), "en", "a", 1))
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(h.frame(spark, rows)).collect()}
+    assert got == h.near_classes([r[:2] for r in rows])
+    assert 6 < len(set(got.values())) < 150
+
+
+def test_links_between_groups_by_rarest_elements(spark):
+    """All pairs that are alike enough, where no leader has linked any: every text is its own group."""
+    import random
+
+    draw = random.Random(4)
+    sets = {i: sorted({draw.randrange(40) for _ in range(draw.randrange(1, 34))} | ({100 + i} if i % 3 == 0 else set())) for i in range(160)}
+    table = spark.createDataFrame([(i, len(u), [7] * 16, u) for i, u in sets.items()], "key long, size long, bands array<long>, units array<long>")
+    entries = table.selectExpr("key", "size", "1L AS bucket")
+    roots = spark.createDataFrame([], "node long, root long")
+    got = {(r["a"], r["b"]) for r in neardup._remaining(table, entries, roots, table.select("key", "units")).collect()}
+    assert got == {(i, j) for i in sets for j in sets if i < j and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+
+
 def test_near_duplicates_name_what_was_checked(spark):
     """Not all pairs of a class are compared, so the column isn't named as if they were."""
     assert neardup.classes(h.frame(spark)).columns == ["doc_id", "class_id", "checked_links", "class_size"]
