@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.schema import LEGAL_SUFFIXES
+from entwine.schema import LEGAL_SUFFIXES, NORMALISED
 
 NO_WORD_BEFORE, NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
@@ -92,6 +92,4 @@ def preprocess(records: DataFrame) -> DataFrame:
             "business_address_tokens": tokens(F.col("business_address_normalized")),
         }
     )
-    order = ["business_name_normalized", "business_name_core", "business_name_tokens", "business_address_normalized"]
-    order += ["business_address_postal", "business_address_numeric_tokens", "business_address_tokens", "country_normalized"]
-    return second.select(*records.columns, *order)
+    return second.select(*records.columns, *NORMALISED)

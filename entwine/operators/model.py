@@ -1,20 +1,33 @@
-"""The match classifier: gradient-boosted trees of Spark ML over the feature vector."""
+"""The match classifier: gradient-boosted trees over the feature vector."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from dataclasses import replace
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from entwine.functions.session import ship
+from entwine.operators.boosting import Schedule, Trees, fit
 from entwine.operators.features import META, SCHEMA
+from entwine.operators.labels import hash_order
 
 #: Columns that tell the answer or the pair; none may be a feature.
 FORBIDDEN = {"label", "is_match", "s1_id", "cand_id", "match_probability"}
+#: Labelled rows that a fit takes at most, of training and of validation each: the first in hash order.
+FIT_ROWS = 200_000
+_NODES = "tree int, node int, feature string, threshold double, left int, right int, value double, gain double"
+
+
+class Model:
+    """Trees over features by name."""
+
+    def __init__(self, schema: list[str], trees: Trees):
+        self.schema, self.trees = schema, trees
 
 
 def check_features(train: DataFrame, validation: DataFrame, schema: list[str] | None = None) -> list[str]:
@@ -35,40 +48,70 @@ def class_balance(train: DataFrame) -> DataFrame:
     )
 
 
-def train(rows: DataFrame, validation: DataFrame | None = None, schema: list[str] = SCHEMA, rounds: int = 50, seed: int = 42) -> PipelineModel:
-    """Fit on rows (features, label); positives weigh negatives / positives; stops early on validation rows if given."""
-    weight = float(class_balance(rows).first()["scale_pos_weight"] or 1.0)
-    marked = rows.withColumn("is_validation", F.lit(False))
-    if validation is not None:
-        marked = marked.unionByName(validation.withColumn("is_validation", F.lit(True)))
-    marked = marked.withColumns({"weight": F.when(F.col("label") == 1, F.lit(weight)).otherwise(1.0), "target": F.col("label").cast("double")})
-    trees = GBTClassifier(
-        featuresCol="vector", labelCol="target", weightCol="weight", maxIter=rounds, stepSize=0.05, maxDepth=6, minInstancesPerNode=20, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed
-    )
-    if validation is not None:
-        trees = trees.setValidationIndicatorCol("is_validation")
-    return Pipeline(stages=[VectorAssembler(inputCols=schema, outputCol="vector"), trees]).fit(marked.select(*schema, "target", "weight", "is_validation"))
+def _matrix(rows: DataFrame, schema: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the first FIT_ROWS rows in hash order."""
+    turn = hash_order("s1_id", "cand_id")
+    kept = rows.select(*[F.col(c).cast("double").alias(c) for c in schema], F.col("label").cast("int").alias("label"), "s1_id", "cand_id", turn.alias("turn"))
+    table = kept.orderBy("turn", "s1_id", "cand_id").limit(FIT_ROWS).toArrow()
+    return np.stack([table[c].to_numpy() for c in schema], 1), table["label"].to_numpy()
 
 
-def score(rows: DataFrame, model: PipelineModel) -> DataFrame:
-    """rows' pair columns with match_probability."""
-    keep = [c for c in META if c in rows.columns]
-    return model.transform(rows).select(*keep, vector_to_array("probability")[1].alias("match_probability"))
+def train(rows: DataFrame, validation: DataFrame | None = None, schema: list[str] = SCHEMA, rounds: int = Schedule.rounds, seed: int = Schedule.seed) -> Model:
+    """Fit on rows (features, label, s1_id, cand_id); positives weigh negatives / positives; stops early by the validation rows, if given."""
+    x, y = _matrix(rows, schema)
+    more = _matrix(validation, schema) if validation is not None else (None, None)
+    return Model(list(schema), fit(x, y, *more, plan=replace(Schedule(), rounds=rounds, seed=seed)))
 
 
-def importance(model: PipelineModel) -> list[tuple[str, float, int]]:
-    """(feature, gain, splits) by falling gain, then name."""
-    names, trees = model.stages[0].getInputCols(), model.stages[-1]
-    gain = trees.featureImportances.toArray()
-    splits = [0] * len(names)
-    for i in re.findall(r"If \(feature (\d+) ", trees.toDebugString):
-        splits[int(i)] += 1
-    return sorted(((n, float(gain[i]), splits[i]) for i, n in enumerate(names)), key=lambda x: (-x[1], x[0]))
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """rows' pair columns with match_probability."""
+    ship(rows.sparkSession)
+    sent = rows.sparkSession.sparkContext.broadcast(model.trees)
 
+    @F.pandas_udf(DoubleType())
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            yield pd.Series(sent.value.probabilities(np.stack(vectors.to_numpy())) if len(vectors) else np.zeros(0))
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    keep = [c for c in META if c in rows.columns]
+    vector = F.array(*[F.col(c).cast("double") for c in model.schema])
+    return rows.select(*keep, probability(vector).alias("match_probability"))
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def importance(model: Model) -> list[tuple[str, float, int]]:
+    """(feature, gain, splits) by falling gain, then name."""
+    gain, splits = np.zeros(len(model.schema)), np.zeros(len(model.schema), int)
+    for f, g in zip(model.trees.feature, model.trees.gain, strict=True):
+        np.add.at(gain, f[f >= 0], g[f >= 0])
+        np.add.at(splits, f[f >= 0], 1)
+    return sorted(((n, float(gain[i]), int(splits[i])) for i, n in enumerate(model.schema)), key=lambda x: (-x[1], x[0]))
+
+
+def nodes(spark: SparkSession, model: Model) -> DataFrame:
+    """A row for each node of each tree; tree -1 has the value that all begin with, and tree -2 the features in order."""
+    rows = [(-1, 0, None, None, None, None, model.trees.base, None)]
+    rows += [(-2, i, name, None, None, None, None, None) for i, name in enumerate(model.schema)]
+    t = model.trees
+    for i, columns in enumerate(zip(t.feature, t.threshold, t.left, t.right, t.value, t.gain, strict=True)):
+        for j, (f, threshold, left, right, value, gain) in enumerate(zip(*columns, strict=True)):
+            rows.append((i, j, model.schema[f] if f >= 0 else None, float(threshold), int(left), int(right), float(value), float(gain)))
+    return spark.createDataFrame(rows, _NODES)
+
+
+def save(model: Model, path: str) -> None:
+    nodes(SparkSession.active(), model).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(path: str) -> Model:
+    rows = SparkSession.active().read.schema(_NODES).parquet(path).toPandas().sort_values(["tree", "node"])
+    schema = rows[rows["tree"] == -2]["feature"].tolist()
+    place = {name: i for i, name in enumerate(schema)}
+    out = Trees(float(rows[rows["tree"] == -1]["value"].iloc[0]))
+    for _, tree in rows[rows["tree"] >= 0].groupby("tree"):
+        out.feature.append(np.array([place.get(f, -1) for f in tree["feature"]], np.int64))
+        out.threshold.append(tree["threshold"].to_numpy(float))
+        out.left.append(tree["left"].to_numpy(np.int64))
+        out.right.append(tree["right"].to_numpy(np.int64))
+        out.value.append(tree["value"].to_numpy(float))
+        out.gain.append(tree["gain"].to_numpy(float))
+    return Model(schema, out)
