@@ -2,21 +2,31 @@
 
 pool is the union of the candidate sources with `candidate_source`. Keys are built once
 for either side; frequency caps come from counts of the pool and drop the key before
-the join, which also removes the heaviest keys. What is left uncapped (names, postal
-codes, numbers) relies on adaptive skew joins, and the pairs are made distinct before anything else reads them.
+the join, which also removes the heaviest keys. Names, postal codes and numbers have no cap: as strategies
+of their own they give every pair, however many. Where only the best candidates of each record are wanted
+(candidates()), a key of more than HOT pool records brings no more of them than can be among these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entwine.functions.session import stored
 from entwine.schema import MAX_BLOCK_FREQUENCY, MAX_CANDIDATES, MIN_NGRAM_DOCUMENTS, MIN_TOKEN_LENGTH, NGRAM_RANGE, STRATEGIES, STRATEGY_WEIGHTS, TOP_K_NGRAM
 
 Strategy = Callable[[DataFrame, DataFrame], DataFrame]
 
+#: Pool records of a key from which its pairs are limited in candidates().
+HOT = 1000
+#: Postings that the first search for n-gram neighbours takes of a name's rarest n-grams.
+FIRST = 1000
+#: What rounding to 9 places can lift a similarity by, and more.
+ROUNDING = 2e-9
+
 
 def candidate_pool(s2: DataFrame, s3: DataFrame) -> DataFrame:
     """s2, and the records of s3 whose id s2 lacks, with candidate_source; one row an id."""
@@ -33,10 +43,25 @@ def _match(s1: DataFrame, pool: DataFrame, *on: str) -> DataFrame:
     return s1.join(pool, list(on)).select("s1_id", "cand_id").distinct()
 
 
+def _names() -> Column:
+    return F.filter(F.array("business_name_normalized", "business_name_core"), lambda x: x != "")
+
+
+def _postal_codes() -> Column:
+    return F.filter(F.array("business_address_postal"), lambda x: x != "")
+
+
+def _numbers() -> Column:
+    return F.col("business_address_numeric_tokens")
+
+
+#: The keys of the strategies that are plain equality of keys without a cap.
+UNCAPPED: dict[str, Callable[[], Column]] = {"exact_name": _names, "postal": _postal_codes, "numeric_address": _numbers}
+
+
 def exact_name(s1: DataFrame, pool: DataFrame) -> DataFrame:
     """Normalised or core name of one equal to normalised or core name of the other."""
-    names = F.filter(F.array("business_name_normalized", "business_name_core"), lambda x: x != "")
-    return _match(_keys(s1, "s1_id", names), _keys(pool, "cand_id", names), "key")
+    return _match(_keys(s1, "s1_id", _names()), _keys(pool, "cand_id", _names()), "key")
 
 
 def country_name_token(s1: DataFrame, pool: DataFrame, cap: int = MAX_BLOCK_FREQUENCY) -> DataFrame:
@@ -49,8 +74,7 @@ def country_name_token(s1: DataFrame, pool: DataFrame, cap: int = MAX_BLOCK_FREQ
 
 
 def postal(s1: DataFrame, pool: DataFrame) -> DataFrame:
-    code = F.filter(F.array("business_address_postal"), lambda x: x != "")
-    return _match(_keys(s1, "s1_id", code), _keys(pool, "cand_id", code), "key")
+    return _match(_keys(s1, "s1_id", _postal_codes()), _keys(pool, "cand_id", _postal_codes()), "key")
 
 
 def address_token(s1: DataFrame, pool: DataFrame, cap: int = MAX_BLOCK_FREQUENCY) -> DataFrame:
@@ -62,8 +86,7 @@ def address_token(s1: DataFrame, pool: DataFrame, cap: int = MAX_BLOCK_FREQUENCY
 
 
 def numeric_address(s1: DataFrame, pool: DataFrame) -> DataFrame:
-    numbers = F.col("business_address_numeric_tokens")
-    return _match(_keys(s1, "s1_id", numbers), _keys(pool, "cand_id", numbers), "key")
+    return _match(_keys(s1, "s1_id", _numbers()), _keys(pool, "cand_id", _numbers()), "key")
 
 
 def char_ngrams(text: Column, low: int = NGRAM_RANGE[0], high: int = NGRAM_RANGE[1]) -> Column:
@@ -75,36 +98,58 @@ def char_ngrams(text: Column, low: int = NGRAM_RANGE[0], high: int = NGRAM_RANGE
 def char_ngram_scores(s1: DataFrame, pool: DataFrame, top: int = TOP_K_NGRAM) -> DataFrame:
     """(s1_id, cand_id, similarity, rank): the nearest pool records by cosine of n-gram TF-IDF of the name.
 
-    Equal names have equal vectors, so the join is between distinct names; of a pool name the
-    first `top` ids are all that can be needed. idf = ln((1 + N) / (1 + df)) + 1 with N and df over
+    idf = ln((1 + N) / (1 + df)) + 1 with N and df over
     all pool records; n-grams of fewer than MIN_NGRAM_DOCUMENTS records are left out before
     the lengths are taken. Order: similarity to 9 places, then id.
+
+    Equal names have equal vectors, so the joins are between distinct names, by number; of a pool name the
+    first `top` ids are all that can be needed. A name's rarest n-grams find a first `top` neighbours, whose exact
+    similarities bound what can still be among the nearest. Its most usual n-grams, as far as their length is
+    below that bound, cannot bring such a name in by themselves: they are left out of the join, and added for the names that
+    come near enough without them.
     """
     total = pool.count()
     named = pool.select(F.col("business_name_normalized").alias("name"), "entity_id")
-    names = named.groupBy("name").agg(F.count(F.lit(1)).alias("records"))
     in_name = Window.partitionBy("name").orderBy("entity_id")
     least_ids = named.withColumn("n", F.row_number().over(in_name)).where(F.col("n") <= top).groupBy("name").agg(F.array_sort(F.collect_list("entity_id")).alias("ids"))
-    tf = names.where("name <> ''").select("name", "records", F.explode(char_ngrams(F.col("name"))).alias("gram")).groupBy("name", "records", "gram").count()
-    df = tf.groupBy("gram").agg(F.sum("records").alias("df")).where(F.col("df") >= MIN_NGRAM_DOCUMENTS)
-    idf = df.select("gram", (F.log((1 + F.lit(float(total))) / (1 + F.col("df"))) + 1).alias("idf"))
-
-    def unit(counts: DataFrame, name: str) -> DataFrame:
-        weighed = counts.join(idf, "gram").select(F.col("name").alias(name), "gram", (F.col("count") * F.col("idf")).alias("w"))
-        length = weighed.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-        return weighed.join(length, name).select(name, "gram", (F.col("w") / F.col("length")).alias("w"))
-
-    asked = s1.where("business_name_normalized <> ''").select("entity_id", F.col("business_name_normalized").alias("q"))
-    mine = asked.select(F.col("q").alias("name")).distinct().select("name", F.explode(char_ngrams(F.col("name"))).alias("gram")).groupBy("name", "gram").count()
-    left, right = unit(mine, "q"), unit(tf, "p").withColumnRenamed("w", "v")
-    similar = left.join(right, "gram").groupBy("q", "p").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("similarity")).where("similarity > 0")
+    names = named.where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("records")).join(least_ids, "name")
+    names = stored(names.withColumn("p", F.monotonically_increasing_id()), "ngram-names")
+    asked = s1.where("business_name_normalized <> ''").select("entity_id", F.col("business_name_normalized").alias("name"))
+    wanted = stored(asked.select("name").distinct().withColumn("q", F.monotonically_increasing_id()), "ngram-asked")
+    count = lambda df, *by: df.select(*by, F.explode(char_ngrams(F.col("name"))).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
+    tf = count(names, "p", "records")
+    df = tf.groupBy("gram").agg(F.sum("records").alias("df"), F.count(F.lit(1)).alias("names")).where(F.col("df") >= MIN_NGRAM_DOCUMENTS)
+    idf = df.select("gram", "names", (F.log((1 + F.lit(float(total))) / (1 + F.col("df"))) + 1).alias("idf"))
+
+    def unit(counts: DataFrame, by: str) -> DataFrame:
+        weighed = counts.join(idf, "gram").withColumn("w", F.col("n") * F.col("idf"))
+        length = weighed.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+        return weighed.join(length, by).select(by, "gram", "names", (F.col("w") / F.col("length")).alias("w"))
+
+    right = stored(unit(tf, "p").select("p", "gram", F.col("w").alias("v")), "ngram-pool")
+    rarer = Window.partitionBy("q").orderBy("names", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    usual = Window.partitionBy("q").orderBy(F.desc("names"), "gram").rowsBetween(Window.unboundedPreceding, 0)
+    left = unit(count(wanted, "q"), "q").withColumns({"before": F.coalesce(F.sum("names").over(rarer), F.lit(0)), "length": F.sqrt(F.sum(F.col("w") * F.col("w")).over(usual))})
+    left = stored(left, "ngram-left")
+    dot = F.sum(F.col("w") * F.col("v"))
+    # what the first neighbours have, at least
+    first = left.where(F.col("before") < FIRST).join(right, "gram").groupBy("q", "p").agg(dot.alias("s"))
+    nearest = first.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "p"))).where(F.col("n") <= top).select("q", "p")
+    exact = nearest.join(left, "q").join(right, ["p", "gram"]).groupBy("q", "p").agg(dot.alias("s"))
+    bound = exact.groupBy("q").agg(F.when(F.count(F.lit(1)) == top, F.min("s") - ROUNDING).otherwise(F.lit(0.0)).alias("bound"))
+    known = left.join(bound, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).withColumn("usual", F.col("length") < F.col("bound"))
+    slack = known.groupBy(F.col("q").alias("q_")).agg(F.coalesce(F.max(F.when(F.col("usual"), F.col("length"))), F.lit(0.0)).alias("slack"))
+    known = stored(known.join(slack, F.col("q") == F.col("q_")).select("q", "gram", "w", "usual", "bound", "slack"), "ngram-known")
+    part = known.where("NOT usual").join(right, "gram").groupBy("q", "p").agg(dot.alias("s"), F.first("bound").alias("bound"), F.first("slack").alias("slack"))
+    near = stored(part.where(F.col("s") + F.col("slack") >= F.col("bound")).select("q", "p", "s"), "ngram-near")
+    more = near.select("q", "p").join(known.where("usual").select("q", "gram", "w"), "q").join(right, ["p", "gram"]).groupBy("q", "p").agg(dot.alias("more"))
+    similar = near.join(more, ["q", "p"], "left").select("q", "p", F.round(F.col("s") + F.coalesce("more", F.lit(0.0)), 9).alias("similarity")).where("similarity > 0")
     # the nearest names first: each name brings at least one id, so `top` names are enough
-    near = Window.partitionBy("q").orderBy(F.desc("similarity"), F.col("least"))
-    firsts = least_ids.select(F.col("name").alias("p"), "ids", F.element_at("ids", 1).alias("least"))
-    similar = similar.join(firsts, "p").withColumn("n", F.rank().over(near)).where(F.col("n") <= top)
+    near_names = Window.partitionBy("q").orderBy(F.desc("similarity"), F.element_at("ids", 1))
+    similar = similar.join(names.select("p", "ids"), "p").withColumn("n", F.rank().over(near_names)).where(F.col("n") <= top)
     each = Window.partitionBy("q").orderBy(F.desc("similarity"), "cand_id")
     ranked = similar.select("q", "similarity", F.explode("ids").alias("cand_id")).withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= top)
-    return asked.join(ranked, "q").select(F.col("entity_id").alias("s1_id"), "cand_id", "similarity", "rank")
+    return asked.join(wanted, "name").join(ranked, "q").select(F.col("entity_id").alias("s1_id"), "cand_id", "similarity", "rank")
 
 
 def char_ngram(s1: DataFrame, pool: DataFrame) -> DataFrame:
@@ -153,6 +198,51 @@ def combine(found: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
     return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("s1_id", "cand_id", "score", "rank", "provenance")
 
 
-def candidates(s1: DataFrame, s2: DataFrame, s3: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Combined candidates of all strategies over normalised sources."""
-    return combine(by_strategy(s1, candidate_pool(s2, s3), names))
+def _largest(pool: DataFrame, names: list[str]) -> int:
+    """Pool records of the most usual key of any uncapped strategy."""
+    counts = [_keys(pool, "cand_id", UNCAPPED[n]()).groupBy("key").count().agg(F.max("count").alias("n")) for n in names]
+    return max([r["n"] or 0 for c in counts for r in c.collect()], default=0)
+
+
+def best_pairs(s1: DataFrame, pool: DataFrame, names: list[str], limit: int) -> DataFrame:
+    """(s1_id, cand_id): of uncapped strategies, all pairs that can be among the best `limit` of their s1_id.
+
+    A pair's score follows from the strategies that it meets, and ties go to the lesser id. So of the records
+    that share keys of some of the strategies, the first `limit` are enough, for each choice of strategies and keys:
+    any other is behind that many that meet no less.
+    """
+    out = None
+    for n in range(1, len(names) + 1):
+        for chosen in combinations(names, n):
+            keys = [f"k{i}" for i in range(n)]
+            mine, theirs = (x.select(F.col("entity_id").alias(i), *[F.array_distinct(UNCAPPED[c]()).alias(k) for c, k in zip(chosen, keys, strict=True)]) for x, i in ((s1, "s1_id"), (pool, "cand_id")))
+            for k in keys:
+                mine, theirs = mine.withColumn(k, F.explode(k)), theirs.withColumn(k, F.explode(k))
+            first = Window.partitionBy(*keys).orderBy("cand_id")
+            theirs = theirs.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= limit)
+            found = mine.join(theirs, keys).select("s1_id", "cand_id")
+            out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def _checked(pairs: DataFrame, s1: DataFrame, pool: DataFrame, names: list[str]) -> DataFrame:
+    """(s1_id, cand_id, strategy): which of the uncapped strategies each pair meets."""
+    side = lambda x, i, s: x.dropDuplicates(["entity_id"]).select(F.col("entity_id").alias(i), *[UNCAPPED[n]().alias(f"{n}_{s}") for n in names])
+    both = pairs.join(side(s1, "s1_id", "a"), "s1_id").join(side(pool, "cand_id", "b"), "cand_id")
+    met = F.array_compact(F.array(*[F.when(F.arrays_overlap(f"{n}_a", f"{n}_b"), F.lit(n)) for n in names]))
+    return both.select("s1_id", "cand_id", F.explode(met).alias("strategy"))
+
+
+def candidates(s1: DataFrame, s2: DataFrame, s3: DataFrame, names: list[str] | None = None, limit: int = MAX_CANDIDATES) -> DataFrame:
+    """Combined candidates of all strategies over normalised sources, the best `limit` of each record of s1."""
+    pool, names = candidate_pool(s2, s3), names or list(REGISTRY)
+    free = [n for n in names if n in UNCAPPED]
+    if not free or _largest(pool, free) <= HOT:
+        return combine(by_strategy(s1, pool, names), limit)
+    pairs = best_pairs(s1, pool, free, limit)
+    rest = [n for n in names if n not in UNCAPPED]
+    if not rest:
+        return combine(_checked(pairs, s1, pool, free), limit)
+    found = stored(by_strategy(s1, pool, rest), "found")
+    pairs = pairs.unionByName(found.select("s1_id", "cand_id")).distinct()
+    return combine(found.unionByName(_checked(pairs, s1, pool, free)), limit)
