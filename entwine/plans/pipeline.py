@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from entwine.functions.session import stored
 from entwine.functions.text import preprocess
 from entwine.operators import blocking, features, labels, metrics, model
+from entwine.operators.boosting import Schedule
 from entwine.schema import STRATEGIES
 from entwine.sources import tsv
 
@@ -35,14 +35,14 @@ def prepare(s1: DataFrame, s2: DataFrame, s3: DataFrame) -> Prepared:
 
 @dataclass
 class Trained:
-    model: PipelineModel
+    model: "model.Model"
     scored: DataFrame
     train: DataFrame
     candidates: DataFrame
     metadata: dict[str, Any]
 
 
-def train(data: Prepared, truth_table: DataFrame, strategies: list[str] = STRATEGIES, rounds: int = 50, n_random: int = 3, n_hard: int = 2) -> Trained:
+def train(data: Prepared, truth_table: DataFrame, strategies: list[str] = STRATEGIES, rounds: int = Schedule.rounds, n_random: int = 3, n_hard: int = 2) -> Trained:
     """Split, block once for both parts, label, sample, make features, fit, score validation."""
     split = stored(labels.entity_split(data.s1), "split")
     truth = stored(labels.truth_pairs(truth_table), "truth")
@@ -77,7 +77,7 @@ def choose_threshold(scored: DataFrame, truth_table: DataFrame) -> tuple[float,
     return metrics.best_threshold(grid), grid
 
 
-def infer(data: Prepared, fitted: PipelineModel, threshold: float, schema: list[str], strategies: list[str] = STRATEGIES) -> tuple[DataFrame, DataFrame]:
+def infer(data: Prepared, fitted: model.Model, threshold: float, schema: list[str], strategies: list[str] = STRATEGIES) -> tuple[DataFrame, DataFrame]:
     """(candidates, matches): every match is a candidate."""
     found = stored(blocking.candidates(data.s1, data.s2, data.s3, strategies), "candidates")
     rows = features.test_features(found, data.s1, data.s2, data.s3, schema)
@@ -104,8 +104,10 @@ def read_threshold(folder: str) -> float:
     raise FileNotFoundError(f"{folder}: no threshold")
 
 
-def run_training(spark, train_folder: str, model_folder: str, rounds: int = 50) -> Trained:
-    """Read the training bundle, train, and write model, schema, metadata, scored pairs, grid and threshold."""
+def run_training(spark, train_folder: str, model_folder: str, rounds: int = Schedule.rounds) -> Trained:
+    """Read the training bundle, train, and write model, schema, metadata, scored pairs, grid, threshold and experiments."""
+    from entwine.plans import reports  # it reads this module
+
     data = tsv.read_train(spark, train_folder)
     ready = prepare(data["source1"], data["source2"], data["source3"])
     out = train(ready, data["ground_truth"], rounds=rounds)
@@ -120,11 +122,15 @@ def run_training(spark, train_folder: str, model_folder: str, rounds: int = 50)
     tsv.write_json(out.metadata, f"{model_folder}/metadata.json")
     for name in ("threshold.json", "final_threshold.json"):
         tsv.write_json({"best_threshold": best}, f"{model_folder}/{name}")
+    at_half, selected = (reports.system_measures(out.scored, data["ground_truth"], t) for t in (0.5, best))
+    rows = [reports.experiment(0, "Threshold 0.5", at_half, at_half), reports.experiment(1, "Best threshold", at_half, selected, component="Threshold", change=f"{best:.2f}")]
+    tsv.write_experiments(spark, rows, f"{model_folder}/experiments.csv")
+    tsv.write_json({"experiment_id": "EXP001", "selected_threshold": best}, f"{model_folder}/final_config.json")
     return out
 
 
-def run_inference(spark, test_folder: str, model_folder: str, output_folder: str) -> DataFrame:
-    """Read the test bundle and the model's folder, match, audit, and write both list tables; the match lists."""
+def run_inference(spark, test_folder: str, model_folder: str, output_folder: str, single: bool = False) -> DataFrame:
+    """Read the test bundle and the model's folder, match, audit, and write both list tables (single: as one file each); the match lists."""
     data = tsv.read_test(spark, test_folder)
     ready = prepare(data["source1"], data["source2"], data["source3"])
     fitted = model.load(f"{model_folder}/match_model")
@@ -132,6 +138,6 @@ def run_inference(spark, test_folder: str, model_folder: str, output_folder: str
     found, matches = infer(ready, fitted, read_threshold(model_folder), schema)
     lists = stored(tsv.match_lists(matches, ready.s1), "lists")
     audit(matches, found, lists, ready.s1)
-    tsv.write_candidate_pairs(found, ready.s1, f"{output_folder}/candidate_pairs.tsv")
-    tsv.write_matching_results(matches, ready.s1, f"{output_folder}/matching_results.tsv")
+    tsv.write_candidate_pairs(found, ready.s1, f"{output_folder}/candidate_pairs.tsv", single)
+    tsv.write_matching_results(matches, ready.s1, f"{output_folder}/matching_results.tsv", single)
     return lists

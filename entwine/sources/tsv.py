@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from entwine.functions.text import split_list
 from entwine.schema import SOURCE, TEST_FILES, TRAIN_FILES, TRUTH
@@ -23,15 +22,39 @@ SCORED = StructType(
     ]
 )
 
+#: The columns of the experiment registry.
+EXPERIMENT = StructType(
+    [
+        StructField("experiment_id", StringType()),
+        StructField("experiment_name", StringType()),
+        StructField("hypothesis", StringType()),
+        StructField("component", StringType()),
+        StructField("change", StringType()),
+        StructField("baseline_f0_5", DoubleType()),
+        StructField("experiment_f0_5", DoubleType()),
+        StructField("delta_f0_5", DoubleType()),
+        StructField("precision", DoubleType()),
+        StructField("recall", DoubleType()),
+        StructField("candidate_count", LongType()),
+        StructField("blocking_recall", DoubleType()),
+        StructField("accepted", BooleanType()),
+    ]
+)
+
 
 def read_tsv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The table at path; ValueError unless its header is schema's columns in order. Rows with too many fields fail the read, short ones are filled."""
+    """The table at path; ValueError unless its header is schema's columns in order. Rows with too many fields fail the read, short ones are filled.
+
+    A field with a line break leaves a quote open on its line: only files that have such a line are read in one piece.
+    """
     header = spark.read.text(path).limit(1).collect()
     columns = header[0][0].lstrip("﻿").rstrip("\r").split("\t") if header else []
     if columns != schema.fieldNames():
         raise ValueError(f"{path}: columns {columns}, expected {schema.fieldNames()}")
     wide = StructType([*schema.fields, StructField("__more", StringType())])
-    options = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": True, "header": True, "enforceSchema": True, "nullValue": "\u0000"}
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    breaks = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    options = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": breaks, "header": True, "enforceSchema": True, "nullValue": "\u0000"}
     rows = spark.read.schema(wide).options(**options).csv(path)
     fits = F.when(F.col("__more").isNotNull(), F.raise_error(F.lit(f"{path}: a row has too many fields"))).otherwise(F.lit(True))
     return rows.where(fits).drop("__more").na.fill("")
@@ -81,14 +104,15 @@ def ranked_lists(candidates: DataFrame, s1: DataFrame, separator: str = ",") ->
     return joined.select("source1_entity_id", F.coalesce("listed", F.lit("")).alias("candidate_entity_ids"))
 
 
-def write_table(df: DataFrame, path: str, separator: str = "\t", *order: str) -> None:
-    """One headed file in a folder, in the given order; empty strings stay empty."""
+def write_table(df: DataFrame, path: str, separator: str = "\t", *order: str, single: bool = False) -> None:
+    """Headed files in a folder, whose rows are in the given order from file to file; empty strings stay empty. single: one file, which one task writes."""
     out = df.orderBy(*order) if order else df
-    out.coalesce(1).write.mode("overwrite").options(sep=separator, header=True, emptyValue="").csv(path)
+    out = out.coalesce(1) if single else out
+    out.write.mode("overwrite").options(sep=separator, header=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
-def write_match_lists(pairs: DataFrame, s1: DataFrame, path: str) -> None:
-    write_table(match_lists(pairs, s1), path, "\t", "source1_entity_id")
+def write_match_lists(pairs: DataFrame, s1: DataFrame, path: str, single: bool = False) -> None:
+    write_table(match_lists(pairs, s1), path, "\t", "source1_entity_id", single=single)
 
 
 write_candidate_pairs = write_matching_results = write_match_lists
@@ -103,17 +127,47 @@ def write_scored(scored: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, *order: str) -> None:
-    """Feature importance, threshold grid, experiment registry."""
-    write_table(df, path, ",", *order)
+    """Feature importance, threshold grid, experiment registry: small tables, one file each."""
+    write_table(df, path, ",", *order, single=True)
+
+
+def write_experiments(spark: SparkSession, experiments: list[dict[str, Any]], path: str) -> None:
+    """The experiment registry: a row for each, by id; what is missing stays empty."""
+    rows = [tuple(e.get(c) for c in EXPERIMENT.fieldNames()) for e in experiments]
+    write_csv(spark.createDataFrame(rows, EXPERIMENT), path, "experiment_id")
+
+
+def read_experiments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EXPERIMENT).options(header=True).csv(path)
+
+
+def _file(path: str) -> tuple[Any, Any]:
+    spark = SparkSession.active()
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def write_text(text: str, path: str) -> None:
+    """One small file, on any file system that Spark knows."""
+    system, at = _file(path)
+    out = system.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(path: str) -> str:
+    system, at = _file(path)
+    if not system.exists(at):
+        raise FileNotFoundError(path)
+    return SparkSession.active().read.text(path, wholetext=True).first()[0]
 
 
 def write_json(value: Any, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, indent=2, sort_keys=True))
+    write_text(json.dumps(value, indent=2, sort_keys=True), path)
 
 
 def read_json(path: str) -> Any:
-    return json.loads(Path(path).read_text())
+    return json.loads(read_text(path))
 
 
 def sha256_of_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from entwine.functions.text import preprocess
+from entwine.operators.model import Model
 from entwine.plans.pipeline import Prepared, infer
 from entwine.schema import SOURCE
 
@@ -19,7 +19,7 @@ def normalised_stream(spark: SparkSession, folder: str) -> DataFrame:
     return preprocess(rows.na.fill(""))
 
 
-def match_stream(records: DataFrame, pool: Prepared, model: PipelineModel, threshold: float, schema: list[str], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def match_stream(records: DataFrame, pool: Prepared, model: Model, threshold: float, schema: list[str], write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Match each batch of s1 records against the prepared s2 and s3; write gets (matches, batch number)."""
 
     def run(batch: DataFrame, number: int) -> None:
