@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entwine.functions.session import stored
+
 THRESHOLDS = 101
 
 
@@ -110,12 +112,19 @@ def pair_metrics(scored: DataFrame, threshold: float) -> DataFrame:
 def ranking_metrics(scored: DataFrame) -> DataFrame:
     """One row: roc_auc, pr_auc (average precision, in steps) and log_loss of (label, match_probability); null where a class is missing.
 
-    Pairs of one score are one step, so what is sorted are distinct scores.
+    Pairs of one score are one step. The distinct scores are summed in ranges, each on its own,
+    and continued from the sums of the ranges above it.
     """
     steps = scored.groupBy("match_probability").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    down = Window.orderBy(F.desc("match_probability")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(F.lit(1))
-    run = steps.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(everything), "all_neg": F.sum("neg").over(everything)})
+    steps = stored(steps.repartitionByRange(F.desc("match_probability")).withColumn("part", F.spark_partition_id()), "score-steps")
+    above, all_parts = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = steps.groupBy(F.col("part").alias("part_")).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    parts = parts.select(
+        "part_", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("p", "n")], F.sum("p").over(all_parts).alias("all_pos"), F.sum("n").over(all_parts).alias("all_neg")
+    )
+    down = Window.partitionBy("part").orderBy(F.desc("match_probability")).rowsBetween(Window.unboundedPreceding, 0)
+    run = steps.join(F.broadcast(parts), F.col("part") == F.col("part_"))  # a row for each shuffle partition
+    run = run.withColumns({"tp": F.col("p_above") + F.sum("pos").over(down), "fp": F.col("n_above") + F.sum("neg").over(down)})
     area = F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.max("all_pos") * F.max("all_neg"))
     precision = F.sum(F.try_divide(F.col("pos"), F.col("all_pos")) * F.col("tp") / (F.col("tp") + F.col("fp")))
     p = F.least(F.greatest("match_probability", F.lit(2.220446049250313e-16)), F.lit(1 - 2.220446049250313e-16))

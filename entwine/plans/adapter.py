@@ -2,7 +2,9 @@
 
 Every page is a record: page_id % 3 says in which source, the title is the name, the
 document's language the country, and the address is made from the length of the page and
-the host. True matches are pages whose titles have the same letters a to z.
+the host. True matches are pages whose titles have the same letters a to z. So that there are suffixes,
+collisions, misses and unknown countries too, some records of the second and third source are
+changed after that: names get a legal suffix or marks, or become a bare number; countries become `xx`; some records share a box number as address.
 """
 
 from __future__ import annotations
@@ -23,25 +25,37 @@ class Sources:
     truth: DataFrame
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity_id, business_name, business_address, country, source."""
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records(), with the title of the page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    size = F.length("html")
-    source = F.pmod(F.col("page_id"), F.lit(3)) + 1
+    size, i = F.length("html"), F.col("page_id")
+    source = F.pmod(i, F.lit(3)) + 1
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    name = F.when((source > 1) & (F.pmod(i, F.lit(11)) == 2), F.concat(F.lit("Unit "), i.cast("string")))
+    name = name.when((source == 2) & (F.pmod(i, F.lit(4)) == 1), F.concat(title, F.lit(", Ltd."))).when((source == 3) & (F.pmod(i, F.lit(5)) == 0), F.concat(title, F.lit(" !!!")))
+    address = F.concat(size.cast("string"), F.lit(" "), host, F.lit(" St "), (10000 + size % 900).cast("string"))
+    address = F.when((source < 3) & F.pmod(i, F.lit(13)).isin(3, 4), F.lit("PO Box 12")).otherwise(address)
+    country = F.when((source == 2) & (F.pmod(i, F.lit(7)) == 3), F.lit("xx")).otherwise(F.regexp_extract("html", 'lang="([a-z]*)"', 1))
     return pages.select(
-        F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("page_id").cast("string")).alias("entity_id"),
-        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("business_name"),
-        F.concat(size.cast("string"), F.lit(" "), host, F.lit(" St "), (10000 + size % 900).cast("string")).alias("business_address"),
-        F.regexp_extract("html", 'lang="([a-z]*)"', 1).alias("country"),
+        F.concat(F.lit("S"), source.cast("string"), F.lit("-"), i.cast("string")).alias("entity_id"),
+        name.otherwise(title).alias("business_name"),
+        address.alias("business_address"),
+        country.alias("country"),
         source.cast("int").alias("source"),
+        title.alias("title"),
     )
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id, business_name, business_address, country, source."""
+    return _titled(spark, sf_dir).drop("title")
+
+
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
-    every = records(spark, sf_dir)
-    one, two, three = (every.where(F.col("source") == i).drop("source") for i in (1, 2, 3))
-    letters = every.withColumn("letters", F.regexp_replace(F.lower("business_name"), "[^a-z]", "")).where("letters <> ''")
+    every = _titled(spark, sf_dir)
+    one, two, three = (every.where(F.col("source") == i).drop("source", "title") for i in (1, 2, 3))
+    letters = every.withColumn("letters", F.regexp_replace(F.lower("title"), "[^a-z]", "")).where("letters <> ''")
     theirs = letters.where("source > 1").select("letters", F.col("entity_id").alias("cand_id"))
     pairs = letters.where("source = 1").select("letters", "entity_id").join(theirs, "letters")
     listed = pairs.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("cand_id")), ",").alias("listed"))
@@ -57,9 +71,12 @@ def normalised(spark: SparkSession, sf_dir: str) -> Sources:
 PREP_SQL = r"""
 pages_in AS (
   SELECT page_id, length(html) AS size, regexp_extract(url, '://([^/?#]*)', 1) AS host, (page_id % 3 + 1)::INTEGER AS source,
-    regexp_extract(html, '<title>([^<]*)</title>', 1) AS business_name, regexp_extract(html, 'lang="([a-z]*)"', 1) AS country FROM pages
+    regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, 'lang="([a-z]*)"', 1) AS lang FROM pages
 ), raw AS (
-  SELECT 'S' || source || '-' || page_id AS entity_id, business_name, size || ' ' || host || ' St ' || (10000 + size % 900) AS business_address, country, source FROM pages_in
+  SELECT 'S' || source || '-' || page_id AS entity_id, title,
+    CASE WHEN source > 1 AND page_id % 11 = 2 THEN 'Unit ' || page_id WHEN source = 2 AND page_id % 4 = 1 THEN title || ', Ltd.' WHEN source = 3 AND page_id % 5 = 0 THEN title || ' !!!' ELSE title END AS business_name,
+    CASE WHEN source = 2 AND page_id % 7 = 3 THEN 'xx' ELSE lang END AS country, source, 
+    CASE WHEN source < 3 AND page_id % 13 IN (3, 4) THEN 'PO Box 12' ELSE size || ' ' || host || ' St ' || (10000 + size % 900) END AS business_address FROM pages_in
 ), plain AS (
   SELECT *,
     trim(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(replace(lower(business_name), '&', ' and ')), '[^\x00-\x7F]', '', 'g')), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS business_name_normalized,
@@ -79,7 +96,7 @@ pages_in AS (
   SELECT *, list_filter(string_split(business_address_normalized, ' '), lambda x: x <> '') AS business_address_tokens FROM prep
 ), s1 AS (SELECT * FROM full_prep WHERE source = 1), s2 AS (SELECT * FROM full_prep WHERE source = 2), s3 AS (SELECT * FROM full_prep WHERE source = 3),
 pool AS (SELECT *, CASE WHEN source = 2 THEN 's2' ELSE 's3' END AS candidate_source FROM full_prep WHERE source > 1),
-letters AS (SELECT entity_id, source, regexp_replace(lower(business_name), '[^a-z]', '', 'g') AS letters FROM full_prep),
+letters AS (SELECT entity_id, source, regexp_replace(lower(title), '[^a-z]', '', 'g') AS letters FROM full_prep),
 truth AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id FROM letters a JOIN letters b USING (letters) WHERE letters <> '' AND a.source = 1 AND b.source > 1),
 truth_lists AS (
   SELECT entity_id AS source1_entity_id, coalesce(listed, '') AS matched_entity_ids FROM s1

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from entwine.functions import similarity, text
-from entwine.functions.session import ship, stored
+from entwine.functions.session import shared_folder, ship, stored
 from entwine.operators import blocking, features, labels, metrics, model, profile
-from entwine.plans import adapter, pipeline
-from entwine.schema import MAX_BLOCK_FREQUENCY, MAX_CANDIDATES, STRATEGIES, STRATEGY_WEIGHTS
+from entwine.plans import adapter, pipeline, reports
+from entwine.schema import LEGAL_TERMS, MAX_BLOCK_FREQUENCY, MAX_CANDIDATES, SOURCE_COLUMNS, STRATEGIES, STRATEGY_WEIGHTS, TEST_FILES, TRAIN_FILES
 from entwine.sources import tsv
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,13 +170,11 @@ def j6_char_ngram_topk(d):
     return blocking.char_ngram_scores(ready.s1, ready.pool).select("s1_id", "cand_id", "similarity")
 
 
-@query("SELECT s1_id, cand_id, candidate_source, l.business_name AS s1_name, r.business_name AS cand_name FROM pairs")
+@query("SELECT s1_id, cand_id, candidate_source, l.business_name_normalized AS s1_name, r.business_name_normalized AS cand_name FROM pairs")
 def j7_pair_records(d):
     ready, found = combined(d)
-    names = lambda x, key: x.select(F.col("entity_id").alias(key), F.col("business_name").alias(key.replace("_id", "_name")))
-    pool = ready.pool
-    pairs = found.join(names(ready.s1, "s1_id"), "s1_id").join(names(pool, "cand_id").join(pool.select(F.col("entity_id").alias("cand_id"), "candidate_source"), "cand_id"), "cand_id")
-    return pairs.select("s1_id", "cand_id", "candidate_source", "s1_name", "cand_name")
+    pairs = features.with_records(found, ready.s1, ready.s2, ready.s3)
+    return pairs.select("s1_id", "cand_id", "candidate_source", F.col("l.business_name_normalized").alias("s1_name"), F.col("r.business_name_normalized").alias("cand_name"))
 
 
 @query("SELECT s1_id, cand_id, label FROM pairs")
@@ -349,9 +349,11 @@ def g3_country_counts(d):
     return profile.value_counts(every(d), "country")
 
 
-@query("SELECT count(*) AS rows, count(*) - count(DISTINCT entity_id) AS duplicate_ids, count_if(entity_id = '')::BIGINT AS empty_entity_id, count_if(business_name = '')::BIGINT AS empty_business_name, count_if(business_address = '')::BIGINT AS empty_business_address, count_if(country = '')::BIGINT AS empty_country, count_if(NOT starts_with(entity_id, 'S1-'))::BIGINT AS wrong_prefix FROM s1")
+@query(" UNION ALL ".join(f"""SELECT {i} AS source, count(*) AS rows, count(*) - count(DISTINCT entity_id) AS duplicate_ids, count_if(entity_id = '')::BIGINT AS empty_entity_id, count_if(business_name = '')::BIGINT AS empty_business_name,
+count_if(business_address = '')::BIGINT AS empty_business_address, count_if(country = '')::BIGINT AS empty_country, count_if(NOT starts_with(entity_id, 'S{i}-'))::BIGINT AS wrong_prefix FROM s{i}""" for i in (1, 2, 3)))
 def g5_validation(d):
-    return profile.validate(d.s1, "S1-")
+    rows = [profile.validate(s, f"S{i}-").select(F.lit(i).alias("source"), "*") for i, s in enumerate((d.s1, d.s2, d.s3), 1)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query("SELECT coalesce(min(length(business_name)), 0)::BIGINT AS min_length, coalesce(max(length(business_name)), 0)::BIGINT AS max_length, coalesce(avg(length(business_name)), 0)::DOUBLE AS mean_length, coalesce(median(length(business_name)), 0)::DOUBLE AS median_length FROM full_prep WHERE business_name <> ''")
@@ -359,16 +361,25 @@ def g7_length_stats(d):
     return profile.length_stats(every(d), "business_name")
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT entity_id) AS unique_ids, count(DISTINCT business_name) AS unique_names, count(DISTINCT business_address) AS unique_addresses, count(DISTINCT country) AS countries FROM s1")
+def _length_sql(column: str) -> str:
+    return f"""count_if({column} = '')::BIGINT AS {column}_empty, 100 * avg(({column} = '')::INT) AS {column}_empty_percent, coalesce(min(length({column})) FILTER (WHERE {column} <> ''), 0)::BIGINT AS {column}_min_length,
+coalesce(max(length({column})) FILTER (WHERE {column} <> ''), 0)::BIGINT AS {column}_max_length, coalesce(avg(length({column})) FILTER (WHERE {column} <> ''), 0)::DOUBLE AS {column}_mean_length, coalesce(median(length({column})) FILTER (WHERE {column} <> ''), 0)::DOUBLE AS {column}_median_length"""
+
+
+@query("SELECT source, count(*) AS rows, 4 AS columns, count(DISTINCT entity_id) AS unique_ids, " + ", ".join(map(_length_sql, ("business_name", "business_address", "country"))) + " FROM full_prep GROUP BY source")
 def g4_source_stats(d):
-    return profile.source_stats(d.s1)
+    named = [s.withColumn("source", F.lit(i)) for i, s in enumerate((d.s1, d.s2, d.s3), 1)]
+    return profile.source_stats(named[0].unionByName(named[1]).unionByName(named[2]), "source")
+
+
+KEY_FEATURES = ["name_jaro_winkler", "name_token_jaccard", "address_token_jaccard", "address_levenshtein", "postal_exact_match"]
 
 
-@query("SELECT label, median(name_levenshtein) AS name_levenshtein, median(name_token_jaccard) AS name_token_jaccard, median(address_levenshtein) AS address_levenshtein, median(name_length_difference) AS name_length_difference FROM (SELECT f.*, label FROM (" + _feature_sql() + ") f JOIN pairs USING (s1_id, cand_id)) GROUP BY label")
+@query("SELECT label, " + ", ".join(f"median({c})::DOUBLE AS {c}" for c in KEY_FEATURES) + " FROM (SELECT f.*, label FROM (" + _feature_sql() + ") f JOIN pairs USING (s1_id, cand_id)) GROUP BY label")
 def g8_label_medians(d):
     ready, found = combined(d)
     made = features.features(labels.labelled(found, labels.truth_pairs(d.truth)), ready.s1, ready.s2, ready.s3)
-    return profile.label_medians(rounded(made), ["name_levenshtein", "name_token_jaccard", "address_levenshtein", "name_length_difference"])
+    return profile.label_medians(rounded(made), KEY_FEATURES)
 
 
 @query("""SELECT sum(n)::BIGINT AS pairs, avg(n) AS avg_candidates, median(n) AS median_candidates, max(n)::BIGINT AS max_candidates, 1 - sum(n)::DOUBLE / (count(*) * (SELECT count(*) FROM pool)::DOUBLE) AS reduction_ratio
@@ -464,16 +475,32 @@ def g20_class_balance(d):
     return model.class_balance(pairs)
 
 
-@query("""SELECT count_if(business_name <> '' AND length(business_name) <= 5)::BIGINT AS short_names, count_if(length(business_name) > 50)::BIGINT AS long_names, count_if(regexp_matches(business_name, '[^\\p{L}\\p{M}\\p{N}_\\s]'))::BIGINT AS with_punctuation,
-count_if(regexp_matches(business_name, '\\p{Nd}'))::BIGINT AS with_digits, """ + ", ".join(f"count_if(regexp_matches(lower(business_name), '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){t}(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])'))::BIGINT AS term_{t}" for t in profile.LEGAL_TERMS) + " FROM full_prep")
+_WORD = r"[^\p{L}\p{M}\p{N}_\s]"
+
+
+def _share_sql(name: str, condition: str) -> str:
+    return f"count_if({condition})::BIGINT AS {name}, 100 * avg(({condition})::INT) AS {name}_percent"
+
+
+def _profile_sql(column: str, what: str, short: int, long: int, more: list[str]) -> str:
+    distinct = lambda ok: f"count(DISTINCT {column}) FILTER (WHERE {ok})"
+    parts = [f"count_if({column} <> '')::BIGINT AS non_empty", f"{distinct(f"{column} <> '' AND length({column}) <= {short}")} AS short_{what}", f"{distinct(f'length({column}) > {long}')} AS long_{what}", *more]
+    return "SELECT " + ", ".join(parts) + " FROM full_prep WHERE source < 3"
+
+
+@query(_profile_sql("business_name", "names", 5, 50, [
+    _share_sql("with_punctuation", f"regexp_matches(business_name, '{_WORD}')"), _share_sql("with_digits", "regexp_matches(business_name, '\\p{Nd}')"),
+    *[f"count_if(regexp_matches(lower(business_name), '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){t}(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])'))::BIGINT AS term_{t}" for t in LEGAL_TERMS],
+]))
 def g6_name_profile(d):
-    return profile.name_profile(every(d))
+    return profile.name_profile(d.s1.unionByName(d.s2))
 
 
-@query("""SELECT count_if(business_address <> '' AND length(business_address) <= 10)::BIGINT AS short_addresses, count_if(length(business_address) > 100)::BIGINT AS long_addresses, count_if(regexp_matches(business_address, '[0-9]'))::BIGINT AS with_digits,
-count_if(regexp_matches(business_address, '\\b[0-9]{5,6}\\b'))::BIGINT AS with_postal_code FROM full_prep""")
+@query(_profile_sql("business_address", "addresses", 10, 100, [
+    _share_sql("with_digits", "regexp_matches(business_address, '\\p{Nd}')"), _share_sql("with_postal_code", "regexp_matches(business_address, '\\b[0-9]{5,6}\\b')"), _share_sql("with_punctuation", f"regexp_matches(business_address, '{_WORD}')"),
+]))
 def g6_address_profile(d):
-    return profile.address_profile(every(d))
+    return profile.address_profile(d.s1.unionByName(d.s2))
 
 
 # --- sets, windows, splits
@@ -483,6 +510,11 @@ def u4_name_overlap(d):
     return profile.shared_values(d.s1, d.s2, "business_name")
 
 
+@query("SELECT business_address AS value FROM s1 WHERE business_address <> '' INTERSECT SELECT business_address FROM s2 WHERE business_address <> ''")
+def u4_address_overlap(d):
+    return profile.shared_values(d.s1, d.s2, "business_address")
+
+
 @query("SELECT DISTINCT country AS value FROM s2 EXCEPT SELECT country FROM s1")
 def u5_unseen_countries(d):
     return profile.unseen_values(d.s2, d.s1, "country")
@@ -498,10 +530,37 @@ def w6_top_collisions(d):
     return profile.top_collisions(every(d), "business_name", "business_name_normalized")
 
 
-@query("SELECT s1_id, cand_id, label, round(p, 9) AS match_probability FROM pairs WHERE p >= 0.9 AND label = 0 ORDER BY p DESC, s1_id, cand_id LIMIT 10")
+@query("SELECT s1_id, cand_id, label, round(p, 9) AS match_probability FROM pairs WHERE p >= 0.35 AND label = 0 ORDER BY p DESC, s1_id, cand_id LIMIT 10")
 def c7_false_positives(d):
     _, _, pairs = scored(d)
-    return rounded(metrics.errors(pairs, 0.9, 10)[0].select("s1_id", "cand_id", "label", "match_probability"))
+    return rounded(metrics.errors(pairs, 0.35, 10)[0].select("s1_id", "cand_id", "label", "match_probability"))
+
+
+@query("SELECT s1_id, cand_id, label, round(p, 9) AS match_probability FROM pairs WHERE p < 0.95 AND label = 1 ORDER BY p, s1_id, cand_id LIMIT 10")
+def c7_false_negatives(d):
+    _, _, pairs = scored(d)
+    return rounded(metrics.errors(pairs, 0.95, 10)[1].select("s1_id", "cand_id", "label", "match_probability"))
+
+
+#: A cap that tokens of the driver's small tables pass, unlike that of the task.
+_CAP = 20
+
+
+@query(f""", usual2 AS (SELECT c, t FROM j2_tokens WHERE length(t) >= 3 GROUP BY ALL HAVING count(*) <= {_CAP}), usual4 AS (SELECT t FROM j4_tokens WHERE length(t) >= 3 GROUP BY ALL HAVING count(*) <= {_CAP})
+SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS cand_id, 'country_name_token' AS strategy
+FROM (SELECT entity_id, country_normalized AS c, unnest(business_name_tokens) AS t FROM s1) a JOIN usual2 u ON a.c = u.c AND a.t = u.t JOIN j2_tokens b ON a.c = b.c AND a.t = b.t
+UNION ALL SELECT DISTINCT a.entity_id, b.entity_id, 'address_token' FROM (SELECT entity_id, unnest(business_address_tokens) AS t FROM s1) a JOIN usual4 u ON a.t = u.t JOIN j4_tokens b ON a.t = b.t""")
+def c3_frequency_cap(d):
+    ready = prepared(d)
+    one = blocking.country_name_token(ready.s1, ready.pool, cap=_CAP).withColumn("strategy", F.lit("country_name_token"))
+    return one.unionByName(blocking.address_token(ready.s1, ready.pool, cap=_CAP).withColumn("strategy", F.lit("address_token")))
+
+
+@query(f"SELECT s1_id, cand_id, name_jaro_winkler FROM ({_feature_sql()}) JOIN pairs USING (s1_id, cand_id) WHERE label = 0 AND name_jaro_winkler > 0.85 ORDER BY s1_id, cand_id LIMIT 50")
+def c6_hard_negatives(d):
+    ready, found = combined(d)
+    made = rounded(features.features(labels.labelled(found, labels.truth_pairs(d.truth)), ready.s1, ready.s2, ready.s3))
+    return profile.hard_negatives(made).select("s1_id", "cand_id", "name_jaro_winkler")
 
 
 @query("SELECT entity_id, row_number() OVER (ORDER BY md5(concat_ws(':', '42', entity_id)), entity_id) <= ceil(round(0.2::DOUBLE * count(*) OVER (), 9)) AS is_validation FROM s1")
@@ -528,6 +587,42 @@ def m4_negatives(d):
     return out.select("s1_id", "cand_id", "label", "kind")
 
 
+_DRAWN = """, drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY md5(concat_ws(':', '42', s1_id, cand_id)), cand_id) <= 3 AS is_random,
+    len(list_intersect(l.business_name_tokens, r.business_name_tokens))::DOUBLE / greatest(len(list_distinct(list_concat(l.business_name_tokens, r.business_name_tokens))), 1) AS alike FROM pairs WHERE label = 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY s1_id, is_random ORDER BY alike DESC, rank) AS place FROM drawn
+), training AS (
+  SELECT s1_id, cand_id, 0 AS label FROM placed WHERE is_random OR (place <= 2 AND l.business_name_normalized <> '') UNION ALL SELECT s1_id, cand_id, 1 FROM pairs WHERE label = 1
+)
+"""
+
+
+@query(_DRAWN + "SELECT s1_id, cand_id, label FROM training")
+def u6_training_pairs(d):
+    ready, found = combined(d)
+    return labels.training_pairs(found, labels.truth_pairs(d.truth), ready.s1, ready.pool).select("s1_id", "cand_id", "label")
+
+
+@query("SELECT s1_id, cand_id, label FROM pairs")
+def m6_validation_pairs(d):
+    _, found = combined(d)
+    return labels.validation_pairs(found, labels.truth_pairs(d.truth)).select("s1_id", "cand_id", "label")
+
+
+@query(_feature_sql().replace(", s1_id, cand_id, candidate_source FROM pairs", ", s1_id, cand_id FROM pairs"))
+def f14_test_matrix(d):
+    ready, found = combined(d)
+    return rounded(features.test_features(found, ready.s1, ready.s2, ready.s3, features.SCHEMA))
+
+
+@query(_DRAWN + f"SELECT f.*, t.label FROM ({_feature_sql()}) f JOIN training t USING (s1_id, cand_id)")
+def f15_training_matrix(d):
+    ready, found = combined(d)
+    rows = labels.training_pairs(found, labels.truth_pairs(d.truth), ready.s1, ready.pool)
+    return rounded(features.features(rows, ready.s1, ready.s2, ready.s3))
+
+
 _GRID = """, grid AS (SELECT i, i * 0.01::DOUBLE AS t FROM range(101) x(i)), seen AS (SELECT DISTINCT s1_id FROM pairs), per AS (
   SELECT g.i, g.t, s.s1_id, count(p.cand_id) AS predicted, count(p.cand_id) FILTER (WHERE p.label = 1) AS tp, (SELECT count(*) FROM truth WHERE truth.s1_id = s.s1_id) AS actual
   FROM grid g CROSS JOIN seen s LEFT JOIN pairs p ON p.s1_id = s.s1_id AND p.p >= g.t GROUP BY ALL
@@ -554,17 +649,238 @@ def m14_best_threshold(d):
     return grid.orderBy(F.desc(F.round("f0_5", 9)), "threshold").select("threshold").limit(1)
 
 
+def trained(d: adapter.Sources) -> tuple[pipeline.Prepared, pipeline.Trained]:
+    ready = prepared(d)
+    return ready, pipeline.train(ready, d.truth)
+
+
 @query()
 def m7_gbt_scores(d):
     """Validation pairs scored by the trained model."""
-    return pipeline.train(prepared(d), d.truth, rounds=10).scored
+    return trained(d)[1].scored
+
+
+@query()
+def m9_importance(d):
+    """Gain and splits of each feature in the trained model."""
+    _, made = trained(d)
+    return made.scored.sparkSession.createDataFrame(made.metadata["importance"], "feature string, gain double, splits int")
+
+
+@query(f"SELECT unnest([{', '.join(repr(c) for c in features.SCHEMA)}]) AS feature, true AS in_training, true AS in_validation, false AS tells_the_answer")
+def m10_feature_checks(d):
+    """M10 and M11: the features of both matrices, and none that tells the answer."""
+    ready, found = combined(d)
+    truth = labels.truth_pairs(d.truth)
+    rows = [labels.training_pairs(found, truth, ready.s1, ready.pool), labels.validation_pairs(found, truth)]
+    one, two = (features.features(r, ready.s1, ready.s2, ready.s3) for r in rows)
+    own = model.check_features(one, two)
+    return found.sparkSession.createDataFrame([(c, c in one.columns, c in two.columns, c in model.FORBIDDEN) for c in own], "feature string, in_training boolean, in_validation boolean, tells_the_answer boolean")
 
 
 @query()
 def m15_match_lists(d):
     """Train, choose the threshold, match all of s1, and list the matches."""
-    ready = prepared(d)
-    trained = pipeline.train(ready, d.truth, rounds=10)
-    best, _ = pipeline.choose_threshold(trained.scored, d.truth)
-    _, matches = pipeline.infer(ready, trained.model, best, trained.metadata["features"])
+    ready, made = trained(d)
+    best, _ = pipeline.choose_threshold(made.scored, d.truth)
+    _, matches = pipeline.infer(ready, made.model, best, made.metadata["features"])
     return tsv.match_lists(matches, ready.s1)
+
+
+@query("SELECT (SELECT count(*) FROM pairs WHERE p >= 0.9 AND (s1_id, cand_id) NOT IN (SELECT (s1_id, cand_id) FROM cands)) AS violations, count(*) AS lists, count(DISTINCT entity_id) AS ids FROM s1")
+def m16_audit(d):
+    """Matches at 0.9 pass the audit; what it counts."""
+    ready, _, pairs = scored(d)
+    matches = metrics.apply_threshold(pairs, 0.9)
+    lists = stored(tsv.match_lists(matches, ready.s1), "lists")
+    pipeline.audit(matches, pairs, lists, ready.s1)
+    return lists.agg(F.lit(labels.subset_violations(matches, pairs).count()).alias("violations"), F.count(F.lit(1)).alias("lists"), F.countDistinct("source1_entity_id").alias("ids"))
+
+
+@query("SELECT 0.37::DOUBLE AS only_threshold, 0.42::DOUBLE AS with_final")
+def m17_threshold_fallback(d):
+    """The threshold of a folder with threshold.json alone, and with final_threshold.json too."""
+    folder = _folder(d, "threshold")
+    tsv.write_json({"best_threshold": 0.37}, f"{folder}/threshold.json")
+    first = pipeline.read_threshold(folder)
+    tsv.write_json({"best_threshold": 0.42}, f"{folder}/final_threshold.json")
+    return d.s1.sparkSession.createDataFrame([(first, pipeline.read_threshold(folder))], "only_threshold double, with_final double")
+
+
+@query(_GRID + """, half AS (SELECT * FROM graph WHERE threshold = 0.5), chosen AS (SELECT * FROM graph ORDER BY f0_5 DESC, threshold LIMIT 1), fixed AS (
+  SELECT (SELECT count(c.s1_id) / greatest(count(*), 1) FROM truth t LEFT JOIN cands c USING (s1_id, cand_id) WHERE t.s1_id IN (SELECT s1_id FROM cands)) AS recall, (SELECT count(*) FROM pairs)::DOUBLE AS n
+), sides AS (
+  SELECT unnest(['blocking_recall', 'precision', 'recall', 'f0_5', 'candidate_count', 'predicted_match_count']) AS measure,
+    unnest([fixed.recall, half.precision, half.recall, half.f0_5, fixed.n, half.predicted_match_count]) AS baseline, unnest([fixed.recall, chosen.precision, chosen.recall, chosen.f0_5, fixed.n, chosen.predicted_match_count]) AS selected FROM half, chosen, fixed
+) SELECT measure, round(baseline, 6) AS baseline, round(selected, 6) AS selected, round(round(selected, 6) - round(baseline, 6), 6) AS difference FROM sides""")
+def r16_comparison(d):
+    """The rule at 0.5 against the rule at its best threshold."""
+    _, truth, pairs = scored(d)
+    best = metrics.best_threshold(stored(metrics.search_thresholds(pairs, truth, labels.truth_entities(d.truth)), "grid"))
+    baseline, selected = ({c: round(float(v), 6) for c, v in reports.system_measures(pairs, d.truth, t).items()} for t in (0.5, round(best * 100) * 0.01))
+    return rounded(reports.comparison(pairs.sparkSession, baseline, selected), 6)
+
+
+# --- files: written to the shared folder and read back
+
+
+def _folder(d: adapter.Sources, name: str) -> str:
+    return f"{shared_folder(d.s1.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _raw(s: DataFrame) -> DataFrame:
+    return s.select(*SOURCE_COLUMNS)
+
+
+def _bundle(d: adapter.Sources, files: dict[str, str]) -> str:
+    folder = _folder(d, "bundle")
+    for name, s in {"source1": _raw(d.s1), "source2": _raw(d.s2), "source3": _raw(d.s3), "ground_truth": d.truth}.items():
+        if name in files:
+            tsv.write_table(s, f"{folder}/{files[name]}")
+    return folder
+
+
+_SOURCE_SQL = "entity_id, business_name, business_address, country"
+
+
+@query(f"SELECT {_SOURCE_SQL} FROM s1")
+def a1_tsv_scan(d):
+    path = f"{_folder(d, 'scan')}/source1.tsv"
+    tsv.write_table(_raw(d.s1), path)
+    return tsv.read_source(d.s1.sparkSession, path)
+
+
+@query("SELECT source1_entity_id, matched_entity_ids FROM truth_lists")
+def a2_truth_scan(d):
+    path = f"{_folder(d, 'scan')}/truth.tsv"
+    tsv.write_table(d.truth, path)
+    return tsv.read_ground_truth(d.s1.sparkSession, path)
+
+
+@query(" UNION ALL ".join(f"SELECT 'source{i}' AS part, entity_id AS id, business_name AS value FROM s{i}" for i in (1, 2, 3)) + " UNION ALL SELECT 'ground_truth', source1_entity_id, matched_entity_ids FROM truth_lists")
+def a3_train_bundle(d):
+    data = tsv.read_train(d.s1.sparkSession, _bundle(d, TRAIN_FILES))
+    out = data["ground_truth"].toDF("id", "value").select(F.lit("ground_truth").alias("part"), "id", "value")
+    for k in ("source1", "source2", "source3"):
+        out = out.unionByName(data[k].select(F.lit(k).alias("part"), F.col("entity_id").alias("id"), F.col("business_name").alias("value")))
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT 'source{i}' AS part, {_SOURCE_SQL} FROM s{i}" for i in (1, 2, 3)))
+def a4_test_bundle(d):
+    data = tsv.read_test(d.s1.sparkSession, _bundle(d, TEST_FILES))
+    parts = [s.select(F.lit(k).alias("part"), "*") for k, s in data.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT s1_id, cand_id FROM cands")
+def a5_candidate_scan(d):
+    ready, found = combined(d)
+    path = f"{_folder(d, 'lists')}/candidate_pairs.tsv"
+    tsv.write_candidate_pairs(found, ready.s1, path)
+    return tsv.read_candidates(found.sparkSession, path, ready.s1, ";")
+
+
+_LISTS = StructType([StructField("source1_entity_id", StringType()), StructField("candidate_entity_ids", StringType())])
+
+
+@query("""SELECT entity_id AS source1_entity_id, coalesce(ids, '') AS candidate_entity_ids FROM s1
+LEFT JOIN (SELECT s1_id, string_agg(cand_id, ';' ORDER BY cand_id) AS ids FROM cands GROUP BY 1) ON entity_id = s1_id""")
+def a8_candidate_pairs_sink(d):
+    ready, found = combined(d)
+    path = f"{_folder(d, 'lists')}/candidate_pairs.tsv"
+    tsv.write_candidate_pairs(found, ready.s1, path)
+    return tsv.read_tsv(found.sparkSession, path, _LISTS)
+
+
+@query("""SELECT entity_id AS source1_entity_id, coalesce(ids, '') AS candidate_entity_ids FROM s1
+LEFT JOIN (SELECT s1_id, string_agg(cand_id, ';' ORDER BY cand_id) AS ids FROM pairs WHERE p >= 0.9 GROUP BY 1) ON entity_id = s1_id""")
+def a9_matches_sink(d):
+    ready, _, pairs = scored(d)
+    path = f"{_folder(d, 'lists')}/matching_results.tsv"
+    tsv.write_matching_results(metrics.apply_threshold(pairs, 0.9), ready.s1, path)
+    return tsv.read_tsv(pairs.sparkSession, path, _LISTS)
+
+
+@query("SELECT s1_id AS source1_entity_id, cand_id AS candidate_entity_id, candidate_source, label, round(p, 9) AS match_probability FROM pairs")
+def a11_scored_files(d):
+    """A6 and A11: scored pairs written and read."""
+    _, _, pairs = scored(d)
+    path = f"{_folder(d, 'scored')}/validation_predictions.tsv"
+    tsv.write_scored(pairs.withColumnsRenamed({"s1_id": "source1_entity_id", "cand_id": "candidate_entity_id"}), path)
+    return rounded(tsv.read_scored(pairs.sparkSession, path))
+
+
+@query(_GRID + "SELECT * FROM graph")
+def a12_csv_sink(d):
+    """The threshold grid as CSV."""
+    _, truth, pairs = scored(d)
+    grid = rounded(metrics.search_thresholds(pairs, truth, labels.truth_entities(d.truth)))
+    path = f"{_folder(d, 'grid')}/threshold_results.csv"
+    tsv.write_csv(grid, path, "threshold")
+    return pairs.sparkSession.read.schema(grid.schema).options(header=True).csv(path)
+
+
+_REGISTRY_SQL = "SELECT 'EXP{0:03}' AS experiment_id, '{1}' AS experiment_name, 'N/A' AS hypothesis, 'All' AS component, 'None' AS change, 0.5::DOUBLE AS baseline_f0_5, {2}::DOUBLE AS experiment_f0_5, {3}::DOUBLE AS delta_f0_5, 0.75::DOUBLE AS precision, 0.25::DOUBLE AS recall, 10::BIGINT AS candidate_count, 1.0::DOUBLE AS blocking_recall, {4} AS accepted"
+
+
+@query(_REGISTRY_SQL.format(0, "first", 0.5, 0.0, "true") + " UNION ALL " + _REGISTRY_SQL.format(1, "second", 0.25, -0.25, "false"))
+def a12_experiment_registry(d):
+    spark, path = d.s1.sparkSession, f"{_folder(d, 'experiments')}/experiments.csv"
+    measures = [{"f0_5": f, "precision": 0.75, "recall": 0.25, "candidate_count": 10, "blocking_recall": 1.0} for f in (0.5, 0.25)]
+    tsv.write_experiments(spark, [reports.experiment(i, n, measures[0], m) for i, (n, m) in enumerate(zip(("first", "second"), measures, strict=True))], path)
+    return tsv.read_experiments(spark, path)
+
+
+@query(f"SELECT unnest(range({len(features.SCHEMA)}))::INTEGER AS place, unnest([{', '.join(repr(c) for c in features.SCHEMA)}]) AS feature")
+def a13_json_artefact(d):
+    """The feature schema as JSON."""
+    path = f"{_folder(d, 'schema')}/feature_schema.json"
+    tsv.write_json(features.SCHEMA, path)
+    return d.s1.sparkSession.createDataFrame(list(enumerate(tsv.read_json(path))), "place int, feature string")
+
+
+@query("SELECT 0::BIGINT AS different")
+def a14_saved_model(d):
+    """Pairs that the model, saved and loaded, scores otherwise."""
+    ready, made = trained(d)
+    path = f"{_folder(d, 'model')}/match_model"
+    model.save(made.model, path)
+    rows = features.features(made.scored.select("s1_id", "cand_id", "label").join(made.candidates.select("s1_id", "cand_id", "provenance"), ["s1_id", "cand_id"]), ready.s1, ready.s2, ready.s3)
+    again = model.score(rows, model.load(path)).select("s1_id", "cand_id", F.col("match_probability").alias("p"))
+    return made.scored.join(again, ["s1_id", "cand_id"], "left").agg(F.count_if(~F.col("p").eqNullSafe(F.col("match_probability"))).alias("different"))
+
+
+@query("SELECT sha256('one\ntwo\n') AS sha256 UNION ALL SELECT sha256('three')")
+def b16_file_digest(d):
+    folder = _folder(d, "digest")
+    tsv.write_text("one\ntwo\n", f"{folder}/a.txt")
+    tsv.write_text("three", f"{folder}/b.txt")
+    return tsv.sha256_of_files(d.s1.sparkSession, [f"{folder}/a.txt", f"{folder}/b.txt"]).select("sha256")
+
+
+@query("SELECT row_number() OVER (ORDER BY entity_id) AS line, entity_id AS source1_entity_id FROM s1")
+def w7_sorted_output(d):
+    """The lines of a sorted table of lists, by their place in the file."""
+    ready, found = combined(d)
+    path = f"{_folder(d, 'sorted')}/lists.tsv"
+    tsv.write_match_lists(found, ready.s1, path, single=True)
+    lines = found.sparkSession.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text")).where("line > 0 AND text <> ''")
+    return lines.select(F.col("line").cast("long").alias("line"), F.split("text", "\t")[0].alias("source1_entity_id"))
+
+
+def _first_letter(s1: DataFrame, pool: DataFrame) -> DataFrame:
+    letter = lambda x, i: x.where("business_name_normalized <> ''").select(F.col("entity_id").alias(i), F.substring("business_name_normalized", 1, 1).alias("letter"))
+    return letter(s1, "s1_id").join(letter(pool, "cand_id"), "letter").select("s1_id", "cand_id").distinct()
+
+
+@query(f""", weighed AS (SELECT s1_id, cand_id, 100 AS weight FROM j1 UNION ALL SELECT a.entity_id, b.entity_id, 1 FROM s1 a JOIN pool b ON substr(a.business_name_normalized, 1, 1) = substr(b.business_name_normalized, 1, 1) WHERE a.business_name_normalized <> '')
+SELECT * FROM (SELECT s1_id, cand_id, sum(weight)::INTEGER AS score FROM weighed GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cand_id) <= {MAX_CANDIDATES}""")
+def j0_own_strategy(d):
+    """A strategy of the caller's beside one of ours."""
+    ready = prepared(d)
+    blocking.register("first_letter", _first_letter)
+    try:
+        return stored(blocking.candidates(ready.s1, ready.s2, ready.s3, ["exact_name", "first_letter"]).select("s1_id", "cand_id", "score"), "own")
+    finally:
+        del blocking.REGISTRY["first_letter"]

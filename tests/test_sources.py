@@ -20,6 +20,25 @@ def test_fields_stay_text(spark, tmp_path):
     assert tuple(got[1]) == ("S1-2", 'with "quotes" and\na line', "x", "")
 
 
+def test_files_are_split_unless_a_field_has_a_line_break(spark, tmp_path):
+    """Quotes that close on their line don't make a file one task."""
+    rows = "".join(f'S1-{i}\t"quoted ""{i}"""\tstreet {i}\tx\n' for i in range(2000))
+    whole, broken = put(tmp_path / "w.tsv", HEAD + rows), put(tmp_path / "x.tsv", HEAD + rows + 'S1-x\t"two\nlines"\t\t\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        one, two = tsv.read_source(spark, whole), tsv.read_source(spark, broken)
+        assert one.rdd.getNumPartitions() > 1 and two.rdd.getNumPartitions() == 1
+        assert one.count() == 2000 and two.count() == 2001
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_white_space_is_kept(spark, tmp_path):
+    rows = [("S1-1", " lead", "trail ", "\u00a0x")]
+    tsv.write_table(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string"), str(tmp_path / "ws.tsv"))
+    assert [tuple(r) for r in tsv.read_source(spark, str(tmp_path / "ws.tsv")).collect()] == rows
+
+
 def test_header_and_width_are_checked(spark, tmp_path):
     with pytest.raises(ValueError):
         tsv.read_source(spark, put(tmp_path / "b.tsv", "entity_id\tcountry\tbusiness_name\tbusiness_address\n"))
@@ -34,7 +53,7 @@ def test_list_tables(spark, tmp_path):
     s1 = spark.createDataFrame([("S1-2",), ("S1-1",), ("S1-3",)], "entity_id string")
     found = spark.createDataFrame([("S1-1", "S3-1", 1), ("S1-1", "S2-9", 2), ("S1-2", "S2-1", 1)], "s1_id string, cand_id string, rank int")
     path = str(tmp_path / "out.tsv")
-    tsv.write_match_lists(found, s1, path)
+    tsv.write_match_lists(found, s1, path, single=True)
     text = next((tmp_path / "out.tsv").glob("part-*")).read_text()
     assert text == "source1_entity_id\tcandidate_entity_ids\nS1-1\tS2-9;S3-1\nS1-2\tS2-1\nS1-3\t\n"
     assert {r["candidate_entity_ids"] for r in tsv.ranked_lists(found, s1).collect()} == {"S3-1,S2-9", "S2-1", ""}
@@ -79,7 +98,12 @@ def test_train_and_match_from_files(spark, tmp_path):
     assert "Extraction" in reports.normalisation_report(ready, data["ground_truth"])
     assert "False positives" in reports.model_report(trained, 0.5)
     assert "Lost by blocking" in reports.error_report(trained.scored, data["ground_truth"], 0.5)
-    assert "Medians" in reports.feature_report(trained.train)
+    assert "Medians" in reports.feature_report(trained.train) and "a second" in reports.feature_report(trained.train)
+    kept = {r["experiment_id"]: r for r in tsv.read_experiments(spark, f"{model_folder}/experiments.csv").collect()}
+    assert kept["EXP001"]["experiment_f0_5"] >= kept["EXP000"]["experiment_f0_5"] and kept["EXP000"]["accepted"]
+    half = reports.system_measures(trained.scored, data["ground_truth"], 0.5)
+    assert "0.0000" in reports.final_comparison(spark, half, half, "Nothing is better.", f"{out}/final_comparison.md")
+    assert "Nothing is better." in tsv.read_text(f"{out}/final_comparison.md")
     known = labels.truth_pairs(data["ground_truth"])
     assert known.count() == 34
 
