@@ -237,8 +237,8 @@ def _size_class(size: Column) -> Column:
 
 
 def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, size, root, common, index) of the texts that can be alike with one of another group: index has the rarest elements
-    that texts of several groups have, of which any such text must share one; common: elements that others have too."""
+    """(key, size, root, common, index) of the texts that can be alike with one of another group: index has, with their place in the order
+    of rarity, the rarest elements that texts of several groups have, of which any such text must share one; common: elements that others have too."""
     units = open_.join(sets, "key").select("key", "size", "root", F.explode("units").alias("unit"))
     use = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), (F.min("root") != F.max("root")).alias("mixed"))
     shared = F.collect_list(F.when(F.col("n") > 1, F.struct("n", "unit", "mixed")))
@@ -246,7 +246,8 @@ def _rarest(open_: DataFrame, sets: DataFrame) -> DataFrame:
     least = F.ceil(SIMILARITY * F.col("size") - 1e-9)
     # of size - least + 1 elements those that others have
     prefix = F.slice("shared", 1, F.greatest(F.lit(0), (F.col("common") - least + 1).cast("int")))
-    index = F.transform(F.filter(prefix, lambda x: x["mixed"]), lambda x: x["unit"])
+    placed = F.transform(prefix, lambda x, i: F.struct(x["unit"].alias("unit"), (F.col("size") - F.col("common") + i).alias("place"), x["mixed"].alias("mixed")))
+    index = F.filter(placed, lambda x: x["mixed"])
     return each.where(F.col("common") >= least).select("key", "size", "root", "common", index.alias("index")).where(F.size("index") > 0)
 
 
@@ -256,18 +257,22 @@ def _remaining(texts: DataFrame, entries: DataFrame, roots: DataFrame, sets: Dat
     several = mine.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
     open_ = stored(mine.join(several, "bucket").select("key", "size", "root").distinct(), "nd-open")
     found = stored(_rarest(open_, sets), "nd-rarest")
-    entry = found.select("key", "size", "root", "common", F.explode("index").alias("unit"))
+    entry = found.select("key", "size", "root", "common", F.explode("index").alias("i")).select("key", "size", "root", "common", "i.unit", "i.place")
     # a pair is enumerated where one text at least is outside the group that most of an element's texts are in
     main = entry.groupBy("unit", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("unit").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     entry = stored(entry.join(main, "unit").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "nd-entries")
-    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("key", "size", "root", "common")]
-    # the larger of two texts looks for sizes that it can be alike with
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("key", "size", "root", "common", "place")]
+    # the larger of two texts looks for sizes that it can be alike with; both have to share so many elements
+    # that of the first one which they share, not too many are before it in either
     share = SIMILARITY / (1 + SIMILARITY)
+    left = F.col("size") - F.col("place")
     most = F.least(F.col("size").cast("double"), F.col("common") / share - F.col("size") + 1e-6)
     classes = F.sequence(_size_class(SIMILARITY * F.col("size") - 1e-6), _size_class(most))
-    seek = entry.where(most >= SIMILARITY * F.col("size") - 1e-6).select("unit", "is_main", *side("a"), F.explode(classes).alias("class"))
-    offer = entry.select("unit", F.col("is_main").alias("main_b"), *side("b"), _size_class(F.col("size").cast("double")).alias("class"))
-    alike = (F.least("common_a", "common_b") >= share * (F.col("size_a") + F.col("size_b")) - 1e-9) & (F.col("size_b") >= SIMILARITY * F.col("size_a") - 1e-9)
+    seek = entry.where(most >= SIMILARITY * F.col("size") - 1e-6).select("*", F.explode(classes).alias("class"))
+    seek = seek.where(left >= share * (F.col("size") + F.greatest(SIMILARITY * F.col("size"), F.pow(F.lit(1.05), F.col("class")))) - 1e-3).select("unit", "is_main", *side("a"), "class")
+    offer = entry.where(left >= 2 * share * F.col("size") - 1e-9).select("unit", F.col("is_main").alias("main_b"), *side("b"), _size_class(F.col("size").cast("double")).alias("class"))
+    needed = share * (F.col("size_a") + F.col("size_b")) - 1e-9
+    alike = (F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) >= needed) & (F.least("common_a", "common_b") >= share * (F.col("size_a") + F.col("size_b")) - 1e-9) & (F.col("size_b") >= SIMILARITY * F.col("size_a") - 1e-9)
     smaller = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("key_b") < F.col("key_a")))
     meet = lambda s, o: s.join(o, ["unit", "class"]).where(smaller & alike & (F.col("root_a") != F.col("root_b"))).select("key_a", "key_b")
     pairs = meet(seek.where("NOT is_main"), offer).unionByName(meet(seek.where("is_main"), offer.where("NOT main_b")))
