@@ -9,7 +9,8 @@ DAMPING of what its neighbours pass on, each neighbour dividing its rank by the
 The registered query, as its SQL, does
 ROUNDS rounds; with a tolerance, rounds go on until three of them change trust and distrust, summed over
 all hosts, by no more than that share of the seeds.
-What a host without links would pass on is lost. A host is blocked if its distrust is
+What a host without links would pass on is lost. Ranks meet pages and links by broadcast while there are no more hosts than SMALL;
+beyond, hosts that have more than a HEAVYth of the rows (at most HEAVY of them) are still broadcast and only the others shuffled. A host is blocked if its distrust is
 more than RATIO times its trust, else allowed; so is a host without any.
 
 Defined results. Null url, and url without `://`: host and path empty, no rule fits,
@@ -28,6 +29,7 @@ from entwine.functions.session import stored
 
 RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
 DAMPING, ROUNDS, RATIO = 0.85, 10, 1.0
+SMALL, HEAVY = 1_000_000, 10_000
 MAX_RULES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -62,9 +64,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def _spread(ranks: DataFrame, edges: DataFrame, by: str, to: str, rank: str, out: str) -> DataFrame:
-    moved = ranks.select(F.col("host").alias(by), rank).join(edges, by)
-    return moved.groupBy(to).agg(F.sum(F.col(rank) * F.col(f"share_{by}")).alias(out)).withColumnRenamed(to, "host")
+def _heavy(rows: DataFrame, host: str, n: str) -> DataFrame:
+    """(heavy): the hosts that have more than a HEAVYth of the sum of n, of rows that have a host once each."""
+    total = rows.agg(F.sum(n)).first()[0] or 0
+    return rows.where(F.col(n) * HEAVY > total).select(F.col(host).alias("heavy"))
+
+
+def _meet(many: DataFrame, ranks: DataFrame, by: str, small: bool, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """many joined with ranks (host, ...) by its column by; heavy: hosts that have very many rows there."""
+    if small:
+        return many.join(F.broadcast(ranks), F.col(by) == F.col("host"), how).drop("host")
+    marked = many.join(F.broadcast(heavy), F.col(by) == F.col("heavy"), "left")
+    of_heavy = F.broadcast(ranks.join(F.broadcast(heavy), F.col("host") == F.col("heavy"), "left_semi"))
+    parts = [marked.where(f"heavy IS {'NOT ' * (r is of_heavy)}NULL").drop("heavy").join(r, F.col(by) == F.col("host"), how).drop("host") for r in (of_heavy, ranks)]
+    return parts[0].unionByName(parts[1])
+
+
+def _spread(ranks: DataFrame, edges: DataFrame, by: str, to: str, rank: str, out: str, small: bool, heavy: DataFrame) -> DataFrame:
+    moved = _meet(edges, ranks.select("host", rank), by, small, heavy)
+    return moved.groupBy(F.col(to).alias("host")).agg(F.sum(F.col(rank) * F.col(f"share_{by}")).alias(out))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
@@ -79,14 +97,17 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
     start = lambda c: F.lit(1 - damping) * F.col(c)
     if none:
         return nodes.select("host", start("allowed").alias("trust"), start("blocked").alias("distrust"))
+    small, heavy = nodes.limit(SMALL + 1).count() <= SMALL, {}
     for by in ("src", "dst"):
-        sums = edges.groupBy(by).agg(F.sum("pages").alias("all"))
-        edges = edges.join(sums, by).withColumn(f"share_{by}", F.col("pages") / F.col("all")).drop("all")
+        sums = stored(edges.groupBy(F.col(by).alias("host")).agg(F.sum("pages").alias("all"), F.count(F.lit(1)).alias("links")), "uf-sums")
+        heavy[by] = stored(_heavy(sums, "host", "links"), "uf-heavy")
+        edges = _meet(edges, sums.select("host", "all"), by, small, heavy[by]).withColumn(f"share_{by}", F.col("pages") / F.col("all")).drop("all")
     edges = stored(edges, "uf-shares")
     ranks = nodes.select("host", start("allowed").alias("trust"), start("blocked").alias("distrust"))
     last, seeded = ranks, nodes.agg(F.sum(F.col("allowed") + F.col("blocked"))).first()[0] if tolerance is not None else 0
     for i in range(rounds) if tolerance is None else count():
-        passed = nodes.join(_spread(ranks, edges, "src", "dst", "trust", "t"), "host", "left").join(_spread(ranks, edges, "dst", "src", "distrust", "d"), "host", "left")
+        passed = nodes.join(_spread(ranks, edges, "src", "dst", "trust", "t", small, heavy["src"]), "host", "left")
+        passed = passed.join(_spread(ranks, edges, "dst", "src", "distrust", "d", small, heavy["dst"]), "host", "left")
         more = lambda c: F.lit(damping) * F.coalesce(c, F.lit(0.0))
         ranks = passed.select("host", (start("allowed") + more("t")).alias("trust"), (start("blocked") + more("d")).alias("distrust"))
         if i % 3 == 2:
@@ -105,9 +126,12 @@ def judge(pages: DataFrame, rules: tuple[str, ...] = RULES, tolerance: float | N
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     read = read.withColumn("rule", rule).withColumn("decided", verdict)
     one = lambda v: F.count_if(F.col("decided") == v)
-    seeds = read.where("host <> ''").groupBy("host").agg(one("allow").alias("allowed"), one("block").alias("blocked"))
-    ranks = stored(propagate(seeds, host_edges(read), tolerance=tolerance), "uf-ranks").withColumnRenamed("host", "host_")
-    out = read.drop("html").join(ranks, F.col("host") == F.col("host_"), "left")
+    seeds = read.where("host <> ''").groupBy("host").agg(one("allow").alias("allowed"), one("block").alias("blocked"), F.count(F.lit(1)).alias("pages"))
+    seeds = stored(seeds, "uf-seeds")
+    ranks = stored(propagate(seeds.drop("pages"), host_edges(read), tolerance=tolerance), "uf-ranks")
+    heavy = stored(_heavy(seeds, "host", "pages"), "uf-heavy")
+    mine = read.drop("html").withColumnRenamed("host", "page_host")
+    out = _meet(mine, ranks, "page_host", ranks.limit(SMALL + 1).count() <= SMALL, heavy, "left").withColumnRenamed("page_host", "host")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_host = F.when(distrust > F.lit(RATIO) * trust, "block").otherwise("allow")
     return out.select(

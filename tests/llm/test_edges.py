@@ -511,6 +511,18 @@ def test_trust_and_distrust_follow_links(spark):
     assert got[2]["trust"] > got[3]["trust"] > 0 and got[5]["distrust"] > got[6]["distrust"] > 0 and got[7]["distrust"] == 0
 
 
+def test_heavy_hosts_meet_their_ranks_apart(spark, monkeypatch):
+    """A hub that most pages are of and link to: the same by broadcast, by joins, and by joins without it."""
+    link = lambda *to: "".join(f"<a href='//{t}/x'>" for t in to)
+    rows = [(i, f"http://{'hub.com' if i % 3 else f'h{i}.net'}/{'de' if i % 5 == 0 else 'x'}/{i}", link("hub.com", f"h{i * 3 % 40}.net", "good.org")) for i in range(60)]
+    run = lambda: sorted(map(str, url_filter.judge(h.frame(spark, [*rows, (99, None, None), (98, "http://good.org/", link("hub.com"))], PAGES)).collect()))
+    want = run()
+    for heavy in (4, 10_000):
+        monkeypatch.setattr(url_filter, "SMALL", 0)
+        monkeypatch.setattr(url_filter, "HEAVY", heavy)
+        assert run() == want
+
+
 def test_distrust_reaches_the_end_of_a_long_chain(spark):
     """With a tolerance: h0 -> h1 -> ... -> h13 -> a blocked host, and a cycle."""
     hosts = [*(f"h{i}.net" for i in range(14)), "bad.com"]
@@ -543,6 +555,61 @@ def test_links_as_sql_has_them(spark, oracle, tmp_path):
     assert [tuple(str(x) for x in r[:5]) for r in have] == [tuple(str(x) for x in r[:5]) for r in want] or have == pytest.approx(want)
 
 
+def very_long(spark):
+    """One text of over a million words among short ones, repeated."""
+    long = " ".join(f"word{i % 5000} the{i % 7}" for i in range(600_000))
+    rows = [(i, f"short text of number {i} here", "en", "a", 1) for i in range(20)]
+    return h.frame(spark, [*rows, (100, long, "en", "a", len(long)), (101, long, "en", "a", len(long)), (102, long[: len(long) // 2], "en", "b", 1)])
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_very_long_texts(name, spark):
+    rows = {r["doc_id"]: r for r in RUNS[name](spark, very_long(spark)).collect()}
+    assert len(rows) == 23
+    if name == "neardup":
+        assert rows[100]["class_id"] == rows[101]["class_id"] == 100 and rows[102]["class_id"] == 102
+    if name == "lm_scoring":
+        assert rows[100]["n_tokens"] == 1_200_001
+    if name == "mixing":
+        assert rows[100]["size"] == 1_200_000
+    if name == "fingerprint":
+        assert rows[100]["fingerprint"] == rows[101]["fingerprint"] != rows[102]["fingerprint"]
+
+
+def test_decontamination_in_a_very_long_text(spark):
+    item = "a passage that stands near the very end of it"
+    docs = very_long(spark).withColumn("text", F.when(F.col("doc_id") == 100, F.concat("text", F.lit(f" {item}"))).otherwise(F.col("text")))
+    got = decontaminate.leaks(docs, items(spark, [(1, item)])).collect()
+    assert [(r["doc_id"], r["start"]) for r in got] == [(100, 1_200_000)]
+
+
+def test_very_long_conversation(spark):
+    rows = [(1, t, "user", f"turn {t}") for t in range(3000)] + [(2, t, "user", f"turn {t}") for t in range(2999)]
+    got = chat.collapse(h.frame(spark, rows, TURNS)).collect()
+    assert [(r["conv_id"], r["n_turns"], r["snapshots"]) for r in got] == [(1, 3000, 1)]
+
+
+def test_equal_alignments_and_scores_are_settled(spark):
+    """Ties: an item that is in a text twice begins at the first place, and equal texts score alike."""
+    docs = h.frame(spark, [(1, "x one two three four five y one two three four five", "en", "a", 1), (2, "x one two three four five y one two three four five", "fr", "a", 1)])
+    assert {(r["doc_id"], r["start"]) for r in decontaminate.leaks(docs, items(spark, [(1, "one two three four five")])).collect()} == {(1, 1), (2, 1)}
+    for name in ("quality", "lm_scoring", "language_id"):
+        rows = RUNS[name](spark, docs).collect()
+        assert len({r["score"] for r in rows}) == 1 and len(rows) == 2
+
+
+def test_columns_named_as_our_own_come_along(spark, data):
+    import corpus_pipeline
+
+    docs = h.frame(spark)
+    for name in ("__text", "__leaks", "__class", "__turn", "__id", "__mark", "__lang", "__score", "__coverage", "T1", "w1", "__found"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, data)
+        assert out.columns == docs.columns
+        assert all(r["__text"] == r["T1"] == "mine" for r in out.collect())
+
+
 @pytest.mark.parametrize("rows", [h.ODD, []], ids=["odd", "empty"])
 def test_stages_bear_odd_rows(rows, spark, data):
     import corpus_pipeline
