@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import weakref
@@ -61,6 +62,12 @@ def remove(spark: SparkSession, folder: str) -> None:
         return
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what nothing refers to: shuffle files of such tables are deleted, and its heap shrinks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
