@@ -11,10 +11,13 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
 #: Rows and bytes of the batches that go to Python workers, where the session doesn't say: texts can be long.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+#: Rows up to which a table of a few numbers a row is broadcast.
+BROADCAST_ROWS = 1_000_000
 _SHIPPED: set[str] = set()
 _FOLDERS: dict[str, str] = {}
 _STORED: dict[int, tuple[weakref.ref, str]] = {}
@@ -81,6 +84,11 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stored() tables that nothing will read any more; others are left alone."""
     for df in tables:

@@ -15,13 +15,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entwine.functions.session import stored
+from entwine.functions.session import bounded, stored
 from entwine.schema import MAX_BLOCK_FREQUENCY, MAX_CANDIDATES, MIN_NGRAM_DOCUMENTS, MIN_TOKEN_LENGTH, NGRAM_RANGE, STRATEGIES, STRATEGY_WEIGHTS, TOP_K_NGRAM
 
 Strategy = Callable[[DataFrame, DataFrame], DataFrame]
 
 #: Pool records of a key from which its pairs are limited in candidates().
 HOT = 1000
+#: Pairs of postings up to which all n-grams are joined at once, without a first search.
+PLAIN = 100_000_000
 #: Postings that the first search for n-gram neighbours takes of a name's rarest n-grams.
 FIRST = 1000
 #: What rounding to 9 places can lift a similarity by, and more.
@@ -103,7 +105,7 @@ def char_ngram_scores(s1: DataFrame, pool: DataFrame, top: int = TOP_K_NGRAM) ->
     the lengths are taken. Order: similarity to 9 places, then id.
 
     Equal names have equal vectors, so the joins are between distinct names, by number; of a pool name the
-    first `top` ids are all that can be needed. A name's rarest n-grams find a first `top` neighbours, whose exact
+    first `top` ids are all that can be needed. Beyond PLAIN pairs of postings, a name's rarest n-grams find a first `top` neighbours, whose exact
     similarities bound what can still be among the nearest. Its most usual n-grams, as far as their length is
     below that bound, cannot bring such a name in by themselves: they are left out of the join, and added for the names that
     come near enough without them.
@@ -116,40 +118,58 @@ def char_ngram_scores(s1: DataFrame, pool: DataFrame, top: int = TOP_K_NGRAM) ->
     names = stored(names.withColumn("p", F.monotonically_increasing_id()), "ngram-names")
     asked = s1.where("business_name_normalized <> ''").select("entity_id", F.col("business_name_normalized").alias("name"))
     wanted = stored(asked.select("name").distinct().withColumn("q", F.monotonically_increasing_id()), "ngram-asked")
-    count = lambda df, *by: df.select(*by, F.explode(char_ngrams(F.col("name"))).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda df, *by: df.repartition(by[0]).select(*by, F.explode(char_ngrams(F.col("name"))).alias("gram")).groupBy(*by, "gram").agg(F.count(F.lit(1)).alias("n"))
     tf = count(names, "p", "records")
     df = tf.groupBy("gram").agg(F.sum("records").alias("df"), F.count(F.lit(1)).alias("names")).where(F.col("df") >= MIN_NGRAM_DOCUMENTS)
     idf = df.select("gram", "names", (F.log((1 + F.lit(float(total))) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = bounded(stored(idf, "ngram-idf"))
 
     def unit(counts: DataFrame, by: str) -> DataFrame:
         weighed = counts.join(idf, "gram").withColumn("w", F.col("n") * F.col("idf"))
-        length = weighed.groupBy(by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-        return weighed.join(length, by).select(by, "gram", "names", (F.col("w") / F.col("length")).alias("w"))
+        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(by)))
+        return weighed.select(by, "gram", "names", (F.col("w") / length).alias("w"))
 
     right = stored(unit(tf, "p").select("p", "gram", F.col("w").alias("v")), "ngram-pool")
+    left = stored(unit(count(wanted, "q"), "q"), "ngram-left")
+    postings = left.agg(F.sum("names")).first()[0] or 0
+    # by q before the join: what follows needs no other partitioning; the number keeps few, small rows from becoming one task
+    parts = int(s1.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    similar = _all_similar(left.repartition(parts, "q"), bounded(right)) if postings <= PLAIN else _near_similar(left, right, top)
+    similar = similar.withColumn("similarity", F.round("similarity", 9)).where("similarity > 0")
+    # the nearest names first: each name brings at least one id, so `top` names are enough
+    near_names = Window.partitionBy("q").orderBy(F.desc("similarity"), F.element_at("ids", 1))
+    similar = similar.join(bounded(names.select("p", "ids")), "p").withColumn("n", F.rank().over(near_names)).where(F.col("n") <= top)
+    each = Window.partitionBy("q").orderBy(F.desc("similarity"), "cand_id")
+    ranked = similar.select("q", "similarity", F.explode("ids").alias("cand_id")).withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= top)
+    return asked.join(bounded(wanted), "name").join(ranked, "q").select(F.col("entity_id").alias("s1_id"), "cand_id", "similarity", "rank")
+
+
+DOT = lambda: F.sum(F.col("w") * F.col("v"))
+
+
+def _all_similar(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(q, p, similarity) of all names that share an n-gram."""
+    return left.join(right, "gram").groupBy("q", "p").agg(DOT().alias("similarity"))
+
+
+def _near_similar(left: DataFrame, right: DataFrame, top: int) -> DataFrame:
+    """(q, p, similarity) of all names that can be among the nearest `top`."""
     rarer = Window.partitionBy("q").orderBy("names", "gram").rowsBetween(Window.unboundedPreceding, -1)
     usual = Window.partitionBy("q").orderBy(F.desc("names"), "gram").rowsBetween(Window.unboundedPreceding, 0)
-    left = unit(count(wanted, "q"), "q").withColumns({"before": F.coalesce(F.sum("names").over(rarer), F.lit(0)), "length": F.sqrt(F.sum(F.col("w") * F.col("w")).over(usual))})
+    left = left.withColumns({"before": F.coalesce(F.sum("names").over(rarer), F.lit(0)), "length": F.sqrt(F.sum(F.col("w") * F.col("w")).over(usual))})
     left = stored(left, "ngram-left")
-    dot = F.sum(F.col("w") * F.col("v"))
     # what the first neighbours have, at least
-    first = left.where(F.col("before") < FIRST).join(right, "gram").groupBy("q", "p").agg(dot.alias("s"))
+    first = left.where(F.col("before") < FIRST).join(right, "gram").groupBy("q", "p").agg(DOT().alias("s"))
     nearest = first.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "p"))).where(F.col("n") <= top).select("q", "p")
-    exact = nearest.join(left, "q").join(right, ["p", "gram"]).groupBy("q", "p").agg(dot.alias("s"))
+    exact = nearest.join(left, "q").join(right, ["p", "gram"]).groupBy("q", "p").agg(DOT().alias("s"))
     bound = exact.groupBy("q").agg(F.when(F.count(F.lit(1)) == top, F.min("s") - ROUNDING).otherwise(F.lit(0.0)).alias("bound"))
     known = left.join(bound, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))).withColumn("usual", F.col("length") < F.col("bound"))
     slack = known.groupBy(F.col("q").alias("q_")).agg(F.coalesce(F.max(F.when(F.col("usual"), F.col("length"))), F.lit(0.0)).alias("slack"))
     known = stored(known.join(slack, F.col("q") == F.col("q_")).select("q", "gram", "w", "usual", "bound", "slack"), "ngram-known")
-    part = known.where("NOT usual").join(right, "gram").groupBy("q", "p").agg(dot.alias("s"), F.first("bound").alias("bound"), F.first("slack").alias("slack"))
+    part = known.where("NOT usual").join(right, "gram").groupBy("q", "p").agg(DOT().alias("s"), F.first("bound").alias("bound"), F.first("slack").alias("slack"))
     near = stored(part.where(F.col("s") + F.col("slack") >= F.col("bound")).select("q", "p", "s"), "ngram-near")
-    more = near.select("q", "p").join(known.where("usual").select("q", "gram", "w"), "q").join(right, ["p", "gram"]).groupBy("q", "p").agg(dot.alias("more"))
-    similar = near.join(more, ["q", "p"], "left").select("q", "p", F.round(F.col("s") + F.coalesce("more", F.lit(0.0)), 9).alias("similarity")).where("similarity > 0")
-    # the nearest names first: each name brings at least one id, so `top` names are enough
-    near_names = Window.partitionBy("q").orderBy(F.desc("similarity"), F.element_at("ids", 1))
-    similar = similar.join(names.select("p", "ids"), "p").withColumn("n", F.rank().over(near_names)).where(F.col("n") <= top)
-    each = Window.partitionBy("q").orderBy(F.desc("similarity"), "cand_id")
-    ranked = similar.select("q", "similarity", F.explode("ids").alias("cand_id")).withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= top)
-    return asked.join(wanted, "name").join(ranked, "q").select(F.col("entity_id").alias("s1_id"), "cand_id", "similarity", "rank")
+    more = near.select("q", "p").join(known.where("usual").select("q", "gram", "w"), "q").join(right, ["p", "gram"]).groupBy("q", "p").agg(DOT().alias("more"))
+    return near.join(more, ["q", "p"], "left").select("q", "p", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("similarity"))
 
 
 def char_ngram(s1: DataFrame, pool: DataFrame) -> DataFrame:

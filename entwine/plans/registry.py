@@ -96,7 +96,10 @@ def every(d: adapter.Sources) -> DataFrame:
 
 
 def prepared(d: adapter.Sources) -> pipeline.Prepared:
-    return pipeline.Prepared(*[stored(s, "prepared") for s in (d.s1, d.s2, d.s3)])
+    """The normalised sources, written at once."""
+    named = [s.withColumn("source", F.lit(i)) for i, s in enumerate((d.s1, d.s2, d.s3), 1)]
+    table = stored(named[0].unionByName(named[1]).unionByName(named[2]), "prepared")
+    return pipeline.Prepared(*[table.where(F.col("source") == i).drop("source") for i in (1, 2, 3)])
 
 
 def combined(d: adapter.Sources) -> tuple[pipeline.Prepared, DataFrame]:

@@ -97,7 +97,8 @@ def test_ngram_neighbours_as_brute_force_has_them(spark, monkeypatch):
         order = sorted((-round(sum(x * v.get(g, 0.0) for g, x in mine.items()), 9), j) for j, v in theirs.items())
         want |= {(i, j, place + 1) for place, (s, j) in enumerate(order[:5]) if s < 0}
     s1, pool = (records(spark, [(i, t, "", "") for i, t in rows]) for rows in (left, right))
-    for first in (5, 1000):
+    for plain, first in ((blocking.PLAIN, 1000), (0, 1000), (0, 5)):
+        monkeypatch.setattr(blocking, "PLAIN", plain)
         monkeypatch.setattr(blocking, "FIRST", first)
         assert {(r["s1_id"], r["cand_id"], r["rank"]) for r in blocking.char_ngram_scores(s1, pool, 5).collect()} == want
 
