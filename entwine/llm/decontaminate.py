@@ -36,10 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, LongType, StructField, StructType
 
-from entwine.functions.session import shared_folder, ship, stored
+from entwine.functions.session import bounded, shared_folder, ship, stored
 from entwine.llm import kernels as k
 from entwine.llm.bit_filters import among, publish, size_for
-from entwine.llm.fingerprints import bounded
 from entwine.llm.shared_files import arrays_of
 
 MIN_TOKENS, LONG = 5, 16

@@ -34,7 +34,6 @@ read whole. Extra columns are not read and can have any name.
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,10 +42,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entwine.functions.session import shared_folder, ship, stored
+from entwine.functions.session import forget, release, shared_folder, ship, stored
 from entwine.llm import kernels as k
 from entwine.llm.bit_filters import among, bits_of, publish, size_for
 from entwine.llm.elias_fano import HashIndex, Level, quantised
@@ -436,12 +435,6 @@ def model_of(of: Mapped) -> Model:
     return _model(of.vocabulary, of.backs, of.folder, of.shards, of.shard_bits, of.rest)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let the driver drop tables that nothing refers to, so that their shuffle files are deleted."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _least(sizes: list[int], bound: int, from_: int) -> int:
     """The least power of two, at least from_, such that no more than bound of what sizes counts by whole logarithms reach it."""
     out = from_
@@ -490,7 +483,7 @@ def learn(docs: DataFrame) -> tuple[Mapped, DataFrame, int, int]:
     folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex[:12]}"
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = stored(texts.mapInArrow(_unigrams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-unigrams")
-    _release(spark)
+    release(spark)
     uri, words = _vocabulary(counts, texts.count(), folder)
     rare = counts.where(F.col("n") < words.least)
     if not words.total:
@@ -500,7 +493,7 @@ def learn(docs: DataFrame) -> tuple[Mapped, DataFrame, int, int]:
     parts = texts.mapInArrow(_triples(uri, bits), "part long, blob binary").repartition(1 << bits, "part").sortWithinPartitions("part")
     kept = stored(parts.mapInArrow(_keep(words.none), "part long, blob binary, pairs array<long>, triples array<long>"), "lm-kept")
     del parts
-    _release(spark)
+    release(spark)
     sizes = {c: [0] * 48 for c in ("pairs", "triples")}
     for c in sizes:
         for r in kept.select(F.posexplode(c).alias("size", "n")).groupBy("size").agg(F.sum("n").alias("n")).collect():
@@ -512,10 +505,13 @@ def learn(docs: DataFrame) -> tuple[Mapped, DataFrame, int, int]:
     shard_bits = min(bits, (mapped_pairs // SHARD).bit_length())
     dealt = kept.select(F.shiftright("part", bits - shard_bits).alias("shard"), "blob").repartition(1 << shard_bits, "shard").sortWithinPartitions("shard")
     shards = frozenset(r["shard"] for r in dealt.mapInArrow(_build(uri, folder, bits, shard_bits, least), "shard long").collect())
+    spent = [kept, followers]
     if words.least <= LEAST and least == LEAST:  # every kept n-gram is mapped; tokens that are not occur once
+        forget(*spent)
         return Mapped(uri, backs, folder, shards, shard_bits, None), _tokens(rare), words.total, words.distinct
     rest, more = _rest(kept, counts, followers, words, uri, least)
     filter_ = publish(rest.select("key"), f"{folder}/rest.bin", min(FILTER_BITS, size_for(words.total)))
+    forget(*spent)
     return Mapped(uri, backs, folder, shards, shard_bits, filter_), _tokens(rare.join(more, "key", "left")).unionByName(rest), words.total, words.distinct
 
 

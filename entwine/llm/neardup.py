@@ -38,9 +38,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entwine.functions.session import forget, ship, stored
+from entwine.functions.session import bounded, forget, ship, stored
 from entwine.llm import kernels as k
-from entwine.llm.fingerprints import bounded
 from entwine.llm.kernels import unused
 
 SHINGLE = 5

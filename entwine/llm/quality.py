@@ -31,10 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from entwine.functions.session import ship, stored
+from entwine.functions.session import bounded, release, ship, stored
 from entwine.llm import kernels as k
 from entwine.llm.language_id import remainder
-from entwine.llm.fingerprints import bounded
 
 PLACES = 18
 REPEATS = (1, 2, 4, 8)
@@ -186,6 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | float:
     sizes = vectors.select("turn", "n").toPandas().sort_values("turn")
     fit = sizes["turn"][sizes["n"].cumsum() <= SAMPLE_FEATURES]
     last = int(fit.max()) if len(fit) else int(sizes["turn"].min())
+    release(spark)
     sample = vectors.where(F.col("turn") <= last).select("label", "turn", "features").toArrow()
     order = np.argsort(sample["turn"].to_numpy(), kind="stable")
     label = sample["label"].to_numpy()[order]
