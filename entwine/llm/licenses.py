@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from entwine.functions.session import bounded
 from entwine.llm.license_digests import DIGESTS
 from entwine.llm.license_texts import NOTICES, TEXTS
 
