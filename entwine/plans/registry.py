@@ -697,7 +697,7 @@ def m16_audit(d):
     matches = metrics.apply_threshold(pairs, 0.9)
     lists = stored(tsv.match_lists(matches, ready.s1), "lists")
     pipeline.audit(matches, pairs, lists, ready.s1)
-    return lists.agg(F.lit(labels.subset_violations(matches, pairs).count()).alias("violations"), F.count(F.lit(1)).alias("lists"), F.countDistinct("source1_entity_id").alias("ids"))
+    return lists.agg(F.lit(labels.subset_violations(matches, pairs).count()).cast("long").alias("violations"), F.count(F.lit(1)).alias("lists"), F.countDistinct("source1_entity_id").alias("ids"))
 
 
 @query("SELECT 0.37::DOUBLE AS only_threshold, 0.42::DOUBLE AS with_final")
