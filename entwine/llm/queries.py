@@ -37,7 +37,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents"))
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,4 @@ QUERIES = {
         op10_fingerprints,
     )
 } | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op1_licenses": sql.LICENSES, "op6_chat": sql.CHAT, "op7_urls": sql.URLS, "op8_mixing": sql.MIXING}
+ORACLES = {"op1_licenses": sql.LICENSES, "op3_neardup": sql.NEARDUP, "op9_decontaminate": sql.LEAKS, "op6_chat": sql.CHAT, "op7_urls": sql.URLS, "op8_mixing": sql.MIXING}

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from entwine.llm import licenses, url_filter
+from entwine.llm import decontaminate, licenses, neardup, url_filter
 
 MIXING = r"""
 WITH RECURSIVE sized AS (
@@ -176,3 +176,77 @@ SELECT page_id, j.host, path, rule,
   round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust
 FROM judged j LEFT JOIN final f ON j.host = f.host
 """
+
+_TOKENS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}]+')"
+
+#: All pairs of texts that share a run of words, their similarity, and the connected groups.
+NEARDUP = rf"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id, {_TOKENS} AS w FROM documents
+), runs AS (
+  SELECT row, unnest(CASE WHEN len(w) >= {neardup.SHINGLE} THEN [array_to_string(list_slice(w, i, i + {neardup.SHINGLE - 1}), ' ') FOR i IN range(1, len(w) - {neardup.SHINGLE - 2})]
+    ELSE ['few: ' || array_to_string(w, ' ')] END) AS run FROM words
+), weighed AS (
+  SELECT row, run, count(*) AS n FROM runs GROUP BY ALL
+), contents AS (
+  SELECT row, md5(string_agg(run || ':' || n, '|' ORDER BY run)) AS content, sum(n) AS size FROM weighed GROUP BY row
+), firsts AS (
+  SELECT content, min(row) AS row, any_value(size) AS size FROM contents GROUP BY content
+), mine AS (
+  SELECT row, size, run, n FROM firsts JOIN weighed USING (row)
+), shared AS (
+  SELECT a.row AS a, b.row AS b, any_value(a.size) AS sa, any_value(b.size) AS sb, sum(least(a.n, b.n)) AS m FROM mine a JOIN mine b ON a.run = b.run AND a.row < b.row GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared WHERE m / (sa + sb - m) >= {neardup.SIMILARITY}
+), reach(a, b) AS (
+  SELECT row, row FROM firsts UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a
+), roots AS (
+  SELECT content, min(b) AS root FROM firsts JOIN reach ON row = a GROUP BY content
+), members AS (
+  SELECT row, doc_id, root FROM words JOIN contents USING (row) JOIN roots USING (content)
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size FROM members
+"""
+
+
+def _masks(masks: tuple[tuple[int, ...], ...]) -> str:
+    """Whether the equal places e have all of some mask, somewhere."""
+    return "len(list_filter(e, lambda p: " + " OR ".join("(" + " AND ".join(f"list_contains(e, p + {o})" for o in m[1:]) + ")" for m in masks) + ")) > 0"
+
+
+#: Every alignment of an item with a document on which a seed hits: its equal places, those with support, and stretches.
+LEAKS = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, {_TOKENS} AS w FROM documents
+), items AS (
+  SELECT w, min(item_id) AS item_id, row_number() OVER (ORDER BY min(item_id) NULLS LAST) AS item, len(w) AS size FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark) WHERE len(w) > 0 GROUP BY w
+), doc_words AS (
+  SELECT row, unnest(w) AS token, unnest(range(0, len(w))) AS place FROM docs
+), item_words AS (
+  SELECT item, size, unnest(w) AS token, unnest(range(0, len(w))) AS p FROM items
+), aligned AS (
+  SELECT row, item, any_value(size) AS size, place - p AS shift, list(p ORDER BY p) AS e FROM doc_words JOIN item_words USING (token)
+  GROUP BY row, item, place - p HAVING count(*) >= least(any_value(size), 3)
+), hit AS (
+  SELECT * FROM aligned WHERE CASE WHEN size >= {decontaminate.LONG} THEN {_masks(decontaminate.MASKS)} WHEN size >= {decontaminate.MIN_TOKENS} THEN {_masks(decontaminate.FEW)} ELSE len(e) = size END
+), judged AS (
+  SELECT *,
+    list_filter(e, lambda p: len(list_filter(range(p, p + 5), lambda j: len(list_filter(e, lambda x: x >= j - 4 AND x <= j)) >= {decontaminate.SUPPORT})) > 0) AS good,
+    list_filter(range(0, size - 4), lambda f: len(list_filter(e, lambda x: x >= f AND x <= f + 4)) >= {decontaminate.SUPPORT}) AS windows
+  FROM hit
+), counted AS (
+  SELECT row, item, count(DISTINCT p) AS n FROM (SELECT row, item, unnest(good) AS p FROM judged) GROUP BY ALL
+), islands AS (
+  SELECT row, item, shift, any_value(e) AS e, min(f) AS first, max(f) + 4 AS last FROM (
+    SELECT row, item, shift, e, f, f - row_number() OVER (PARTITION BY row, item, shift ORDER BY f) AS island FROM (SELECT row, item, shift, e, unnest(windows) AS f FROM judged)) GROUP BY row, item, shift, island
+), stretches AS (
+  SELECT row, item, max(last - first + 1 - (NOT list_contains(e, first))::INT - (NOT list_contains(e, last))::INT) AS longest FROM islands GROUP BY ALL
+), best AS (
+  SELECT row, item, any_value(size) AS size, max(len(e)) AS equal, arg_min(greatest(shift, 0), (-len(e), greatest(shift, 0))) AS start FROM judged GROUP BY ALL
+), shares AS (
+  SELECT b.*, CASE WHEN size < {decontaminate.MIN_TOKENS} THEN 1.0::DOUBLE ELSE greatest(equal, coalesce(n, 0))::DOUBLE / size END AS similarity, coalesce(longest, 0) AS longest
+  FROM best b LEFT JOIN counted USING (row, item) LEFT JOIN stretches USING (row, item)
+)
+SELECT doc_id, item_id, similarity, start::BIGINT AS start FROM shares JOIN docs USING (row) JOIN (SELECT item, item_id FROM items) USING (item)
+WHERE similarity >= {decontaminate.SIMILARITY} OR longest >= {decontaminate.RUN}
+"""

@@ -224,8 +224,13 @@ def test_near_duplicates_without_a_middle(spark):
             for at in draw.sample(range(len(mine)), draw.randrange(1, 2 + len(mine) // 25)):
                 mine[at] = f"own{g}_{i}_{at}"
             rows.append((g * 100 + i, " ".join(mine), "en", "a", 1))
-    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(h.frame(spark, rows)).collect()}
+    from entwine.llm import sql
+
+    found = neardup.classes(h.frame(spark, [*rows, (None, None, None, None, None), (None, "", None, None, None), (900, "", None, None, None)]))
+    got = {r["doc_id"]: r["class_id"] for r in found.where("doc_id < 900").collect()}
     assert got == h.near_classes([r[:2] for r in rows])
+    have = sorted(str((r["class_id"], r["class_size"], r["doc_id"])) for r in found.collect())
+    assert have == by_sql(sql.NEARDUP, documents=("doc_id BIGINT, text VARCHAR", [*[r[:2] for r in rows], (None, None), (None, ""), (900, "")]))
     assert 6 < len(set(got.values())) < 150
 
 
@@ -314,6 +319,39 @@ def test_decontamination_finds_every_item_with_a_fifth_substituted(broadcast_cha
     assert {x for x in got if x[1] in long} == h.leaked([r[:2] for r in rows], bench)
 
 
+def by_sql(query, **tables):
+    """Sorted rows of a query over tables of (columns, rows), by sorted columns."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, (columns, rows) in tables.items():
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    got = con.execute(query)
+    names = [c[0] for c in got.description]
+    return sorted(str(tuple(r[names.index(c)] for c in sorted(names))) for r in got.fetchall())
+
+
+def test_leaks_as_sql_has_them(spark):
+    """Parts, substitutions, insertions, repeated items and short ones."""
+    import random
+
+    from entwine.llm import sql
+
+    draw = random.Random(11)
+    word = lambda: f"w{draw.randrange(60)}"
+    bench = [(i, " ".join(word() for _ in range(draw.choice([1, 3, 5, 8, 15, 16, 24, 40])))) for i in range(40)] + [(None, "w1 w2 w3 w4 w5"), (90, "W1, w2 w3 w4 w5"), (91, None)]
+    rows = []
+    for i in range(150):
+        mine = (draw.choice(bench)[1] or "").split()
+        cut = mine[draw.randrange(0, 4) :] if draw.random() < 0.4 else mine
+        mixed = [x for w in cut for x in ([word()] if draw.random() < 0.15 else [w, word()] if draw.random() < 0.05 else [w])]
+        rows.append((i, " ".join([word() for _ in range(draw.randrange(20))] + mixed + [word() for _ in range(draw.randrange(20))])))
+    found = decontaminate.leaks(h.frame(spark, [(i, t, "en", "a", 1) for i, t in rows]), items(spark, bench))
+    got = sorted(str(tuple(r[c] for c in sorted(found.columns))) for r in found.collect())
+    assert got == by_sql(sql.LEAKS, documents=("doc_id BIGINT, text VARCHAR", rows), benchmark=("item_id BIGINT, text VARCHAR", bench)) and len(got) > 150
+
+
 def test_decontamination_joined_as_broadcast(spark, monkeypatch):
     docs = h.frame(spark).withColumn("w1", F.lit(1))
     some = items(spark, [*((i, t) for i, t, *_ in h.ODD if i), (None, "the cat sat on the mat and saw a dog"), (20, "the cat sat on the mat and saw the dog")])
