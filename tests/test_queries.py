@@ -3,7 +3,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from entwine.plans import registry
+from entwine.functions.session import stored
+from entwine.plans import adapter, pipeline, registry
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -34,12 +35,19 @@ def test_sql_has_rows(name, data):
     assert con.execute(f"SELECT count(*) FROM ({registry.ORACLES[name]})").fetchone()[0] > 0
 
 
-def test_trained_queries(spark, data):
-    scores = registry.QUERIES["m7_gbt_scores"](spark, f"{Path(data).parent}/sf0.01").toPandas()
+def test_trained_scores_tell_matches(spark, data):
+    d = adapter.normalised(spark, f"{Path(data).parent}/sf0.01")
+    made = pipeline.train(pipeline.Prepared(*[stored(s, "prepared") for s in (d.s1, d.s2, d.s3)]), d.truth)
+    scores = made.scored.toPandas()
     assert scores["match_probability"].between(0, 1).all()
     # better than chance by far: the names tell nearly all
     pos, neg = (scores[scores["label"] == i]["match_probability"].to_numpy() for i in (1, 0))
     assert ((pos[:, None] > neg[None]) + (pos[:, None] == neg[None]) / 2).mean() > 0.9
+    assert made.metadata["roc_auc"] > 0.9
+
+
+def test_trained_queries(spark, data):
+    assert registry.QUERIES["m7_gbt_scores"](spark, data).where("match_probability BETWEEN 0 AND 1").count() > 0
     lists = registry.QUERIES["m15_match_lists"](spark, data)
     assert lists.count() == lists.select("source1_entity_id").distinct().count()
     gains = registry.QUERIES["m9_importance"](spark, data).collect()
