@@ -60,6 +60,8 @@ END, START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x57A257A257A257A2)
 #: Hashes of tokens are not below LOW, which leaves lesser codes for the numbers of common tokens.
 LOW = 1 << 24
 HELD, TRIPLES, PART = 300_000, 1_000_000, 1 << 21
+#: Tasks that parts are dealt among at most; a task sums one part after the other.
+TASKS = 1 << 16
 PIECE = 1 << 21
 
 
@@ -490,7 +492,7 @@ def learn(docs: DataFrame) -> tuple[Mapped, DataFrame, int, int]:
         followers = spark.createDataFrame([], "a long, seen long, kinds long")
         return Mapped(uri, _backs(words, followers, folder), folder, frozenset(), 0, None), _tokens(rare), 0, 0
     bits = max(0, (words.total // PART).bit_length())
-    parts = texts.mapInArrow(_triples(uri, bits), "part long, blob binary").repartition(1 << bits, "part").sortWithinPartitions("part")
+    parts = texts.mapInArrow(_triples(uri, bits), "part long, blob binary").repartition(min(1 << bits, TASKS), "part").sortWithinPartitions("part")
     kept = stored(parts.mapInArrow(_keep(words.none), "part long, blob binary, pairs array<long>, triples array<long>"), "lm-kept")
     del parts
     release(spark)
