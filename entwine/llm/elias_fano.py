@@ -93,16 +93,35 @@ class EliasFano:
         over = np.where(shift > 0, self.low[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return (((self.low[word] >> shift) | over) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
+    def _after(self, place: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
+        """The places of the k-th bits as in _select, each the next of its kind after place."""
+        words = self.high[place >> 6]
+        rest = ((~words if flip else words) >> (place & 63).astype(np.uint64)) >> np.uint64(1)
+        lowest = rest & (~rest + np.uint64(1))
+        out = place + 1 + np.bitwise_count(lowest - np.uint64(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        out[far] = self._select(k[far], flip)
+        return out
+
+    def _value(self, place: np.ndarray, i: np.ndarray) -> np.ndarray:
+        return ((place - i) << self.bits) | self._low(i)
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at the places i."""
-        return ((self._select(i, False) - i) << self.bits) | self._low(i)
+        return self._value(self._select(i, False), i)
+
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at the places i and i + 1."""
+        place = self._select(i, False)
+        return self._value(place, i), self._value(self._after(place, i + 1, False), i + 1)
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the first place whose value is x or more, n if none; whether it is x)."""
         top = x >> self.bits
         # the values with a high part below top lie before the clear bit that ends it
-        start = np.where(top > 0, self._select(np.maximum(top - 1, 0), True) - (top - 1), 0)
-        end = self._select(top, True) - top
+        before = self._select(np.maximum(top - 1, 0), True)
+        end = np.where(top > 0, self._after(before, top, True), before) - top
+        start = np.where(top > 0, before - (top - 1), 0)
         last, low = end.copy(), x & ((1 << self.bits) - 1)
         while (open_ := np.flatnonzero(start < end)).size:
             middle = (start[open_] + end[open_]) // 2
@@ -151,19 +170,20 @@ class Level:
         group = np.cumsum(np.concatenate([[0], (context[1:] != context[:-1]).astype(np.int64)])) if len(context) else np.zeros(0, np.int64)
         return cls(EliasFano.of(pointers, len(word) + 1), EliasFano.of(word + 1 + base[group], int(base[-1]) + 1), *quantised(prob), *quantised(back))
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def find(self, context: np.ndarray, word: np.ndarray, block: int = 1 << 14) -> np.ndarray:
         """The place of each word under its context, -1 where there is none."""
         out = np.full(len(context), -1, np.int64)
-        if not self.words.n or not len(context):
+        if not self.words.n:
             return out
-        first, end = self.pointers.access(context), self.pointers.access(context + 1)
-        some = np.flatnonzero(end > first)
-        first, end, word = first[some], end[some], word[some]
-        target = np.where(first > 0, self.words.access(np.maximum(first - 1, 0)), 0) + word + 1
-        ok = np.flatnonzero(target <= self.words.access(end - 1))
-        at, equal = self.words.successor(target[ok])
-        hit = equal & (at < end[ok])
-        out[some[ok[hit]]] = at[hit]
+        last = int(self.words.access(np.array([self.words.n - 1]))[0])
+        for a in range(0, len(context), block):  # as much as caches hold
+            first, end = self.pointers.both(context[a : a + block])
+            some = np.flatnonzero(end > first)
+            first, end = first[some], end[some]
+            target = np.where(first > 0, self.words.access(np.maximum(first - 1, 0)), 0) + word[a : a + block][some] + 1
+            at, equal = self.words.successor(np.minimum(target, last))
+            hit = equal & (at < end) & (target <= last)
+            out[a + some[hit]] = at[hit]
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:

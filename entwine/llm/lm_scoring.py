@@ -59,10 +59,10 @@ DISCOUNT = 0.75
 END, START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x57A257A257A257A2)
 #: Hashes of tokens are not below LOW, which leaves lesser codes for the numbers of common tokens.
 LOW = 1 << 24
-HELD, TRIPLES, PART = 300_000, 1_000_000, 1 << 21
+HELD, TRIPLES, PART = 300_000, 700_000, 1 << 20
 #: Tasks that parts are dealt among at most; a task sums one part after the other.
 TASKS = 1 << 16
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def tokens(texts: pa.Array, limit: int = k.PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -142,6 +142,26 @@ def test_lm_scores_of_odd_texts(spark):
     assert sorted(r["base_score"] for r in got) == pytest.approx(want, abs=1e-5)
 
 
+def test_files_of_a_folder_that_is_not_mounted(tmp_path, monkeypatch):
+    """They are fetched once into the working folder, and mapped there; writing again leaves the same."""
+    import numpy as np
+    from pyarrow import fs
+
+    from entwine.llm import shared_files
+
+    (tmp_path / "far").mkdir()
+    (tmp_path / "here").mkdir()
+    far = fs.SubTreeFileSystem(str(tmp_path / "far"), fs.LocalFileSystem())
+    monkeypatch.setattr(shared_files, "_at", lambda uri: (far, uri.removeprefix("far://")))
+    monkeypatch.chdir(tmp_path / "here")
+    for _ in range(2):
+        uri = shared_files.put("far://lm/x.bin", {"a": np.arange(5), "b": np.zeros(0)})
+    got = shared_files.arrays_of(uri)
+    assert got["a"].tolist() == [0, 1, 2, 3, 4] and not len(got["b"])
+    assert [p.name for p in (tmp_path / "here").iterdir()] == ["fetched-lm-x.bin"] and len(list((tmp_path / "far" / "lm").iterdir())) == 1
+    assert shared_files.arrays_of(uri) is got
+
+
 def test_elias_fano():
     """Access, successors and children against plain arrays."""
     import numpy as np
