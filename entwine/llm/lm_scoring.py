@@ -53,7 +53,7 @@ from entwine.llm.language_id import remainder
 from entwine.llm.shared_files import arrays_of, put
 
 #: What workers map at most: tokens, n-grams of each order; and how many pairs a shard aims at.
-WORDS, GRAMS, SHARD = 1 << 22, 1 << 26, 1 << 20
+WORDS, GRAMS, SHARD = 1 << 22, 1 << 26, 1 << 19
 LEAST, FILTER_BITS = 2, 28
 DISCOUNT = 0.75
 END, START = np.uint64(0x5EED5EED5EED5EED), np.uint64(0x57A257A257A257A2)
@@ -136,7 +136,7 @@ def gram(first: np.ndarray, second: np.ndarray, order: int) -> np.ndarray:
 class Vocabulary:
     """The common tokens: their number is their place in falling order of counts; other tokens have their hash as code.
 
-    start: the code of the start of a text, none: of what comes after its end.
+    number: of each hash; count: of each number; start: the code of the start of a text, none: of what comes after its end.
     """
 
     index: HashIndex
@@ -168,8 +168,15 @@ class Vocabulary:
         by_number[self.start] = START
         return np.where(codes < LOW, by_number[np.minimum(codes, np.uint64(self.start)).astype(np.int64)], codes)
 
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return (count + 1.0) / (self.total + self.distinct + 1.0)
+    def base(self, numbers: np.ndarray) -> np.ndarray:
+        """The unigram probability of each number; 1 for others than common tokens."""
+        if not self.start:
+            return np.ones(len(numbers))
+        return np.where(numbers >= 0, (self.count[np.maximum(numbers, 0)] + 1.0) / (self.total + self.distinct + 1.0), 1.0)
+
+    def as_context(self, numbers: np.ndarray) -> np.ndarray:
+        """How often each token, or the start of a text, is there as a context."""
+        return np.where(numbers == self.start, float(self.texts), self.count[np.minimum(numbers, self.start - 1)]) if self.start else np.full(len(numbers), float(self.texts))
 
 
 def shifted(codes: np.ndarray, bounds: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -318,30 +325,45 @@ class Shard:
         return cls(level("two"), level("three"), arrays["bits2"], arrays["bits3"])
 
 
-def _build(vocabulary: str, folder: str, bits: int, shard_bits: int, least: int):
-    """Write the shards of the kept n-grams that are mapped: of common tokens, and at least least occurrences."""
+#: Of mapped n-grams: as KEPT_KINDS, with the discounted occurrences of all kept triples of a pair after its n.
+MAPPED_KINDS = ("u8", "u8", "u8", "f8", "u4", "u8", "u8")
+
+
+def _of_shard(vocabulary: str, shift: int, least: int):
+    """(shard, blob) of the kept n-grams that are mapped: of common tokens, and at least least occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start = Vocabulary.read(vocabulary).start
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                a, b, n2, many, c, n3 = _unbundle(blob.as_py(), *KEPT_KINDS)
+                of = np.repeat(np.arange(len(a)), many)
+                seen = np.bincount(of, n3 - DISCOUNT, len(a))
+                good = (a <= start) & (b < start) & (n2 >= least)
+                good3 = good[of] & (c < start) & (n3 >= least)
+                many = np.bincount(of[good3], minlength=len(a))[good].astype(np.uint32)
+                out = _bundle(a[good], b[good], n2[good], seen[good], many, c[good3], n3[good3])
+                yield pa.RecordBatch.from_arrays([pa.array([part >> shift]), pa.array([out], pa.binary())], ["shard", "blob"])
+
+    return run
+
+
+def _build(vocabulary: str, folder: str):
+    """Write the shards of the mapped n-grams."""
 
     def build(shard: int, blobs: list[bytes]) -> None:
         words = Vocabulary.read(vocabulary)
-        counts = np.append(np.zeros(words.start), words.texts)
-        counts[words.number] = words.count
-        a, b, n2, many, c, n3 = (np.concatenate(x) for x in zip(*[_unbundle(x, *KEPT_KINDS) for x in blobs], strict=True))
-        seen, of = np.zeros(len(a)), np.repeat(np.arange(len(a)), many)
-        np.add.at(seen, of, n3 - DISCOUNT)
-        common = (a <= words.start) & (b < words.start) & (n2 >= least)
-        order = np.flatnonzero(common)
-        order = order[np.lexsort((b[order], a[order]))]
-        place = np.full(len(a), -1, np.int64)
+        a, b, n2, seen, many, c, n3 = (np.concatenate(x) for x in zip(*[_unbundle(x, *MAPPED_KINDS) for x in blobs], strict=True))
+        of, order = np.repeat(np.arange(len(a)), many), np.lexsort((b, a))
+        place = np.empty(len(a), np.int64)
         place[order] = np.arange(len(order))
         back = np.log10(np.maximum(1 - seen / n2, 1e-9))[order]
-        two = Level.of(a[order].astype(np.int64), b[order].astype(np.int64), words.start + 1, np.log10((n2[order] - DISCOUNT) / counts[a[order].astype(np.int64)]), back)
-        good = np.flatnonzero(common[of] & (c < words.start) & (n3 >= least))
-        context = place[of[good]]
-        order3 = np.lexsort((c[good], context))
-        good, context = good[order3], context[order3]
-        three = Level.of(context, c[good].astype(np.int64), len(order), np.log10((n3[good] - DISCOUNT) / n2[of[good]]), np.zeros(len(good)))
+        first = a[order].astype(np.int64)
+        two = Level.of(first, b[order].astype(np.int64), words.start + 1, np.log10((n2[order] - DISCOUNT) / words.as_context(first)), back)
+        order3 = np.lexsort((c, place[of]))
+        three = Level.of(place[of][order3], c[order3].astype(np.int64), len(order), np.log10((n3 - DISCOUNT) / n2[of])[order3], np.zeros(len(c)))
         keys = gram(a, b, 2)
-        arrays = {"bits2": bits_of(keys[order], size_for(len(order))), "bits3": bits_of(gram(keys[of[good]], c[good], 3), size_for(len(good)))}
+        arrays = {"bits2": bits_of(keys, size_for(len(a))), "bits3": bits_of(gram(keys[of], c, 3), size_for(len(c)))}
         for name, level in (("two", two), ("three", three)):
             arrays |= {f"{name}/{x}": v for x, v in level.arrays().items()}
         put(f"{folder}/shard-{shard}.bin", arrays)
@@ -370,9 +392,7 @@ class Model:
     def __init__(self, of: Mapped):
         self.words, backs = Vocabulary.read(of.vocabulary), arrays_of(of.backs)
         # by number, the start last
-        self.back = backs["book"][backs["code"]] if len(backs["book"]) else np.zeros(self.words.start + 1)
-        self.count = np.zeros(self.words.start, np.float64)
-        self.count[self.words.number] = self.words.count
+        self.back, self.weight = backs["code"], 10.0 ** backs["book"]
         self.shards = {s: Shard.read(f"{of.folder}/shard-{s}.bin") for s in of.shards}
         self.shard_bits = of.shard_bits
         self.rest = arrays_of(of.rest)["bits"] if of.rest else None
@@ -395,8 +415,8 @@ class Model:
         codes = words.codes(h, number)
         before, _ = shifted(codes, bounds, words.start, words.none)
         context = shifted(number, bounds, words.start, 0)[0]
-        base = np.where(known, words.base(self.count[np.maximum(number, 0)]) if words.start else 1.0, 1.0)
-        low = base * np.where(context >= 0, 10.0 ** self.back[np.maximum(context, 0)], 1.0)
+        base = words.base(number)
+        low = base * np.where(context >= 0, self.weight[self.back[np.maximum(context, 0)]], 1.0)
         pair = gram(before, codes, 2)
         place, q, back = np.full(len(h), -1, np.int64), np.zeros(len(h)), np.ones(len(h))
         for shard, at in self._each_shard(pair, np.flatnonzero(known & (context >= 0))):
@@ -456,21 +476,21 @@ def _vocabulary(counts: DataFrame, texts: int, folder: str) -> tuple[str, Vocabu
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
     number = np.empty(len(n), np.int32)
-    number[np.lexsort((hashes, -n))] = np.arange(len(n), dtype=np.int32)
+    by_count = np.lexsort((hashes, -n))
+    number[by_count] = np.arange(len(n), dtype=np.int32)
+    count = n[by_count]
     index = HashIndex.of(hashes)
     sizes = np.array([total, distinct, texts, least])
-    uri = put(f"{folder}/vocabulary.bin", {"hashes": hashes, "starts": index.starts, "shift": np.array([index.shift]), "number": number, "count": n, "sizes": sizes})
-    return uri, Vocabulary(index, number, n, sizes)
+    uri = put(f"{folder}/vocabulary.bin", {"hashes": hashes, "starts": index.starts, "shift": np.array([index.shift]), "number": number, "count": count, "sizes": sizes})
+    return uri, Vocabulary(index, number, count, sizes)
 
 
 def _backs(words: Vocabulary, followers: DataFrame, folder: str) -> str:
     """The logarithms of what common tokens, and the start of a text, leave to their back-off."""
     common = followers.where(F.col("a").between(0, words.start)).toArrow()
-    counts = np.append(np.zeros(words.start), max(1, words.texts))
-    counts[words.number] = words.count
     left = np.ones(words.start + 1)
     a = common["a"].to_numpy()
-    left[a] = 1 - (common["seen"].to_numpy() - DISCOUNT * common["kinds"].to_numpy()) / counts[a]
+    left[a] = 1 - (common["seen"].to_numpy() - DISCOUNT * common["kinds"].to_numpy()) / words.as_context(a)
     code, book = quantised(np.log10(np.maximum(left, 1e-9)))
     return put(f"{folder}/backs.bin", {"code": code, "book": book})
 
@@ -505,8 +525,9 @@ def learn(docs: DataFrame) -> tuple[Mapped, DataFrame, int, int]:
     backs = _backs(words, followers, folder)
     mapped_pairs = sum(sizes["pairs"][least.bit_length() - 1 :])
     shard_bits = min(bits, (mapped_pairs // SHARD).bit_length())
-    dealt = kept.select(F.shiftright("part", bits - shard_bits).alias("shard"), "blob").repartition(1 << shard_bits, "shard").sortWithinPartitions("shard")
-    shards = frozenset(r["shard"] for r in dealt.mapInArrow(_build(uri, folder, bits, shard_bits, least), "shard long").collect())
+    mapped_grams = kept.select("part", "blob").mapInArrow(_of_shard(uri, bits - shard_bits, least), "shard long, blob binary")
+    dealt = mapped_grams.repartition(1 << shard_bits, "shard").sortWithinPartitions("shard")
+    shards = frozenset(r["shard"] for r in dealt.mapInArrow(_build(uri, folder), "shard long").collect())
     spent = [kept, followers]
     if words.least <= LEAST and least == LEAST:  # every kept n-gram is mapped; tokens that are not occur once
         forget(*spent)
