@@ -14,5 +14,5 @@ def test_all_else_works_without_the_llm_parts(tmp_path):
         shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns(*GONE)) if source.is_dir() else shutil.copy(source, tmp_path / name)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'k3_combined_candidates' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
-    tests = [sys.executable, "-m", "pytest", "-q", "-x", "tests", "-k", "test_text or (test_linkage and not brute) or test_entry or white_space"]
+    tests = [sys.executable, "-m", "pytest", "-q", "-x", "tests", "-k", "test_text or test_entry or labels or combine or metrics or white_space"]
     subprocess.run(tests, cwd=tmp_path, check=True, timeout=900)
