@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from entwine.functions.text import preprocess
-from entwine.operators import blocking, tiles
+from entwine.operators import blocking, labels, metrics, tiles
+from entwine.schema import STRATEGIES
 
 RECORD = "entity_id string, business_name string, business_address string, country string"
 
@@ -60,3 +61,14 @@ def test_candidates_in_tiles_are_those_of_joins(limit, sources, cut_fine, monkey
     assert not re.search(r"hashpartitioning\(s1_id#\d+, cand_id#", plan(got))
     if every:
         assert rows(blocking.union(s1, blocking.candidate_pool(s2, s3), list(blocking.REGISTRY))) == every
+
+
+def test_recall_in_tiles_is_that_of_joins(spark, sources, cut_fine):
+    """Truth with an entity in two rows, one without matches, and pairs that no strategy has; no join by pairs."""
+    s1, pool = sources[0], blocking.candidate_pool(*sources[1:])
+    rows = [(f"S1-{i}", ",".join(f"S{2 + j % 2}-{j}" for j in range(i % 4, 60, 5))) for i in range(0, 60, 2)] + [("S1-0", "S2-1,S2-2"), ("S1-1", ""), ("S1-3", "gone")]
+    truth = spark.createDataFrame(rows, "source1_entity_id string, matched_entity_ids string")
+    want = metrics.strategy_recall(blocking.by_strategy(s1, pool, STRATEGIES), labels.truth_pairs(truth))
+    got = blocking.strategy_recall(s1, pool, STRATEGIES, labels.truth_lists(truth))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "cand_id" not in plan(got).split("FlatMapCoGroupsInArrow")[0]
