@@ -16,17 +16,10 @@ from functools import lru_cache
 import numpy as np
 from pyarrow import fs
 
+from entwine.functions.session import located as _at
 from entwine.llm.elias_fano import mapped, packed
 
 
-def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    for other in ("s3a://", "s3n://"):
-        uri = uri.replace(other, "s3://", 1) if uri.startswith(other) else uri
-    if uri.startswith("/"):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri("file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-
-
 def put(uri: str, arrays: dict[str, np.ndarray]) -> str:
     """Write arrays as one file; its name."""
     system, path = _at(uri)
